@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import line_dedup, packing, simhash, substring_dedup
-from .common import table
+from . import ann, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup
+from .common import settle, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,6 +20,24 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), *site())
+    return found.select("doc_id", F.round("p_good", 9).alias("p_good"), F.round("evidence", 9).alias("evidence"), F.round("prior_odds", 9).alias("prior_odds"), "kept")
+
+
+def site() -> tuple[Column, Column]:
+    """Host and path of a document: its source, and the part of it in its language."""
+    return F.col("source"), F.col("lang")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -37,6 +55,29 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+WEIGHTS = [
+    *[("domain", f"d{k}", float(k + 1)) for k in range(4)],
+    ("language", "en", 4.0), ("language", "de", 2.0), ("language", "fr", 2.0), ("language", "es", 1.0),
+]
+
+
+def tree(docs: DataFrame) -> DataFrame:
+    """Sizes of documents and their place: four domains of sources, by a digest of the source."""
+    digit = F.substring(F.md5(F.coalesce("source", F.lit(""))), 1, 1)
+    domain = F.when(digit < "4", "d0").when(digit < "8", "d1").when(digit < "c", "d2").otherwise("d3")
+    return mixing.sizes_of(docs, domain, F.col("lang"), F.col("source"))
+
+
+def weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(WEIGHTS, "level string, name string, weight double")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = settle(tree(table(spark, sf_dir, "documents")), "sizes")
+    leaves = mixing.plan(mixing.leaves_of(sizes), F.col("all_tokens"), weights(spark))
+    return mixing.mixed(sizes, leaves).drop("row")
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -46,7 +87,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_substring_dedup]
+    found = [op1_quality_classifier, op2_quality_rules, op4_collision_ann, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_substring_dedup, op10_mixing]
     return {f.__name__: _shipped(f) for f in found}
 
 
