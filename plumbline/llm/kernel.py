@@ -20,6 +20,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled together; temporaries are some ten times as large.
 BLOCK = 4 << 20
+#: Bytes, or items, that are summed up together; the kept tables of powers are as long.
+SEGMENT = 1 << 20
 
 
 def _family(seed: int) -> tuple[np.ndarray, int, int]:
@@ -37,11 +39,11 @@ def powers(family: int, n: int, inverse: bool = False) -> np.ndarray:
     """The first n powers of a family's base (or of its inverse) modulo 2**64."""
     had = _powers.get((family, inverse))
     if had is None or len(had) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
+        size = max(SEGMENT + 1, n)
         out = np.full(size, FAMILIES[family][1 + inverse], U64)
         out[0] = 1
         had = np.multiply.accumulate(out)
-        if size <= BLOCK * 4:  # tables for longer texts aren't kept
+        if size == SEGMENT + 1:  # tables for longer words aren't kept
             _powers[family, inverse] = had
     return had[:n]
 
@@ -62,7 +64,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: i
     """Hashes of the byte ranges; starts and ends ascend."""
     out, table, i, n = np.empty(len(starts), U64), FAMILIES[family][0], 0, len(starts)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, "right")))
         at = starts[i]
         sums = _sums(table[data[at : ends[j - 1]]], family)
         a, b = starts[i:j] - at, ends[i:j] - at
@@ -73,7 +75,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: i
 
 def hash_windows(items: np.ndarray, first: np.ndarray, size: int, family: int = 2) -> np.ndarray:
     """Hashes of the runs of ``size`` items that start at ``first`` (ascending)."""
-    out, i, n, most = np.empty(len(first), U64), 0, len(first), 1 << 20
+    out, i, n, most = np.empty(len(first), U64), 0, len(first), SEGMENT // 2
     while i < n:
         j = max(i + 1, int(np.searchsorted(first, first[i] + most, "right")))
         at = first[i]

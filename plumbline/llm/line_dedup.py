@@ -38,7 +38,7 @@ def line_items(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     rows = keyed(docs, doc_id, text)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return repeated_spans(rows, line_items, window, parts_for(docs, total))
+    return repeated_spans(rows, line_items, window, parts_for(total))
 
 
 def _cut(b: pa.RecordBatch, text: pa.Array, spans: pa.Array) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,9 +52,7 @@ def _cut(b: pa.RecordBatch, text: pa.Array, spans: pa.Array) -> tuple[Texts, np.
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the repeated lines cut out of their texts; other texts, and other columns, unchanged."""
     found = repeated_lines(docs, doc_id, text, window)
-    key = keyed(docs.select(F.struct("*").alias("_d"), F.col(doc_id).alias("_i"), F.col(text).alias("_t")), "_i", "_t")
     rows = docs.select(F.struct("*").alias("_d"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), F.col(text).alias("_t"))
-    del key
     joined = rows.join(found, ["doc_id", "row"], "left").select("_d", "_t", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -204,6 +204,6 @@ def kept_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kept: np.
     return out[keep], np.append(0, np.cumsum(lengths))
 
 
-def parts_for(docs: DataFrame, total_bytes: int, each: int = 4 << 20) -> int:
-    """Hash ranges, of some ``each`` bytes of text or smaller."""
-    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total_bytes // each + 1)
+def parts_for(total_bytes: int, each: int = 8 << 20) -> int:
+    """Hash ranges for so much text: each gets what some ``each`` bytes of it have to send."""
+    return total_bytes // each + 1

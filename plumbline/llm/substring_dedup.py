@@ -131,7 +131,7 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     cells, rows = sketch(docs, total, text, window, gram)
     shared = spark.sparkContext.broadcast(rows)
-    return repeated_spans(keyed(docs, doc_id, text), word_items, window, parts_for(docs, total), sieve(shared, cells, window, gram))
+    return repeated_spans(keyed(docs, doc_id, text), word_items, window, parts_for(total), sieve(shared, cells, window, gram))
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
