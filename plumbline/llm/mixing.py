@@ -108,3 +108,17 @@ def sizes_of(docs: DataFrame, domain: Column, language: Column, source: Column,
 
 def leaves_of(sizes: DataFrame) -> DataFrame:
     return sizes.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
+
+
+def chosen(docs: DataFrame, taken: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that mixed() took from, once for each epoch that took them; texts and columns unchanged.
+
+    Of equal rows as many stay as were taken.
+    """
+    times = taken.groupBy("doc_id", "row").agg(F.count("*").alias("_n")).select(F.col("doc_id").alias("_i"), F.col("row").alias("_r"), "_n")
+    marked = docs.select(F.struct("*").alias("_d"), F.col(doc_id).alias("_i"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_r"))
+    # equal rows meet in one group and are given out anew, each row once for every time it was taken
+    one = marked.where(F.col("_i").isNotNull()).join(times, ["_i", "_r"]).groupBy("_i", "_r").agg(F.first("_d").alias("_d"), F.first("_n").alias("_n"))
+    nameless = marked.where(F.col("_i").isNull()).join(times.where("_i is null").select("_r", "_n"), "_r").groupBy("_r").agg(F.first("_d").alias("_d"), F.first("_n").alias("_n"))
+    both = one.select("_d", "_n").union(nameless.select("_d", "_n"))
+    return both.withColumn("_e", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_d.*")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import ann, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup
+from . import ann, langid, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup
 from .common import settle, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,10 +34,30 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def remainder(doc_id: str, n: int) -> Column:
+    """crc32 of an id as text, modulo n; a null id is as an empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lm_scoring.score(docs, remainder("doc_id", 10) != 0, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, remainder("doc_id", 3) != 1)
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -87,7 +107,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_quality_rules, op4_collision_ann, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_substring_dedup, op10_mixing]
+    found = [op1_quality_classifier, op2_quality_rules, op3_attention_lm, op4_collision_ann, op5_language_spans, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_substring_dedup, op10_mixing]
     return {f.__name__: _shipped(f) for f in found}
 
 
