@@ -181,10 +181,12 @@ def lineage(supersedes: DataFrame, seeds: DataFrame, depth: int = 12, down: bool
     step = supersedes.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
     level = seeds.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"))
     out = level
-    for _ in range(depth):
-        level = settle(level.join(step, "node").select("start", F.col("next").alias("node"), (F.col("depth") + 1).alias("depth")).distinct())
-        if level.isEmpty():
-            break
+    for k in range(1, depth + 1):
+        level = level.join(step, "node").select("start", F.col("next").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        if k % 4 == 0 and k < depth:  # lineage is cut every fourth level, and the walk ends where a level is empty
+            level = settle(level)
+            if level.isEmpty():
+                break
         out = out.unionByName(level)
     return out
 
@@ -210,25 +212,35 @@ def latest_superseder(supersedes: DataFrame) -> DataFrame:
     return supersedes.groupBy(F.col("target").alias("letter")).agg(F.max("source").alias("by"))
 
 
-def citation_status(nodes: DataFrame, edges: DataFrame, depth: int = 200) -> DataFrame:
-    """document, plan_id, letter, replaced, old_only: old_only if the document cites nothing later in the letter's lineage."""
+def citation_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """document, plan_id, letter, replaced, old_only: old_only if the document cites nothing later in the letter's lineage.
+
+    Each letter has one superseder at most here, so lineages are trees towards their latest
+    letters. Tables of jumps over 1, 2, 4 ... superseders, a row a letter each, give every
+    letter's last one and its distance; whether one citation of a document is later than another
+    is then tested for those pairs alone, by as many jumps as their distances differ by.
+    """
     sup = settle(latest_superseder(edges.where("relationship_type = 'supersedes'")))
     impl = edges.where("relationship_type = 'implements'").select(F.col("source").alias("document"), F.col("target").alias("letter"))
     impl = impl.join(nodes.where("kind = 'document'").select(F.col("id").alias("document"), "plan_id"), "document")
-    cited = impl.join(sup, "letter", "left")
-    # the later letters of each cited one, by doubling steps: after k rounds each row spans 2**k of them
-    jump = sup.select("letter", F.col("by").alias("to"))
-    later, k = jump, 1
-    while k < depth:
-        more = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.letter")).select(F.col("a.letter").alias("letter"), F.col("b.to").alias("to"))
-        reach_on = later.alias("l").join(jump.alias("j"), F.col("l.to") == F.col("j.letter")).select(F.col("l.letter").alias("letter"), F.col("j.to").alias("to"))
-        jump = settle(more)
-        later = settle(later.unionByName(reach_on).distinct())
-        k *= 2
-        if jump.isEmpty():
+    jumps = [sup.select("letter", F.col("by").alias("to"))]
+    while len(jumps) < 40:
+        more = settle(jumps[-1].alias("a").join(jumps[-1].alias("b"), F.col("a.to") == F.col("b.letter")).select(F.col("a.letter").alias("letter"), F.col("b.to").alias("to")))
+        if more.isEmpty():
             break
-    both = impl.select("document", "letter").join(later, "letter").join(impl.select("document", F.col("letter").alias("to")), ["document", "to"]).select("document", "letter").distinct().withColumn("newer", F.lit(True))
-    return cited.join(both, ["document", "letter"], "left").select("document", "plan_id", "letter", F.col("by").isNotNull().alias("replaced"), (F.col("by").isNotNull() & F.col("newer").isNull()).alias("old_only"))
+        jumps.append(more)
+    place = impl.select("letter").distinct().withColumn("last", F.col("letter")).withColumn("far", F.lit(0).cast("bigint"))
+    for k in reversed(range(len(jumps))):
+        j = jumps[k].select(F.col("letter").alias("last"), "to")
+        place = place.join(j, "last", "left").select("letter", F.coalesce("to", "last").alias("last"), (F.col("far") + F.when(F.col("to").isNotNull(), 2**k).otherwise(0)).alias("far"))
+    cited = settle(impl.join(place, "letter").join(sup, "letter", "left"))
+    a, b = cited.select("document", "letter", "last", "far"), cited.select("document", "last", F.col("letter").alias("newer"), F.col("far").alias("nearer"))
+    pairs = a.join(b, ["document", "last"]).where("nearer < far").select("document", "letter", "newer", (F.col("far") - F.col("nearer")).alias("steps"), F.col("letter").alias("at"))
+    for k, jump in enumerate(jumps):
+        j = jump.select(F.col("letter").alias("at"), "to")
+        pairs = pairs.join(j, "at", "left").withColumn("at", F.when(F.col("steps").bitwiseAND(2**k) > 0, F.col("to")).otherwise(F.col("at"))).drop("to")
+    met = pairs.where("at = newer").select("document", "letter").distinct().withColumn("met", F.lit(True))
+    return cited.join(met, ["document", "letter"], "left").select("document", "plan_id", "letter", F.col("by").isNotNull().alias("replaced"), (F.col("by").isNotNull() & F.col("met").isNull()).alias("old_only"))
 
 
 # -- traversal and topology ------------------------------------------------------------------
@@ -265,9 +277,38 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 2, types: list[st
     return out.orderBy("hops", "id").limit(most) if most else out
 
 
+def _forest(batches):
+    """Within each partition, up to half a million nodes at a time: a link from every node to the smallest it reaches there."""
+    import pyarrow as pa
+
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    schema = None
+    for b in batches:
+        schema = b.schema
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            root.setdefault(u, u)
+            root.setdefault(v, v)
+            p, q = find(u), find(v)
+            root[max(p, q)] = min(p, q)
+        if len(root) > 500_000:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x in root if find(x) != x], schema.types[0]), pa.array([find(x) for x in root if find(x) != x], schema.types[0])], names=["u", "v"])
+            root.clear()
+    if root:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x in root if find(x) != x], schema.types[0]), pa.array([find(x) for x in root if find(x) != x], schema.types[0])], names=["u", "v"])
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """id, component: the smallest id each node reaches. Alternating large and small stars until nothing changes."""
-    links = settle(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    kind = pairs.schema["a"].dataType.simpleString()
+    links = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    links = settle(links.mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
     mark = None
     while True:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

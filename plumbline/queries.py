@@ -147,7 +147,7 @@ FROM implements i JOIN nodes n ON n.id = i.source LEFT JOIN sup s ON s.letter =
 SELECT plan_id, count(*) AS citations, count(*) FILTER (WHERE NOT replaced) AS "current", count(*) FILTER (WHERE replaced) AS replaced, count(*) FILTER (WHERE old_only) AS replaced_old_only,
 count(DISTINCT document) AS docs_citing, count(DISTINCT CASE WHEN old_only THEN document END) AS docs_old_only FROM status GROUP BY 1""")
 def citation_currency(spark, d):
-    s = graph.citation_status(A.nodes(spark, d), A.implements(spark, d).unionByName(A.supersedes(spark, d)), 100_000)
+    s = graph.citation_status(A.nodes(spark, d), A.implements(spark, d).unionByName(A.supersedes(spark, d)))
     return s.groupBy("plan_id").agg(
         F.count("*").alias("citations"), F.count_if(~F.col("replaced")).alias("current"), F.count_if("replaced").alias("replaced"), F.count_if("old_only").alias("replaced_old_only"),
         F.countDistinct("document").alias("docs_citing"), F.countDistinct(F.when(F.col("old_only"), F.col("document"))).alias("docs_old_only"),
@@ -157,7 +157,7 @@ def citation_currency(spark, d):
 @query("a17_replaced_letters", STATUS + """
 SELECT letter, count(*) AS citations, count(*) FILTER (WHERE old_only) AS old_only, count(DISTINCT plan_id) AS plans FROM status WHERE replaced GROUP BY 1""")
 def replaced_letters(spark, d):
-    s = graph.citation_status(A.nodes(spark, d), A.implements(spark, d).unionByName(A.supersedes(spark, d)), 100_000)
+    s = graph.citation_status(A.nodes(spark, d), A.implements(spark, d).unionByName(A.supersedes(spark, d)))
     return s.where("replaced").groupBy("letter").agg(F.count("*").alias("citations"), F.count_if("old_only").alias("old_only"), F.countDistinct("plan_id").alias("plans"))
 
 
