@@ -36,7 +36,7 @@ def supersedes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structural(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     by = s.select(node_id("doc", F.col("s_suppkey")).alias("source"), node_id("plan", F.col("s_nationkey")).alias("target"), F.lit(1.0).alias("weight"), F.lit("published_by").alias("relationship_type"))
     own = s.select(node_id("doc", F.col("s_suppkey")).alias("source"), node_id("department", F.col("n_regionkey")).alias("target"), F.lit(1.0).alias("weight"), F.lit("owned_by").alias("relationship_type"))
     return by.unionByName(own)

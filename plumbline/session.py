@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -40,3 +41,8 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/plumbline-{uuid.uuid4().hex}/part"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has no more than ``most`` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
