@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clock_seconds, iso_ms, tolerant_number
-from ..session import small
+from ..session import settle, small
 
 # The fields of a digest in their order, and the events that count.
 FIELDS = [
@@ -131,12 +131,12 @@ def case_status(status: DataFrame) -> DataFrame:
 
 def supervisors(reports_to: DataFrame, most: int = 12) -> DataFrame:
     """person, above, hops: everybody over a person, at most ``most`` steps; a cycle ends at the person. reports_to: person, boss."""
-    level = reports_to.select("person", F.col("boss").alias("above"), F.lit(1).alias("hops"))
-    out, step = level, small(reports_to.select(F.col("person").alias("above"), "boss"))
-    for _ in range(most - 1):  # plans of at most twelve joins of a small table
-        level = level.join(step, "above").select("person", F.col("boss").alias("above"), (F.col("hops") + 1).alias("hops")).where("person <> above")
-        out = out.unionByName(level)
-    return out.groupBy("person", "above").agg(F.min("hops").alias("hops"))
+    out, reach = reports_to.select("person", F.col("boss").alias("above"), F.lit(1).alias("hops")).distinct(), 1
+    while reach < most:  # each round doubles how far is seen
+        a, b = out.alias("a"), small(out).alias("b")
+        far = a.join(b, F.col("a.above") == F.col("b.person")).select("a.person", "b.above", (F.col("a.hops") + F.col("b.hops")).alias("hops")).where((F.col("hops") <= most) & (F.col("person") != F.col("above")))
+        out, reach = settle(out.unionByName(far).groupBy("person", "above").agg(F.min("hops").alias("hops"))), reach * 2
+    return out
 
 
 def conflicts(requests: DataFrame, events: DataFrame, above: DataFrame) -> DataFrame:
