@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
 LEVELS = ["domain", "language", "source"]
 DIGITS = 3  # hexadecimal digits that name a hash range: 4096 ranges a leaf
 SEED = 20_240_601
@@ -70,7 +72,8 @@ def plan(leaves: DataFrame, budget: Column | float, weights: DataFrame | None =
             node = node.join(own, node[level].eqNullSafe(F.col("_name")), "left").drop("_name").fillna(1.0, ["weight"]).where("weight > 0")
         node = divided(node, parent or [F.lit(0)], [level]).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("share").alias("budget"))
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        out = out.drop("budget").join(node, same).drop(*[f"_{k}" for k in keys])
+        # a level's budgets are written down: else every level would plan all levels above it twice over
+        out = settle(out.drop("budget").join(node, same).drop(*[f"_{k}" for k in keys]), level)
     return out.select(*LEVELS, "tokens", F.floor("budget").cast("bigint").alias("share"))
 
 
