@@ -34,6 +34,7 @@ from .kernel import Texts, blocks, per_text
 from .quality_rules import CONTINUED, labelled, repeats_in_text
 
 KEEP, TEMPER = 0.5, 0.7
+FEW = 100_000  # hosts or paths that are broadcast, some ten MB
 FEATURES = ["capitals", "symbols", "bars", "distinct", "repeated", "length"]
 EDGES = {
     "capitals": [0.02, 0.06, 0.12, 0.3, 0.6],
@@ -125,6 +126,11 @@ def shapes(docs: DataFrame, host: Column, path: Column, doc_id: str = "doc_id",
     return settle(shaped(rows, "text").select("doc.doc_id", "doc.host", "doc.path", "bins"), "shapes")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df to be broadcast, if it has no more than FEW rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 @dataclass
 class Model:
     base: float
@@ -149,7 +155,9 @@ def fit(found: DataFrame, labels: DataFrame) -> Model:
     llr = {(r["feature"], r["bin"]): r["llr"] for r in evidence(known).collect()}  # a few dozen rows
     # bins never seen among the labelled say nothing
     ratios = [[float(llr.get((k, b), 0.0)) for b in range(len(EDGES[f]) + 1)] for k, f in enumerate(FEATURES)]
-    return Model(base, hosts.select(F.col("host").alias("_h"), "host_odds"), paths.select(F.col("host").alias("_ph"), F.col("path").alias("_pp"), "path_odds"), ratios)
+    hosts = settle(hosts.select(F.col("host").alias("_h"), "host_odds"), "hosts")
+    paths = settle(paths.select(F.col("host").alias("_ph"), F.col("path").alias("_pp"), "path_odds"), "paths")
+    return Model(base, _small(hosts), _small(paths), ratios)
 
 
 def report(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text", keep: float = KEEP) -> DataFrame:
