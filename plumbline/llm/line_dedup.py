@@ -57,13 +57,18 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, 1):
-            _, _, _, data, at = _cut(b, b.column(1), b.column(2))
-            new = pa.Array.from_buffers(pa.string(), b.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([b.column(0), new], names=["_d", "_new"])
-
-    plain = joined.where("spans is null").select("_d.*")
-    cut = joined.where("spans is not null").mapInArrow(run, joined.select("_d").schema.add("_new", "string"))
-    return plain.union(cut.select(*[F.col("_new").alias(c) if c == text else F.col(f"_d.`{c}`") for c in docs.columns]))
+            hit = b.column(2).is_valid()
+            some = b.filter(hit)
+            if not some.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(b.num_rows, pa.string())], names=["_d", "_new"])
+                continue
+            _, _, _, data, at = _cut(some, some.column(1), some.column(2))
+            new = pa.Array.from_buffers(pa.string(), some.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+            place = np.cumsum(hit.to_numpy(zero_copy_only=False)) - 1
+            yield pa.RecordBatch.from_arrays([b.column(0), new.take(pa.array(place, mask=~hit.to_numpy(zero_copy_only=False)))], names=["_d", "_new"])
+
+    cut = joined.mapInArrow(run, joined.select("_d").schema.add("_new", "string"))
+    return cut.select(*[F.coalesce("_new", F.col(f"_d.`{c}`")).alias(c) if c == text else F.col(f"_d.`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
