@@ -29,8 +29,8 @@ SPANS = "doc_id bigint, row bigint, spans binary"
 
 #: texts -> (first hashes, second hashes, ptr) of their items
 Items = Callable[[Texts], tuple[np.ndarray, np.ndarray, np.ndarray]]
-#: (first hashes, window starts) -> which of the windows may be repeated
-Wanted = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: makes, once for each task: (first hashes, window starts) -> which of the windows may be repeated
+Wanted = Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Texts, blocks, hash_windows, packed, per_text, unpacked, window_starts
+from .kernel import Texts, blocks, hash_windows, packed, per_text, window_starts
 from .line_dedup import digest_rows
 from .repeats import keyed, kept_bytes, parts_for, removed_items, repeated_spans
 
