@@ -112,7 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINES_SQL}
+    return {"op6_line_dedup": LINES_SQL, "op9_substring_dedup": WORDS_SQL, "op10_mixing": MIX_SQL}
 
 
 LINES_SQL = """
@@ -135,3 +135,49 @@ SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(
        sha256(coalesce(s.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN sums s ON s.doc_id = d.doc_id
 """
+
+WORDS_SQL = """
+WITH words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS n, ws FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE text IS NOT NULL)),
+windows AS (SELECT doc_id, n, array_to_string(list_slice(ws, n, n + 19), ' ') AS w FROM words WHERE n + 19 <= len(ws)),
+later AS (SELECT doc_id, n FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY w ORDER BY doc_id, n) AS occurrence FROM windows) WHERE occurrence > 1),
+gone AS (SELECT DISTINCT doc_id, n + k AS n FROM later, (SELECT unnest(range(20)) AS k)),
+sums AS (SELECT w.doc_id, count(*) AS n_words, count(g.n) AS n_removed, string_agg(w.word, ' ' ORDER BY w.n) FILTER (WHERE g.n IS NULL) AS text
+         FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.n = w.n GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(s.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN sums s ON s.doc_id = d.doc_id
+"""
+
+#: A level of the tree: the budgets b of nodes by ``keys``, divided from those by ``parent``.
+_LEVEL = """
+{name}_n AS (SELECT {keys}, sum(capacity) AS capacity, first({up}.b) AS budget, first(coalesce(w.weight, 1.0)) AS weight
+  FROM leaf JOIN {up} USING ({parent}) LEFT JOIN weights w ON w.level = '{level}' AND w.name = leaf.{level} GROUP BY {keys}),
+{name}_w AS (SELECT *, sum(capacity) OVER o AS used, sum(weight) OVER f - sum(weight) OVER o AS rest_weight FROM {name}_n
+  WINDOW o AS (PARTITION BY {parent} ORDER BY capacity / weight, {level}), f AS (PARTITION BY {parent})),
+{name}_f AS (SELECT *, used + capacity / weight * rest_weight <= budget AS full_ FROM {name}_w),
+{name} AS (SELECT {keys}, greatest(0, CASE WHEN full_ THEN capacity ELSE least(capacity, (budget - coalesce(sum(capacity) FILTER (WHERE full_) OVER p, 0)) * weight / sum(weight) FILTER (WHERE NOT full_) OVER p) END) AS b
+  FROM {name}_f WINDOW p AS (PARTITION BY {parent}))"""
+
+MIX_SQL = (
+    """
+WITH weights(level, name, weight) AS (VALUES """
+    + ", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in WEIGHTS)
+    + f"""),
+sizes AS (SELECT doc_id, md5(coalesce(text, '')) AS row_, 0 AS root, lang AS language, source,
+  CASE WHEN substr(md5(coalesce(source, '')), 1, 1) < '4' THEN 'd0' WHEN substr(md5(coalesce(source, '')), 1, 1) < '8' THEN 'd1' WHEN substr(md5(coalesce(source, '')), 1, 1) < 'c' THEN 'd2' ELSE 'd3' END AS domain,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents),
+leaf AS (SELECT root, domain, language, source, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE * 4 AS capacity FROM sizes WHERE tokens > 0 GROUP BY 1, 2, 3, 4),
+top AS (SELECT 0 AS root, sum(tokens) AS b FROM leaf),"""
+    + _LEVEL.format(name="one", level="domain", up="top", parent="root", keys="root, domain")
+    + ","
+    + _LEVEL.format(name="two", level="language", up="one", parent="root, domain", keys="root, domain, language")
+    + ","
+    + _LEVEL.format(name="three", level="source", up="two", parent="root, domain, language", keys="root, domain, language, source")
+    + f""",
+plan AS (SELECT leaf.*, CAST(floor(b) AS BIGINT) AS share, CAST(floor(b) AS BIGINT) // CAST(tokens AS BIGINT) AS whole, CAST(floor(b) AS BIGINT) % CAST(tokens AS BIGINT) AS part FROM leaf JOIN three USING (root, domain, language, source)),
+docs AS (SELECT s.doc_id, s.row_, s.domain, s.language, s.source, s.tokens, whole, part FROM sizes s JOIN plan USING (root, domain, language, source) WHERE s.tokens > 0),
+last AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, source ORDER BY md5('{mixing.SEED}:' || whole || ':' || doc_id || ':' || row_), doc_id, row_ ROWS UNBOUNDED PRECEDING) - tokens AS before FROM docs WHERE part > 0)
+SELECT doc_id, domain, language, source, CAST(epoch AS INTEGER) AS epoch, tokens, tokens AS tokens_taken FROM (SELECT *, unnest(range(whole)) AS epoch FROM docs WHERE whole > 0)
+UNION ALL SELECT doc_id, domain, language, source, CAST(whole AS INTEGER), tokens, CAST(least(tokens, part - before) AS BIGINT) FROM last WHERE before < part
+"""
+)
