@@ -221,3 +221,36 @@ def simulated_history(spark, n: int = 900, seed: int = 42, effect: float = -9.0,
     hours = HOURS["intercept"] + HOURS["complexity"] * F.col("complexity") + HOURS["backlog"] * F.col("backlog") + HOURS["tenure"] * F.col("tenure") + HOURS["expedited"] * F.col("expedited") + own + effect * F.col("assisted") + 34 * F.col("_e")
     return df.withColumn("hours_to_resolution", F.greatest(F.lit(2.0), hours)).drop("_u", "_e")
 
+
+# The coefficients of cases drawn from a cohort.
+COHORT_ASSIST = {"intercept": -3.2, "complexity": 0.20, "expedited": 0.45, "backlog": 0.010, "tenure": -0.14, "sdoh": 0.16, "adopter_post": 0.9}
+COHORT_HOURS = {"intercept": 130.0, "complexity": 25.0, "backlog": 0.85, "tenure": -9.0, "expedited": -55.0, "sdoh": 14.0}
+
+
+def simulated_from_cohort(cohort: DataFrame, n: int = 900, seed: int = 42, effect: float = -9.0, operators: int = 24) -> DataFrame:
+    """Cases of members drawn with replacement, with a known effect; members are joined on a number drawn for each case.
+
+    cohort: member_id, conditions, encounters, sdoh_flags, urgent_condition.
+    """
+    from .ledger import numbered
+
+    c = cohort.withColumn("load", F.log1p("conditions") + 0.6 * F.log1p("encounters"))
+    c = zscore(c, "load", "z").withColumn("complexity", F.least(F.lit(10.0), F.greatest(F.lit(1.0), 5 + 1.8 * F.coalesce("z", F.lit(0.0)))))
+    members = numbered(c.withColumn("_h", F.pmod(F.xxhash64("member_id"), F.lit(1 << 40))), "_h", 1 << 34).select("_n", "member_id", "complexity", F.col("urgent_condition").alias("expedited"), (F.col("sdoh_flags") > 0).cast("int").alias("sdoh"))
+    many = members.count()
+    if not many:
+        raise ValueError("the cohort is empty")
+    u, g = (lambda k: F.rand(seed + k)), (lambda k: F.randn(seed + k))
+    case = cohort.sparkSession.range(n).select(
+        F.col("id").alias("case_id"), (F.floor(u(1) * many) + 1).cast("bigint").alias("_n"), (30 + 12 * g(3)).alias("backlog"), F.pmod(F.xxhash64("id"), F.lit(operators)).cast("int").alias("operator"),
+        (F.col("id") / n > 0.5).cast("int").alias("post"), u(4).alias("_u"), g(5).alias("_e"),
+    )
+    df = case.join(members, "_n").withColumn("tenure", 1 + (F.col("operator") % 9).cast("double")).withColumn("adopter", (F.col("operator") % 2 == 0).cast("int"))
+    a, h = COHORT_ASSIST, COHORT_HOURS
+    eta = a["intercept"] + reduce(lambda s, t: s + t, [a[k] * F.col(k) for k in ("complexity", "expedited", "backlog", "tenure", "sdoh")]) + a["adopter_post"] * F.col("post") * F.col("adopter")
+    df = df.withColumn("assisted", (F.col("_u") < 1 / (1 + F.exp(-eta))).cast("int"))
+    own = (F.pmod(F.xxhash64("operator"), F.lit(1000)) / 1000.0 - 0.5) * 24
+    hours = h["intercept"] + reduce(lambda s, t: s + t, [h[k] * F.col(k) for k in ("complexity", "backlog", "tenure", "expedited", "sdoh")]) + own + effect * F.col("assisted") + 34 * F.col("_e")
+    df = df.withColumn("hours_to_resolution", F.greatest(F.lit(2.0), hours)).withColumn("on_time", (F.col("hours_to_resolution") <= F.when(F.col("expedited") == 1, 72).otherwise(720)).cast("int"))
+    return df.drop("_u", "_e", "_n")
+

@@ -104,3 +104,13 @@ def test_analysis_is_withheld(history):
     run = lambda df: contract.run_analysis(df.withColumn("hours", F.col("hours_to_resolution")), DAG, "hours", "assisted", "case_id", ["case_id", "operator"], costs, -9.0)
     assert run(history.limit(5))["withheld"]
     assert "preconditions" in run(history)
+
+
+def test_cases_from_a_cohort(spark):
+    rows = [(f"m{i}", i % 7, i % 5, i % 2, int(i % 6 == 0)) for i in range(60)]
+    cohort = spark.createDataFrame(rows, "member_id string, conditions int, encounters int, sdoh_flags int, urgent_condition int")
+    df = causal.simulated_from_cohort(cohort, 500)
+    r = df.agg(F.count("*").alias("n"), F.countDistinct("member_id").alias("m"), F.avg("assisted").alias("a"), F.min("hours_to_resolution").alias("h")).first()
+    assert r.n == 500 and r.m > 40 and 0.02 < r.a < 0.9 and r.h >= 2
+    with pytest.raises(ValueError, match="empty"):
+        causal.simulated_from_cohort(cohort.where("conditions > 99"), 5)
