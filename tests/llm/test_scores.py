@@ -123,6 +123,30 @@ def test_held_out_score_beats_uniform(docs):
     assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > -8
 
 
+def test_model_learns_from_every_document(spark):
+    rng = np.random.default_rng(1)
+    words = [["stone river meadow"], ["copper lantern harbor"]]
+    rows = [(i, " ".join(rng.choice(words[i % 2][0].split(), 30))) for i in range(200)] + [(1000, " ".join(["copper lantern"] * 10)), (1001, " ".join(["stone river"] * 10))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    of = lambda sample: {r.doc_id: r.score / r.n_tokens for r in lm_scoring.score(df, F.col("doc_id") < 1000, TOKENS, pattern(), sample=sample).collect()}
+    few, all_ = of(1), of(200)
+    for i in (1000, 1001):  # a sample of one text has the words of one of them only
+        assert few[i] > -1.5 and abs(few[i] - all_[i]) < 0.5
+
+
+def test_gathered_equals_counts_in_memory(spark):
+    rng = np.random.default_rng(2)
+    texts = [np.append(rng.integers(0, 9, rng.integers(0, 50)), 9).astype(np.uint16) for _ in range(150)]
+    df = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary").repartition(5)
+    symbol, inner, counts = lm_scoring.gathered(df, np.uint16, texts[:10], 10)
+    stream, _ = lm_scoring.joined(texts)
+    want = lm_scoring.symbols_of(np.bincount(stream, minlength=10))
+    assert (symbol == want[0]).all() and np.allclose(inner, want[1])
+    pairs = Counter((int(symbol[a]) if k else lm_scoring.SYMBOLS, int(symbol[b])) for t in texts for k, (a, b) in enumerate(zip(np.append(0, t), t)))
+    got = counts.reshape(lm_scoring.SYMBOLS + 1, lm_scoring.SYMBOLS, lm_scoring.EXPERTS).sum(axis=2)
+    assert {(a, b): int(got[a, b]) for a, b in zip(*np.nonzero(got))} == pairs
+
+
 # -- search ----------------------------------------------------------------------------------
 
 
