@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TITLE_STOP, letter_ids, node_id, terms
 from ..session import settle
 
+LEVELS = 32  # after so many levels of a walk what it has is written: plans stay short
 SEMANTIC = ["implements", "supersedes", "similar_topic", "shortcut"]
 
 
@@ -191,20 +194,26 @@ def lineage(supersedes: DataFrame, seeds: DataFrame, depth: int = 12, down: bool
     return out
 
 
-def longest_chains(supersedes: DataFrame, most: int = 100) -> DataFrame:
+def longest_chains(supersedes: DataFrame) -> DataFrame:
     """head, length, path: from each letter that none supersedes its longest way to older ones, the smallest path of equals."""
     step = supersedes.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct()
     heads = step.select("node").distinct().join(step.select(F.col("next").alias("node")).distinct(), "node", "left_anti")
     level = heads.select(F.col("node").alias("head"), "node", F.array("node").alias("path"))
     best = level.select("head", "path")
-    for _ in range(most):
+    for k in count(1):  # a path has no letter twice, so levels end
         grown = level.join(step, "node").where(~F.array_contains("path", F.col("next")))
         level = settle(grown.select("head", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")))
         if level.isEmpty():
             break
         best = best.unionByName(level.select("head", "path"))
-    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("head").orderBy(F.desc(F.size("path")), F.array_join("path", ">")))).where("r = 1 and size(path) > 1")
-    return ranked.select("head", F.size("path").alias("length"), F.array_join("path", ">").alias("path"))
+        if k % LEVELS == 0:
+            best = settle(_longest(best))
+    return _longest(best).where("size(path) > 1").select("head", F.size("path").alias("length"), F.array_join("path", ">").alias("path"))
+
+
+def _longest(paths: DataFrame) -> DataFrame:
+    order = Window.partitionBy("head").orderBy(F.desc(F.size("path")), F.array_join("path", ">"))
+    return paths.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
 def latest_superseder(supersedes: DataFrame) -> DataFrame:
@@ -256,17 +265,19 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def distances(pairs: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """start, id, hops: of all nodes within ``hops`` of each start. seeds: start, id."""
+def distances(pairs: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
+    """start, id, hops: of all nodes within ``hops`` of each start, or all it reaches. seeds: start, id."""
     step = settle(both_ways(pairs))
     seen = seeds.select("start", "id", F.lit(0).alias("hops"))
     front = seen
-    for k in range(1, hops + 1):
+    for k in count(1) if hops is None else range(1, hops + 1):
         new = front.join(step, front["id"] == step["a"]).select("start", F.col("b").alias("id")).distinct().join(seen.select("start", "id"), ["start", "id"], "left_anti")
         front = settle(new.withColumn("hops", F.lit(k)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if k % LEVELS == 0:
+            seen = settle(seen)
     return seen
 
 
@@ -347,11 +358,11 @@ def clustering(pairs: DataFrame) -> DataFrame:
     return tri.crossJoin(triples).select("triangles", "triples", (3.0 * F.col("triangles") / F.nullif("triples", F.lit(0))).alias("clustering"))
 
 
-def mean_path(pairs: DataFrame, most: int = 64, sources: DataFrame | None = None) -> DataFrame:
+def mean_path(pairs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """pairs, mean_path: over ordered pairs of nodes that reach each other, from all nodes or the given sources (id)."""
     nodes = both_ways(pairs).select(F.col("a").alias("id")).distinct()
     starts = (sources or nodes).select(F.col("id").alias("start"), "id")
-    return distances(pairs, starts, most).where("hops > 0").agg(F.count("*").alias("pairs"), F.avg(F.col("hops").cast("double")).alias("mean_path"))
+    return distances(pairs, starts).where("hops > 0").agg(F.count("*").alias("pairs"), F.avg(F.col("hops").cast("double")).alias("mean_path"))
 
 
 def shortcut_candidates(similar: DataFrame, pairs: DataFrame, least_hops: int = 4) -> DataFrame:

@@ -133,7 +133,7 @@ SELECT source AS head, source AS node, 1 AS length, source AS path FROM supersed
 UNION ALL SELECT head, target, length + 1, path || '>' || target FROM walk JOIN supersedes ON source = node)
 SELECT head, CAST(length AS INTEGER) AS length, path FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY length DESC, path) AS r FROM walk) WHERE r = 1""")
 def longest_chains(spark, d):
-    return graph.longest_chains(A.supersedes(spark, d), 1000)
+    return graph.longest_chains(A.supersedes(spark, d))
 
 
 STATUS = V("nodes", "implements", "supersedes", recursive=True) + """, sup AS (SELECT target AS letter, max(source) AS newer_by FROM supersedes GROUP BY 1),

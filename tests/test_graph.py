@@ -72,6 +72,18 @@ def test_lineage_and_chains(spark):
     assert {tuple(r) for r in graph.longest_chains(s).collect()} == {("c", 3, "c>b>a"), ("x", 2, "x>a")}
 
 
+def test_chains_have_no_cap(spark):
+    s = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(102)] + [("b00", "095")], "source string, target string").coalesce(1)
+    path = [f"{k:03d}" for k in range(103)]
+    assert {tuple(r) for r in graph.longest_chains(s).collect()} == {("000", 103, ">".join(path)), ("b00", 9, ">".join(["b00", *path[95:]]))}
+
+
+def test_mean_path_has_no_cap(spark):
+    line = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(66)], "a string, b string").coalesce(1)
+    r = graph.mean_path(line, sources=spark.createDataFrame([("000",)], "id string")).first()
+    assert (r.pairs, r.mean_path) == (66, pytest.approx(67 / 2))
+
+
 def ring(n, near):
     return [(i, (i + k) % n) for i in range(n) for k in range(1, near + 1)]
 
