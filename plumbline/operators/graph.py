@@ -393,9 +393,12 @@ def ring_clustering(mean_degree: float) -> float:
     return 3 * (k - 2) / (4 * (k - 1))
 
 
-def verdict(reach: float, sigma: float) -> str:
+def verdict(reach: float, sigma: float | None) -> str:
+    """sigma: None where there is none, as without random twins or where these have no triangles."""
     if reach < 0.5:
         return "fragmented"
+    if sigma is None:
+        return "not measured"
     return "small-world" if sigma > 1.5 else "weakly small-world" if sigma > 1 else "not small-world"
 
 

@@ -28,7 +28,7 @@ def retrieval_gain(found: DataFrame, plans: DataFrame, most: int = 40) -> DataFr
 
 
 def small_world(pairs: DataFrame, spark, replicates: int = 5, seed: int = 42, most_pairs: int = 2_000_000) -> dict:
-    """Clustering, mean path, reach, sigma, omega and the verdict. Random twins are made in workers' memory, so for at most ``most_pairs`` pairs."""
+    """Clustering, mean path, reach, sigma, omega and the verdict. Random twins are made in workers' memory, so for at most ``most_pairs`` pairs; beyond them the verdict of a connected graph is 'not measured'."""
     c = graph.clustering(pairs).first()
     length, reach = graph.mean_path(pairs).first(), graph.reachable_share(graph.components(pairs)).first()
     n = pairs.count()
@@ -42,7 +42,7 @@ def small_world(pairs: DataFrame, spark, replicates: int = 5, seed: int = 42, mo
             out["sigma"] = (c["clustering"] / twin["c"]) / (length["mean_path"] / twin["l"])
         if ring and twin["l"]:
             out["omega"] = twin["l"] / length["mean_path"] - c["clustering"] / ring
-    out["verdict"] = graph.verdict(out["reach"] or 0.0, out["sigma"] or 0.0)
+    out["verdict"] = graph.verdict(out["reach"] or 0.0, out["sigma"])
     return out
 
 

@@ -28,6 +28,12 @@ def test_small_world_report(spark):
     assert r["reach"] == 1.0 and r["clustering"] == pytest.approx(0.5) and r["sigma"] > 1 and r["components"] == 1
 
 
+def test_small_world_unmeasured(spark):
+    ring = [(f"{min(a, b):02d}", f"{max(a, b):02d}") for a in range(8) for b in ((a + 1) % 8, (a + 2) % 8)]
+    r = views.small_world(spark.createDataFrame(ring, "a string, b string").coalesce(1), spark, 1, most_pairs=5)
+    assert r["sigma"] is None and r["verdict"] == "not measured"
+
+
 def test_graph_files(spark, tmp_path):
     n = spark.createDataFrame([("plan:a", "plan", "a", "A"), ("doc:1", "document", "a", "one"), ("apl:1", "apl", "state", "APL 26-001: Health (Supersedes x)"), ("apl:2", "apl", "state", "L2")], "id string, kind string, plan_id string, label string")
     e = spark.createDataFrame([("doc:1", "apl:1", "implements", 1.0), ("apl:2", "apl:1", "supersedes", 3.0)], "source string, target string, relationship_type string, weight double")
