@@ -14,7 +14,7 @@ from .functions import text as X
 from .operators import causal, graph, ledger, retrieval, views
 from .plans import adapters as A
 from .plans import contract, dag
-from .session import settle, shared_folder, table
+from .session import run_folder, settle, table
 from .ship import ship
 from .sources import catalog
 
@@ -800,7 +800,7 @@ def stream_counts(spark, d):
 
     from .streaming import events as streams
 
-    folder = f"{shared_folder(spark)}/plumbline-{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     e = A.ledger(spark, d)
     e.write.parquet(f"{folder}/in")
     s = streams.counts_by_window(streams.event_stream(spark, f"{folder}/in", e.schema))

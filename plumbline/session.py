@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
 }
+#: Bytes of an Arrow batch between Spark and a Python worker: bounds what both hold of it, whatever the rows' lengths.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def session(name: str = "plumbline", **settings: str) -> SparkSession:
@@ -28,17 +31,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to ``most``; a lower one stays."""
+    now = spark.conf.get(BATCH_SETTING, None)
+    if now is None or int(now.rstrip("bB")) > most:
+        spark.conf.set(BATCH_SETTING, str(most))
+
+
 def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only a local session without one gets a temporary folder; on a cluster executors would not see it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read again, to end its lineage in loops."""
-    path = f"{shared_folder(df.sparkSession)}/plumbline-{uuid.uuid4().hex}/part"
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one, removed when the application ends."""
+    path = f"{shared_folder(spark)}/plumbline-{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
+_folders: set[str] = set()
+
+
+def settle(df: DataFrame, name: str = "part") -> DataFrame:
+    """df written once as a table in the shared folder and read again: its lineage ends there.
+
+    Unlike a checkpoint this computes df once, and an executor's loss costs nothing after it.
+    """
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -8,11 +8,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .session import bound_batches
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package's sources to the session's Python path on all executors, once for each application."""
+    """Adds the package's sources to the session's Python path on all executors, once for each application; bounds Arrow batches."""
+    bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
