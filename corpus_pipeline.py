@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup, mixing, packing, quality_classifier, queries, simhash
-from plumbline.llm.common import settle, shared_folder, table
+from plumbline.llm.common import run_folder, settle, table
 from plumbline.ship import ship
 
 BUDGET = 0.9
@@ -70,7 +70,7 @@ ORACLE_SQL = None  # tokenizing and fingerprints are beyond SQL; tests/llm compa
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the whole of documents."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/plumbline-{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         found = stage(spark, docs, sf_dir)
         found.write.parquet(f"{folder}/stage{k}")
