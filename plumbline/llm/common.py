@@ -1,36 +1,12 @@
-"""Reading tables, and cutting lineage through the folder that the cluster shares."""
+"""What the operators share: tables, the shared folder, and the hash that tells rows of one doc_id apart."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import run_folder, settle, shared_folder, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one of our own only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def settle(df: DataFrame, name: str = "part") -> DataFrame:
-    """df written once as a table in the shared folder and read again: its lineage ends there.
-
-    Unlike a checkpoint this computes df once, and an executor's loss costs nothing after it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/plumbline-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["row_hash", "run_folder", "settle", "shared_folder", "table"]
 
 
 def row_hash(text) -> F.Column:

@@ -18,8 +18,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes of text handled together; temporaries are some ten times as large.
-BLOCK = 4 << 20
+#: Bytes of text handled together; temporaries are some thirty times as large.
+BLOCK = 1 << 20
 #: Bytes, or items, that are summed up together; the kept tables of powers are as long.
 SEGMENT = 1 << 20
 
@@ -208,10 +208,14 @@ def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def joined_words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All words, each followed by one space, and where each starts and ends there."""
+    edges = texts.offsets[1:]
+    space = np.insert(texts.space, edges, True)  # each text gets a space behind it
+    keep = ~space
+    keep[1:] |= keep[:-1].copy()
+    out = np.insert(texts.data, edges, np.uint8(32))[keep]
+    out[space[keep]] = 32
     size = texts.ends - texts.starts
     ends = np.cumsum(size + 1) - 1
-    out = np.append(texts.data, np.uint8(32))[ragged(texts.starts, size + 1)]
-    out[ends] = 32
     return out, ends - size, ends
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import row_hash
 from .kernel import Texts, blocks, hash_windows, packed, ragged, unpacked, window_starts
 
+SENT = 4 << 20  # bytes of text whose windows are packed together
 LOWEST = -(1 << 63)  # stands for a null doc_id
 PACKED = "r int, docs binary, doc binary, at binary, h binary, g binary"
 SPANS = "doc_id bigint, row bigint, spans binary"
@@ -102,7 +103,7 @@ def emitter(items: Items, size: int, parts: int, wanted: Wanted | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = wanted() if wanted else None
-        for b in blocks(batches, 2):
+        for b in blocks(batches, 2, SENT):
             texts = Texts(b.column(2))
             docs = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
             one, two, ptr = items(texts)

@@ -27,26 +27,32 @@ from .kernel import Texts, blocks, joined_words
 
 SEED, SHINGLE, BITS, BLOCKS = 42, 4, 4, 7
 CHUNK = 4096
+SLICE = 1 << 15  # shingles hashed together
 
 
 def fingerprints_of(column: pa.Array) -> np.ndarray:
-    """64-bit fingerprints of texts: a bit is set where over half the shingles' hashes have it."""
+    """64-bit fingerprints of texts: a bit is set where over half the shingles' hashes have it.
+
+    Shingles are hashed SLICE at a time and their bits added up, so that a long text needs no
+    more memory for its hashes than a short one.
+    """
     texts = Texts(column, lower=True)
     data, starts, ends = joined_words(texts)
     n = texts.counts
     shingles = np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)
-    before = np.cumsum(shingles) - shingles
-    first = np.repeat(texts.ptr[:-1] - before, shingles) + np.arange(int(shingles.sum()))
-    last = np.minimum(first + SHINGLE, np.repeat(texts.ptr[1:], shingles)) - 1
+    edge = np.append(0, np.cumsum(shingles))
     buf, digest = data.tobytes(), xxhash.xxh64_intdigest
-    h = np.fromiter((digest(buf[a:b], SEED) for a, b in zip(starts[first].tolist(), ends[last].tolist())), np.uint64, len(first))
-    out = np.zeros(texts.n, np.uint64)
-    some = np.flatnonzero(shingles)
-    if len(some):
+    sums = np.zeros((texts.n, 64), np.int64)
+    for i in range(0, int(edge[-1]), SLICE):
+        at = np.arange(i, min(i + SLICE, int(edge[-1])))
+        text = np.searchsorted(edge, at, "right") - 1
+        first = texts.ptr[text] + at - edge[text]
+        last = np.minimum(first + SHINGLE, texts.ptr[text + 1]) - 1
+        h = np.fromiter((digest(buf[a:b], SEED) for a, b in zip(starts[first].tolist(), ends[last].tolist())), np.uint64, len(first))
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, before[some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * sums > shingles[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
+        new = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        sums[text[new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int32)
+    return np.packbits(2 * sums > shingles[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,7 +170,8 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = fps.select("fp", F.posexplode(masks).alias("k", "m")).select(F.xxhash64("k", F.col("fp").bitwiseAND(F.col("m"))).alias("key"), "fp")
     found = settle(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(bucket_links, OUT), "buckets")
     chunks = found.where("chunk is not null").select("key", "chunk", "fps")
-    pairs = chunks.alias("a").join(chunks.alias("b"), F.expr("a.key = b.key and a.chunk < b.chunk")).select("a.fps", F.col("b.fps").alias("other"))
+    pairs = chunks.alias("a").join(chunks.alias("b"), F.expr("a.key = b.key and a.chunk < b.chunk")).select(F.xxhash64("a.key", "a.chunk", "b.chunk").alias("deal"), "a.fps", F.col("b.fps").alias("other"))
+    pairs = pairs.repartition("deal").select("fps", "other")  # a bucket's pairs of chunks are compared in many tasks
     return found.where("chunk is null").select("u", "v").union(pairs.mapInArrow(chunk_links, LINKS))
 
 
