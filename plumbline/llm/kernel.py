@@ -21,7 +21,7 @@ LOWER[65:91] += 32
 #: Bytes of text handled together; temporaries are some thirty times as large.
 BLOCK = 1 << 20
 #: Bytes, or items, that are summed up together; the kept tables of powers are as long.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 def _family(seed: int) -> tuple[np.ndarray, int, int]:
@@ -160,8 +160,13 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def per_text(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """Sums of the values of each text."""
-    sums = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    """Sums of the values of each text. Those of floats don't depend on the texts beside it."""
+    if values.dtype.kind == "f":
+        out, some = np.zeros(len(ptr) - 1), ptr[1:] > ptr[:-1]
+        if some.any():
+            out[some] = np.add.reduceat(values[: ptr[-1]], ptr[:-1][some], dtype=np.float64)
+        return out
+    sums = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=sums[1:])
     return sums[ptr[1:]] - sums[ptr[:-1]]
 
