@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import row_hash
 from .kernel import Texts, blocks, hash_windows, packed, ragged, unpacked, window_starts
 
+MOST_TASKS = 50_000
 SENT = 4 << 20  # bytes of text whose windows are packed together
 LOWEST = -(1 << 63)  # stands for a null doc_id
 PACKED = "r int, docs binary, doc binary, at binary, h binary, g binary"
@@ -176,8 +177,8 @@ def spans(size: int):
 def repeated_spans(docs: DataFrame, items: Items, size: int, parts: int, wanted: Wanted | None = None) -> DataFrame:
     """doc_id, row, spans (packed int32 pairs of item numbers) of the documents that have repeated windows; docs: as keyed() gives."""
     windows = docs.mapInArrow(emitter(items, size, parts, wanted), PACKED)
-    later = windows.groupBy("r").applyInArrow(repeats(parts), PACKED)
-    return later.groupBy("r").applyInArrow(spans(size), SPANS)
+    later = windows.repartition(tasks_for(parts), "r").groupBy("r").applyInArrow(repeats(parts), PACKED)
+    return later.repartition(tasks_for(parts), "r").groupBy("r").applyInArrow(spans(size), SPANS)
 
 
 def removed_items(column: pa.Array, ptr: np.ndarray) -> np.ndarray:
@@ -208,3 +209,8 @@ def kept_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kept: np.
 def parts_for(total_bytes: int, each: int = 8 << 20) -> int:
     """Hash ranges for so much text: each gets what some ``each`` bytes of it have to send."""
     return total_bytes // each + 1
+
+
+def tasks_for(parts: int) -> int:
+    """Tasks for so many hash ranges: about one for each, so that a task reads no more as the input grows. Beyond MOST_TASKS each takes several in turn."""
+    return min(parts, MOST_TASKS)
