@@ -5,13 +5,17 @@ texts use that script are candidates for it. A word's score in a language is the
 letters of the log probability of the letter with both its neighbours (lower case; the word's
 edge and anything but a letter is one symbol), in hashed tables with add-ALPHA smoothing.
 Viterbi finds the labels of all words that maximise the sum of scores less SWITCH for every
-change of language; runs of one label are the spans. Texts of over SPAN words are decoded in
-stretches of SPAN words, each with EDGE words of context on both sides.
+change of language; runs of one label are the spans. Scores are whole numbers of 1/UNIT, whose
+sums don't depend on their order. So long texts are decoded in stretches of SPAN words side by
+side, each from every label it may begin with, and the stretches are joined by what they add up
+to: the labels are exactly those of one pass over the whole text.
 
 The tables are learned from at most SAMPLE documents of each language (those of the smallest
-hash of doc_id). A document's language is the one whose spans have most letters, and its score
-their share of all letters; ties go to the language that sorts first. A text that is null or
-has no letter, or a table without anything to learn from, gives ``und`` and 0.
+hash of doc_id). A document's language is the one whose spans have most letters in scripts that
+a learned language uses, and its score their share of all letters, so a text in a script that
+none uses has score 0; ties go to the language that sorts first. A text that is null or
+has no letter, or a table without anything to learn from, gives ``und`` and 0. Rows that share
+a doc_id are judged one by one.
 """
 
 from __future__ import annotations
@@ -26,7 +30,11 @@ from pyspark.sql import functions as F
 
 from .kernel import Texts, blocks, per_text, ragged
 
-SAMPLE, ALPHA, SWITCH, SPAN, EDGE, BITS = 400, 0.05, 12.0, 1024, 64, 17
+SAMPLE, ALPHA, SWITCH, BITS = 400, 0.05, 12.0, 17
+UNIT = 1024  # steps of a score of one
+SPAN = 1024  # words decoded one after the other; of no effect on the labels
+NEVER = -(1 << 60)
+MARGIN = 3
 LEAST_SHARE = 0.005  # of a language's letters, for a script to count as its own
 TOP_CODE = 0x32000
 # Unicode ranges of scripts (fixed values): first code point, last code point
@@ -109,58 +117,94 @@ class Model:
     logs: np.ndarray  # bucket, language
     uses: np.ndarray  # script, language
 
+    def known(self, w: Words) -> np.ndarray:
+        """Which of the distinct words have letters, in a script that a language uses."""
+        return self.uses.any(axis=1)[w.script] & (w.letters > 0)
+
     def emissions(self, w: Words) -> np.ndarray:
-        """Score of each distinct word in each language; scripts that no language uses say nothing."""
+        """Score of each distinct word in each language, in units; words not known say nothing."""
         score = np.stack([per_text(self.logs[w.bucket, k].astype(np.float64), w.ptr) for k in range(len(self.names))], axis=1)
-        known = self.uses.any(axis=1)[w.script]
-        score = np.where(self.uses[w.script] | ~known[:, None], score, score - 1000.0)
-        return np.where((known & (w.letters > 0))[:, None], score, 0.0).astype(np.float32)
-
-
-def viterbi(score: np.ndarray, ptr: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best label of each word; runs ptr[i]:ptr[i + 1] are decoded apart, all at once step by step."""
-    n = np.diff(ptr)
-    order = np.argsort(-n, kind="stable")
-    begin, size = ptr[:-1][order], n[order]
-    label, stay = np.zeros(len(score), np.int16), np.zeros(score.shape, bool)
-    top = np.zeros(len(score), np.int16)
-    v = np.zeros((len(n), score.shape[1]), np.float32)
-    steps = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(steps), "left")  # runs longer than each step
-    for t in range(steps):
-        a = active[t]
-        at = begin[:a] + t
-        if t:
-            best = v[:a].argmax(axis=1)
-            jump = v[np.arange(a), best] - np.float32(switch)
-            keep = v[:a] >= jump[:, None]
-            stay[at], top[at] = keep, best
-            v[:a] = np.where(keep, v[:a], jump[:, None])
-        v[:a] += score[at]
-    now = v.argmax(axis=1).astype(np.int16) if len(n) else np.zeros(0, np.int16)
-    for t in range(steps - 1, -1, -1):
-        a = active[t]
-        at = begin[:a] + t
-        label[at] = now[:a]
-        if t:
-            now[:a] = np.where(stay[at, now[:a]], now[:a], top[at])
-    return label
+        score = np.where(self.uses[w.script], score, score - 1000.0)
+        return np.where(self.known(w)[:, None], np.rint(score * UNIT), 0).astype(np.int64)
 
 
-def labels_of(score: np.ndarray, ptr: np.ndarray, span: int = SPAN, edge: int = EDGE) -> np.ndarray:
-    """viterbi over stretches of long texts with context on both sides."""
-    n = np.diff(ptr)
-    pieces = np.maximum(-(-n // span), 0)
+@dataclass
+class Stretches:
+    """Runs of words, the longest first, that are stepped through side by side."""
+
+    score: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    switch: int
+
+    def __post_init__(self) -> None:
+        self.order = np.argsort(-self.size, kind="stable")
+        begin, size = self.begin[self.order], self.size[self.order]
+        steps = int(size[0]) if len(size) else 0
+        active = np.searchsorted(-size, -np.arange(steps), "left")  # runs longer than each step
+        self.at = lambda t: begin[: active[t]] + t
+        self.steps = steps
+
+    def forward(self, enter: np.ndarray, stay: np.ndarray | None = None, top: np.ndarray | None = None) -> np.ndarray:
+        """Best sums by label after each run, from those before it. stay, top: get each word's choices."""
+        v = enter[self.order]
+        for t in range(self.steps):
+            at = self.at(t)
+            a = len(at)
+            best = v[:a].argmax(axis=1)
+            jump = v[np.arange(a), best] - self.switch
+            keep = v[:a] >= jump[:, None]
+            if stay is not None:
+                stay[at], top[at] = keep, best
+            v[:a] = np.where(keep, v[:a], jump[:, None]) + self.score[at]
+        out = np.empty_like(v)
+        out[self.order] = v
+        return out
+
+    def backward(self, last: np.ndarray, stay: np.ndarray, top: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+        """The labels before each run, from the runs' last ones (a row for each run). label: gets each word's."""
+        now = last[self.order]
+        for t in range(self.steps - 1, -1, -1):
+            at = self.at(t)
+            a = len(at)
+            if label is not None:
+                label[at] = now[:a, 0]
+            now[:a] = np.where(stay[at[:, None], now[:a]], now[:a], top[at][:, None])
+        out = np.empty_like(now)
+        out[self.order] = now
+        return out
+
+
+def viterbi(score: np.ndarray, ptr: np.ndarray, switch: int = int(SWITCH * UNIT), span: int = SPAN) -> np.ndarray:
+    """The labels of the words of texts ptr[i]:ptr[i + 1] of the largest sum of scores (whole numbers).
+
+    Ties: a label is kept rather than changed, and the smaller label is taken.
+    """
+    n, k = np.diff(ptr), score.shape[1]
+    pieces = -(-n // span)
+    nth = ragged(np.zeros(len(n), np.int64), pieces)
     text = np.repeat(np.arange(len(n)), pieces)
-    k = ragged(np.zeros(len(n), np.int64), pieces)
-    begin, end = ptr[:-1][text] + k * span, np.minimum(ptr[:-1][text] + (k + 1) * span, ptr[1:][text])
-    left, right = np.maximum(begin - edge, ptr[:-1][text]), np.minimum(end + edge, ptr[1:][text])
-    size = right - left
-    if (size == n[text]).all():
-        return viterbi(score, ptr)
-    runs = np.append(0, np.cumsum(size))
-    found = viterbi(score[ragged(left, size)], runs)
-    return found[ragged(runs[:-1] + begin - left, end - begin)]
+    begin = ptr[:-1][text] + nth * span
+    size = np.minimum(ptr[1:][text] - begin, span)
+    enter = np.zeros((len(begin), k), np.int64)
+    go_on = np.flatnonzero(nth + 1 < pieces[text])
+    if len(go_on):  # what a stretch adds from each label to each other
+        one = np.where(np.eye(k, dtype=bool), 0, NEVER)
+        adds = Stretches(score, np.repeat(begin[go_on], k), np.repeat(size[go_on], k), switch).forward(np.tile(one, (len(go_on), 1))).reshape(-1, k, k)
+        for i, add in zip(go_on.tolist(), adds):
+            enter[i + 1] = (enter[i][:, None] + add).max(axis=0)
+    stay, top = np.zeros(score.shape, bool), np.zeros(len(score), np.int16)
+    runs = Stretches(score, begin, size, switch)
+    last = runs.forward(enter, stay, top).argmax(axis=1).astype(np.int16)
+    if len(go_on):
+        before = np.zeros((len(begin), k), np.int16)
+        behind = go_on + 1
+        before[behind] = Stretches(score, begin[behind], size[behind], switch).backward(np.tile(np.arange(k, dtype=np.int16), (len(behind), 1)), stay, top)
+        for i in go_on[::-1].tolist():
+            last[i] = before[i + 1, last[i + 1]]
+    label = np.zeros(len(score), np.int16)
+    runs.backward(last[:, None], stay, top, label)
+    return label
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +223,13 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, learn: Column, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     """learn: which rows to learn from. Only counts of at most ``sample`` documents a language reach the driver."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
+    # only rows whose hash is among the smallest, about MARGIN times as many as are wanted, are ranked;
+    # the shares are a row a language, as many as the model has columns
+    share = F.least(F.lit(1.0), F.lit(float(MARGIN * sample)) / F.count("*"))
+    most = rows.groupBy(F.col(lang).alias("_l")).agg(share.alias("_s"))
+    met = rows.select(lang, doc_id).join(F.broadcast(most), F.col(lang) == F.col("_l")).where((F.xxhash64(doc_id) / F.lit(2.0**64) + 0.5) <= F.col("_s"))
     first = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id)
-    chosen = rows.select(lang, doc_id).withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select(F.col(doc_id).alias("_i")).distinct()
+    chosen = met.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select(F.col(doc_id).alias("_i")).distinct()
     few = chosen.count() <= 200_000  # else too many languages for a broadcast
     picked = rows.join(F.broadcast(chosen) if few else chosen, F.col(doc_id) == F.col("_i"), "left_semi").select(lang, text)
     found = picked.mapInArrow(counted, "lang string, bucket binary, n binary, scripts binary").collect()
@@ -207,12 +256,13 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             best, share, spans = np.full(texts.n, k), np.zeros(texts.n), np.zeros(texts.n, np.int64)
             if k and len(texts.starts):
                 w = distinct_words(texts)
-                label = labels_of(m.emissions(w)[w.inverse], texts.ptr)
+                label = viterbi(m.emissions(w)[w.inverse], texts.ptr)
                 doc = texts.text_of()
-                sums = np.bincount(doc * k + label, w.letters[w.inverse], texts.n * k).reshape(-1, k)
-                some = sums.sum(axis=1) > 0
+                letters = per_text(w.letters[w.inverse], texts.ptr)
+                sums = np.bincount(doc * k + label, (w.letters * m.known(w))[w.inverse], texts.n * k).reshape(-1, k)
+                some = letters > 0
                 best = np.where(some, sums.argmax(axis=1), k)
-                share = np.where(some, sums.max(axis=1) / np.maximum(sums.sum(axis=1), 1), 0.0)
+                share = sums.max(axis=1) / np.maximum(letters, 1)
                 new = np.append(True, (label[1:] != label[:-1]) | (doc[1:] != doc[:-1]))
                 spans = np.where(some, per_text(new, texts.ptr), 0)
             yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(best)), pa.array(share), pa.array(spans)], names=["doc_id", "lang_pred", "score", "n_spans"])
