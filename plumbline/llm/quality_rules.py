@@ -4,7 +4,8 @@ Base counts need no model. A document fails the base rules if it has fewer than
 words or more than a fifth of its words stand in five-word windows found twice or more in it.
 
 The model is a logistic regression over hashed word and character n-grams (words, word pairs,
-byte trigrams), each kind as shares of its own total, so that length plays no part. It is
+trigrams of code points, none across two texts), each kind as shares of its own total, so that
+length plays no part and a text's result doesn't depend on what it is read with. It is
 fitted on labelled rows, at most SAMPLE of them (those of the smallest hash of doc_id; their
 n-grams alone reach the driver), and its margin is calibrated by Platt's method on every
 fourth of them, which the weights don't see. Documents are scored in Arrow batches: kept if
@@ -29,12 +30,13 @@ from .kernel import Texts, blocks, covered, hash_spans, hash_windows, mix, per_t
 
 MIN_WORDS, MOST_REPEATED = 10, 20
 SAMPLE, KEEP, BITS = 4000, 0.5, 16
-KINDS = 3  # words, word pairs, byte trigrams
+KINDS = 3  # words, word pairs, trigrams of code points
 SCALE = 30.0
 CONTINUED = np.zeros(256, bool)
 CONTINUED[0x80:0xC0] = True
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
+ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]  # one for each place in a trigram
 
 
 def repeats_in_text(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,11 +75,27 @@ def ngrams(texts: Texts, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray
     pair = window_starts(texts.ptr, 2)
     pairs = hash_windows(words, pair, 2)
     pair_ptr = np.append(0, np.cumsum(np.maximum(texts.counts - 1, 0)))
-    d = texts.data.astype(np.uint32)
-    tri = (d[:-2] | d[1:-1] << np.uint32(8) | d[2:] << np.uint32(16)) if len(d) > 2 else d[:0]
-    tri = tri * np.uint32(2654435761) >> np.uint32(32 - BITS)  # those over an edge of texts are few and harmless: they go to the left one
-    tri_ptr = np.minimum(texts.offsets, len(tri))
-    return [((words >> shift).astype(np.int32), texts.ptr), ((pairs >> shift).astype(np.int32), pair_ptr), (tri.astype(np.int32), tri_ptr)]
+    chars, char_ptr = code_points(texts)
+    tri = window_starts(char_ptr, 3)
+    mixed = np.zeros(len(chars), np.uint64)
+    for k, odd in enumerate(ODD):
+        mixed[: max(0, len(chars) - 2)] ^= chars[k : len(chars) - 2 + k].astype(np.uint64) * np.uint64(odd)
+    tris = (mix(mixed[tri]) >> shift).astype(np.int32)
+    tri_ptr = np.append(0, np.cumsum(np.maximum(np.diff(char_ptr) - 2, 0)))
+    return [((words >> shift).astype(np.int32), texts.ptr), ((pairs >> shift).astype(np.int32), pair_ptr), (tris, tri_ptr)]
+
+
+def code_points(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each character as one number, and ptr by text."""
+    lead = ~CONTINUED[texts.data]
+    lead[texts.offsets[:-1][np.diff(texts.offsets) > 0]] = True
+    at = np.flatnonzero(lead)
+    size = np.diff(np.append(at, len(texts.data)))
+    data = np.append(texts.data, np.zeros(3, np.uint8))
+    chars = np.zeros(len(at), np.uint32)
+    for k in range(4):
+        chars |= np.where(size > k, data[at + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    return chars, np.searchsorted(at, texts.offsets)
 
 
 def margins(texts: Texts, words: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
