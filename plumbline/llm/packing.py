@@ -189,7 +189,8 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     whole = pieces.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
     rest = pieces.where(F.col("length") < size)
     groups = max(1, rest.count() // GROUP)
-    rest = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(groups)).cast("int"))
+    # by place in the written table: equal rows are dealt to all groups alike
+    rest = rest.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(unpack_order(table), kind="stable")
@@ -203,5 +204,5 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
 
 
 def unpack_order(table: pa.Table) -> np.ndarray:
-    """A fixed random order of a group's pieces, whatever order they arrive in."""
+    """A random order of a group's pieces by their ids; pieces of equal ids stay in the order they arrive in."""
     return table["ids_crc32"].to_numpy() * 2654435761 % 4294967291
