@@ -59,7 +59,7 @@ def plan(leaves: DataFrame, budget: Column | float, weights: DataFrame | None =
     for the nodes of a level by name. Windows run over nodes, never over documents.
     """
     leaves = leaves.where("tokens > 0").withColumn("capacity", F.col("tokens").cast("double") * max_epochs)
-    leaves = leaves.withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy(F.lit(0))))
+    leaves = leaves.withColumn("all_tokens", F.lit(leaves.agg(F.sum("tokens")).first()[0] or 0).cast("bigint"))
     keys: list[str] = []
     out = leaves.withColumn("budget", F.least(budget if isinstance(budget, Column) else F.lit(float(budget)), F.col("all_tokens") * F.lit(float(max_epochs))).cast("double"))
     for level in LEVELS:
