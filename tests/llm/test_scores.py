@@ -252,7 +252,9 @@ def test_model_learns_from_every_document(spark):
 def test_gathered_equals_counts_in_memory(spark):
     rng = np.random.default_rng(2)
     texts = [np.append(rng.integers(0, 9, rng.integers(0, 50)), 9).astype(np.uint16) for _ in range(150)]
-    df = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary").repartition(5)
+    block = lambda x, learn: (bytearray(np.concatenate(x).tobytes()), bytearray(np.array([len(t) for t in x], np.int32).tobytes()), bytearray(np.full(len(x), learn).tobytes()))
+    rows = [block(texts[i : i + 7], True) for i in range(0, 150, 7)] + [block(texts[:5], False)]
+    df = spark.createDataFrame(rows, lm_scoring.BLOCK_OF_IDS).repartition(5)
     symbol, inner, counts = lm_scoring.gathered(df, np.uint16, texts[:10], 10)
     stream, _ = lm_scoring.joined(texts)
     want = lm_scoring.symbols_of(np.bincount(stream, minlength=10))
@@ -260,6 +262,32 @@ def test_gathered_equals_counts_in_memory(spark):
     pairs = Counter((int(symbol[a]) if k else lm_scoring.SYMBOLS, int(symbol[b])) for t in texts for k, (a, b) in enumerate(zip(np.append(0, t), t)))
     got = counts.reshape(lm_scoring.SYMBOLS + 1, lm_scoring.SYMBOLS, lm_scoring.EXPERTS).sum(axis=2)
     assert {(a, b): int(got[a, b]) for a, b in zip(*np.nonzero(got))} == pairs
+    model = lm_scoring.trained(texts[:10], symbol, inner, counts)
+    before = model.q.copy()
+    after = lm_scoring.tuned(df, np.uint16, model)
+    assert after.q.shape == before.shape and not np.allclose(after.q, before)
+    assert np.linalg.norm(after.q, axis=1).max() <= lm_scoring.LONGEST + 1e-4
+
+
+def test_attention_beats_its_tables_and_the_base(docs):
+    held = queries.remainder("doc_id", 10) == 0
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    words = lm_scoring.subwords(TOKENS, pattern())
+    train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
+
+    def ids(texts):
+        t = Texts(pa.array(texts, pa.string()), lower=True)
+        out, n, *_ = words.of(t)
+        return lm_scoring.id_stream(out, n, t.ptr, words.size)
+
+    stream, edge = ids([t for i, t in rows if train(i)])
+    model = lm_scoring.fit([stream[a:b] for a, b in zip(edge[:-1], edge[1:])], words.size + 1)
+    stream, edge = ids([t for i, t in rows if not train(i)])
+    alone = lm_scoring.Model(**{**vars(model), "v": np.zeros_like(model.v)})
+    attended = model.scores(stream, edge).sum()
+    assert attended > alone.scores(stream, edge).sum()
+    got = lm_scoring.score(docs, ~held, TOKENS, pattern()).where(held).collect()
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
 # -- search ----------------------------------------------------------------------------------
