@@ -60,6 +60,8 @@ def run_folder(spark: SparkSession) -> str:
 
 
 _folders: set[str] = set()
+#: The writer looks at a page's and a row group's size after a few rows, as packed rows may hold a megabyte each; else it buffers a hundred of them.
+SMALL_PAGES = {"parquet.page.size.row.check.min": "2", "parquet.block.size.row.check.min": "2"}
 
 
 def settle(df: DataFrame, name: str = "part") -> DataFrame:
@@ -68,7 +70,7 @@ def settle(df: DataFrame, name: str = "part") -> DataFrame:
     Unlike a checkpoint this computes df once, and an executor's loss costs nothing after it.
     """
     path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**SMALL_PAGES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
