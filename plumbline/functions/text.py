@@ -50,12 +50,23 @@ def node_id(kind: str | Column, key: Column) -> Column:
 
 def safe_name(text: Column, most: int = 90, empty: str = "") -> Column:
     """ASCII letters and digits joined by _, at most ``most`` long. Common accents are folded."""
-    folded = F.translate(text, "áàâäãåçéèêëíìîïñóòôöõúùûüýÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyAAAAAACEEEEIIIINOOOOOUUUUY")
-    folded = F.regexp_replace(folded, "[’‘]", "")
+    folded = F.regexp_replace(_folded(text), "[’‘]", "")
     out = F.substring(F.regexp_replace(F.regexp_replace(folded, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""), 1, most)
     return F.when(out == "", F.lit(empty)).otherwise(out)
 
 
+def slug_candidates(name: Column, pinned: Column | None = None) -> Column:
+    """Host names an organisation may have, in order: the pinned one, words joined by hyphens, words run together, the first word."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(_folded(name)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    out = F.array(F.array_join(words, "-"), F.array_join(words, ""), F.coalesce(F.get(words, 0), F.lit("")))
+    out = out if pinned is None else F.concat(F.array(F.coalesce(pinned, F.lit(""))), out)
+    return F.array_distinct(F.filter(out, lambda w: w != ""))
+
+
+def _folded(text: Column) -> Column:
+    return F.translate(text, "áàâäãåçéèêëíìîïñóòôöõúùûüýÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyAAAAAACEEEEIIIINOOOOOUUUUY")
+
+
 def _first_of(rules: list[tuple[str, Column | str]], other: str, text: Column) -> Column:
     out = F.lit(other)
     for name, rule in reversed(rules):
@@ -113,6 +124,7 @@ def doc_title(text: Column, url: Column) -> Column:
     return F.when(~F.lower(t).isin(GENERIC) & (F.length(t) >= 4), t).otherwise(named)
 
 
+# Codes in front of titles, of sites and of vendors.
 SITE_CODE = r"^([A-Z]{1,6}(?:-[A-Z]{1,4})?-?[0-9]{1,4}[A-Za-z]?)(?:[\s:.,–-]|$)"
 VENDOR_CODE = r"^([A-Z]{2,6}[0-9]{1,4}[A-Za-z]?)\b\s*"
 
@@ -228,7 +240,9 @@ def subject(title: Column) -> Column:
 
 
 def age_on(birth: Column, on: Column) -> Column:
-    return F.floor(F.months_between(on, birth) / 12).cast("int")
+    """Whole years: one less while the birthday (month, day) is still to come in the year."""
+    ahead = (F.month(on) * 100 + F.day(on)) < (F.month(birth) * 100 + F.day(birth))
+    return (F.year(on) - F.year(birth) - ahead.cast("int")).cast("int")
 
 
 def tolerant_number(payload: Column, path: str) -> Column:

@@ -8,10 +8,13 @@ import math
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 Z = 1.96
+CALIPERS = (0.5, 0.25, 0.2, 0.1, 0.05)  # fixed values: what is tried
 
 
 def naive_effect(df: DataFrame, outcome: str, exposure: str) -> DataFrame:
@@ -61,7 +64,8 @@ def least_squares(df: DataFrame, outcome: str, terms: dict[str, Column], weight:
 
 
 def logistic(df: DataFrame, exposure: str, covariates: list[str], steps: int = 30) -> np.ndarray:
-    """Unpenalised maximum likelihood by Newton's method; one aggregation of fixed size a step."""
+    """Unpenalised maximum likelihood by Newton's method; one aggregation of fixed size a step. An error if it doesn't converge, as where a covariate parts the arms."""
+    df = settle(df.select(exposure, *covariates), "cases")
     scale = df.agg(*[F.avg(c).alias(f"m_{c}") for c in covariates], *[F.stddev_samp(c).alias(f"s_{c}") for c in covariates]).first()
     mean, sd = np.array([scale[f"m_{c}"] for c in covariates]), np.array([scale[f"s_{c}"] or 1.0 for c in covariates])
     x = [F.lit(1.0), *[(F.col(c) - float(m)) / float(s) for c, m, s in zip(covariates, mean, sd)]]
@@ -74,6 +78,9 @@ def logistic(df: DataFrame, exposure: str, covariates: list[str], steps: int = 3
         beta = beta + step
         if np.abs(step).max() < 1e-10:
             break
+    else:
+        if np.abs(step).max() > 1e-6:
+            raise ValueError("the logistic fit doesn't converge")
     slope = beta[1:] / sd
     return np.append(beta[0] - (slope * mean).sum(), slope)
 
@@ -131,61 +138,156 @@ def did(df: DataFrame, outcome: str, covariates: list[str] = (), cluster: str =
     return interval(fit["coef"]["both"], fit["se"]["both"]) | {"n": fit["n"]}
 
 
-def matched_with_replacement(df: DataFrame, exposure: str, key: str, score: str = "propensity", caliper: float = 0.2) -> DataFrame:
+def matched_with_replacement(df: DataFrame, exposure: str, key: str, score: str = "propensity", caliper: float = 0.2, mahalanobis: list[str] | None = None) -> DataFrame:
     """treated, control, gap: each treated row's nearest control within the caliper (in standard deviations of the score).
 
-    Scores are cut into buckets one caliper wide; a treated row meets only its bucket and the two beside it.
+    Near is by the score, or with ``mahalanobis`` by Mahalanobis distance of those covariates among the controls within the
+    caliper. Ties go to the smaller key.
     """
-    return _nearest(df, exposure, key, score, caliper * (df.agg(F.stddev_samp(score)).first()[0] or 1.0))
+    rows = settle(df.select(key, exposure, score, *(mahalanobis or [])), "rows")
+    width, ranges = _spread(rows, score, caliper)
+    return _nearest(rows, exposure, key, score, width, ranges) if mahalanobis is None else _nearest_within(rows, exposure, key, score, width, whitened(rows, mahalanobis))
 
 
-def matched_without_replacement(df: DataFrame, exposure: str, key: str, score: str = "propensity", caliper: float = 0.2) -> DataFrame:
+def matched_without_replacement(df: DataFrame, exposure: str, key: str, score: str = "propensity", caliper: float = 0.2, mahalanobis: list[str] | None = None) -> DataFrame:
     """The same, each control once. Rounds: every treated row names its nearest free control, every control takes its
-    nearest namer (larger score, then smaller key, wins ties); those matched leave. Unlike one sequential pass this needs
+    nearest namer (smaller gap, then smaller key, wins); those matched leave. Unlike one sequential pass this needs
     no order over all rows, and each round at least the closest pair is matched.
     """
-    from ..session import settle
-
-    taken, rest = None, settle(df.select(key, exposure, score))
-    sd = rest.agg(F.stddev_samp(score)).first()[0] or 1.0
+    taken, rest = None, settle(df.select(key, exposure, score, *(mahalanobis or [])), "rows")
+    width, ranges = _spread(rest, score, caliper)
+    white = whitened(rest, mahalanobis) if mahalanobis else None
     while True:
-        near = _nearest(rest, exposure, key, score, caliper * sd)
+        near = _nearest(rest, exposure, key, score, width, ranges) if white is None else _nearest_within(rest, exposure, key, score, width, white)
         new = near.groupBy("control").agg(F.min(F.struct("gap", "treated")).alias("m")).select(F.col("m.treated").alias("treated"), "control", F.col("m.gap").alias("gap"))
-        new = settle(new)
+        new = settle(new, "pairs")
         if new.isEmpty():
             return taken if taken is not None else new
         taken = new if taken is None else taken.unionByName(new)
         gone = new.select(F.explode(F.array("treated", "control")).alias(key))
-        rest = settle(rest.join(gone, key, "left_anti"))
+        rest = settle(rest.join(gone, key, "left_anti"), "rows")
 
 
-def _nearest(df: DataFrame, exposure: str, key: str, score: str, width: float) -> DataFrame:
-    """Each treated row's nearest control within a width."""
-    width = max(width, 1e-12)
-    bucket = F.floor(F.col(score) / width)
-    c = df.where(F.col(exposure) == 0).select(F.col(key).alias("control"), F.col(score).alias("_c"), bucket.alias("_b"))
-    t = df.where(F.col(exposure) == 1).select(F.col(key).alias("treated"), F.col(score).alias("_t"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("_b"))
-    near = t.join(c, "_b").withColumn("gap", F.abs(F.col("_t") - F.col("_c"))).where(F.col("gap") <= width)
-    return near.groupBy("treated").agg(F.min(F.struct("gap", "control")).alias("m")).select("treated", "m.control", "m.gap")
+EACH = 50_000  # rows of a range of scores
+
 
+def _spread(rows: DataFrame, score: str, caliper: float) -> tuple[float, int]:
+    """The caliper's width in units of the score, and how many ranges of scores to look in."""
+    sd, n = rows.agg(F.stddev_samp(score), F.count("*")).first()
+    return caliper * (sd or 1.0), max(1, -(-n // EACH))
 
-def psm(df: DataFrame, outcome: str, exposure: str, covariates: list[str], key: str, calipers: tuple[float, ...] = (0.5, 0.25, 0.2, 0.1, 0.05)) -> dict:
-    """Matched effect: the caliper with the smallest worst standardised difference; with replacement if controls are scarce."""
-    scored = trimmed(with_propensity(df, exposure, covariates), exposure)
+
+def _nearest(df: DataFrame, exposure: str, key: str, score: str, width: float, ranges: int) -> DataFrame:
+    """Each treated row's nearest control by score, if within a width.
+
+    Rows are parted by score into ranges of like size. In a range the last control before each treated row and the first one after
+    it are carried along; at a range's edges they come from the nearest range with a control, a row a range.
+    """
+    bounds: list[float] = []
+    if ranges > 1:
+        found = df.agg(F.percentile_approx(score, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 10_000)).first()[0]
+        bounds = sorted({float(x) for x in found or []})
+    inner = F.array(*[F.lit(x) for x in bounds]).cast("array<double>")
+    rows = df.select(F.col(key).alias("_k"), (F.col(exposure) == 0).alias("_c"), F.col(score).cast("double").alias("_s")).withColumn("_r", F.size(F.filter(inner, lambda x: x < F.col("_s"))))
+    place = F.struct(F.col("_s").alias("s"), F.col("_k").alias("k"))
+    own = F.when(F.col("_c"), place)
+    # of equal scores controls stand before treated rows, the smallest key last; going down likewise
+    up = Window.partitionBy("_r").orderBy(F.col("_s"), F.desc("_c"), F.desc("_k"))
+    down = Window.partitionBy("_r").orderBy(F.desc("_s"), F.desc("_c"), F.desc("_k"))
+    t = rows.withColumn("_lo", F.last(own, True).over(up)).withColumn("_hi", F.last(own, True).over(down)).where("not _c")
+    if bounds:
+        ends = rows.where("_c").groupBy("_r").agg(F.min(place).alias("first"), F.max("_s").alias("_top"))
+        top = rows.where("_c").join(ends.select("_r", "_top"), "_r").where(F.col("_s") == F.col("_top")).groupBy("_r").agg(F.struct(F.max("_s").alias("s"), F.min("_k").alias("k")).alias("last"))
+        every = df.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("_r")).join(ends.select("_r", "first"), "_r", "left").join(top, "_r", "left")
+        before, after = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_r").rowsBetween(1, Window.unboundedFollowing)
+        edges = every.select("_r", F.last("last", True).over(before).alias("_below"), F.first("first", True).over(after).alias("_above"))
+        t = t.join(F.broadcast(edges), "_r").withColumn("_lo", F.coalesce("_lo", "_below")).withColumn("_hi", F.coalesce("_hi", "_above"))  # a row a range
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_s") - F.col(c)["s"]).alias("gap"), F.col(c)["k"].alias("control")))
+    near = F.array_min(F.filter(F.array(gap("_lo"), gap("_hi")), lambda x: x.isNotNull()))
+    return t.select(F.col("_k").alias("treated"), near.alias("m")).where(F.col("m.gap") <= width).select("treated", "m.control", "m.gap")
+
+
+def whitened(df: DataFrame, covariates: list[str]) -> tuple[list[str], np.ndarray]:
+    """Covariates and what turns them into coordinates in which Mahalanobis distance is plain distance (pooled covariance)."""
+    k = len(covariates)
+    r = df.agg(*[F.covar_samp(covariates[i], covariates[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(k)]).first()
+    c = np.array([[r[f"c{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
+    values, vectors = np.linalg.eigh(c)
+    return covariates, vectors / np.sqrt(np.where(values > 1e-12, values, np.inf))
+
+
+SIDE = 2048  # rows of either arm that meet in one group
+
+
+def _nearest_within(df: DataFrame, exposure: str, key: str, score: str, width: float, white: tuple[list[str], np.ndarray]) -> DataFrame:
+    """Each treated row's nearest control in whitened covariates, among those within a width of its score.
+
+    Scores are cut into buckets one width wide; a treated row meets the controls of its own bucket and the two beside it, in chunks
+    of SIDE rows of either arm, so that no group grows with a bucket.
+    """
+    names, w = white
+    width = max(width, 1e-12)
+    at = F.array(*[reduce(lambda a, b: a + b, [F.col(c).cast("double") * float(w[i, j]) for i, c in enumerate(names)]) for j in range(w.shape[1])])
+    rows = df.select(F.col(key).alias("k"), (F.col(exposure) == 0).alias("c"), F.col(score).cast("double").alias("s"), at.alias("x")).withColumn("b", F.floor(F.col("s") / width))
+    size = rows.groupBy("b").agg(F.count_if("c").alias("nc"), F.count_if(~F.col("c")).alias("nt"))
+    chunks = size.select("b", F.ceil(F.col("nc") / SIDE).cast("int").alias("pc"), F.ceil(F.col("nt") / SIDE).cast("int").alias("pt"))
+    spread = lambda n: F.pmod(F.xxhash64("k"), F.greatest(n, F.lit(1))).cast("int")
+    own = rows.join(chunks, "b")
+    theirs = chunks.select(F.col("b").alias("tb"), "pc", "pt")
+    # a group: bucket of the treated rows, their chunk, bucket of the controls, their chunk
+    t = own.where("not c").select("k", "s", "x", F.lit(False).alias("c"), F.col("b").alias("tb"), spread(F.col("pt")).alias("tp"), F.explode(F.sequence(F.col("b") - 1, F.col("b") + 1)).alias("cb"))
+    t = t.join(chunks.select(F.col("b").alias("cb"), F.col("pc").alias("n")).where("n > 0"), "cb").withColumn("cp", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    c = own.where("c").select("k", "s", "x", F.lit(True).alias("c"), F.col("b").alias("cb"), spread(F.col("pc")).alias("cp"), F.explode(F.sequence(F.col("b") - 1, F.col("b") + 1)).alias("tb"))
+    c = c.join(theirs.select("tb", F.col("pt").alias("n")).where("n > 0"), "tb").withColumn("tp", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(frame):
+        import pandas as pd
+
+        a, b = frame[~frame.c], frame[frame.c].sort_values("k")
+        out = pd.DataFrame({"treated": a.k.iloc[:0], "control": a.k.iloc[:0], "gap": np.zeros(0)})
+        if not len(a) or not len(b):
+            return out
+        xa, xb = np.stack(a.x.to_numpy()), np.stack(b.x.to_numpy())
+        far = np.sqrt(((xa[:, None, :] - xb[None, :, :]) ** 2).sum(axis=2)) if len(a) * len(b) * xa.shape[1] < 1 << 24 else np.concatenate([np.sqrt(((xa[i : i + 64, None, :] - xb[None]) ** 2).sum(axis=2)) for i in range(0, len(a), 64)])
+        far[np.abs(a.s.to_numpy()[:, None] - b.s.to_numpy()[None, :]) > width] = np.inf
+        best = far.argmin(axis=1)
+        gap = far[np.arange(len(a)), best]
+        ok = np.isfinite(gap)
+        return pd.DataFrame({"treated": a.k.to_numpy()[ok], "control": b.k.to_numpy()[best[ok]], "gap": gap[ok]})
+
+    found = t.unionByName(c).groupBy("tb", "tp", "cb", "cp").applyInPandas(run, f"treated {kind}, control {kind}, gap double")
+    return found.groupBy("treated").agg(F.min(F.struct("gap", "control")).alias("m")).select("treated", "m.control", "m.gap")
+
+
+def psm(df: DataFrame, outcome: str, exposure: str, covariates: list[str], key: str, calipers: tuple[float, ...] = CALIPERS) -> dict:
+    """Matched effect: of nearest matches by score, and by Mahalanobis distance within the caliper, each at several calipers, the one with
+    the smallest worst standardised difference; with replacement if controls are scarce. Errors are CR1 by matched pair, else of the model.
+    """
+    scored = settle(trimmed(with_propensity(df.select(key, outcome, exposure, *covariates), exposure, covariates), exposure), "scored")
     n = scored.agg(F.count_if(F.col(exposure) == 1).alias("t"), F.count_if(F.col(exposure) == 0).alias("c")).first()
     again = n["t"] > 0.8 * n["c"]
-    best = None
-    for caliper in calipers:
-        pairs = (matched_with_replacement if again else matched_without_replacement)(scored, exposure, key, caliper=caliper)
-        w = pairs.select(F.col("treated").alias(key), F.lit(1.0).alias("_m")).unionByName(pairs.groupBy(F.col("control").alias(key)).agg(F.count("*").cast("double").alias("_m")))
-        m = scored.join(w, key)
-        worst = standardised_differences(m, exposure, covariates + ["propensity"], F.col("_m"), scored).agg(F.max(F.abs("smd"))).first()[0]
-        if worst is not None and (best is None or worst < best["worst"]):
-            fit = least_squares(m, outcome, {exposure: F.col(exposure)}, F.col("_m"))
-            best = interval(fit["coef"][exposure], fit["se"][exposure]) | {"worst": worst, "caliper": caliper, "replacement": again, "n": fit["n"]}
+    best, match = None, matched_with_replacement if again else matched_without_replacement
+    for near in (None, covariates):
+        for caliper in calipers:
+            pairs = settle(match(scored, exposure, key, caliper=caliper, mahalanobis=near), "pairs")
+            m, worst = balance(scored, pairs, exposure, key, covariates)
+            if worst is not None and (best is None or worst < best["worst"]):
+                best = {"worst": worst, "caliper": caliper, "mahalanobis": near is not None, "pairs": pairs, "matched": m}
     if best is None:
         raise ValueError("no caliper gave a match")
-    return best
+    m, pairs = settle(best.pop("matched"), "matched"), best.pop("pairs")
+    group = pairs.select(F.col("treated").alias(key), F.col("control").alias("_pair")).unionByName(pairs.select(F.col("control").alias(key), F.col("control").alias("_pair")).distinct())
+    fit = least_squares(m.join(group, key), outcome, {exposure: F.col(exposure)}, F.col("_m"), cluster="_pair")
+    counts = m.agg(F.count("*").alias("n"), F.count_if(F.col(exposure) == 1).alias("t")).first()
+    return interval(fit["coef"][exposure], fit["se"][exposure]) | best | {"replacement": again, "n": counts["n"], "n_treated": counts["t"], "n_unmatched": n["t"] - counts["t"], "covariates": list(covariates)}
+
+
+def balance(scored: DataFrame, pairs: DataFrame, exposure: str, key: str, covariates: list[str]) -> tuple[DataFrame, float | None]:
+    """The matched rows with their weight ``_m`` (a control's: how many it stands for), and the worst standardised difference, the score's included."""
+    w = pairs.select(F.col("treated").alias(key), F.lit(1.0).alias("_m")).unionByName(pairs.groupBy(F.col("control").alias(key)).agg(F.count("*").cast("double").alias("_m")))
+    m = scored.join(w, key)
+    return m, standardised_differences(m, exposure, [*covariates, "propensity"], F.col("_m"), scored).agg(F.max(F.abs("smd"))).first()[0]
 
 
 def roi(low: float, high: float, cases: float, rate: float, cost: float) -> dict:
@@ -195,6 +297,14 @@ def roi(low: float, high: float, cases: float, rate: float, cost: float) -> dict
     return {"saved": saved, "net": net, "ratio": [(n + cost) / cost for n in net] if cost else None, "break_even": cost / (cases * rate) if cases * rate else None, "crosses_zero": net[0] < 0 < net[1]}
 
 
+def roi_columns(low: Column, high: Column, cases: float, rate: float, cost: float) -> dict[str, Column]:
+    """roi() of intervals that are columns: saved_low, saved_high, net_low, net_high, ratio_low, ratio_high, crosses_zero."""
+    saved = F.least(-low, -high), F.greatest(-low, -high)
+    net = [s * cases * rate - cost for s in saved]
+    ratio = [(n + cost) / F.nullif(F.lit(float(cost)), F.lit(0.0)) for n in net]
+    return {"saved_low": saved[0], "saved_high": saved[1], "net_low": net[0], "net_high": net[1], "ratio_low": ratio[0], "ratio_high": ratio[1], "crosses_zero": (net[0] < 0) & (net[1] > 0)}
+
+
 def zscore(df: DataFrame, column: str, name: str) -> DataFrame:
     s = df.agg(F.avg(column).alias("_a"), F.stddev_samp(column).alias("_s"))
     return df.crossJoin(F.broadcast(s)).withColumn(name, (F.col(column) - F.col("_a")) / F.nullif("_s", F.lit(0.0))).drop("_a", "_s")  # one row

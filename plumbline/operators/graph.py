@@ -289,30 +289,40 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 2, types: list[st
 
 
 def _forest(batches):
-    """Within each partition, up to half a million nodes at a time: a link from every node to the smallest it reaches there."""
+    """Within each partition, up to a million links at a time: a link from every node to the smallest it reaches there."""
+    import numpy as np
     import pyarrow as pa
 
-    root: dict = {}
+    def thinned(u: pa.ChunkedArray, v: pa.ChunkedArray) -> pa.RecordBatch:
+        names = pa.chunked_array([*u.chunks, *v.chunks]).unique().sort()  # numbers in the order of the names
+        at = lambda x: pa.compute.index_in(x.combine_chunks(), value_set=names).to_numpy()
+        a, b, label = at(u), at(v), np.arange(len(names))
+        while True:
+            low = np.minimum(label[a], label[b])
+            before = label.copy()
+            np.minimum.at(label, label[a], low)
+            np.minimum.at(label, label[b], low)
+            label = label[label]
+            if np.array_equal(before, label):
+                break
+        far = np.flatnonzero(label != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(far)), names.take(pa.array(label[far]))], names=["u", "v"])
 
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    import pyarrow.compute  # noqa: F401
 
-    schema = None
+    u, v, n = [], [], 0
     for b in batches:
-        schema = b.schema
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            root.setdefault(u, u)
-            root.setdefault(v, v)
-            p, q = find(u), find(v)
-            root[max(p, q)] = min(p, q)
-        if len(root) > 500_000:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in root if find(x) != x], schema.types[0]), pa.array([find(x) for x in root if find(x) != x], schema.types[0])], names=["u", "v"])
-            root.clear()
-    if root:
-        yield pa.RecordBatch.from_arrays([pa.array([x for x in root if find(x) != x], schema.types[0]), pa.array([find(x) for x in root if find(x) != x], schema.types[0])], names=["u", "v"])
+        u.append(b.column(0))
+        v.append(b.column(1))
+        n += b.num_rows
+        if n >= 1_000_000:
+            star = thinned(pa.chunked_array(u), pa.chunked_array(v))
+            u, v, n = [star.column(0)], [star.column(1)], star.num_rows
+            if n >= 500_000:
+                yield star
+                u, v, n = [], [], 0
+    if n:
+        yield thinned(pa.chunked_array(u), pa.chunked_array(v))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -372,6 +382,13 @@ def shortcut_candidates(similar: DataFrame, pairs: DataFrame, least_hops: int =
     return similar.join(close, ["a", "b"], "left_anti")
 
 
+def with_hops(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """candidates (a, b, sim) with ``hops`` between their ends, null where they don't reach each other."""
+    starts = candidates.select(F.col("a").alias("start"), F.col("a").alias("id")).distinct()
+    far = distances(pairs, starts).select(F.col("start").alias("a"), F.col("id").alias("b"), "hops")
+    return candidates.join(far, ["a", "b"], "left")
+
+
 def bridging(metrics: dict, edges: int, p: float | None = None) -> tuple[float, float, int]:
     """Bridging cost, the share of edges aimed at, and the budget of shortcuts."""
     cost = (metrics["components"] - 1) / max(edges, 1)

@@ -225,5 +225,96 @@ def readiness(cases: DataFrame, required: list[str], known_limits: list[str] = (
     return {"satisfiable": message == "satisfiable", "defects": defects, "limits": limits, "cases": row["_n"], "actors": actors, "message": message}
 
 
+def chained(events: DataFrame, by: str, none: str = "") -> DataFrame:
+    """events (FIELDS but prev_hash, and seq) with prev_hash and hash: a chain for each value of ``by``, in the order of seq.
+
+    A chain is a fold over its events, so each is made in one task; ledgers are many and each is a case's.
+    """
+    body = F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit(none if f == "supersedes" else "")) for f in FIELDS[1:]])
+    runs = events.withColumn("_body", body).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "_body"))).alias("x"))
+    step = lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), F.lit("\x1f"), x["_body"]), 256)))
+    all_hashes = F.aggregate("x", F.array(F.lit("")), step)
+    links = runs.select(F.explode(F.arrays_zip(F.col("x.seq").alias("seq"), F.slice(all_hashes, 1, F.size("x")).alias("prev_hash"), F.slice(all_hashes, 2, F.size("x")).alias("hash"))).alias("z"))
+    return events.join(links.select("z.seq", "z.prev_hash", "z.hash"), "seq")
+
+
+class Ledger:
+    """A durable ledger in a folder that all its users share: one file an event, created under its number only if no other writer took it."""
+
+    EACH = 1000  # events in a folder
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+        self._fs = self._at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._at(path))
+
+    def _at(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _names(self, path: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._at(path)))
+
+    def last(self) -> dict | None:
+        """The newest event; only the newest folder is listed."""
+        for folder in reversed(self._names(self.path)):
+            if names := self._names(f"{self.path}/{folder}"):
+                return json.loads(self.spark.read.text(f"{self.path}/{folder}/{names[-1]}", wholetext=True).first()[0])
+        return None
+
+    def append(self, event: dict, conflicts: int = 0, tries: int = 5) -> dict:
+        """Checks, chains and writes an event; if another writer was faster it is chained anew to what that one wrote."""
+        for k in range(tries):
+            e = appended(self.last(), event, conflicts)
+            try:
+                out = self._fs.create(self._at(f"{self.path}/{e['seq'] // self.EACH:09d}/{e['seq']:012d}.json"), False)
+            except Exception:  # noqa: BLE001  the number is taken
+                if k + 1 == tries:
+                    raise
+                continue
+            out.write(bytearray(json.dumps(e).encode()))
+            out.close()
+            return e
+        raise Refused("no number was free")
+
+    def events(self, case_id: str | None = None) -> DataFrame:
+        """All events in order, or those of one case."""
+        e = self.spark.read.schema(LEDGER).option("recursiveFileLookup", "true").json(self.path)
+        return (e if case_id is None else e.where(F.col("case_id") == case_id)).orderBy("seq")
+
+
+def queue_at_arrival(events: DataFrame) -> DataFrame:
+    """case_id, opened_at, queue: cases open when each arrived, itself among them, less those disposed of by then. Sums by day first, then within a day."""
+    first = events.groupBy("case_id").agg(F.min(F.when(F.col("event_type") == "case.created", F.col("occurred_at"))).alias("o"), F.min(F.when(F.col("event_type") == "disposition.recorded", F.col("occurred_at"))).alias("c")).where("o is not null")
+    up = first.select("case_id", F.col("o").alias("t"), F.lit(1).alias("d"))
+    down = first.where("c is not null").select("case_id", F.greatest("o", "c").alias("t"), F.lit(-1).alias("d"))
+    moves = up.unionByName(down).withColumn("day", F.to_date("t"))
+    days = moves.groupBy("day").agg(F.sum("d").alias("n"))
+    before = days.withColumn("before", F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).drop("n")  # a row a day
+    within = F.sum("d").over(Window.partitionBy("day").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return moves.withColumn("w", within).where("d = 1").join(before, "day").select("case_id", F.col("t").alias("opened_at"), (F.col("before") + F.col("w")).cast("bigint").alias("queue"))
+
+
+def arrival_fraction(cases: DataFrame, at: str = "opened_at") -> DataFrame:
+    """cases with ``fraction``: how far into the whole span each arrived, from 0 to 1."""
+    us = F.unix_micros(at)
+    span = cases.agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"))
+    return cases.crossJoin(F.broadcast(span)).withColumn("fraction", (us - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))).drop("_lo", "_hi")  # one row
+
+
+def prior_decisions(events: DataFrame) -> DataFrame:
+    """case_id, event_id, actor, occurred_at of attested prior decisions, for display."""
+    return current(events).where("event_type = 'prior_decision.attested'").select("case_id", "event_id", "actor", "occurred_at")
+
+
+def open_gates(status: DataFrame) -> DataFrame:
+    """Gates still to be answered: neither met nor the classification."""
+    return status.where("status <> 'met' and gate_id <> 'CLASSIFY'")
+
+
+def classified(events: DataFrame) -> DataFrame:
+    """case_id of cases whose classification an operator has confirmed."""
+    return current(events).where("event_type = 'operator.confirmed' and gate_id = 'CLASSIFY'").select("case_id").distinct()
+
+
 def with_iso(events: DataFrame) -> DataFrame:
     return events.withColumn("occurred_at_iso", iso_ms(F.col("occurred_at")))

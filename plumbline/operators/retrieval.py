@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+BLOCK = 4096  # vectors of a side that are multiplied together
 
 
 def times(text: Column, word: str) -> Column:
@@ -132,12 +133,13 @@ def vector_top(vectors: DataFrame, query: list[float], key: str, top: int = 8, w
     return best.orderBy(F.desc("score"), "vec_id").limit(top).select(key, "vec_id", "score")
 
 
-def similar_pairs(vectors: DataFrame, plan: str, least: float = 0.55, per_doc: int = 3, vector: str = "embedding", blocks: int = 16) -> DataFrame:
-    """a, b, sim: for each vector its best ``per_doc`` later ones of other plans with cosine >= least.
+def similar_pairs(vectors: DataFrame, plan: str, least: float = 0.55, per_doc: int = 3, vector: str = "embedding", blocks: int | None = None) -> DataFrame:
+    """a, b, sim: for each vector its best ``per_doc`` later ones of other plans with cosine >= least, by sim to nine digits, then by b.
 
-    All pairs are asked for, so they are formed block by block: block x meets block y >= x in one
-    group, of bounded size if blocks follow the input, and is multiplied there as matrices.
+    All pairs are asked for, so they are formed block by block: block x meets block y >= x in one group of two times
+    BLOCK vectors at most about, whatever the input's size, and is multiplied there as matrices. The work grows with the square of the vectors.
     """
+    blocks = blocks or max(1, -(-vectors.count() // BLOCK))
     good = vectors.where(finite(F.col(vector))).select(F.col("vec_id").alias("id"), F.col(plan).alias("plan"), unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("k"))
     left = good.withColumn("x", F.col("k")).withColumn("y", F.explode(F.sequence(F.col("k"), F.lit(blocks - 1)))).withColumn("side", F.lit(0))
     right = good.withColumn("y", F.col("k")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("side", F.lit(1))
@@ -160,7 +162,7 @@ def similar_pairs(vectors: DataFrame, plan: str, least: float = 0.55, per_doc: i
             keep = (x < y) if key[0] == key[1] else np.ones(len(x), bool)
             out.append(pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "sim": s[r, c][keep]}))
         both = pd.concat(out)
-        both = both.sort_values(["a", "sim", "b"], ascending=[True, False, True])
+        both = both.assign(r=both.sim.round(9)).sort_values(["a", "r", "b"], ascending=[True, False, True]).drop(columns="r")
         return both.groupby("a").head(per_doc)
 
     found = left.unionByName(right).groupBy("x", "y").applyInPandas(run, "a bigint, b bigint, sim double")

@@ -103,24 +103,78 @@ def ask(question: str, chunks: DataFrame, model: Callable[[str, list[dict]], str
     return {"refused": False, "answer": answer, "passages": rows, "unverified": check["unverified"], "uncited": check["uncited"]}
 
 
-def interpretation(found: dict, outcome: str = "hours to resolution") -> str:
-    """A reading of run_analysis() by a fixed text."""
+def interpretation(found: dict, outcome: str = "hours", true_effect: float | None = None) -> str:
+    """A reading of run_analysis() by a fixed text: what was compared, the unadjusted difference, each adjusted effect with its interval, and what it rests on."""
     if found.get("withheld"):
         why = found.get("preconditions", {}).get("failed") or [found["ready"]["message"]]
         return f"The estimate is withheld: {', '.join(why)}."
+    m, did = found["estimates"]["psm"], found["estimates"].get("did")
+    span = lambda e: f"{e['estimate']:+.1f} {outcome} ({e['low']:.1f} to {e['high']:.1f}, p {e['p']:.3f})"
+    lines = [f"Cases: {found['ready']['cases']}.", f"Unadjusted difference: {found['naive']:+.1f} {outcome}."]
+    how = f"nearest match{' with replacement' if m['replacement'] else ''}, caliper {m['caliper']:g}{', Mahalanobis within it' if m['mahalanobis'] else ''}"
+    lines.append(f"Adjusted effect by {how}: {span(m)}; the interval {'covers' if m['low'] < 0 < m['high'] else 'excludes'} zero.")
+    lines.append(f"Matched: {m['n']} cases, worst standardised difference {m['worst']:.3f}; {m['n_unmatched']} exposed cases found no match.")
+    lines.append(f"Adjusted for {', '.join(m['covariates'])}, as the diagram asks.")
+    if did is not None:
+        lines.append(f"Difference in differences: {span(did)}.")
+    flag = flags(found, true_effect)
+    if flag["signs_differ"]:
+        lines.append("The unadjusted difference has the other sign.")
+    if true_effect is not None:
+        lines.append(f"The true effect of {true_effect:+.1f} is {'within' if flag['recovered'] else 'outside'} the interval.")
+    return "\n".join(lines)
+
+
+def flags(found: dict, true_effect: float | None = None) -> dict:
+    """signs_differ: unadjusted and adjusted effect point apart; recovered: the interval holds the true effect (null without one)."""
     m = found["estimates"]["psm"]
-    zero = "the interval covers zero" if m["low"] < 0 < m["high"] else "the interval excludes zero"
-    signs = "; the unadjusted difference has the other sign" if found["naive"] * m["estimate"] < 0 else ""
-    return f"Adjusted effect on {outcome}: {m['estimate']:.1f} ({m['low']:.1f} to {m['high']:.1f}); {zero}{signs}."
+    return {"signs_differ": found["naive"] * m["estimate"] < 0, "recovered": None if true_effect is None else m["low"] <= true_effect <= m["high"]}
 
 
 def intake(cases: DataFrame, events: DataFrame) -> DataFrame:
-    """cases (case_id, at, complexity, expedited, tenure, sdoh) with their opening payload: the queue's length when they came, and their own fields."""
-    queue = ledger.backlog(events, "hour").select(F.col("at").alias("hour"), "open")
-    hour = cases.withColumn("hour", F.date_trunc("hour", "at"))
-    last = hour.join(queue, "hour", "left")
-    body = F.struct("complexity", "expedited", F.coalesce("open", F.lit(0)).alias("backlog"), "tenure", "sdoh")
-    return last.select(*cases.columns, F.to_json(body).alias("payload"))
+    """cases (case_id, complexity, expedited, tenure, sdoh) with their opening payload: the queue that each met on arrival, and its own fields."""
+    met = cases.join(ledger.queue_at_arrival(events).select("case_id", "queue"), "case_id", "left")
+    body = F.struct("complexity", "expedited", F.coalesce("queue", F.lit(0)).alias("backlog"), "tenure", "sdoh")
+    return met.select(*cases.columns, F.to_json(body).alias("payload"))
+
+
+def augment(edges: DataFrame, similar: DataFrame, least_hops: int = 4, share: float | None = None) -> tuple[DataFrame, dict]:
+    """edges with shortcuts anew, and what it did: bridging cost, budget, components, reach and mean path before and after."""
+    pairs = graph.undirected(edges.where("relationship_type <> 'shortcut'"), graph.SEMANTIC)
+    before = topology(pairs)
+    cost, p, budget = graph.bridging(before, before["edges"], share)
+    found = graph.with_hops(graph.shortcut_candidates(similar, pairs, least_hops), pairs)
+    out = graph.augmented(edges, found, budget)
+    return out, {"cost": cost, "share": p, "budget": budget, "before": before, "after": topology(graph.undirected(out, graph.SEMANTIC))}
+
+
+def topology(pairs: DataFrame) -> dict:
+    """edges, clustering, mean_path, components, largest, reach."""
+    c, m, r = graph.clustering(pairs).first(), graph.mean_path(pairs).first(), graph.reachable_share(graph.components(pairs)).first()
+    return {"edges": pairs.count(), "clustering": c["clustering"], "mean_path": m["mean_path"], "components": r["components"], "largest": r["largest"], "reach": r["reach"]}
+
+
+def html_page(view: DataFrame, title: str, path: str, least: int = 2, first: int = 1990, last: int = 2030) -> None:
+    """A page that holds the rows of graph_view() as data and shows chains of some length whose head is within years; one file without outside parts."""
+    import json
+    from html import escape
+
+    parts: dict[str, list] = {}
+    for r in view.collect():  # a view's lists are for display: pairs and reach have a top, chains are a row a head
+        parts.setdefault(r["part"], []).append(json.loads(r["json"]))
+    data = json.dumps(parts, sort_keys=True).replace("<", "\\u003c")
+    script = (
+        "const view=JSON.parse(document.getElementById('data').textContent);const span=[%d,%d];"
+        "const year=k=>{const m=/(\\d\\d)-\\d\\d\\d/.exec(k);return m?(+m[1]>=90?1900:2000)+ +m[1]:null};"
+        "const list=document.getElementById('chains');"
+        "for(const c of view.chains||[]){const y=year(c.head);if(c.length>=%d&&(y===null||y>=span[0]&&y<=span[1])){const li=document.createElement('li');li.textContent=c.path;list.append(li)}}"
+    ) % (first, last, least)
+    body = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><ol id='chains'></ol><script type='application/json' id='data'>{data}</script><script>{script}</script></body></html>"
+    spark = view.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = there.getFileSystem(spark._jsc.hadoopConfiguration()).create(there, True)
+    out.write(bytearray(body.encode()))
+    out.close()
 
 
 def gaps(needed: DataFrame, answered: DataFrame, key: str = "id") -> DataFrame:

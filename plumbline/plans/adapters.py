@@ -61,7 +61,35 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), F.concat(F.lit("e"), F.col("event_id")).alias("event_id"), F.col("user_id").alias("case_id"), F.col("ts").cast("timestamp").alias("occurred_at"), names[F.col("event_type")].alias("event_type"), "value", F.col("props").alias("payload"))
 
 
+def letters(spark: SparkSession, d: str) -> DataFrame:
+    """k, one, two, s: texts that name letters in the ways people write them, a row a part."""
+    p = table(spark, d, "part")
+    one = F.concat(F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("p_size") * 7).cast("string"), 3, "0"))
+    two = F.concat(F.lpad((F.col("p_partkey") * 3 % 100).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("p_size") + 400).cast("string"), 3, "0"))
+    x = p.select(F.col("p_partkey").alias("k"), one.alias("one"), two.alias("two"), "p_name")
+    ways = [f.replace("{1}", "', one, '").replace("{2}", "', two, '").replace("{n}", "', p_name, '") for f in WAYS]
+    cases = " ".join(f"WHEN {i} THEN concat('{w}')" for i, w in enumerate(ways))
+    return x.withColumn("s", F.expr(f"CASE CAST(k % {len(WAYS)} AS INT) {cases} END"))
+
+
+#: {1} and {2}: letter ids; {n}: a part's name. And what should be read from each.
+WAYS = {
+    "APL {1}": [1], "apl{1}": [1], "memo on APL  {1} (final {n})": [1], "APL {1} and APLs {2}, 31-407": [1, 2, "31-407"], "Policy 6{1} on {n}": [], "APL {1}8": [1],
+    "APLs {1} & {2} and Letters 97-115": [1, 2], "the {n} of {1}": [], "{n} only": [], "APL {2}, APL {1}": [2, 1],
+}
+
+
+def ways_sql() -> tuple[str, str]:
+    """SQL for the text of a row of letters, and for the list of ids to be read from it."""
+    text = " ".join(f"WHEN {i} THEN '" + w.replace("{1}", "' || one || '").replace("{2}", "' || two || '").replace("{n}", "' || p_name || '") + "'" for i, w in enumerate(WAYS))
+    name = {1: "one", 2: "two"}
+    ids = " ".join(f"WHEN {i} THEN [" + ", ".join(name.get(x, f"'{x}'") for x in found) + "]::VARCHAR[]" for i, found in enumerate(WAYS.values()))
+    return f"CASE k % {len(WAYS)} {text} END", f"CASE k % {len(WAYS)} {ids} END"
+
+
 SQL = {
+    "letters": """letters AS (SELECT *, {0} AS s, {1} AS ids FROM (SELECT p_partkey AS k, lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(p_size * 7 AS VARCHAR), 3, '0') AS one,
+  lpad(CAST(p_partkey * 3 % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(p_size + 400 AS VARCHAR), 3, '0') AS two, p_name FROM part))""".format(*ways_sql()),
     "nodes": """nodes AS (
   SELECT 'plan:' || n_nationkey AS id, 'plan' AS kind, CAST(n_nationkey AS VARCHAR) AS plan_id, n_name AS label FROM nation
   UNION ALL SELECT 'department:' || r_regionkey, 'department', '', r_name FROM region

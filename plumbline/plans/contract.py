@@ -17,8 +17,12 @@ REGISTRY_KEYS = ["plan_id", "name", "domain", "tier", "fetcher"]
 
 
 def load_contract(path: str) -> dict:
+    return parse_contract(Path(path).read_text())
+
+
+def parse_contract(text: str) -> dict:
     """A contract whose sections are all there and whose diagram has edges."""
-    spec = yaml.safe_load(Path(path).read_text())
+    spec = yaml.safe_load(text)
     missing = [s for s in SECTIONS if s not in spec]
     if missing:
         raise ValueError(f"contract lacks {', '.join(missing)}")
@@ -32,7 +36,12 @@ def diagram(spec: dict) -> tuple[tuple[str, str], ...]:
 
 
 def load_registry(path: str) -> dict[str, dict]:
-    plans = yaml.safe_load(Path(path).read_text())["plans"]
+    return parse_registry(Path(path).read_text())
+
+
+def parse_registry(text: str) -> dict[str, dict]:
+    """Entries by plan_id; a missing key or a plan_id met twice is an error."""
+    plans = yaml.safe_load(text)["plans"]
     out: dict[str, dict] = {}
     for p in plans:
         missing = [k for k in REGISTRY_KEYS if k not in p]
@@ -57,7 +66,12 @@ def fetchable(registry: dict[str, dict], fetchers: set[str], plans: list[str] |
 
 
 def reporting_lines(spark: SparkSession, path: str) -> DataFrame:
-    chart = yaml.safe_load(Path(path).read_text())["reports_to"]
+    return parse_reporting_lines(spark, Path(path).read_text())
+
+
+def parse_reporting_lines(spark: SparkSession, text: str) -> DataFrame:
+    """person, boss from a chart; people without a boss have no row."""
+    chart = yaml.safe_load(text)["reports_to"]
     return spark.createDataFrame([(k, v) for k, v in chart.items() if v], "person string, boss string")
 
 
@@ -70,7 +84,7 @@ def preconditions(balance: float | None, ratio: float, most_balance: float = 0.1
     return {"met": not failed, "failed": failed}
 
 
-def run_analysis(cases: DataFrame, edges: tuple, outcome: str, exposure: str, key: str, required: list[str], costs: dict, true_effect: float | None = None, limits: list[str] = ()) -> dict:
+def run_analysis(cases: DataFrame, edges: tuple, outcome: str, exposure: str, key: str, required: list[str], costs: dict, true_effect: float | None = None, limits: list[str] = (), calipers: tuple[float, ...] = causal.CALIPERS) -> dict:
     """Readiness, then all estimators on the diagram's adjustment set, then preconditions; the effect is withheld if they fail."""
     ready = readiness(cases, required, limits)
     if not ready["satisfiable"]:
@@ -78,7 +92,7 @@ def run_analysis(cases: DataFrame, edges: tuple, outcome: str, exposure: str, ke
     covariates = [c for c in adjustment_set(edges, exposure, outcome) if c in cases.columns]
     scored = causal.with_propensity(cases, exposure, covariates)
     lap = causal.overlap(scored, exposure).first()
-    found = {"psm": causal.psm(cases, outcome, exposure, covariates, key), "iptw": causal.iptw(cases, outcome, exposure, covariates), "did": causal.did(cases, outcome, covariates)}
+    found = {"psm": causal.psm(cases, outcome, exposure, covariates, key, calipers), "iptw": causal.iptw(cases, outcome, exposure, covariates), "did": causal.did(cases, outcome, covariates)}
     met = preconditions(found["psm"]["worst"], lap["ratio"])
     out = {"ready": ready, "covariates": covariates, "preconditions": met, "withheld": not met["met"], "naive": causal.naive_effect(cases, outcome, exposure).first()["effect"]}
     if met["met"]:
@@ -104,3 +118,39 @@ def passport_controls(catalog: DataFrame, baseline: str, additions: DataFrame, i
 
 def passport_summary(controls: DataFrame) -> DataFrame:
     return controls.groupBy("origin").agg(F.count("*").alias("controls"), F.sum("n_params").alias("params"))
+
+
+def passport(controls: DataFrame, needed: DataFrame, answered: DataFrame, bound: DataFrame, spec: str, artifact: bytes | None = None) -> dict:
+    """counts, open parameters, unbound controls and hashes of an instrument's passport.
+
+    controls: as passport_controls() gives; needed, answered: id of parameters; bound: id of controls with evidence;
+    spec: the text it was made from; artifact: what it describes.
+    """
+    import hashlib
+
+    by = {r["origin"].split(":")[0]: r["controls"] for r in passport_summary(controls).collect()}  # three origins
+    ids = controls.select("id").distinct()
+    n, a = needed.select("id").distinct(), answered.select("id").distinct()
+    total = sum(by.values())
+    with_evidence = ids.join(bound.select("id").distinct(), "id", "left_semi").count()
+    counts = {
+        "total": total, "baseline": by.get("baseline", 0), "additions": by.get("addition", 0), "inherited": by.get("inherited", 0),
+        "params_needed": n.count(), "params_answered": n.join(a, "id", "left_semi").count(), "evidence_bound": with_evidence, "evidence_unbound": total - with_evidence,
+    }
+    return {
+        "counts": counts, "open_parameters": n.join(a, "id", "left_anti"), "unbound_controls": ids.join(bound.select("id"), "id", "left_anti"),
+        "spec_sha256": hashlib.sha256(spec.encode()).hexdigest(), "artifact_sha256": hashlib.sha256(artifact).hexdigest() if artifact is not None else None,
+    }
+
+
+def passport_text(found: dict, name: str, version: str, baseline: str) -> str:
+    """A passport to read."""
+    c = found["counts"]
+    lines = [
+        f"Passport of {name} {version}, baseline {baseline}",
+        f"spec {found['spec_sha256'][:16]}, artifact {found['artifact_sha256'][:16] if found['artifact_sha256'] else 'not bound'}",
+        f"{c['total']} controls: {c['baseline']} of the baseline, {c['additions']} added, {c['inherited']} inherited",
+        f"{c['params_answered']} of {c['params_needed']} parameters answered",
+        f"{c['evidence_bound']} controls with evidence, {c['evidence_unbound']} without",
+    ]
+    return "\n".join(lines)

@@ -17,6 +17,7 @@ from .plans import contract, dag
 from .session import run_folder, settle, table
 from .ship import ship
 from .sources import catalog
+from .streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,9 +259,6 @@ def null_model(spark, d):
 
 # -- text ------------------------------------------------------------------------------------
 
-LETTER_TEXTS = ["APL 26-014", "apl26-002", "see APL  19-001 (revised)", "APL 22-013 and APLs 00-012, 18-022", "Policy 600-1017 applies", "APL 26-0145", "APLs 00-012 & 98-006 and Policy Letters 97-001", "", "APL 22_030", "no letters 26-014"]
-
-
 def literal(spark, column: str, values: list[str]) -> DataFrame:
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"k int, {column} string")
 
@@ -270,44 +268,49 @@ def values_sql(column: str, values: list[str]) -> str:
     return f"t(k, {column}) AS (VALUES {rows})"
 
 
-RUN = X.LETTER_RUN
-IDS_SQL = f"""list_transform(flatten(list_transform(regexp_extract_all(s, '{RUN}', 1), lambda r: regexp_extract_all(r, '{X.LETTER_ID}'))), lambda i: regexp_replace(regexp_replace(i, '\\s', '', 'g'), '^(\\d\\d)[^0-9]?(\\d\\d\\d)$', '\\1-\\2'))"""
+@query("f01_letter_ids", V("letters") + " SELECT DISTINCT k, unnest(ids) AS id FROM letters")
+def letter_ids(spark, d):
+    return A.letters(spark, d).select("k", F.explode(X.letter_ids(F.col("s"))).alias("id"))
 
 
-@query("f01_letter_ids", "WITH " + values_sql("s", LETTER_TEXTS) + f""",
-x AS (SELECT k, {IDS_SQL} AS ids FROM t)
-SELECT DISTINCT k, unnest(ids) AS id FROM x""")
-def letter_ids(spark, d):
-    return literal(spark, "s", LETTER_TEXTS).select("k", F.explode(X.letter_ids(F.col("s"))).alias("id"))
+#: What the default prefilter passes of A.WAYS: a singular followed by an id with a plain hyphen.
+PASSED = "(0, 1, 2, 3, 5, 9)"
 
 
-@query("g04_implements_mined", "WITH " + values_sql("s", LETTER_TEXTS) + f""",
-hits AS (SELECT source AS plan_id, doc_id, k, {IDS_SQL} AS ids FROM documents, t WHERE doc_id % 10 = k AND regexp_matches(s, '{X.PREFILTER}')),
-each AS (SELECT DISTINCT plan_id, doc_id, unnest(ids) AS id FROM hits)
-SELECT 'doc:' || plan_id || '/all' AS source, 'apl:' || id AS target, CAST(count(*) AS DOUBLE) AS weight FROM each GROUP BY 1, 2""")
+@query("g04_implements_mined", V("letters") + f""", hits AS (SELECT source AS plan_id, lang, doc_id, ids FROM documents JOIN letters ON k = doc_id WHERE k % 10 IN {PASSED} AND text IS NOT NULL),
+each AS (SELECT DISTINCT plan_id, lang, doc_id, unnest(ids) AS id FROM hits)
+SELECT 'doc:' || plan_id || '/' || lang AS source, 'apl:' || id AS target, CAST(count(*) AS DOUBLE) AS weight FROM each GROUP BY 1, 2""")
 def implements_mined(spark, d):
-    texts = literal(spark, "s", LETTER_TEXTS)
-    chunks = table(spark, d, "documents").join(F.broadcast(texts), F.col("doc_id") % 10 == F.col("k")).select(F.col("source").alias("plan_id"), F.lit("all").alias("filename"), F.col("s").alias("text"))
-    return graph.mined_edges(chunks).select("source", "target", "weight")
+    # the tables' prose names no letters: each document gets a sentence with some in front of its whole text
+    docs = table(spark, d, "documents").join(A.letters(spark, d), F.col("doc_id") == F.col("k"))
+    return graph.mined_edges(docs.select(F.col("source").alias("plan_id"), F.col("lang").alias("filename"), F.concat("s", F.lit(".\n"), "text").alias("text"))).select("source", "target", "weight")
 
 
-SUPERSEDING = ["APL 26-001: Initial Health (Supersedes APL 22-030)", "APL 00-006 Superseded by APL 14-017", "APL 20-001 Supersedes APL 19-001 and 18-022; superseded by APL 24-002", "APL 21-011 Grievances"]
+SUPERSEDING = {  # how a title says what it replaces, and the edges (newer, older) in it: ids one and two, and a third
+    "APL {1}: {n} (Supersedes APL {2})": [(1, 2)], "APL {1} {n} superseded by APL {2}": [(2, 1)], "APL {1} {n}": [],
+    "APL {1} Supersedes APL {2} and 88-613; superseded by APL 45-214": [("45-214", 1), (1, 2), (1, "88-613")],
+}
 
 
-@query("g03_supersede_edges", "SELECT * FROM (VALUES ('apl:26-001', 'apl:22-030', 3.0::DOUBLE), ('apl:14-017', 'apl:00-006', 3.0), ('apl:24-002', 'apl:20-001', 3.0), ('apl:20-001', 'apl:19-001', 3.0), ('apl:20-001', 'apl:18-022', 3.0)) t(source, target, weight)")
-def supersede_edges(spark, d):
-    cat = literal(spark, "title", SUPERSEDING).select(F.lit("apl").alias("doc_kind"), F.lit("").alias("policy_number"), "title")
-    return graph.supersede_edges(cat).select("source", "target", "weight")
+def _superseding_sql() -> str:
+    name = lambda x: {1: "one", 2: "two"}.get(x, f"'{x}'")
+    rows = " ".join(f"WHEN {i} THEN [" + ", ".join(f"{{'a': {name(a)}, 'b': {name(b)}}}" for a, b in e) + "]" for i, e in enumerate(SUPERSEDING.values()) if e)
+    return V("letters") + f", e AS (SELECT unnest(CASE k % 4 {rows} ELSE [] END) AS e FROM letters) SELECT 'apl:' || e.a AS source, 'apl:' || e.b AS target, 3.0::DOUBLE AS weight FROM e WHERE e.a <> e.b"
 
 
-NAMED = ["APL 26-001|APL 26-001: Initial Health", "UM01|Utilization Review", "|Only a title", "CO-01| co-01 lower "]
+@query("g03_supersede_edges", _superseding_sql())
+def supersede_edges(spark, d):
+    ways = " ".join(f"WHEN {i} THEN concat('" + w.replace("{1}", "', one, '").replace("{2}", "', two, '").replace("{n}", "', p_name, '") + "')" for i, w in enumerate(SUPERSEDING))
+    cat = A.letters(spark, d).select(F.lit("apl").alias("doc_kind"), F.lit("").alias("policy_number"), F.expr(f"CASE CAST(k % 4 AS INT) {ways} END").alias("title"))
+    return graph.supersede_edges(cat).select("source", "target", "weight")
 
 
-@query("f04_labels", "WITH " + values_sql("s", NAMED) + """, p AS (SELECT k, trim(split_part(s, '|', 1)) AS n, trim(split_part(s, '|', 2)) AS t FROM t)
-SELECT k, CASE WHEN n = '' OR starts_with(lower(t), lower(n)) THEN t ELSE trim(n || ' ' || t) END AS label FROM p""")
+@query("f04_labels", """SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN p_brand || ' ' || p_name WHEN 1 THEN p_brand || ' ' || p_name WHEN 2 THEN p_name ELSE upper(p_brand) || ': ' || p_name END AS label FROM part""")
 def labels(spark, d):
-    part = lambda n: F.split_part("s", F.lit("|"), F.lit(n))
-    return literal(spark, "s", NAMED).select("k", X.label(part(1), part(2)).alias("label"))
+    p = table(spark, d, "part").withColumn("m", F.col("p_partkey") % 4)
+    number = F.when(F.col("m") == 2, F.lit("  ")).when(F.col("m") == 0, F.concat(F.lit(" "), "p_brand", F.lit("\t"))).otherwise(F.col("p_brand"))
+    title = F.when(F.col("m") == 1, F.concat("p_brand", F.lit(" "), "p_name")).when(F.col("m") == 3, F.concat(F.upper("p_brand"), F.lit(": "), "p_name")).otherwise(F.concat("p_name", F.lit(" ")))
+    return p.select(F.col("p_partkey").alias("k"), X.label(number, title).alias("label"))
 
 
 @query("f06_safe_names", "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, substr(regexp_replace(regexp_replace(p_name || ' & ' || p_type, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 90) AS name FROM part")
@@ -315,17 +318,17 @@ def safe_names(spark, d):
     return table(spark, d, "part").select("p_partkey", X.safe_name(F.concat("p_name", F.lit(" & "), "p_type")).alias("name"))
 
 
-LINKS = [
-    "https://x.org/um-policies/UM01.pdf|UM01 Utilization Policy", "https://x.org/a/formulary-2024.pdf|Download", "https://x.org/provider-manual.pdf|Provider Manual", "https://x.org/docs/appeal%20form.pdf|here",
-    "https://x.org/rx/list.pdf|Drug List", "https://x.org/n/bulletin.pdf|Spring Bulletin", "https://x.org/cred/credentialing.pdf|CR-12 Credentialing", "https://x.org/quality/qm38.pdf|QM38 Quality",
-    "https://x.org/claims_guide.pdf|Claims checklist", "https://x.org/member_handbook_en.pdf|English",
-]
-LINK_SQL = "WITH " + values_sql("s", LINKS) + ", p AS (SELECT k, split_part(s, '|', 1) AS url, split_part(s, '|', 2) AS txt FROM t) "
+#: Addresses and words of links: folder, name and text by a part's number; {n}: its name with spaces as escapes or as they are.
+FOLDERS = ["um-rules", "rx", "credential-files", "qm-plans", "claims", "guidelines", "library"]
+FILES = ["{n}.pdf", "{n}%20form.pdf", "formulary-{n}.PDF", "ops%20guide-{n}.pdf", "{n}_handbook.pdf", "manual-{n}.pdf"]
+WORDS = ["{n} rules", "Download", "here", "AB-12 {n}", "QX7: {n} list", "Weekly bulletin {n}", "Checklist for {n}", "View »", "CDE9 {n} »", "Drug list {n}", "eoc"]
+_PICK = lambda xs, key: "CASE CAST(" + key + f" % {len(xs)} AS INT) " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(xs)) + " END"
+LINK_EXPR = ("'https://site' || (p_size % 5) || '.example/' || " + _PICK(FOLDERS, "p_size") + " || '/' || replace(" + _PICK(FILES, "p_partkey") + ", '{n}', replace(p_name, ' ', '%20'))", "replace(" + _PICK(WORDS, "p_partkey") + ", '{n}', p_name)")
+LINK_SQL = f"WITH p AS (SELECT p_partkey AS k, {LINK_EXPR[0]} AS url, {LINK_EXPR[1]} AS txt FROM part) "
 
 
-def links(spark) -> DataFrame:
-    part = lambda n: F.split_part("s", F.lit("|"), F.lit(n))
-    return literal(spark, "s", LINKS).select("k", part(1).alias("url"), part(2).alias("txt"))
+def links(spark, d) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.expr(LINK_EXPR[0]).alias("url"), F.expr(LINK_EXPR[1]).alias("txt"))
 
 
 def case_sql(rules, other: str, subject: str) -> str:
@@ -334,27 +337,39 @@ def case_sql(rules, other: str, subject: str) -> str:
 
 @query("f08_doc_kind", LINK_SQL + "SELECT k, " + case_sql(X.KINDS, "'policy'", "lower(txt || ' ' || url_decode(url))") + " AS kind FROM p")
 def doc_kind(spark, d):
-    return links(spark).select("k", X.doc_kind(F.col("url"), F.col("txt")).alias("kind"))
+    return links(spark, d).select("k", X.doc_kind(F.col("url"), F.col("txt")).alias("kind"))
 
 
 @query("f09_department", LINK_SQL + "SELECT k, " + case_sql(X.DEPARTMENTS, "CASE WHEN contains(lower(url), 'manual') THEN 'Provider Manual' ELSE 'Provider Resources' END", "lower(url || ' ' || txt)") + " AS department FROM p")
 def department(spark, d):
-    return links(spark).select("k", X.department(F.col("url"), F.col("txt")).alias("department"))
+    return links(spark, d).select("k", X.department(F.col("url"), F.col("txt")).alias("department"))
 
 
-CODES = ["CO-01 Compliance", "QM38 Quality", "PS-CR03 Credentialing", "2026 Updates", "APL 26-014 Letter", "UM01", "HS-001: Title", "lower case", "CMP45 Administrative", "MPCP2007  Complex"]
+#: A code's form and what should be read from it as a site's and as a vendor's code, {m}: a number below a thousand.
+CODES = {
+    "AB-{m} {n}": ("AB-{m}", ""), "QZ{m} {n}": ("QZ{m}", "QZ{m}"), "RS-TU{m}: {n}": ("RS-TU{m}", ""), "{m} {n}": ("", ""), "VWX{m}  {n}": ("VWX{m}", "VWX{m}"), "APL {m}-014 {n}": ("", ""),
+    "lower{m} {n}": ("", ""), "KL{m}b, {n}": ("KL{m}b", "KL{m}b"),
+}
 
 
-@query("f10_codes", "WITH " + values_sql("s", CODES) + f""" SELECT k, regexp_extract(s, '{X.SITE_CODE}', 1) AS site, regexp_extract(s, '{X.VENDOR_CODE}', 1) AS vendor, regexp_replace(s, '{X.VENDOR_CODE}', '') AS rest FROM t""")
+def _codes_sql() -> str:
+    put = lambda w: "'" + w.replace("{m}", "' || m || '").replace("{n}", "' || p_name || '") + "'"
+    pick = lambda xs: f"CASE k % {len(CODES)} " + " ".join(f"WHEN {i} THEN {put(x)}" for i, x in enumerate(xs)) + " END"
+    rest = [w.replace(v, "", 1).lstrip(" ") if v else w for w, (_, v) in CODES.items()]
+    return f"SELECT k, {pick([s for s, _ in CODES.values()])} AS site, {pick([v for _, v in CODES.values()])} AS vendor, {pick(rest)} AS rest FROM (SELECT p_partkey AS k, p_name, p_partkey % 1000 AS m FROM part)"
+
+
+@query("f10_codes", _codes_sql())
 def codes(spark, d):
+    ways = " ".join(f"WHEN {i} THEN concat('" + w.replace("{m}", "', p_partkey % 1000, '").replace("{n}", "', p_name, '") + "')" for i, w in enumerate(CODES))
     s = F.col("s")
-    return literal(spark, "s", CODES).select("k", X.site_code(s).alias("site"), X.vendor_code(s).alias("vendor"), X.vendor_title(s).alias("rest"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.expr(f"CASE CAST(p_partkey % {len(CODES)} AS INT) {ways} END").alias("s")).select("k", X.site_code(s).alias("site"), X.vendor_code(s).alias("vendor"), X.vendor_title(s).alias("rest"))
 
 
-@query("f07_titles", LINK_SQL + f"""SELECT k, CASE WHEN lower(txt) NOT IN ({", ".join(f"'{g}'" for g in X.GENERIC)}) AND length(txt) >= 4 THEN txt
-ELSE regexp_replace(regexp_replace(url_decode(regexp_extract(url, '([^/]*)$', 1)), '\\.[A-Za-z0-9]+$', ''), '_|-', ' ', 'g') END AS title FROM p""")
+@query("f07_titles", LINK_SQL + f""", t AS (SELECT k, url, trim(regexp_replace(txt, '[»]+\\s*$', '')) AS txt FROM p) SELECT k, CASE WHEN lower(txt) NOT IN ({", ".join(f"'{g}'" for g in X.GENERIC)}) AND length(txt) >= 4 THEN txt
+ELSE regexp_replace(regexp_replace(url_decode(regexp_extract(url, '([^/]*)$', 1)), '\\.[A-Za-z0-9]+$', ''), '_|-', ' ', 'g') END AS title FROM t""")
 def doc_titles(spark, d):
-    return links(spark).select("k", X.doc_title(F.col("txt"), F.col("url")).alias("title"))
+    return links(spark, d).select("k", X.doc_title(F.col("txt"), F.col("url")).alias("title"))
 
 
 @query("f14_years", """SELECT p_partkey, CAST(CASE WHEN yy >= 90 THEN 1900 + yy ELSE 2000 + yy END AS INTEGER) AS year, CAST(CASE WHEN yy <= 26 THEN 2000 + yy ELSE 0 END AS INTEGER) AS replaced FROM (SELECT p_partkey, p_partkey % 100 AS yy FROM part)""")
@@ -363,12 +378,11 @@ def years(spark, d):
     return table(spark, d, "part").select("p_partkey", X.letter_year(key).alias("year"), F.coalesce(X.replacement_year(key), F.lit(0)).alias("replaced"))
 
 
-CLOCKS = ["5 calendar days", "30 calendar days", "72 hours", "at intake", "within 24 Hours", ""]
-
-
-@query("f15_clock_seconds", "WITH " + values_sql("s", CLOCKS) + """ SELECT k, TRY_CAST(regexp_extract(s, '(\\d+)', 1) AS DOUBLE) * CASE WHEN contains(lower(s), 'hour') THEN 3600.0 ELSE 86400.0 END AS seconds FROM t""")
+@query("f15_clock_seconds", """SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN p_size * 86400.0::DOUBLE WHEN 1 THEN p_size * 3600.0::DOUBLE WHEN 2 THEN p_size * 3600.0::DOUBLE WHEN 3 THEN NULL ELSE p_size * 86400.0::DOUBLE END AS seconds FROM part""")
 def clock_seconds(spark, d):
-    return literal(spark, "s", CLOCKS).select("k", X.clock_seconds(F.col("s")).alias("seconds"))
+    ways = ["concat(p_size, ' calendar days')", "concat('within ', p_size, ' Hours')", "concat(p_size, ' hours of ', p_size + 1)", "concat('at ', p_name)", "concat('in ', p_size, ' or 9 days')"]
+    s = F.expr("CASE CAST(p_partkey % 5 AS INT) " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(ways)) + " END")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), X.clock_seconds(s).alias("seconds"))
 
 
 ROBOTS = "User-agent: bad\nDisallow: /\n\nUser-agent: a\nUser-agent: *\nDisallow: /fr/8  # comment\nDisallow: /*?page=2\nDisallow:\nAllow: /x\n\nUser-agent: other\nDisallow: /en"
@@ -535,24 +549,35 @@ def shortcut_candidates(spark, d):
 # -- ledger ----------------------------------------------------------------------------------
 
 
-def chained(spark, d) -> DataFrame:
-    """The events as a ledger for each case, hashed one to the next."""
+def fields(spark, d) -> DataFrame:
+    """The events with all fields of a digest as strings; a case's events are its ledger."""
     e = ledger.with_iso(A.ledger(spark, d)).withColumn("case_id", F.col("case_id").cast("string"))
-    for f in ledger.FIELDS:
-        if f not in e.columns and f != "prev_hash":
+    for f in ledger.FIELDS[1:]:
+        if f not in e.columns:
             e = e.withColumn(f, F.lit("NA" if f == "supersedes" else None).cast("string"))
-    body = F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in ledger.FIELDS[1:]])
-    runs = e.withColumn("body", body).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("x"))  # one user's events
-    step = lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.element_at(acc, -1), F.lit("")), F.lit("\x1f"), x["body"]), 256)))
-    hashes = runs.select("case_id", F.arrays_zip("x", F.slice(F.aggregate("x", F.array(F.lit("")), step), 2, 10_000_000).alias("h")).alias("z")).select("case_id", F.explode("z").alias("z")).select(F.col("z.x.seq").alias("seq"), F.col("z.h").alias("hash"))
-    from pyspark.sql import Window
+    return e
+
 
-    return e.join(hashes, "seq").withColumn("prev_hash", F.lag("hash", 1, "").over(Window.partitionBy("case_id").orderBy("seq")))
+DIGEST = """sha256(concat_ws(chr(31), {prev}, 'e' || event_id, CAST(user_id AS VARCHAR), '', strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), '', '',
+CASE event_type WHEN 'signup' THEN 'case.created' WHEN 'view' THEN 'evidence.retrieved' WHEN 'click' THEN 'assistance.requested' WHEN 'purchase' THEN 'disposition.recorded' WHEN 'error' THEN 'correction.recorded' END, '', '', '', '', props, 'NA'))"""
+CHAIN_SQL = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+chain AS (SELECT user_id, n, event_id, '' AS prev_hash, {DIGEST.format(prev="''")} AS hash FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.n, e.event_id, c.hash, {DIGEST.format(prev="c.hash").replace("user_id", "e.user_id").replace("event_id", "e.event_id")} FROM chain c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1) """
 
 
-@query("l02_hash_chain_verify", "SELECT CAST(user_id AS VARCHAR) AS case_id, true AS ok, count(*) AS n FROM events GROUP BY 1")
+@query("w03_chained_events", CHAIN_SQL + "SELECT event_id AS seq, prev_hash, hash FROM chain")
+def chained_events(spark, d):
+    return ledger.chained(fields(spark, d), "case_id").select("seq", "prev_hash", "hash")
+
+
+@query("l02_hash_chain_verify", """WITH e AS (SELECT event_id AS seq, user_id, event_id % 89 = 5 AS gone, event_id % 97 = 3 AS changed FROM events),
+kept AS (SELECT *, lag(gone, 1, false) OVER (PARTITION BY user_id ORDER BY seq) AS after_gone FROM e),
+bad AS (SELECT user_id, seq, CASE WHEN after_gone THEN 'link' WHEN changed THEN 'digest' END AS why FROM kept WHERE NOT gone)
+SELECT CAST(user_id AS VARCHAR) AS case_id, count(why) = 0 AS ok, count(*) AS n, min(seq) FILTER (WHERE why IS NOT NULL) AS broken_at, arg_min(why, seq) FILTER (WHERE why IS NOT NULL) AS why FROM bad GROUP BY 1""")
 def hash_chain_verify(spark, d):
-    return ledger.verify(chained(spark, d), by=F.col("case_id")).select(F.col("ledger").alias("case_id"), "ok", "n")
+    # some events are taken out of the ledgers and some are changed after they were chained
+    e = ledger.chained(fields(spark, d), "case_id").where("seq % 89 <> 5").withColumn("payload", F.when(F.col("seq") % 97 == 3, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
+    return ledger.verify(e, none="NA", by=F.col("case_id")).select(F.col("ledger").alias("case_id"), "ok", "n", "broken_at", "why")
 
 
 @query("f26_event_digest", """SELECT event_id AS seq, sha256(concat_ws(chr(31), '', 'e' || event_id, CAST(user_id AS VARCHAR), '', strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), '', '',
@@ -662,20 +687,39 @@ def json_payload(spark, d):
     return A.ledger(spark, d).select("seq", X.tolerant_number(F.col("payload"), "$.k").alias("k"))
 
 
-ANSWERS = ["See APL 21-011 page 6 and page 7; apl 22-013 page 2.", "page 3 alone, then APL 21-011", "Nothing cited.", "APL 21-011, page 9"]
+#: Answers about letters one and two of a part, shown as (letter, page): one on pages 3 and 5; what they cite, how much of it isn't shown, and whether nothing counts.
+ANSWERS = {
+    "See APL {1} page 3 and page 5; apl {2} page 4.": (3, 1), "page 3 alone, then APL {1}": (0, 0), "Nothing of {n}.": (0, 0), "APL {1}, page 9": (1, 1), "APL {1} page 3, page 3": (1, 0),
+}
+
+
+def _answers_sql() -> str:
+    pick = lambda i: f"CASE k % {len(ANSWERS)} " + " ".join(f"WHEN {j} THEN {v[i]}" for j, v in enumerate(ANSWERS.values())) + " END"
+    shown = "'APL ' || one || '#' || p"
+    cited = "CASE k % 5 " + " ".join(f"WHEN {j} THEN {x}" for j, x in enumerate(["['APL ' || one || '#3', 'APL ' || one || '#5', 'APL ' || two || '#4']", "[]", "[]", "['APL ' || one || '#9']", "['APL ' || one || '#3']"])) + " END"
+    return V("letters") + f""", shown AS (SELECT DISTINCT {shown} AS c FROM letters, (VALUES (3), (5)) v(p)), cited AS (SELECT DISTINCT k, unnest({cited}) AS c FROM letters)
+SELECT k AS id, count(cited.c) AS cited, count(cited.c) FILTER (WHERE cited.c NOT IN (SELECT c FROM shown)) AS unverified, count(cited.c) = 0 AS uncited FROM letters LEFT JOIN cited USING (k) GROUP BY 1"""
 
 
-@query("f21_citation_tokens", "SELECT * FROM (VALUES (0, 3::BIGINT, 1::BIGINT, false), (1, 0, 0, true), (2, 0, 0, true), (3, 1, 1, false)) t(id, cited, unverified, uncited)")
+@query("f21_citation_tokens", _answers_sql())
 def citation_tokens(spark, d):
-    answers = literal(spark, "answer", ANSWERS).withColumnRenamed("k", "id")
-    shown = spark.createDataFrame([("APL 21-011", 6), ("APL 21-011", 7)], "policy_number string, page int")
+    ways = " ".join(f"WHEN {i} THEN concat('" + w.replace("{1}", "', one, '").replace("{2}", "', two, '").replace("{n}", "', p_name, '") + "')" for i, w in enumerate(ANSWERS))
+    letters = A.letters(spark, d)
+    answers = letters.select(F.col("k").alias("id"), F.expr(f"CASE CAST(k % {len(ANSWERS)} AS INT) {ways} END").alias("answer"))
+    shown = letters.select(F.concat(F.lit("APL "), "one").alias("policy_number"), F.explode(F.array(F.lit(3), F.lit(5))).alias("page"))
     return retrieval.verified_citations(answers, shown)
 
 
-@query("f20_determination_guard", "SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, true), (4, false), (5, true)) t(k, refused)")
+QUESTIONS = {  # what is asked about a part, and whether it asks for a determination
+    "Should I uphold the {n}?": True, "Whats the right disposition of {n}": False, "What is the right disposition of {n}": True, "How many days to acknowledge {n}?": False, "is this case of {n} likely expedited": True,
+    "what does the letter say on {n}": False, "tell me how to decide {n}": True, "OVERTURN THIS {n}": True,
+}
+
+
+@query("f20_determination_guard", f"SELECT p_partkey AS k, p_partkey % {len(QUESTIONS)} IN ({', '.join(str(i) for i, v in enumerate(QUESTIONS.values()) if v)}) AS refused FROM part")
 def determination_guard(spark, d):
-    asked = ["Should I uphold this?", "What's the right disposition", "How many days to acknowledge?", "is this case likely expedited", "what does the letter say", "tell me how to decide"]
-    return literal(spark, "q", asked).select("k", X.asks_determination(F.col("q")).alias("refused"))
+    ways = " ".join(f"WHEN {i} THEN concat('" + w.replace("{n}", "', p_name, '") + "')" for i, w in enumerate(QUESTIONS))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), X.asks_determination(F.expr(f"CASE CAST(p_partkey % {len(QUESTIONS)} AS INT) {ways} END")).alias("refused"))
 
 
 # -- causal ----------------------------------------------------------------------------------
@@ -755,10 +799,12 @@ def psm(spark, d):
     return pairs.agg(F.count("*").alias("matched"), F.countDistinct("control").alias("controls"), F.max("gap").alias("worst_gap"))
 
 
-@query("c15_roi", "SELECT * FROM (VALUES (true, round(2.0 * 4200 * 62 - 90000, 6)::DOUBLE, round(14.5 * 4200 * 62 - 90000, 6)::DOUBLE, false)) t(known, low, high, crosses_zero)")
+@query("c15_roi", """WITH i AS (SELECT s_suppkey AS id, -s_acctbal / 1000 AS low, -s_acctbal / 1000 + s_nationkey / 4.0 AS high FROM supplier)
+SELECT id, round(-high * 420 * 62 - 9000, 4) + 0.0 AS net_low, round(-low * 420 * 62 - 9000, 4) + 0.0 AS net_high, -high * 420 * 62 - 9000 < 0 AND -low * 420 * 62 - 9000 > 0 AS crosses_zero FROM i""")
 def roi(spark, d):
-    r = causal.roi(-14.5, -2.0, 4200, 62, 90000)
-    return spark.createDataFrame([(True, round(r["net"][0], 6), round(r["net"][1], 6), r["crosses_zero"])], "known boolean, low double, high double, crosses_zero boolean")
+    i = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (-F.col("s_acctbal") / 1000).alias("low"), (-F.col("s_acctbal") / 1000 + F.col("s_nationkey") / 4.0).alias("high"))
+    r = causal.roi_columns(F.col("low"), F.col("high"), 420, 62, 9000)
+    return i.select("id", (F.round(r["net_low"], 4) + 0.0).alias("net_low"), (F.round(r["net_high"], 4) + 0.0).alias("net_high"), r["crosses_zero"].alias("crosses_zero"))
 
 
 #: The diagram of the measurement contract.
@@ -796,14 +842,18 @@ def graph_view(spark, d):
 
 @query("m01_stream_counts", V("ledger") + " SELECT strftime(date_trunc('day', occurred_at), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM ledger GROUP BY 1, 2")
 def stream_counts(spark, d):
-    import uuid
+    folder, e = staged(spark, A.ledger(spark, d))
+    s = streams.counts_by_window(streams.event_stream(spark, f"{folder}/in", e.schema))
+    return streams.replayed(s, folder, "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
 
-    from .streaming import events as streams
+def staged(spark, e: DataFrame) -> tuple[str, DataFrame]:
+    """A folder whose ``in`` holds the events as files to be read as a stream."""
+    import uuid
 
     folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
-    e = A.ledger(spark, d)
     e.write.parquet(f"{folder}/in")
-    s = streams.counts_by_window(streams.event_stream(spark, f"{folder}/in", e.schema))
-    name = f"counts_{uuid.uuid4().hex}"
-    s.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return folder, e
+
+
+from . import queries_more, queries_sources  # noqa: E402, F401  they add to QUERIES and SQL

@@ -34,11 +34,12 @@ def rows(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON catalog; an empty typed frame where there is none."""
+    """A JSON catalog, one file with a list or a folder of lines; an empty typed frame where there is none."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(there):
         return spark.createDataFrame([], SCHEMA)
-    return repaired(spark.read.schema(SCHEMA).json(path, multiLine=True))
+    return repaired(spark.read.schema(SCHEMA).json(path, multiLine=not fs.getFileStatus(there).isDirectory()))
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import age_on
+
 BUNDLE = (
     "struct<entry:array<struct<resource:struct<resourceType:string,id:string,birthDate:string,gender:string,code:struct<text:string,coding:array<struct<display:string>>>,clinicalStatus:struct<coding:array<struct<code:string>>>>>>>"
 )
@@ -24,7 +26,7 @@ def cohort(bundles: DataFrame, social: list[str], urgent: list[str], on: str, js
     n = lambda kind: F.size(F.filter("r", lambda x: x["resourceType"] == kind))
     shown = F.transform(F.filter("r", lambda x: x["resourceType"] == "Condition"), lambda x: F.lower(F.coalesce(x["code"]["text"], F.get(x["code"]["coding"], 0)["display"], F.lit(""))))
     any_of = lambda words, s: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(s, w))
-    age = F.floor(F.months_between(F.to_date(F.lit(on)), F.to_date("p.birthDate")) / 12).cast("int")
+    age = age_on(F.to_date("p.birthDate"), F.to_date(F.lit(on)))
     return b.withColumn("p", patient).where("p is not null").select(
         F.col("p.id").alias("member_id"), age.alias("age"), F.col("p.gender").alias("gender"), n("Condition").alias("conditions"), n("Encounter").alias("encounters"), n("Claim").alias("claims"),
         n("MedicationRequest").alias("medications"), F.size(F.filter(shown, lambda s: any_of(social, s))).alias("sdoh_flags"), F.exists(shown, lambda s: any_of(urgent, s)).cast("int").alias("urgent_condition"),
@@ -64,3 +66,34 @@ def with_baselines(found: DataFrame, members: DataFrame) -> DataFrame:
     """found with the baselines (control_id, baseline) that each control is in."""
     by = members.groupBy("control_id").agg(F.array_sort(F.collect_set("baseline")).alias("baselines"))  # a few baselines each
     return found.join(by, "control_id", "left").withColumn("baselines", F.coalesce("baselines", F.array().cast("array<string>")))
+
+
+COHORT = "member_id string, age int, gender string, conditions int, encounters int, claims int, medications int, sdoh_flags int, urgent_condition int"
+
+
+def read_cohort(spark: SparkSession, path: str) -> DataFrame:
+    """A cohort kept as CSV with a header."""
+    return spark.read.schema(COHORT).csv(path, header=True)
+
+
+def cohort_summary(members: DataFrame) -> DataFrame:
+    """members, median_age, median_conditions, most_encounters, with_flags, urgent: one row."""
+    return members.agg(
+        F.count("*").alias("members"), F.median("age").alias("median_age"), F.median("conditions").alias("median_conditions"), F.max("encounters").alias("most_encounters"),
+        F.count_if(F.col("sdoh_flags") > 0).alias("with_flags"), F.count_if(F.col("urgent_condition") == 1).alias("urgent"),
+    )
+
+
+def control_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A control catalog kept as JSON with a list ``controls``, keyed by id; an error where there is none."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        raise FileNotFoundError(f"no control catalog at {path}")
+    kind = "struct<id:string,title:string,withdrawn:boolean,baselines:array<string>,statement:string,n_params:int>"
+    return spark.read.schema(f"controls array<{kind}>").json(path, multiLine=True).select(F.explode("controls").alias("c")).select("c.*")
+
+
+def control_report(found: DataFrame) -> DataFrame:
+    """baseline, controls: how many controls each baseline has; and how many have no statement."""
+    by = found.select(F.explode("baselines").alias("baseline")).groupBy("baseline").agg(F.count("*").alias("controls"))
+    return by.unionByName(found.agg(F.lit("(no statement)").alias("baseline"), F.count_if(F.coalesce("statement", F.lit("")) == "").alias("controls")))

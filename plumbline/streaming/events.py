@@ -19,18 +19,17 @@ def counts_by_window(events: DataFrame, window: str = "1 day", at: str = "occurr
     return events.groupBy(w.alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-CASES = "case_id bigint, opened bigint, disposed bigint"
-
-
-def case_clocks(events: DataFrame, deadline_hours: float = 720.0):
-    """case_id, opened, disposed, breached as cases open and close: state is two times a case, kept until it is disposed.
-
-    Late or early, a disposition waits for its opening in the same state.
+def case_clocks(events: DataFrame, deadline_hours: float = 720.0, keep_hours: float = 720.0):
+    """case_id, opened, disposed, breached as cases open and close. State is two times a case; once a case is disposed of and the
+    watermark is ``keep_hours`` past that, its state is removed. Late or early, a disposition waits for its opening in the same state.
     """
 
     def update(key, frames: Iterator, state):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         opened, disposed = state.get if state.exists else (None, None)
         for f in frames:
             us = f["occurred_at"].astype("datetime64[us]").astype("int64")
@@ -38,13 +37,62 @@ def case_clocks(events: DataFrame, deadline_hours: float = 720.0):
             opened = min([x for x in (opened, o.min() if len(o) else None) if x is not None], default=None)
             disposed = min([x for x in (disposed, d.min() if len(d) else None) if x is not None], default=None)
         state.update((None if opened is None else int(opened), None if disposed is None else int(disposed)))
+        if opened is not None and disposed is not None:
+            state.setTimeoutTimestamp(int(max(state.getCurrentWatermarkMs() + 1, disposed // 1000 + keep_hours * 3.6e6)))
         if opened is not None:
             late = disposed is not None and (disposed - opened) / 3.6e9 > deadline_hours
             yield pd.DataFrame({"case_id": [key[0]], "opened": [opened], "disposed": [disposed], "breached": [late]}).astype({"opened": "Int64", "disposed": "Int64"})
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return events.groupBy("case_id").applyInPandasWithState(update, "case_id bigint, opened bigint, disposed bigint, breached boolean", "opened bigint, disposed bigint", "update", GroupStateTimeout.NoTimeout)
+    kind = events.schema["case_id"].dataType.simpleString()
+    return events.groupBy("case_id").applyInPandasWithState(update, f"case_id {kind}, opened bigint, disposed bigint, breached boolean", "opened bigint, disposed bigint", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def chain(events: DataFrame, by: str = "case_id", none: str = ""):
+    """Each ledger's events chained as they come: state is the last number and hash of a ledger (``by``). Events of one batch are taken in the order of seq.
+
+    events: FIELDS of a digest but prev_hash (strings), seq and ``by``. Gives by, seq, number, prev_hash, hash.
+    """
+    from ..operators.ledger import FIELDS
+
+    def update(key, frames: Iterator, state):
+        import hashlib
+
+        import pandas as pd
+
+        number, last = state.get if state.exists else (0, "")
+        rows = []
+        for _, r in pd.concat(list(frames)).sort_values("seq").iterrows():
+            values = [last] + [(none if f == "supersedes" else "") if pd.isna(r[f]) else str(r[f]) for f in FIELDS[1:]]
+            h = hashlib.sha256("\x1f".join(values).encode()).hexdigest()
+            number += 1
+            rows.append((key[0], r["seq"], number, last, h))
+            last = h
+        state.update((number, last))
+        yield pd.DataFrame(rows, columns=[by, "seq", "number", "prev_hash", "hash"])
+
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kind = events.schema[by].dataType.simpleString()
+    return events.groupBy(by).applyInPandasWithState(update, f"{by} {kind}, seq bigint, number bigint, prev_hash string, hash string", "number bigint, last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def queue_changes(events: DataFrame, window: str = "1 day", at: str = "occurred_at"):
+    """start, opened, disposed by window: what a running sum over windows turns into the queue's depth."""
+    w = F.window(at, window)
+    return events.groupBy(w.alias("w")).agg(F.count_if(F.col("event_type") == "case.created").alias("opened"), F.count_if(F.col("event_type") == "disposition.recorded").alias("disposed")).select(F.col("w.start").alias("start"), "opened", "disposed")
+
+
+def replayed(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """A stream run over all that is there, each batch's rows written whole under ``folder``; in complete mode the last batch's alone."""
+    spark, schema = stream.sparkSession, stream.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={batch_id}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
 def incremental(stream: DataFrame, target: str, checkpoint: str, process):

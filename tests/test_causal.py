@@ -20,7 +20,7 @@ def test_known_truth(history):
     m = causal.psm(history, "hours_to_resolution", "assisted", COVARIATES, "case_id")
     assert naive > 5
     assert abs(r["estimate"] + 9) < 12 and r["low"] < r["estimate"] < r["high"]
-    assert abs(m["estimate"] + 9) < 15 and m["worst"] < 0.4
+    assert m["low"] < -9 < m["high"] and m["worst"] < 0.3 and m["n_treated"] + m["n_unmatched"] > 0
 
 
 def test_logistic_equals_newton(history):
@@ -59,8 +59,52 @@ def test_matching(spark):
     assert again == {1: 3, 2: 3} and sorted(once.values()) == [3, 4]
 
 
+@pytest.mark.parametrize("ranges", [1, 5, 64])
+def test_nearest_equals_brute_force(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    rows = [(i, int(rng.random() < 0.4), round(float(rng.random()), 2)) for i in range(300)]  # many ties
+    df = spark.createDataFrame(rows, "id int, t int, s double")
+    got = {(r.treated, r.control, round(r.gap, 9)) for r in causal._nearest(df, "t", "id", "s", 0.05, ranges).collect()}
+    want = set()
+    for i, t, s in rows:
+        if t:
+            gap, c = min((abs(s - x), k) for k, u, x in rows if not u)
+            if gap <= 0.05:
+                want.add((i, c, round(gap, 9)))
+    assert got == want
+
+
+def test_nearest_without_an_arm(spark):
+    df = spark.createDataFrame([(1, 1, 0.5)], "id int, t int, s double")
+    assert causal._nearest(df, "t", "id", "s", 1.0, 4).count() == 0
+    assert causal._nearest(df.limit(0), "t", "id", "s", 1.0, 4).count() == 0
+
+
+def test_mahalanobis_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(causal, "SIDE", 16)
+    rng = np.random.default_rng(1)
+    rows = [(i, int(rng.random() < 0.5), float(rng.random()), float(rng.normal()), float(rng.normal() * 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, t int, propensity double, a double, b double")
+    got = {(r.treated, r.control) for r in causal.matched_with_replacement(df, "t", "id", caliper=0.3, mahalanobis=["a", "b"]).collect()}
+    x = np.array([r[3:] for r in rows])
+    inv = np.linalg.inv(np.cov(x.T))
+    width = 0.3 * np.std([r[2] for r in rows], ddof=1)
+    want = set()
+    for i, t, s, *_ in rows:
+        near = [((x[i] - x[k]) @ inv @ (x[i] - x[k]), k) for k, u, p, *_ in rows if not u and abs(p - s) <= width]
+        if t and near:
+            want.add((i, min(near)[1]))
+    assert got == want
+
+
+def test_parted_arms_do_not_converge(spark):
+    df = spark.createDataFrame([(i, int(i > 10), float(i)) for i in range(20)], "id int, t int, a double")
+    with pytest.raises(ValueError, match="converge"):
+        causal.logistic(df, "t", ["a"], steps=8)
+
+
 def test_overlap_failure(history):
-    bad = history.withColumn("assisted", (F.col("complexity") > 5).cast("int"))
+    bad = history.withColumn("assisted", (F.col("complexity") > 5).cast("int")).persist()
     scored = causal.with_propensity(bad, "assisted", ["backlog"])
     assert causal.overlap(scored, "assisted").first().outside >= 0
     sharp = bad.withColumn("propensity", F.when(F.col("assisted") == 1, 0.95).otherwise(0.05))
@@ -101,7 +145,7 @@ def test_contracts(tmp_path):
 
 def test_analysis_is_withheld(history):
     costs = {"cases": 4200, "rate": 62, "cost": 90000}
-    run = lambda df: contract.run_analysis(df.withColumn("hours", F.col("hours_to_resolution")), DAG, "hours", "assisted", "case_id", ["case_id", "operator"], costs, -9.0)
+    run = lambda df: contract.run_analysis(df.withColumn("hours", F.col("hours_to_resolution")), DAG, "hours", "assisted", "case_id", ["case_id", "operator"], costs, -9.0, calipers=(0.25,))
     assert run(history.limit(5))["withheld"]
     assert "preconditions" in run(history)
 
