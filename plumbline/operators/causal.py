@@ -305,6 +305,24 @@ def roi_columns(low: Column, high: Column, cases: float, rate: float, cost: floa
     return {"saved_low": saved[0], "saved_high": saved[1], "net_low": net[0], "net_high": net[1], "ratio_low": ratio[0], "ratio_high": ratio[1], "crosses_zero": (net[0] < 0) & (net[1] > 0)}
 
 
+def sign_flags(naive: Column, adjusted: Column, low: Column, high: Column, truth: Column) -> dict[str, Column]:
+    """signs_differ and recovered of effects that are columns."""
+    return {"signs_differ": F.signum(naive) * F.signum(adjusted) < 0, "recovered": truth.between(low, high)}
+
+
+def history_events(history: DataFrame) -> DataFrame:
+    """A simulated history as ledger events, numbered in each case: intake, assistance where there was some, acknowledgement, disposition. Times are hours after the case's own day."""
+    start = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("case_id") * 3600)
+    at = lambda hours: F.timestamp_seconds(F.unix_timestamp(start) + (hours * 3600).cast("bigint"))
+    event = lambda k, kind, hours, human, why, gate: F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(kind).alias("event_type"), at(hours).alias("occurred_at"), F.lit("human" if human else "machine").alias("actor_kind"), F.lit(why).alias("rationale"), F.lit(gate).cast("string").alias("gate_id"))
+    all_ = F.array(
+        event(1, "case.created", F.lit(0.0), True, "", None), F.when(F.col("assisted") == 1, event(2, "assistance.requested", F.lit(1.0), True, "", None)),
+        event(3, "gate.answered", F.least("hours_to_resolution", F.lit(96.0)) / 2, True, "acknowledged in writing", "ACK"), event(4, "disposition.recorded", F.col("hours_to_resolution"), True, "decided on the record", "RESOLVE_STANDARD"),
+    )
+    e = history.select(F.col("case_id").cast("string").alias("case_id"), F.concat(F.lit("op"), "operator").alias("actor"), F.explode(F.filter(all_, lambda x: x.isNotNull())).alias("e"), (F.col("case_id") * 4).alias("base"))
+    return e.select((F.col("base") + F.col("e.k")).alias("seq"), F.concat("case_id", F.lit("-"), F.col("e.k")).alias("event_id"), "case_id", "actor", "e.actor_kind", "e.event_type", "e.occurred_at", "e.rationale", "e.gate_id")
+
+
 def zscore(df: DataFrame, column: str, name: str) -> DataFrame:
     s = df.agg(F.avg(column).alias("_a"), F.stddev_samp(column).alias("_s"))
     return df.crossJoin(F.broadcast(s)).withColumn(name, (F.col(column) - F.col("_a")) / F.nullif("_s", F.lit(0.0))).drop("_a", "_s")  # one row

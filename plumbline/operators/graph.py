@@ -175,6 +175,13 @@ def top_degrees(edges: DataFrame, top: int = 10) -> DataFrame:
     return degrees(edges).orderBy(F.desc("degree"), "id").limit(top)
 
 
+def first_match(left: DataFrame, right: DataFrame, key: str, order: list, columns: list[str], default: Column | None = None) -> DataFrame:
+    """left with columns of the first of right's rows (by ``order``) that has its key; without one they are null, or ``default``."""
+    pick = right.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_m"))
+    value = lambda c: F.col(f"_m.{c}") if default is None else F.coalesce(F.col(f"_m.{c}"), default)
+    return left.join(pick, key, "left").select(*left.columns, *[value(c).alias(c) for c in columns])
+
+
 # -- lineage ---------------------------------------------------------------------------------
 
 
@@ -195,20 +202,29 @@ def lineage(supersedes: DataFrame, seeds: DataFrame, depth: int = 12, down: bool
 
 
 def longest_chains(supersedes: DataFrame) -> DataFrame:
-    """head, length, path: from each letter that none supersedes its longest way to older ones, the smallest path of equals."""
-    step = supersedes.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct()
-    heads = step.select("node").distinct().join(step.select(F.col("next").alias("node")).distinct(), "node", "left_anti")
-    level = heads.select(F.col("node").alias("head"), "node", F.array("node").alias("path"))
-    best = level.select("head", "path")
-    for k in count(1):  # a path has no letter twice, so levels end
-        grown = level.join(step, "node").where(~F.array_contains("path", F.col("next")))
-        level = settle(grown.select("head", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")))
+    """head, length, path: from each letter that none supersedes its longest way to older ones, the smallest path of equals.
+
+    Level by level the ways of one more letter are found, of which each letter keeps the smallest: as its own name is in front of
+    all of them, the smallest of a letter is made of the smallest of those below it. So a level has a row a letter at most. In
+    a cycle a way ends where it would meet itself.
+    """
+    step = settle(supersedes.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct())
+    heads = step.select("node").distinct().join(step.select(F.col("next").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("head"))
+    level = step.select(F.explode(F.array("node", "next")).alias("node")).distinct().select("node", F.array("node").alias("path"))
+    best = None
+    for k in count(1):
+        below = level.select(F.col("node").alias("next"), "path")
+        grown = step.join(below, "next").where(~F.array_contains("path", F.col("node"))).select("node", F.concat(F.array("node"), "path").alias("path"))
+        level = settle(grown.groupBy("node").agg(F.min(F.struct(F.array_join("path", ">").alias("s"), "path")).alias("m")).select("node", "m.path"))
         if level.isEmpty():
             break
-        best = best.unionByName(level.select("head", "path"))
+        of_heads = level.join(heads, F.col("node") == F.col("head"), "left_semi").select(F.col("node").alias("head"), "path")
+        best = of_heads if best is None else best.unionByName(of_heads)
         if k % LEVELS == 0:
             best = settle(_longest(best))
-    return _longest(best).where("size(path) > 1").select("head", F.size("path").alias("length"), F.array_join("path", ">").alias("path"))
+    if best is None:
+        return heads.select("head", F.lit(1).alias("length"), F.col("head").alias("path")).limit(0)
+    return _longest(best).select("head", F.size("path").alias("length"), F.array_join("path", ">").alias("path"))
 
 
 def _longest(paths: DataFrame) -> DataFrame:
@@ -419,37 +435,46 @@ def verdict(reach: float, sigma: float | None) -> str:
     return "small-world" if sigma > 1.5 else "weakly small-world" if sigma > 1 else "not small-world"
 
 
-def null_model(spark, pairs: list[tuple[int, int]], replicates: int = 5, seed: int = 42) -> DataFrame:
-    """replicate, clustering, mean_path of degree-preserving rewirings (10 swaps a pair), one task for each replicate.
+def rewired(spark, pairs: list[tuple[int, int]], replicates: int = 5, seed: int = 42, metrics: bool = False) -> DataFrame:
+    """replicate, a, b of degree-preserving rewirings (10 swaps a pair), one task for each replicate; or replicate, clustering, mean_path.
 
     Swaps depend on one another, so a replicate is made in one place: for graphs that fit a
     worker, as the measure of topology here is meant for.
     """
     import numpy as np
 
+    shared = spark.sparkContext.broadcast(np.array(pairs, np.int64).reshape(-1, 2))
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for r in batch.column(0).to_pylist():
                 rng = np.random.default_rng(seed + r)
-                e = np.array(pairs, np.int64)
-                have = {tuple(x) for x in e.tolist()}
-                for _ in range(10 * len(e)):
-                    i, j = rng.integers(0, len(e), 2)
+                e = [tuple(sorted(x)) for x in shared.value.tolist()]
+                have = set(e)
+                for i, j, flip in zip(*rng.integers(0, len(e), (2, 10 * len(e))).tolist(), (rng.random(10 * len(e)) < 0.5).tolist()):
                     (a, b), (c, d) = e[i], e[j]
-                    if rng.random() < 0.5:
+                    if flip:
                         c, d = d, c
                     x, y = (min(a, d), max(a, d)), (min(c, b), max(c, b))
                     if len({a, b, c, d}) < 4 or x in have or y in have:
                         continue
-                    have -= {tuple(e[i].tolist()), tuple(e[j].tolist())}
+                    have -= {e[i], e[j]}
                     have |= {x, y}
                     e[i], e[j] = x, y
-                c, length = small_metrics(e.tolist())
-                yield pa.RecordBatch.from_pydict({"replicate": [r], "clustering": [c], "mean_path": [length]})
+                if metrics:
+                    c, length = small_metrics(e)
+                    yield pa.RecordBatch.from_pydict({"replicate": [r], "clustering": [c], "mean_path": [length]})
+                else:
+                    yield pa.RecordBatch.from_pydict({"replicate": [r] * len(e), "a": [x for x, _ in e], "b": [x for _, x in e]})
+
+    return spark.range(replicates).repartition(replicates, "id").mapInArrow(run, "replicate bigint, clustering double, mean_path double" if metrics else "replicate bigint, a bigint, b bigint")
 
-    return spark.range(replicates).repartition(replicates, "id").mapInArrow(run, "replicate bigint, clustering double, mean_path double")
+
+def null_model(spark, pairs: list[tuple[int, int]], replicates: int = 5, seed: int = 42) -> DataFrame:
+    """replicate, clustering, mean_path of degree-preserving rewirings."""
+    return rewired(spark, pairs, replicates, seed, metrics=True)
 
 
 def small_metrics(pairs: list) -> tuple[float, float]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import REFUSED, letter_year, subject
+from ..session import settle
 from . import graph, ledger, retrieval
 
 
@@ -138,20 +139,20 @@ def intake(cases: DataFrame, events: DataFrame) -> DataFrame:
     return met.select(*cases.columns, F.to_json(body).alias("payload"))
 
 
-def augment(edges: DataFrame, similar: DataFrame, least_hops: int = 4, share: float | None = None) -> tuple[DataFrame, dict]:
-    """edges with shortcuts anew, and what it did: bridging cost, budget, components, reach and mean path before and after."""
-    pairs = graph.undirected(edges.where("relationship_type <> 'shortcut'"), graph.SEMANTIC)
-    before = topology(pairs)
+def augment(edges: DataFrame, similar: DataFrame, least_hops: int = 4, share: float | None = None, paths: bool = True) -> tuple[DataFrame, dict]:
+    """edges with shortcuts anew, and what it did: bridging cost, budget, and the topology before and after. paths: measure mean paths too, a walk from every node."""
+    pairs = settle(graph.undirected(edges.where("relationship_type <> 'shortcut'"), graph.SEMANTIC))
+    before = topology(pairs, paths)
     cost, p, budget = graph.bridging(before, before["edges"], share)
-    found = graph.with_hops(graph.shortcut_candidates(similar, pairs, least_hops), pairs)
-    out = graph.augmented(edges, found, budget)
-    return out, {"cost": cost, "share": p, "budget": budget, "before": before, "after": topology(graph.undirected(out, graph.SEMANTIC))}
+    found = graph.with_hops(settle(graph.shortcut_candidates(similar, pairs, least_hops)), pairs)
+    out = settle(graph.augmented(edges, found, budget))
+    return out, {"cost": cost, "share": p, "budget": budget, "before": before, "after": topology(graph.undirected(out, graph.SEMANTIC), paths)}
 
 
-def topology(pairs: DataFrame) -> dict:
-    """edges, clustering, mean_path, components, largest, reach."""
-    c, m, r = graph.clustering(pairs).first(), graph.mean_path(pairs).first(), graph.reachable_share(graph.components(pairs)).first()
-    return {"edges": pairs.count(), "clustering": c["clustering"], "mean_path": m["mean_path"], "components": r["components"], "largest": r["largest"], "reach": r["reach"]}
+def topology(pairs: DataFrame, paths: bool = True) -> dict:
+    """edges, clustering, mean_path (null unless asked for), components, largest, reach."""
+    c, r = graph.clustering(pairs).first(), graph.reachable_share(graph.components(pairs)).first()
+    return {"edges": pairs.count(), "clustering": c["clustering"], "mean_path": graph.mean_path(pairs).first()["mean_path"] if paths else None, "components": r["components"], "largest": r["largest"], "reach": r["reach"]}
 
 
 def html_page(view: DataFrame, title: str, path: str, least: int = 2, first: int = 1990, last: int = 2030) -> None:

@@ -244,19 +244,14 @@ def shared_terms(spark, d):
     return graph.shared_terms(titles(spark, d))
 
 
-@query("g05_shared_terms_capped")
+@query("g05_shared_terms_capped", f"""WITH RECURSIVE pairs AS ({TITLE_PAIRS}), p AS (SELECT a, b, row_number() OVER (ORDER BY shared DESC, a, b) AS rn FROM pairs),
+greedy(k, rn, ends) USING KEY (k) AS (SELECT 1, 0::BIGINT, []::BIGINT[] UNION ALL
+SELECT 1, p.rn, CASE WHEN len(list_filter(ends, lambda x: x = a)) < 6 AND len(list_filter(ends, lambda x: x = b)) < 6 THEN ends || [a, b] ELSE ends END FROM greedy JOIN p ON p.rn = greedy.rn + 1),
+taken AS (SELECT ends, unnest(range(1, len(ends), 2)) AS i FROM greedy) SELECT pairs.a, pairs.b, pairs.shared FROM taken JOIN pairs ON pairs.a = ends[i] AND pairs.b = ends[i + 1]""")
 def shared_terms_capped(spark, d):
     return graph.capped(graph.shared_terms(titles(spark, d)))
 
 
-@query("g12_null_model")
-def null_model(spark, d):
-    pairs = graph.undirected(table(spark, d, "nation").select(X.node_id("n", F.col("n_nationkey")).alias("source"), X.node_id("r", F.col("n_regionkey")).alias("target")))
-    rows = [(r["a"], r["b"]) for r in pairs.collect()]  # nations and regions: thirty nodes
-    names = {n: i for i, n in enumerate(sorted({x for p in rows for x in p}))}
-    return graph.null_model(spark, [(names[a], names[b]) for a, b in rows], 3)
-
-
 # -- text ------------------------------------------------------------------------------------
 
 def literal(spark, column: str, values: list[str]) -> DataFrame:
@@ -787,18 +782,6 @@ def zscore(spark, d):
     return causal.zscore(frame(spark, d), "q", "z").select("id", r6("z"))
 
 
-@query("c11_iptw")
-def iptw(spark, d):
-    r = causal.iptw(settle(frame(spark, d)), "y", "x", ["q", "k", "b"])
-    return spark.createDataFrame([(r["n"], float(r["estimate"]), float(r["se"]))], "n bigint, estimate double, se double")
-
-
-@query("c05_psm")
-def psm(spark, d):
-    pairs = causal.matched_with_replacement(scored(spark, d), "x", "id")
-    return pairs.agg(F.count("*").alias("matched"), F.countDistinct("control").alias("controls"), F.max("gap").alias("worst_gap"))
-
-
 @query("c15_roi", """WITH i AS (SELECT s_suppkey AS id, -s_acctbal / 1000 AS low, -s_acctbal / 1000 + s_nationkey / 4.0 AS high FROM supplier)
 SELECT id, round(-high * 420 * 62 - 9000, 4) + 0.0 AS net_low, round(-low * 420 * 62 - 9000, 4) + 0.0 AS net_high, -high * 420 * 62 - 9000 < 0 AND -low * 420 * 62 - 9000 > 0 AS crosses_zero FROM i""")
 def roi(spark, d):
@@ -811,11 +794,6 @@ def roi(spark, d):
 DAG = tuple((a, "assisted") for a in ("complexity", "expedited", "backlog", "tenure", "sdoh")) + tuple((a, "hours") for a in ("complexity", "expedited", "backlog", "tenure", "sdoh", "citation")) + (("assisted", "citation"),)
 
 
-@query("g25_adjustment_set", "SELECT * FROM (VALUES ('complexity'), ('expedited'), ('backlog'), ('tenure'), ('sdoh')) t(variable)")
-def adjustment_set(spark, d):
-    return spark.createDataFrame([(v,) for v in dag.adjustment_set(DAG, "assisted", "hours")], "variable string")
-
-
 @query("a21_gaps", "SELECT count(*) AS needed, count(*) FILTER (WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)) AS answered, count(*) FILTER (WHERE id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)) AS open FROM (SELECT p_partkey AS id FROM part)")
 def gaps(spark, d):
     return views.gaps(table(spark, d, "part").select(F.col("p_partkey").alias("id")), table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("id")))
@@ -832,7 +810,18 @@ def retrieval_gain(spark, d):
     return views.retrieval_gain(found, A.nodes(spark, d).select("id", "plan_id")).select("query", "before", "after", "capped")
 
 
-@query("s25_graph_view")
+CHAINS_SQL = """walk AS (SELECT source AS head, source AS node, 1 AS length, source AS path FROM supersedes WHERE source NOT IN (SELECT target FROM supersedes)
+UNION ALL SELECT head, target, length + 1, path || '>' || target FROM walk JOIN supersedes ON source = node),
+chains AS (SELECT head, length, path FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY length DESC, path) AS r FROM walk) WHERE r = 1)"""
+
+
+@query("s25_graph_view", V("nodes", "implements", "supersedes", "structural", "edges", recursive=True) + ", " + CHAINS_SQL + """,
+docs AS (SELECT n.plan_id, count(*) AS documents, count(i.source) AS implementing FROM nodes n LEFT JOIN (SELECT DISTINCT source FROM implements) i ON i.source = n.id WHERE kind = 'document' GROUP BY 1),
+reach AS (SELECT target AS letter, count(DISTINCT plan_id) AS plans, count(*) AS documents FROM implements JOIN nodes ON id = source WHERE kind = 'document' GROUP BY 1 ORDER BY plans DESC, documents DESC, letter LIMIT 60)
+SELECT 'counts' AS part, '{"name":"' || kind || '","n":' || count(*) || ',"what":"node"}' AS json FROM nodes GROUP BY kind UNION ALL SELECT 'counts', '{"name":"' || relationship_type || '","n":' || count(*) || ',"what":"edge"}' FROM edges GROUP BY relationship_type
+UNION ALL SELECT 'plans', '{"plan_id":"' || plan_id || '","documents":' || documents || ',"implementing":' || implementing || '}' FROM docs
+UNION ALL SELECT 'chains', '{"head":"' || head || '","length":' || length || ',"path":"' || path || '"}' FROM chains WHERE length >= 2
+UNION ALL SELECT 'reach', '{"letter":"' || letter || '","plans":' || plans || ',"documents":' || documents || '}' FROM reach""")
 def graph_view(spark, d):
     return views.graph_view(A.nodes(spark, d), A.edges(spark, d))
 
