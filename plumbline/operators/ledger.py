@@ -271,7 +271,7 @@ class Ledger:
                 if k + 1 == tries:
                     raise
                 continue
-            out.write(bytearray(json.dumps(e).encode()))
+            out.write(bytearray(json.dumps(e, default=lambda t: t.isoformat()).encode()))
             out.close()
             return e
         raise Refused("no number was free")

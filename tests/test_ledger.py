@@ -92,3 +92,23 @@ def test_backlog_and_readiness(spark):
     assert ledger.readiness(cases, ["case_id", "sdoh"], ["sdoh"])["message"] == "known limits: sdoh"
     assert ledger.readiness(cases.limit(5), ["case_id"])["message"].startswith("too few cases")
     assert ledger.readiness(cases, ["case_id"])["satisfiable"]
+
+
+def test_two_writers_of_a_durable_ledger(spark, tmp_path):
+    one, two = ledger.Ledger(spark, str(tmp_path / "l")), ledger.Ledger(spark, str(tmp_path / "l"))
+    assert one.last() is None
+    a = one.append(event("case.created"))
+    b = two.append(event("evidence.retrieved", case="c2", kind_of="machine"))
+    # the first writer still believes its own event to be the last
+    last, calls = one.last, []
+
+    def stale():
+        calls.append(1)
+        return a if len(calls) == 1 else last()
+
+    one.last = stale
+    c = one.append(event("operator.confirmed"))
+    assert (b["prev_hash"], c["prev_hash"], c["seq"], len(calls)) == (a["hash"], b["hash"], 3, 2)
+    assert ledger.verify(two.events()).first()["ok"] and two.events("c2").count() == 1
+    with pytest.raises(ledger.Refused):
+        one.append(event("disposition.recorded", why=""))

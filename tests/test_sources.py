@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import retrieval
 from plumbline.plans import contract
-from plumbline.sources import catalog, records
+from plumbline.sources import catalog, crawl, documents, records
 from plumbline.streaming import events as streams
 
 
@@ -23,31 +23,31 @@ def test_rows_and_repair(spark, tmp_path):
 
 
 def test_names_and_merges(spark):
-    df = spark.createDataFrame([("a", "same.pdf", "abc123", ""), ("a", "same.pdf", "def456", ""), ("b", "same.pdf", "x", "")], "plan_id string, filename string, doc_id string, source_url string")
-    assert {(r.plan_id, r.filename) for r in catalog.dedupe_filenames(df).collect()} == {("a", "same.pdf"), ("a", "same_def456.pdf"), ("b", "same.pdf")}
+    df = spark.createDataFrame([("a", "rides.pdf", "k1l2m3", ""), ("a", "rides.pdf", "n4o5p6", ""), ("b", "rides.pdf", "x", "")], "plan_id string, filename string, doc_id string, source_url string")
+    assert {(r.plan_id, r.filename) for r in catalog.dedupe_filenames(df).collect()} == {("a", "rides.pdf"), ("a", "rides_n4o5p6.pdf"), ("b", "rides.pdf")}
     new = spark.createDataFrame([("a", "new.pdf", "n", "")], df.schema)
-    assert {r.filename for r in catalog.merged_by_plan(df, new).collect()} == {"new.pdf", "same.pdf"}
-    assert catalog.slugs("Blue & Gold Health", "pinned")[0] == "pinned" and "blue-gold-health" in catalog.slugs("Blue & Gold Health")
+    assert {r.filename for r in catalog.merged_by_plan(df, new).collect()} == {"new.pdf", "rides.pdf"}
+    assert catalog.slugs("Night & Day Rides", "pinned")[0] == "pinned" and "night-day-rides" in catalog.slugs("Night & Day Rides")
 
 
 def test_pages_and_sitemaps(spark):
-    html = '<a href="/docs/UM01.pdf#p2">UM01  <b>Review</b></a><a href="http://[bad">x</a><a href="other.html">no</a>'
+    html = '<a href="/docs/AB12.pdf#p2">AB12  <b>Intake</b></a><a href="http://[bad">x</a><a href="other.html">no</a>'
     pages = spark.createDataFrame([("https://x.org/list/", html), (None, html), ("https://x.org/", None)], "url string, html string")
-    assert [tuple(r) for r in catalog.page_links(pages, [".pdf"]).collect()] == [("https://x.org/docs/UM01.pdf", "UM01 Review", "https://x.org/list/")]
+    assert [tuple(r) for r in catalog.page_links(pages, [".pdf"]).collect()] == [("https://x.org/docs/AB12.pdf", "AB12 Intake", "https://x.org/list/")]
     xml = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://x.org/a.pdf</loc></url><url><loc>https://x.org/b.html</loc></url></urlset>'
     assert [r.url for r in catalog.sitemap_urls(spark.createDataFrame([(xml,)], "xml string"), include=[".pdf"]).collect()] == ["https://x.org/a.pdf"]
     found = catalog.site_catalog(catalog.page_links(pages, [".pdf"]), "p", ["policy"])
     r = found.first()
-    assert (r.policy_number, r.doc_kind, r.filename) == ("UM01", "policy", "UM01_Review.pdf")
+    assert (r.policy_number, r.doc_kind, r.filename) == ("AB12", "policy", "AB12_Intake.pdf")
 
 
 def test_apis(spark):
-    body = [{"id": "1", "number": "UM01", "title": "Review", "published": "2024-01-02T00:00", "files": [{"url": "u", "name": "n"}]}, {"id": "2", "files": []}]
+    body = [{"id": "1", "number": "AB12", "title": "Intake", "published": "2024-01-02T00:00", "files": [{"url": "u", "name": "n"}]}, {"id": "2", "files": []}]
     r = catalog.policies_api(spark.createDataFrame([(json.dumps(body),)], "json string"), "p").collect()
     assert len(r) == 1 and (r[0].department, r[0].status, r[0].date_published) == ("Unspecified", "Unknown", "2024-01-02")
-    portal = {"data": [{"id": "7", "name": "CMP45 Admin", "publicUrl": "u", "breadcrumbs": [{"trail": [{"name": "x"}, {"name": "Compliance"}]}]}]}
+    portal = {"data": [{"id": "7", "name": "QX7 Rides", "publicUrl": "u", "breadcrumbs": [{"trail": [{"name": "x"}, {"name": "Nights"}]}]}]}
     r = catalog.documents_api(spark.createDataFrame([(json.dumps(portal),)], "json string"), "p").first()
-    assert (r.policy_number, r.title, r.department) == ("CMP45", "Admin", "Compliance")
+    assert (r.policy_number, r.title, r.department) == ("QX7", "Rides", "Nights")
     with pytest.raises(Exception, match="schema has changed"):
         catalog.documents_api(spark.createDataFrame([('{"data": [{"x": 1}]}',)], "json string"), "p").collect()
 
@@ -83,18 +83,18 @@ def test_records(spark):
 
 
 def test_citations(spark):
-    shown = spark.createDataFrame([("APL 21-011", 6)], "policy_number string, page int")
-    answers = spark.createDataFrame([(1, "APL 21-011 page 6"), (2, "APL 22-001 page 6"), (3, "page 6"), (4, None)], "id int, answer string")
+    shown = spark.createDataFrame([("APL 31-407", 6)], "policy_number string, page int")
+    answers = spark.createDataFrame([(1, "APL 31-407 page 6"), (2, "APL 61-204 page 6"), (3, "page 6"), (4, None)], "id int, answer string")
     got = {r.id: (r.cited, r.unverified, r.uncited) for r in retrieval.verified_citations(answers, shown).collect()}
     assert got == {1: (1, 0, False), 2: (1, 1, False), 3: (0, 0, True), 4: (0, 0, True)}
 
 
 def test_bm25_statistics_follow_the_filter(spark):
-    rows = [(str(i), "grievance " + "x " * i) for i in range(5)] + [("5", "other text")]
+    rows = [(str(i), "timetable " + "x " * i) for i in range(5)] + [("5", "other text")]
     df = spark.createDataFrame(rows, "chunk_id string, text string")
-    got = retrieval.bm25(df, "grievance").collect()
+    got = retrieval.bm25(df, "timetable").collect()
     assert [r.score for r in got] == sorted((r.score for r in got), reverse=True) and len(got) == 5
-    narrow = {r.chunk_id: r.score for r in retrieval.bm25(df.where("chunk_id in ('0', '5')"), "grievance").collect()}
+    narrow = {r.chunk_id: r.score for r in retrieval.bm25(df.where("chunk_id in ('0', '5')"), "timetable").collect()}
     assert narrow["0"] != {r.chunk_id: r.score for r in got}["0"]
 
 
@@ -110,3 +110,57 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {(r.case_id, r.breached) for r in spark.table("clocks").collect()} == {(1, True), (2, False), (3, False)}
     streams.incremental(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck2"), lambda b: b).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_pdf_text():
+    from plumbline.queries_sources import pdf_of
+
+    pages = ["One (two) \\three\nfour", "fünf\n\nsechs", ""]
+    assert documents.pdf_pages(pdf_of(pages)) == ["One (two) \\three\nfour", "fünf\n\nsechs", ""]
+    assert documents.pdf_pages(b"<html>") is None and documents.pdf_pages(pdf_of([" "])) is None and documents.pdf_pages(b"%PDF-1.4 broken") is None
+
+
+def test_connector_batches_and_retries():
+    import pyarrow as pa
+
+    calls = []
+
+    def service(texts):
+        calls.append(len(texts))
+        if len(calls) in (1, 3):
+            raise documents.Busy(0.0)
+        return [[float(len(t))] for t in texts]
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(5)), "text": ["a", None, "ccc", "dd", "e"]})
+    out = pa.Table.from_batches(documents.connector(service, batch=2, wait=0)([batch])).to_pydict()
+    assert [v[0] for v in out["embedding"]] == [1, 0, 3, 2, 1] and calls == [2, 2, 2, 2, 1]
+    with pytest.raises(documents.Busy):
+        list(documents.connector(lambda t: (_ for _ in ()).throw(documents.Busy(0.0)), tries=2, wait=0)([batch]))
+    with pytest.raises(ValueError, match="embeddings of"):
+        list(documents.connector(lambda t: [], batch=9)([batch]))
+    with pytest.raises(ValueError, match="unknown provider"):
+        documents.embedder("none")
+
+
+def test_missing_stores(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        documents.published(spark, str(tmp_path / "none"))
+    with pytest.raises(FileNotFoundError):
+        records.control_catalog(spark, str(tmp_path / "none"))
+    assert documents.done(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_robots_that_fail_allow_all(spark):
+    links = spark.createDataFrame([("https://a.example/x",), ("https://a.example/y",), ("https://b.example/x",)], "url string")
+
+    def fetch(u):
+        if "b.example" in u:
+            raise OSError
+        return b"User-agent: *\nDisallow: /x"
+
+    assert {r.url for r in crawl.with_robots(links, fetch).collect()} == {"https://a.example/y", "https://b.example/x"}
+    assert crawl.with_robots(links.limit(0), fetch).count() == 0
+
+
+def test_paged_of_nothing(spark):
+    assert crawl.paged(spark, lambda offset, size: (0, [])).count() == 0

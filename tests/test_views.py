@@ -35,29 +35,32 @@ def test_small_world_unmeasured(spark):
 
 
 def test_graph_files(spark, tmp_path):
-    n = spark.createDataFrame([("plan:a", "plan", "a", "A"), ("doc:1", "document", "a", "one"), ("apl:1", "apl", "state", "APL 26-001: Health (Supersedes x)"), ("apl:2", "apl", "state", "L2")], "id string, kind string, plan_id string, label string")
+    n = spark.createDataFrame([("plan:a", "plan", "a", "A"), ("doc:1", "document", "a", "one"), ("apl:1", "apl", "state", "APL 31-407: Rides (supersedes one)"), ("apl:2", "apl", "state", "L2")], "id string, kind string, plan_id string, label string")
     e = spark.createDataFrame([("doc:1", "apl:1", "implements", 1.0), ("apl:2", "apl:1", "supersedes", 3.0)], "source string, target string, relationship_type string, weight double")
     views.write_graph(n, e, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "edges")).where("relationship_type = 'supersedes'").count() == 1
     views.write_currency(graph.citation_status(n, e), n, str(tmp_path))
-    assert spark.read.csv(str(tmp_path / "by_letter"), header=True).first()["subject"] == "Health"
+    assert spark.read.csv(str(tmp_path / "by_letter"), header=True).first()["subject"] == "Rides"
     assert {r.part for r in views.graph_view(n, e).collect()} == {"counts", "plans", "chains", "reach"}
     chains = graph.longest_chains(e.where("relationship_type = 'supersedes'"))
-    assert views.chains_of(chains, F.lit("26-001"), 2020, 2030).count() == 1
+    assert views.chains_of(chains, F.lit("26-407"), 2020, 2030).count() == 1
 
 
 def test_ask(spark):
-    chunks = spark.createDataFrame([("c1", "APL 21-011", 6, "acknowledge a grievance within five days " * 8)], "chunk_id string, policy_number string, page int, text string")
+    chunks = spark.createDataFrame([("c1", "APL 31-407", 6, "timetables are posted where drivers rest " * 8)], "chunk_id string, policy_number string, page int, text string")
     log = []
-    assert views.ask("Should I uphold this?", chunks, lambda q, p: "", log.append)["refused"]
-    r = views.ask("When to acknowledge a grievance?", chunks, lambda q, p: "APL 21-011 page 6, and page 9", log.append)
+    assert views.ask("should we grant the ride?", chunks, lambda q, p: "", log.append)["refused"]
+    r = views.ask("Where are timetables posted?", chunks, lambda q, p: "APL 31-407 page 6, and page 9", log.append)
     assert r["unverified"] == 1 and not r["uncited"] and [x["event_type"] for x in log][-1] == "assistance.answered"
 
 
 def test_intake_and_reading(spark):
     t = dt.datetime(2024, 1, 1)
     events = spark.createDataFrame([("a", "case.created", t)], "case_id string, event_type string, occurred_at timestamp")
-    cases = spark.createDataFrame([("b", t, 5.0, 1, 2.0, 0)], "case_id string, at timestamp, complexity double, expedited int, tenure double, sdoh int")
-    assert '"backlog":1' in views.intake(cases, events).first()["payload"]
+    cases = spark.createDataFrame([("a", 5.0, 1, 2.0, 0), ("b", 5.0, 1, 2.0, 0)], "case_id string, complexity double, expedited int, tenure double, sdoh int")
+    payload = {r.case_id: r.payload for r in views.intake(cases, events).collect()}
+    assert '"backlog":1' in payload["a"] and '"backlog":0' in payload["b"]
     assert "withheld" in views.interpretation({"withheld": True, "ready": {"message": "too few cases"}})
-    assert "other sign" in views.interpretation({"withheld": False, "naive": 10.0, "estimates": {"psm": {"estimate": -9.0, "low": -12.0, "high": -6.0}}})
+    m = {"estimate": -9.0, "low": -12.0, "high": -6.0, "p": 0.01, "worst": 0.04, "n": 80, "n_unmatched": 2, "caliper": 0.2, "mahalanobis": True, "replacement": True, "covariates": ["tenure"]}
+    text = views.interpretation({"naive": 10.0, "ready": {"cases": 90}, "estimates": {"psm": m, "did": {**m, "estimate": -8.0}}}, true_effect=-9.0)
+    assert "other sign" in text and "with replacement" in text and "Difference in differences" in text and "is within" in text
