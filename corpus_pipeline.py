@@ -13,6 +13,11 @@ reads it. All but the last return the columns of documents.
    a seeded epoch, up to the leaf's budget. One epoch, so none is repeated; BUDGET is the
    share of all tokens aimed at. A document at the border of a prefix is kept whole.
 5. best-fit packing: the texts' tokens in sequences.
+
+Nulls, ties and repeated rows: null and empty texts have no word, so the first stage rejects them. Rows
+that share a doc_id are documents of their own; of fully equal rows the near-dedup keeps one, and of rows
+without a doc_id all. Ties go to the smaller doc_id, then to the smaller hash of the text. Empty tables
+give empty stages. Columns beyond those of documents pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,7 +69,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packed),
 ]
 
-ORACLE_SQL = None  # tokenizing and fingerprints are beyond SQL; tests/llm compares run() with a brute-force version
+ORACLE_SQL = None  # tokenizing and fingerprints are beyond SQL; tests/llm/test_pipeline_brute.py compares run() with plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
