@@ -14,7 +14,12 @@ of bounded size, and only each block's TOP for each query are merged. All vector
 
 Null vectors, zero vectors, those with null or non-finite components and those with another
 number of components than the queries' most frequent take no part. Ties go to the smaller id.
-A query's own id is no candidate of it. Rows that repeat an id are candidates of their own.
+A query's own id is no candidate of it. Rows that repeat an id are candidates of their own; queries that
+share an id are one query, of which the nearest to any of its vectors are told. An empty table gives an
+empty result.
+
+The method's work grows with queries times vectors, as a window of a projection holds a share of all
+numbers, not a number of them: with queries a fixed share of the rows, with the square of the rows.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 TOP, PROJECTIONS, THRESHOLD, RATIO, SEED = 10, 48, 34, 1.3, 7
 SLACK = 0.15  # of the TOP-th distance, how far the windows must reach in each direction
-BLOCK, CHUNK = 16384, 4096
+BLOCK, CHUNK = 16384, 16384  # vectors, and queries that they meet in one task: some 16 MB of either at 128 components
 
 
 def usable(vector: Column) -> Column:

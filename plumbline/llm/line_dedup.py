@@ -4,7 +4,10 @@ A document's lines are its \\n-split lines; those without a word separate nothin
 passed over. Every three consecutive lines left are a window of the lines' exact bytes. A
 line goes if any window that covers it also starts earlier (smaller doc_id, or same document
 and earlier line). Windows are judged on the input. Documents of fewer than three such lines,
-empty and null texts stay as they are.
+empty and null texts stay as they are; an empty table gives an empty result.
+
+Rows that share a doc_id are ordered by a hash of their text, fully equal ones are simultaneous.
+A null doc_id comes first, and so does the smallest 64-bit number, which is read as null.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ none fits, the fullest closes first.
 Ids are those of the tokenizer file, id 0 ends a document. Words repeat, so each block of
 text tokenizes only words that its worker hasn't met: plain ones through the same merges run
 by a faster engine, with ids that equal the tokenizer's; all others by the tokenizer itself.
-A null text is as an empty one: one piece that holds only the end.
+A null text is as an empty one: one piece that holds only the end. Rows that share a doc_id, or are
+equal in all columns, are documents of their own. Pieces of one length are packed in the order of their
+ids' checksum. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ up to MOST_CELLS, which bounds what is broadcast; beyond that more windows reach
 pass, and the result is the same.
 
 Rows that share a doc_id are ordered by a hash of their text, fully equal ones are
-simultaneous; a null doc_id comes first; null and empty texts have no words.
+simultaneous; a null doc_id comes first, and so does the smallest 64-bit number, which is read as
+null; null and empty texts have no words; an empty table gives an empty result.
 """
 
 from __future__ import annotations
