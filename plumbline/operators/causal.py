@@ -118,12 +118,68 @@ def standardised_differences(df: DataFrame, exposure: str, covariates: list[str]
     return both.select(F.explode(F.array(*[F.struct(F.lit(v).alias("covariate"), (F.col(v) / F.nullif(F.col(f"sd_{v}"), F.lit(0.0))).alias("smd")) for v in covariates])).alias("x")).select("x.covariate", "x.smd")
 
 
+FEW = 10_000  # values that are sorted on the driver at the end of a search for a rank
+CELLS = 1024
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles of type 7 (linear between ranks) of a column's non-null values.
+
+    The place of each rank is narrowed down by counts in CELLS cells of a range, a row a cell, until a cell has FEW values at most
+    or one value only; no task has all values, and the driver gets cells and at most FEW values a rank.
+    """
+    x = F.col(column).cast("double")
+    values = settle(df.select(x.alias("x")).where(x.isNotNull() & ~F.isnan(x)), "values")
+    n, low, high = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None for _ in shares]
+    found: dict[int, float] = {}
+
+    def rank(k: int) -> float:
+        if k not in found:
+            found[k] = _ranked(values, k, n, low, high)
+        return found[k]
+
+    out = []
+    for p in shares:
+        at = (n - 1) * p
+        a, b = math.floor(at), math.ceil(at)
+        out.append(rank(a) + (rank(b) - rank(a)) * (at - a) if b > a else rank(a))
+    return out
+
+
+def _ranked(values: DataFrame, k: int, n: int, low: float, high: float) -> float:
+    """The k-th smallest (from 0) of n values x within low and high."""
+    inside = values
+    while n > FEW and high > low:
+        width = (high - low) / CELLS
+        if width == 0 or low + width == low:
+            break  # neighbouring numbers
+        cell = F.least(F.floor((F.col("x") - low) / width), F.lit(CELLS - 1)).cast("int")
+        rows = sorted(inside.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect(), key=lambda r: r["c"])
+        for r in rows:
+            if k < r["n"]:
+                n, low, high = r["n"], r["lo"], r["hi"]
+                break
+            k -= r["n"]
+        inside = values.where(F.col("x").between(low, high))
+    if high == low:
+        return low
+    if n > FEW:  # many equal values of few kinds
+        rows = sorted(inside.groupBy("x").agg(F.count("*").alias("n")).collect(), key=lambda r: r["x"])
+        for r in rows:
+            if k < r["n"]:
+                return r["x"]
+            k -= r["n"]
+    return sorted(r["x"] for r in inside.collect())[k]
+
+
 def iptw(df: DataFrame, outcome: str, exposure: str, covariates: list[str]) -> dict:
     """Effect on the treated by inverse propensity weights, winsorised at the exact .01 and .99 quantiles."""
     scored = with_propensity(df, exposure, covariates)
     w = F.when(F.col(exposure) == 1, 1.0).otherwise(F.col("propensity") / F.greatest(1 - F.col("propensity"), F.lit(1e-6)))
     scored = scored.withColumn("_w", w)
-    q = scored.agg(F.percentile("_w", F.array(F.lit(0.01), F.lit(0.99))).alias("q")).first()["q"]
+    q = quantiles(scored, "_w", [0.01, 0.99])
     fit = least_squares(scored, outcome, {exposure: F.col(exposure)}, F.least(F.greatest(F.col("_w"), F.lit(q[0])), F.lit(q[1])))
     return interval(fit["coef"][exposure], fit["se"][exposure]) | {"n": fit["n"]}
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clock_seconds, iso_ms, tolerant_number
 from ..session import settle, small
+from .causal import quantiles
 
 # The fields of a digest in their order, and the events that count.
 FIELDS = [
@@ -198,8 +199,10 @@ def case_outcomes(events: DataFrame) -> DataFrame:
 def rollout_panel(cases: DataFrame, events: DataFrame, actor: str = "actor") -> DataFrame:
     """cases (case_id, actor, opened_at) with adopter and post: the actor's first use, or for others the median first use, came before."""
     used = events.where("event_type = 'assistance.requested'").groupBy(F.col(actor).alias("_a")).agg(F.min("occurred_at").alias("first_use"))
-    common = used.agg(F.timestamp_micros(F.median(F.unix_micros("first_use")).cast("bigint")).alias("common"))
-    out = cases.join(used, F.col(actor) == F.col("_a"), "left").crossJoin(F.broadcast(common)).drop("_a")  # one row
+    used = settle(used, "used")
+    middle = quantiles(used.select(F.unix_micros("first_use").alias("t")), "t", [0.5])[0]
+    common = F.timestamp_micros(F.lit(None if middle is None else int(middle)).cast("bigint"))
+    out = cases.join(used, F.col(actor) == F.col("_a"), "left").withColumn("common", common).drop("_a")
     return out.withColumn("adopter", F.col("first_use").isNotNull().cast("int")).withColumn("post", F.coalesce(F.col("opened_at") >= F.col("common"), F.lit(False)).cast("int"))
 
 

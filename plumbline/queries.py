@@ -774,7 +774,7 @@ def weighted_slope(spark, d):
 
 @query("a13_quantiles", FRAME_SQL + "SELECT round(median(y), 6) AS median, round(quantile_cont(y, 0.01), 6) AS low, round(quantile_cont(y, 0.99), 6) AS high FROM f")
 def quantiles(spark, d):
-    return frame(spark, d).agg(F.median("y").alias("median"), F.percentile("y", F.lit(0.01)).alias("low"), F.percentile("y", F.lit(0.99)).alias("high")).select(r6("median"), r6("low"), r6("high"))
+    return spark.createDataFrame([tuple(round(q, 6) for q in causal.quantiles(frame(spark, d), "y", [0.5, 0.01, 0.99]))], "median double, low double, high double")
 
 
 @query("a14_zscore", FRAME_SQL + "SELECT id, round((q - avg(q) OVER ()) / stddev_samp(q) OVER (), 6) + 0.0 AS z FROM f")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import age_on
+from ..operators.causal import quantiles
 
 BUNDLE = (
     "struct<entry:array<struct<resource:struct<resourceType:string,id:string,birthDate:string,gender:string,code:struct<text:string,coding:array<struct<display:string>>>,clinicalStatus:struct<coding:array<struct<code:string>>>>>>>"
@@ -78,8 +79,9 @@ def read_cohort(spark: SparkSession, path: str) -> DataFrame:
 
 def cohort_summary(members: DataFrame) -> DataFrame:
     """members, median_age, median_conditions, most_encounters, with_flags, urgent: one row."""
+    middle = lambda c: F.lit(quantiles(members, c, [0.5])[0]).cast("double").alias(f"median_{c}")
     return members.agg(
-        F.count("*").alias("members"), F.median("age").alias("median_age"), F.median("conditions").alias("median_conditions"), F.max("encounters").alias("most_encounters"),
+        F.count("*").alias("members"), middle("age"), middle("conditions"), F.max("encounters").alias("most_encounters"),
         F.count_if(F.col("sdoh_flags") > 0).alias("with_flags"), F.count_if(F.col("urgent_condition") == 1).alias("urgent"),
     )
 

@@ -103,6 +103,16 @@ def test_parted_arms_do_not_converge(spark):
         causal.logistic(df, "t", ["a"], steps=8)
 
 
+@pytest.mark.parametrize("few", [3, 10_000])
+def test_quantiles_equal_numpy(spark, monkeypatch, few):
+    monkeypatch.setattr(causal, "FEW", few)
+    rng = np.random.default_rng(few)
+    for x in (rng.normal(size=500), np.repeat([1.0, 1e9, -3.0], [200, 5, 40]), np.full(30, 7.0), np.array([2.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+        assert np.allclose(causal.quantiles(df, "x", [0, 0.01, 0.5, 0.99, 1]), np.quantile(x, [0, 0.01, 0.5, 0.99, 1]))
+    assert causal.quantiles(df.where("x is null"), "x", [0.5]) == [None]
+
+
 def test_overlap_failure(history):
     bad = history.withColumn("assisted", (F.col("complexity") > 5).cast("int")).persist()
     scored = causal.with_propensity(bad, "assisted", ["backlog"])
