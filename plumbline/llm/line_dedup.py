@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Texts, blocks, hash_spans, per_text
-from .repeats import LOWEST, keyed, kept_bytes, parts_for, removed_items, repeated_spans
+from .repeats import LOWEST, keyed, kept_bytes, parts_for, removed_items, repeated_spans, with_spans
 
 WINDOW = 3
 
@@ -56,7 +56,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """docs with the repeated lines cut out of their texts; other texts, and other columns, unchanged."""
     found = repeated_lines(docs, doc_id, text, window)
     rows = docs.select(F.struct("*").alias("_d"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), F.col(text).alias("_t"))
-    joined = rows.join(found, ["doc_id", "row"], "left").select("_d", "_t", "spans")
+    joined = with_spans(rows, found).select("_d", "_t", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, 1):
@@ -77,7 +77,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, kept_sha256 of the kept ones joined by \\n."""
     found = repeated_lines(docs, doc_id, text, window)
-    joined = keyed(docs, doc_id, text).join(found, ["doc_id", "row"], "left").select("doc_id", "text", "spans")
+    joined = with_spans(keyed(docs, doc_id, text), found).select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, 1):

@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_hash
+from .common import row_hash, settle
 from .kernel import Texts, blocks, hash_windows, packed, ragged, unpacked, window_starts
 
 MOST_TASKS = 50_000
+BITS_EACH, MOST_BITS = 16, 1 << 29  # of the bitmap of documents with spans: 64 MB at most
 SENT = 4 << 20  # bytes of text whose windows are packed together
 LOWEST = -(1 << 63)  # stands for a null doc_id
 PACKED = "r int, docs binary, doc binary, at binary, h binary, g binary"
@@ -181,6 +182,25 @@ def repeated_spans(docs: DataFrame, items: Items, size: int, parts: int, wanted:
     return later.repartition(tasks_for(parts), "r").groupBy("r").applyInArrow(spans(size), SPANS)
 
 
+def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs (doc_id, row and others) with their spans, null where they have none; found: as repeated_spans() gives.
+
+    Only documents that may have spans are shuffled to meet them: a bitmap of the hashes of found's keys, of BITS_EACH bits a key
+    and MOST_BITS in all, tells most others apart where they are read. Beyond that size more of them are shuffled, and the result is the same.
+    """
+    found = settle(found, "spans")
+    bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * found.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id", "row"), F.lit(bits)) + 1
+    maps = settle(found.groupBy(F.bitmap_bucket_number(place).alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_m")), "bitmap")
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_m", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    # at most MOST_BITS / 8 bytes are broadcast
+    marked = docs.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("_b"), "left").withColumn("_maybe", maybe).drop("_b", "_m")
+    met = marked.where("_maybe").drop("_maybe").join(found, ["doc_id", "row"], "left").select(*docs.columns, "spans")
+    return marked.where("not _maybe").select(*docs.columns, F.lit(None).cast("binary").alias("spans")).union(met)
+
+
 def removed_items(column: pa.Array, ptr: np.ndarray) -> np.ndarray:
     """Which items the spans of their texts (null: none) cover."""
     n = int(ptr[-1]) if len(ptr) else 0

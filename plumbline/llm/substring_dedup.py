@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .kernel import Texts, blocks, hash_windows, packed, per_text, window_starts
 from .line_dedup import digest_rows
-from .repeats import keyed, kept_bytes, parts_for, removed_items, repeated_spans
+from .repeats import keyed, kept_bytes, parts_for, removed_items, repeated_spans, with_spans
 
 WINDOW, GRAM = 20, 10
 ROWS = 2
@@ -138,7 +138,7 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space."""
     found = repeated_words(docs, doc_id, text, window)
-    joined = keyed(docs, doc_id, text).join(found, ["doc_id", "row"], "left").select("doc_id", "text", "spans")
+    joined = with_spans(keyed(docs, doc_id, text), found).select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, 1):
