@@ -6,8 +6,8 @@ words or more than a fifth of its words stand in five-word windows found twice o
 The model is a logistic regression over hashed word and character n-grams (words, word pairs,
 trigrams of code points, none across two texts), each kind as shares of its own total, so that
 length plays no part and a text's result doesn't depend on what it is read with. It is
-fitted on labelled rows, at most SAMPLE of them (those of the smallest hash of doc_id; their
-n-grams alone reach the driver), and its margin is calibrated by Platt's method on every
+fitted on labelled rows, at most SAMPLE of them (those of the smallest hash of doc_id, as far as
+their texts have SAMPLE_BYTES together; their n-grams alone reach the driver), and its margin is calibrated by Platt's method on every
 fourth of them, which the weights don't see. Documents are scored in Arrow batches: kept if
 the probability reaches KEEP.
 
@@ -30,6 +30,7 @@ from .kernel import Texts, blocks, covered, hash_spans, hash_windows, mix, per_t
 
 MIN_WORDS, MOST_REPEATED = 10, 20
 SAMPLE, KEEP, BITS = 4000, 0.5, 16
+SAMPLE_BYTES = 64 << 20  # of the sample's texts; what they send to the driver is some three times as much at most
 KINDS = 3  # words, word pairs, trigrams of code points
 SCALE = 30.0
 CONTINUED = np.zeros(256, bool)
@@ -166,10 +167,15 @@ def labelled(labels: DataFrame, label: str = "quality") -> DataFrame:
     return labels.where(f"doc_id is not null and `{label}` is not null").groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> dict:
+    """The model of at most ``sample`` labelled rows, those of the smallest hashes, as far as their texts have ``most_bytes`` together; equal rows count once."""
     chosen = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("o"), "y", "text")
-    found = rows.select("y", "text", "o").mapInArrow(lambda bs: featured(x.select([0, 1]) for x in bs), FEATURES).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.xxhash64("doc_id", "text").alias("o"), "y", "text")
+    keys = rows.groupBy("h", "o").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).orderBy("h", "o").limit(sample).collect()
+    fits = int(np.searchsorted(np.cumsum([k["n"] for k in keys]), most_bytes, "right"))
+    few = docs.sparkSession.createDataFrame([(k["o"],) for k in keys[: max(fits, 1)]], "o bigint")
+    texts = rows.join(F.broadcast(few), "o", "left_semi").dropDuplicates(["o"]).select("y", "text")
+    found = texts.mapInArrow(featured, FEATURES).collect()
     return fit(sorted(((r["y"], bytes(r["bucket"]), bytes(r["share"])) for r in found), key=lambda r: (len(r[1]), r[1:], r[0])))
 
 
