@@ -93,8 +93,13 @@ def mixed(sizes: DataFrame, leaves: DataFrame, seed: int = SEED) -> DataFrame:
     docs = sizes.where("tokens > 0").join(leaf, same).drop(*[f"_{k}" for k in LEVELS])
     whole = docs.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).withColumn("tokens_taken", F.col("tokens"))
     last = docs.where("part > 0").withColumn("epoch", F.col("whole")).withColumn("h", order_hash(seed, F.col("epoch"))).withColumn("at", F.substring("h", 1, DIGITS))
-    sums = last.groupBy(*LEVELS, "part", "at").agg(F.sum("tokens").alias("n"))
-    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("at")) - F.col("n")).where("before < part")
+    sums = settle(last.groupBy(*LEVELS, "part", "at").agg(F.sum("tokens").alias("n")), "sums")
+    # a leaf's ranges are summed up within sixteen groups of them, and the groups among themselves
+    group = F.substring("at", 1, 1)
+    groups = sums.groupBy(*LEVELS, group.alias("_g")).agg(F.sum("n").alias("_n")).withColumn("_base", F.sum("_n").over(Window.partitionBy(*LEVELS).orderBy("_g")) - F.col("_n"))
+    groups = groups.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], "_g", "_base")
+    within = F.sum("n").over(Window.partitionBy(*LEVELS, group).orderBy("at")) - F.col("n")
+    before = sums.withColumn("_w", within).join(groups, [*same, group == F.col("_g")]).withColumn("before", F.col("_w") + F.col("_base")).where("before < part").drop("_w", "_g", "_base", *[f"_{k}" for k in LEVELS])
     ranges = before.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], F.col("at").alias("_at"), "before", (F.col("before") + F.col("n") <= F.col("part")).alias("inside"))
     met = last.join(ranges, [*same, F.col("at") == F.col("_at")]).drop(*[f"_{k}" for k in LEVELS], "_at")
     inside = met.where("inside").withColumn("tokens_taken", F.col("tokens"))
