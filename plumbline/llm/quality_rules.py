@@ -137,18 +137,19 @@ def fit(rows: list[tuple[int, bytes, bytes]], steps: int = 150, rate: float = 0.
         return model
     bucket = [np.frombuffer(r[1], np.int32) for r in rows]
     share = [np.frombuffer(r[2], np.float32) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(b) for b in bucket])
-    bucket, share = np.concatenate(bucket), np.concatenate(share).astype(np.float64)
+    size = np.array([len(b) for b in bucket])
+    ptr = np.append(0, np.cumsum(size))
+    bucket, share = np.concatenate(bucket), np.concatenate(share)
     w, bias, m, v = np.zeros(KINDS << BITS), 0.0, np.zeros((KINDS << BITS) + 1), np.zeros((KINDS << BITS) + 1)
     train = ~held
     for t in range(1, steps + 1):
-        z = np.bincount(row, share * w[bucket], len(y)) + bias
+        z = per_text(share * w[bucket], ptr) + bias
         miss = np.where(train, 1 / (1 + np.exp(-z)) - y, 0) / train.sum()
-        g = np.append(np.bincount(bucket, share * miss[row], len(w)) + penalty * w, miss.sum())
+        g = np.append(np.bincount(bucket, share * np.repeat(miss, size), len(w)) + penalty * w, miss.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    z = (np.bincount(row, share * w[bucket], len(y)) + bias)[held]
+    z = (per_text(share * w[bucket], ptr) + bias)[held]
     good, bad = y[held].sum(), (1 - y[held]).sum()
     target = np.where(y[held] > 0, (good + 1) / (good + 2), 1 / (bad + 2))
     a, b = 1.0, 0.0
@@ -175,8 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes:
     fits = int(np.searchsorted(np.cumsum([k["n"] for k in keys]), most_bytes, "right"))
     few = docs.sparkSession.createDataFrame([(k["o"],) for k in keys[: max(fits, 1)]], "o bigint")
     texts = rows.join(F.broadcast(few), "o", "left_semi").dropDuplicates(["o"]).select("y", "text")
-    found = texts.mapInArrow(featured, FEATURES).collect()
-    return fit(sorted(((r["y"], bytes(r["bucket"]), bytes(r["share"])) for r in found), key=lambda r: (len(r[1]), r[1:], r[0])))
+    found = [tuple(r) for r in texts.mapInArrow(featured, FEATURES).collect()]
+    found.sort(key=lambda r: (len(r[1]), r[1:], r[0]))
+    return fit(found)
 
 
 SCORES = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, p_good double"
