@@ -12,9 +12,9 @@ BLOCK = 4096  # vectors of a side that are multiplied together
 
 
 def times(text: Column, word: str) -> Column:
-    """Non-overlapping occurrences of a substring, in lower case."""
+    """Non-overlapping occurrences of a substring, in lower case. Counted in bytes, whose number a string knows."""
     t = F.lower(text)
-    return ((F.length(t) - F.length(F.replace(t, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    return ((F.octet_length(t) - F.octet_length(F.replace(t, F.lit(word), F.lit("")))) / len(word.encode())).cast("int")
 
 
 def question_stems(query: str, longer_than: int = 2, stem: int = 7, stop: tuple[str, ...] = ()) -> list[str]:
