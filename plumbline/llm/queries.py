@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import ann, langid, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup
-from .common import settle, table
+from . import alignment, ann, codebooks, langid, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, warc
+from .common import run_folder, settle, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -98,6 +99,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(sizes, leaves).drop("row")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), f"{run_folder(spark)}/{uuid.uuid4().hex}/warc")
+    return warc.report(warc.read(archives))
+
+
+def op13_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -107,12 +121,12 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_quality_rules, op3_attention_lm, op4_collision_ann, op5_language_spans, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_substring_dedup, op10_mixing]
+    found = [op1_quality_classifier, op2_quality_rules, op3_attention_lm, op4_collision_ann, op5_language_spans, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_substring_dedup, op10_mixing, op11_token_alignment, op12_warc, op13_codebooks]
     return {f.__name__: _shipped(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINES_SQL, "op9_substring_dedup": WORDS_SQL, "op10_mixing": MIX_SQL}
+    return {"op6_line_dedup": LINES_SQL, "op9_substring_dedup": WORDS_SQL, "op10_mixing": MIX_SQL, "op12_warc": WARC_SQL, "op13_codebooks": codes_sql()}
 
 
 LINES_SQL = """
@@ -181,3 +195,39 @@ SELECT doc_id, domain, language, source, CAST(epoch AS INTEGER) AS epoch, tokens
 UNION ALL SELECT doc_id, domain, language, source, CAST(whole AS INTEGER), tokens, CAST(least(tokens, part - before) AS BIGINT) FROM last WHERE before < part
 """
 )
+
+_DIGIT = "('0x' || substr(h, {at}, 5))::INTEGER"
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({_DIGIT.format(at=1 + 5 * g)} >> {shift}) & 31), 1)" for g in range(8) for shift in (15, 10, 5, 0))
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
+
+
+def codes_sql() -> str:
+    """Rounds of assignment and update, one after the other."""
+    start = f"""
+WITH good AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ints AS (SELECT vec_id, label, list_transform(v, lambda x: floor({codebooks.SCALE} * x::DOUBLE)) AS v FROM good),
+parts AS (SELECT vec_id, label, part, v[part * len(v) // {codebooks.PARTS} + 1:(part + 1) * len(v) // {codebooks.PARTS}] AS x FROM ints, (SELECT unnest(range({codebooks.PARTS})) AS part)),
+book0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k, x AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM ints ORDER BY vec_id LIMIT {codebooks.ENTRIES}))"""
+    near = """,
+near{r} AS (SELECT vec_id, label, p.part, min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) * 65536 + k) AS best
+  FROM parts p JOIN book{r} b ON b.part = p.part GROUP BY ALL)"""
+    update = """,
+sums{r} AS (SELECT part, k, pos, sum(CAST(val AS BIGINT))::BIGINT AS s, count(*) AS n FROM (
+  SELECT p.part, n.best % 65536 AS k, unnest(p.x) AS val, generate_subscripts(p.x, 1) AS pos FROM parts p JOIN near{r} n ON n.vec_id = p.vec_id AND n.part = p.part) GROUP BY ALL),
+new{r} AS (SELECT part, k, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY pos) AS c FROM sums{r} GROUP BY ALL),
+book{s} AS (SELECT b.part, b.k, coalesce(n.c, b.c) AS c FROM book{r} b LEFT JOIN new{r} n ON n.part = b.part AND n.k = b.k)"""
+    rounds = "".join(near.format(r=r) + update.format(r=r, s=r + 1) for r in range(codebooks.ROUNDS)) + near.format(r=codebooks.ROUNDS)
+    end = f""",
+found AS (SELECT vec_id, label, string_agg(lower(printf('%02x', best % 65536)), '' ORDER BY part) AS code, sum(best // 65536)::BIGINT AS error FROM near{codebooks.ROUNDS} GROUP BY ALL),
+entries AS (SELECT part, k, unnest(c) AS x, generate_subscripts(c, 1) AS pos FROM book{codebooks.ROUNDS})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(CAST(x AS BIGINT)::VARCHAR, ',' ORDER BY part, k, pos)) FROM entries) AS codebooks_sha256
+FROM found"""
+    return start + rounds + end
