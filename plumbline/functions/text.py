@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 LETTER_ID = r"\d{2}\s*[-‐-―_ ]\s*\d{3}"
 LETTER_RUN = rf"(?i)\bAPLs?\s*#?\s*({LETTER_ID}(?:\s*(?:,|and|&)\s*{LETTER_ID})*)"
 #: What a cheap scan looks for first; the wide form also passes plurals and other dashes.
-PREFILTER = r"(?i)APL[ -]?\s*\d{2}-\d{3}"
+PREFILTER = r"(?i)APL\s*#?\s*[0-9]{2}[- ][0-9]{3}"
 PREFILTER_WIDE = r"(?i)\bAPLs?"
 
 
@@ -49,22 +50,43 @@ def node_id(kind: str | Column, key: Column) -> Column:
 
 
 def safe_name(text: Column, most: int = 90, empty: str = "") -> Column:
-    """ASCII letters and digits joined by _, at most ``most`` long. Common accents are folded."""
-    folded = F.regexp_replace(_folded(text), "[’‘]", "")
-    out = F.substring(F.regexp_replace(F.regexp_replace(folded, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""), 1, most)
+    """ASCII letters and digits joined by _, at most ``most`` long."""
+    out = F.substring(F.regexp_replace(F.regexp_replace(_folded(text), "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""), 1, most)
     return F.when(out == "", F.lit(empty)).otherwise(out)
 
 
-def slug_candidates(name: Column, pinned: Column | None = None) -> Column:
-    """Host names an organisation may have, in order: the pinned one, words joined by hyphens, words run together, the first word."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(_folded(name)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    out = F.array(F.array_join(words, "-"), F.array_join(words, ""), F.coalesce(F.get(words, 0), F.lit("")))
-    out = out if pinned is None else F.concat(F.array(F.coalesce(pinned, F.lit(""))), out)
-    return F.array_distinct(F.filter(out, lambda w: w != ""))
+def slug_candidates(name: Column, plan_id: Column | None = None, pinned: Column | None = None) -> Column:
+    """Host names an organisation may have, in order: its words joined by hyphens, without a leading "the", without each "of", and the plan's id. A pinned one is the only one."""
+    base = F.regexp_replace(F.regexp_replace(F.lower(_folded(name)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    out = F.array(base, F.regexp_replace(base, "^the-", ""), F.replace(base, F.lit("-of-"), F.lit("-")), *([] if plan_id is None else [F.lower(plan_id)]))
+    out = F.array_distinct(F.filter(out, lambda w: F.coalesce(w, F.lit("")) != ""))
+    return out if pinned is None else F.when(F.coalesce(pinned, F.lit("")) != "", F.array(pinned)).otherwise(out)
+
+
+# Letters that have no decomposition, and what they are written as.
+ALONE = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ħ": "h", "Ħ": "H", "ı": "i", "ŧ": "t", "Ŧ": "T"}
+LONGER = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ĳ": "ij", "Ĳ": "IJ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl"}
+
+
+def _plain_letters() -> dict[str, str]:
+    """Latin letters and the ASCII letters that they are without their marks."""
+    out = dict(ALONE)
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if c not in LONGER and len(plain) == 1 and plain != c and plain.isascii():
+            out[c] = plain
+    return out
+
+
+PLAIN = _plain_letters()
 
 
 def _folded(text: Column) -> Column:
-    return F.translate(text, "áàâäãåçéèêëíìîïñóòôöõúùûüýÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyAAAAAACEEEEIIIINOOOOOUUUUY")
+    """Text in ASCII: letters without their marks, dashes and spaces as plain ones; what has no such form is left out."""
+    out = F.translate(text, "".join(PLAIN), "".join(PLAIN.values()))
+    for c, plain in LONGER.items():
+        out = F.replace(out, F.lit(c), F.lit(plain))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[\p{Pd}\u2212]", "-"), r"\p{Z}", " "), r"[^\x00-\x7F]", "")
 
 
 def _first_of(rules: list[tuple[str, Column | str]], other: str, text: Column) -> Column:

@@ -237,35 +237,72 @@ def latest_superseder(supersedes: DataFrame) -> DataFrame:
     return supersedes.groupBy(F.col("target").alias("letter")).agg(F.max("source").alias("by"))
 
 
+def _jumps(sup: DataFrame) -> tuple[list[DataFrame], bool]:
+    """Tables (letter, to) of 1, 2, 4 ... superseders further, and whether some lineages have no end.
+
+    A jump that as many letters have as the one before it is had by letters on the way to a cycle alone: of a
+    lineage with an end, some letter ends between the two. If the letters that it leads to are as many as before too, they are those on cycles.
+    """
+    jumps, had, reached = [sup.select("letter", F.col("by").alias("to"))], -1, -1
+    while True:
+        more = settle(jumps[-1].alias("a").join(jumps[-1].alias("b"), F.col("a.to") == F.col("b.letter")).select(F.col("a.letter").alias("letter"), F.col("b.to").alias("to")))
+        have = more.count()
+        if not have:
+            return jumps, False
+        jumps.append(more)
+        if have == had:
+            to = more.select("to").distinct().count()
+            if to == reached:
+                return jumps, True
+            reached = to
+        had = have
+
+
+def _cycles(sup: DataFrame, far: DataFrame) -> DataFrame:
+    """letter, root: the letters on cycles, which are what ``far`` leads to, and the smallest of each one's cycle."""
+    on = settle(far.select(F.col("to").alias("letter")).distinct())
+    jump = settle(on.join(sup, "letter").select("letter", F.col("by").alias("to"), F.least("letter", "by").alias("root")))
+    while True:
+        b = jump.select(F.col("letter").alias("to"), F.col("to").alias("further"), F.col("root").alias("least"))
+        more = settle(jump.join(b, "to").select("letter", F.col("further").alias("to"), F.least("root", "least").alias("root"), (F.col("least") < F.col("root")).alias("new")))
+        if not more.agg(F.max("new")).first()[0]:
+            return more.select("letter", "root")
+        jump = more.drop("new")
+
+
 def citation_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """document, plan_id, letter, replaced, old_only: old_only if the document cites nothing later in the letter's lineage.
 
     Each letter has one superseder at most here, so lineages are trees towards their latest
-    letters. Tables of jumps over 1, 2, 4 ... superseders, a row a letter each, give every
+    letters, or towards a cycle, whose letters are all later than each other and themselves: a cycle stands for one letter
+    in the trees, and its letters are never old_only. Tables of jumps over 1, 2, 4 ... superseders, a row a letter each, give every
     letter's last one and its distance; whether one citation of a document is later than another
     is then tested for those pairs alone, by as many jumps as their distances differ by.
     """
     sup = settle(latest_superseder(edges.where("relationship_type = 'supersedes'")))
     impl = edges.where("relationship_type = 'implements'").select(F.col("source").alias("document"), F.col("target").alias("letter"))
     impl = impl.join(nodes.where("kind = 'document'").select(F.col("id").alias("document"), "plan_id"), "document")
-    jumps = [sup.select("letter", F.col("by").alias("to"))]
-    while len(jumps) < 40:
-        more = settle(jumps[-1].alias("a").join(jumps[-1].alias("b"), F.col("a.to") == F.col("b.letter")).select(F.col("a.letter").alias("letter"), F.col("b.to").alias("to")))
-        if more.isEmpty():
-            break
-        jumps.append(more)
-    place = impl.select("letter").distinct().withColumn("last", F.col("letter")).withColumn("far", F.lit(0).cast("bigint"))
+    jumps, endless = _jumps(sup)
+    impl = impl.withColumn("root", F.lit(None).cast("string"))
+    if endless:
+        on = settle(_cycles(sup, jumps[-1]))
+        impl = impl.drop("root").join(on, "letter", "left")
+        tree = sup.join(on.select("letter"), "letter", "left_anti").join(on.select(F.col("letter").alias("by"), "root"), "by", "left")
+        jumps, _ = _jumps(settle(tree.select("letter", F.coalesce("root", "by").alias("by"))))
+    impl = settle(impl.withColumn("node", F.coalesce("root", "letter")))
+    place = impl.select("node").distinct().withColumn("last", F.col("node")).withColumn("far", F.lit(0).cast("bigint"))
     for k in reversed(range(len(jumps))):
         j = jumps[k].select(F.col("letter").alias("last"), "to")
-        place = place.join(j, "last", "left").select("letter", F.coalesce("to", "last").alias("last"), (F.col("far") + F.when(F.col("to").isNotNull(), 2**k).otherwise(0)).alias("far"))
-    cited = settle(impl.join(place, "letter").join(sup, "letter", "left"))
-    a, b = cited.select("document", "letter", "last", "far"), cited.select("document", "last", F.col("letter").alias("newer"), F.col("far").alias("nearer"))
-    pairs = a.join(b, ["document", "last"]).where("nearer < far").select("document", "letter", "newer", (F.col("far") - F.col("nearer")).alias("steps"), F.col("letter").alias("at"))
+        place = place.join(j, "last", "left").select("node", F.coalesce("to", "last").alias("last"), (F.col("far") + F.when(F.col("to").isNotNull(), 2**k).otherwise(0)).alias("far"))
+    cited = settle(impl.join(place, "node").join(sup, "letter", "left"))
+    a, b = cited.select("document", "letter", "last", "far", "node"), cited.select("document", "last", F.col("node").alias("newer"), F.col("far").alias("nearer")).distinct()
+    pairs = a.join(b, ["document", "last"]).where("nearer < far").select("document", "letter", "newer", (F.col("far") - F.col("nearer")).alias("steps"), F.col("node").alias("at"))
     for k, jump in enumerate(jumps):
         j = jump.select(F.col("letter").alias("at"), "to")
         pairs = pairs.join(j, "at", "left").withColumn("at", F.when(F.col("steps").bitwiseAND(2**k) > 0, F.col("to")).otherwise(F.col("at"))).drop("to")
     met = pairs.where("at = newer").select("document", "letter").distinct().withColumn("met", F.lit(True))
-    return cited.join(met, ["document", "letter"], "left").select("document", "plan_id", "letter", F.col("by").isNotNull().alias("replaced"), (F.col("by").isNotNull() & F.col("met").isNull()).alias("old_only"))
+    old = F.col("by").isNotNull() & F.col("met").isNull() & F.col("root").isNull()
+    return cited.join(met, ["document", "letter"], "left").select("document", "plan_id", "letter", F.col("by").isNotNull().alias("replaced"), old.alias("old_only"))
 
 
 # -- traversal and topology ------------------------------------------------------------------

@@ -845,4 +845,4 @@ def staged(spark, e: DataFrame) -> tuple[str, DataFrame]:
     return folder, e
 
 
-from . import queries_more, queries_sources  # noqa: E402, F401  they add to QUERIES and SQL
+from . import queries_more, queries_sources, queries_store  # noqa: E402, F401  they add to QUERIES and SQL

@@ -15,6 +15,7 @@ from .plans import contract
 from .queries import LINK_SQL, V, case_sql, fields, links, query, r6, staged
 from .session import run_folder, settle, table
 from .sources import catalog, crawl, documents, records
+from .sources.store import Store, ingest
 from .streaming import events as streams
 
 
@@ -206,11 +207,14 @@ def manifest(spark, d):
     return catalog.manifest(spark, at, "p").select("policy_number", "title", "doc_kind", "department", "line_of_business", "filename")
 
 
-@query("s11_slugs", """WITH n AS (SELECT p_partkey, CASE WHEN p_size = 7 THEN 'pinned' ELSE NULL END AS pin, replace(p_name, ' ', '-') AS a, replace(p_name, ' ', '') AS b, split_part(p_name, ' ', 1) AS c FROM part)
-SELECT p_partkey, array_to_string(list_distinct_in_order, '|') AS slugs FROM (SELECT p_partkey, CASE WHEN pin IS NULL THEN '' ELSE pin || '|' END || a || '|' || b || '|' || c AS j, [x for x in [pin, a, b, c] if x IS NOT NULL] AS list_distinct_in_order FROM n)""")
+@query("s11_slugs", """WITH n AS (SELECT p_partkey, CASE WHEN p_size = 7 THEN 'pinned' ELSE NULL END AS pin, replace(p_name, ' ', '-') AS b, 'p' || p_partkey AS id FROM part),
+c AS (SELECT p_partkey, pin, id, CASE WHEN p_partkey % 2 = 0 THEN 'the-' || b || '-of-lodz' ELSE b END AS base, CASE WHEN p_partkey % 2 = 0 THEN b || '-of-lodz' ELSE b END AS second, CASE WHEN p_partkey % 2 = 0 THEN 'the-' || b || '-lodz' ELSE b END AS third FROM n)
+SELECT p_partkey, CASE WHEN pin IS NOT NULL THEN pin WHEN p_partkey % 2 = 0 THEN base || '|' || second || '|' || third || '|' || id ELSE base || '|' || id END AS slugs FROM c""")
 def slugs(spark, d):
-    name = F.concat(F.regexp_replace(F.initcap("p_name"), " ", " & "), F.lit("!"))
-    return table(spark, d, "part").select("p_partkey", F.array_join(X.slug_candidates(name, F.when(F.col("p_size") == 7, "pinned")), "|").alias("slugs"))
+    even = F.col("p_partkey") % 2 == 0
+    name = F.concat(F.when(even, "The ").otherwise(""), F.regexp_replace(F.initcap("p_name"), " ", " & "), F.when(even, " of Łódź").otherwise("!"))
+    found = X.slug_candidates(name, F.concat(F.lit("P"), "p_partkey"), F.when(F.col("p_size") == 7, "pinned"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(found, "|").alias("slugs"))
 
 
 def search_page(offset: int, size: int, total: int = 523) -> tuple[int, list[str]]:
@@ -311,18 +315,17 @@ def upsert(spark, d):
 @query("s20_partial_ingest", """SELECT (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS done_at_last, true AS stopped_first, true AS complete_at_last, 0::BIGINT AS lost, 0::BIGINT AS twice""")
 def partial_ingest(spark, d):
     # the first run meets a group that fails; the next one goes on with what isn't done
-    at, calls = place(spark), []
+    calls, store = [], Store(spark, place(spark), 8)
     docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("origin"), F.md5("text").alias("hash"))
 
     def work(part):
         calls.append(1)
         return part.withColumn("x", F.raise_error(F.lit("the service is down")).cast("int")) if len(calls) == 4 else part.withColumn("x", F.lit(1))
 
-    first = documents.ingested(docs, work, at)
-    last = documents.ingested(catalog.changed(docs, settle(first["done"])), work, at)
-    rows = spark.read.parquet(f"{at}/rows").groupBy("origin").agg(F.count("*").alias("n"))
+    first, last = (ingest(store, docs, work, 1) for _ in range(2))
+    rows = store.rows().groupBy("origin").agg(F.count("*").alias("n"))
     seen = docs.join(rows, "origin", "left").agg(F.count_if(F.col("n").isNull()).alias("lost"), F.count_if(F.col("n") > 1).alias("twice"))
-    return seen.select(F.lit(last["done"].count()).alias("done_at_last"), F.lit(not first["complete"]).alias("stopped_first"), F.lit(last["complete"]).alias("complete_at_last"), "lost", "twice")
+    return seen.select(F.lit(store.done().count()).alias("done_at_last"), F.lit(not first["complete"]).alias("stopped_first"), F.lit(last["complete"]).alias("complete_at_last"), "lost", "twice")
 
 
 @query("s21_published", "SELECT n_nationkey, 'second' AS edition FROM nation")

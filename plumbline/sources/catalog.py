@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import department, doc_kind, doc_title, safe_name, site_code, trimmed, vendor_code, vendor_title
+from ..functions.text import ALONE, LONGER, department, doc_kind, doc_title, safe_name, site_code, trimmed, vendor_code, vendor_title
 
 # The catalog's columns.
 COLUMNS = [
@@ -173,15 +173,15 @@ def site_catalog(links: DataFrame, plan_id: str, scope: list[str], extra: DataFr
     return found if extra is None else found.unionByName(extra.join(found.select("source_url").distinct(), "source_url", "left_anti").select(COLUMNS))
 
 
-def slugs(name: str, pinned: str | None = None) -> list[str]:
-    """Candidate host names of an organisation; a pinned one wins."""
+def slugs(name: str, pinned: str | None = None, plan_id: str = "") -> list[str]:
+    """Candidate host names of an organisation, as slug_candidates gives; a pinned one is the only one."""
     import re
     import unicodedata
 
-    flat = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower()
-    words = re.sub(r"[^a-z0-9]+", " ", flat).split()
-    found = ["-".join(words), "".join(words), words[0] if words else ""]
-    return list(dict.fromkeys(([pinned] if pinned else []) + [f for f in found if f]))
+    flat = "".join(LONGER.get(c, ALONE.get(c, c)) for c in name)
+    base = re.sub(r"[^a-z0-9]+", "-", unicodedata.normalize("NFKD", flat).encode("ascii", "ignore").decode().lower()).strip("-")
+    found = [base, re.sub("^the-", "", base), base.replace("-of-", "-"), plan_id.lower()]
+    return [pinned] if pinned else list(dict.fromkeys(f for f in found if f))
 
 
 # -- documents -------------------------------------------------------------------------------

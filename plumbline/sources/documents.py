@@ -190,33 +190,6 @@ def embedder(name: str, **settings):
     return PROVIDERS[name](**settings)
 
 
-# -- ingest ----------------------------------------------------------------------------------
-
-
-def ingested(todo: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, groups: int = 8) -> dict:
-    """Processes documents (origin, hash and others) group by group and writes each group's rows whole under ``path``/rows and its
-    hashes under ``path``/done. A group that fails ends the run: what came before stays and is told as done, so the next run goes on there.
-    """
-    spark = todo.sparkSession
-    spread = todo.withColumn("_g", F.pmod(F.xxhash64("origin"), F.lit(groups)).cast("int"))
-    for g in range(groups):
-        part = spread.where(F.col("_g") == g).drop("_g")
-        try:
-            process(part).write.mode("append").parquet(f"{path}/rows/run={g}")
-        except Exception as e:  # noqa: BLE001  whatever ends it, what is done stays
-            return {"complete": False, "groups": g, "error": str(e).splitlines()[0] if str(e) else type(e).__name__, "done": done(spark, path)}
-        part.select("origin", "hash").write.mode("append").parquet(f"{path}/done")
-    return {"complete": True, "groups": groups, "error": None, "done": done(spark, path)}
-
-
-def done(spark: SparkSession, path: str) -> DataFrame:
-    """origin, hash of what is done; empty where nothing is."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
-    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-        return spark.createDataFrame([], "origin string, hash string")
-    return spark.read.schema("origin string, hash string").parquet(f"{path}/done")
-
-
 # -- publishing ------------------------------------------------------------------------------
 
 

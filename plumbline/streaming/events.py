@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle
+from ..sources.store import Store
+
 
 def event_stream(spark: SparkSession, folder: str, schema, watermark: str = "1 day", at: str = "occurred_at") -> DataFrame:
     """New files of an append-only folder; times are cast, as watermarks need a timestamp with zone."""
@@ -102,3 +105,18 @@ def incremental(stream: DataFrame, target: str, checkpoint: str, process):
         process(batch).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(commit).start()
+
+
+def ingested(stream: DataFrame, store: Store, checkpoint: str, process, order: Column):
+    """Each micro-batch (origin, hash and others) goes into the store whole; of a document's editions in one batch only the last by ``order``.
+
+    The store keeps the number of the last batch, so one that is given again after a failure is not added twice; documents
+    whose hash the store has already are passed over.
+    """
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        last = batch.groupBy("origin").agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        new = settle(last.join(store.done(), ["origin", "hash"], "left_anti"), "batch")
+        store.upsert(new.select("origin", "hash"), process(new), (checkpoint, batch_id))
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(commit).start()

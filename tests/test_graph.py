@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -20,6 +21,26 @@ def test_relational_queries(small):
     assert status == {"apl:1": (True, True), "apl:2": (False, False)}
 
 
+def test_lineages_that_are_cycles(spark):
+    """All letters of a cycle are later than each other, and later than what leads into it."""
+    rng = random.Random(3)
+    letters = [f"apl:{k:02}" for k in range(30)]
+    by = {x: rng.choice(letters) for x in letters if rng.random() < 0.85} | {"apl:00": "apl:00", "apl:28": "apl:29", "apl:29": "apl:28"}
+    cites = {(f"doc:{k % 12}", rng.choice(letters)) for k in range(60)}
+
+    def after(x):
+        seen = set()
+        while x in by and by[x] not in seen:
+            x = by[x]
+            seen.add(x)
+        return seen
+
+    edges = [(v, k, "supersedes") for k, v in by.items()] + [(d, x, "implements") for d, x in cites]
+    nodes = spark.createDataFrame([(f"doc:{k}", "document", "p") for k in range(12)], "id string, kind string, plan_id string")
+    got = {(r.document, r.letter): (r.replaced, r.old_only) for r in graph.citation_status(nodes, spark.createDataFrame(edges, "source string, target string, relationship_type string")).collect()}
+    assert got == {(d, x): (x in by, x in by and not any((d, y) in cites for y in after(x))) for d, x in cites}
+
+
 def test_supersession_directions(spark):
     rows = [("apl", "APL 31-407", "APL 31-407: Rides, supersedes APL 07-119"), ("apl", "", "APL 33-050 on nights, superseded by APL 61-204"), ("policy", "", "Supersedes APL 52-330")]
     got = {(r.source, r.target) for r in graph.supersede_edges(spark.createDataFrame(rows, "doc_kind string, policy_number string, title string")).collect()}
