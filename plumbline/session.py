@@ -64,13 +64,14 @@ _folders: set[str] = set()
 SMALL_PAGES = {"parquet.page.size.row.check.min": "2", "parquet.block.size.row.check.min": "2"}
 
 
-def settle(df: DataFrame, name: str = "part") -> DataFrame:
-    """df written once as a table in the shared folder and read again: its lineage ends there.
+def settle(df: DataFrame, name: str = "part", by: str | None = None) -> DataFrame:
+    """df written once as a table in the shared folder and read again: its lineage ends there. by: a column with a folder for each value.
 
     Unlike a checkpoint this computes df once, and an executor's loss costs nothing after it.
     """
     path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
-    df.write.options(**SMALL_PAGES).parquet(path)
+    out = df.write.options(**SMALL_PAGES)
+    (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
