@@ -16,12 +16,13 @@ the experts say follows that symbol, so the probabilities of all continuations s
 experts are smoothed pair counts of groups of training texts (k-means over their symbols, ROUNDS rounds
 over all texts at most). Counts of ids, the groups' centres and pair counts are gathered from all training
 documents: texts are tokenized once, each task adds up what it reads, and what it found is merged by range,
-so that the driver gets a number an id, a centre's symbol, a pair and expert, however large the input is.
-The attention is trained in numpy by Adam on the mixture's log likelihood: it begins with STEPS steps on
-a sample of SAMPLE training documents at most (those of the smallest hash, whose ids reach the driver, a stretch of STRETCH ids
-of a longer one; so does k-means), then each task goes on from there over one in SHARE of the windows of all
-training documents that it reads, and the tasks' results are averaged by the windows they saw. No query
-or key grows beyond a length of LONGEST, so that weights never overflow. Texts are cut into windows
+so that the driver gets a number an id, a centre's symbol, a pair and expert, however large the input is. k-means begins at
+sums over the texts in which each of the commonest ANCHORS symbols stands out most.
+The attention is trained in numpy by Adam on the mixture's log likelihood of every window of every training document, once each: a
+hash of a document (doc_id and text) says in which of TURNS steps its windows are met, tasks add up the
+gradients of all windows of a step, and the driver moves the weights. All sums are of whole numbers, each text's or window's part
+rounded by itself, and nothing depends on how the input is cut into tasks or blocks: the same documents give the
+same scores on any cluster. No query or key grows beyond a length of LONGEST, so that weights never overflow. Texts are cut into windows
 of CONTEXT ids that overlap: only the last STRIDE of a window are scored, so each token is scored
 once and, but for a text's start, sees CONTEXT - STRIDE tokens at least. Windows are scored in
 batches with a mask.
@@ -49,15 +50,13 @@ from .common import row_hash, settle
 from .kernel import Texts, blocks, mix, packed, per_text, ragged, unpacked
 from .repeats import tasks_for
 
-SAMPLE, SYMBOLS, EXPERTS = 3000, 1024, 6
-STRETCH, MARGIN = 4096, 3  # of a longer text in the sample; how many times the sample is met before it is cut
+SYMBOLS, EXPERTS = 1024, 6
 CONTEXT, STRIDE, KEY = 40, 28, 8
-STEPS, BATCH, RATE, SEED = 120, 256, 0.03, 3
-SHARE, FINER = 16, 0.02  # of the pass over all training documents: one in so many windows, and its rate
+TURNS, BATCH, RATE, SEED = 16, 256, 0.2, 3
 LONGEST = 40**0.5  # of queries and keys: their products stay within what exp() of 32-bit floats can take
-ROUNDS, STILL, FINE = 8, 1e-3, 1 << 24  # of k-means over all texts: rounds at most, 1 - cosine at which a centre stays, a sum's steps in a unit
+ANCHORS, ROUNDS, FINE, GRAIN = 64, 1, 1 << 24, 1 << 16  # of k-means: cells that it begins at, rounds over all texts; steps in a unit of a centre's and of a gradient's sum
 PAIRS, RANGES = (SYMBOLS + 1) * SYMBOLS * EXPERTS, 256  # pair counts, and the ranges they are merged in
-PIECES, SALTS = 8, 64  # rows that a task's part of a sum is cut into, and groups that add up tasks' parts first
+PIECES, FAN = 8, 64  # rows that a task's part of a sum is cut into, and parts that are added up together
 BACK_OFF = 30.0  # pairs' worth of an expert's symbol counts in its pair counts
 FREQUENT = 400_000
 MOST_WORDS = 1_000_000  # a worker's memory of words
@@ -220,7 +219,7 @@ class Model:
     prior: np.ndarray  # symbol before, expert
     distance: np.ndarray  # CONTEXT
 
-    def scores(self, stream: np.ndarray, edge: np.ndarray, batch: int = 1024) -> np.ndarray:
+    def scores(self, stream: np.ndarray, edge: np.ndarray, batch: int = BATCH) -> np.ndarray:
         """log10 probability of each text."""
         target = self.symbol[stream]
         before = np.empty(len(stream), np.int32)
@@ -294,17 +293,31 @@ def moved(sums: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.where(far > 0, sums / np.maximum(far, 1e-12), centre)
 
 
-def centres_of(x: np.ndarray) -> np.ndarray:
-    """k-means of texts (directions) by angle; later centres begin at the texts farthest from earlier ones."""
-    if not len(x):
+def fixed(x: np.ndarray, own: np.ndarray, groups: int) -> np.ndarray:
+    """Sums of each group's directions in whole numbers, which don't depend on order."""
+    x = np.rint(x * np.float32(FINE)).astype(np.float64)
+    return ((np.arange(groups)[:, None] == own).astype(np.float64) @ x).astype(np.int64)
+
+
+def anchored(x: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """For each of the commonest symbols the sum of the directions of texts in which it exceeds its share in all texts by the largest factor; and how many these are."""
+    own = (x[:, :ANCHORS] / np.maximum(shares[:ANCHORS], 1e-9)).argmax(axis=1)
+    return np.append(fixed(x, own, ANCHORS), np.bincount(own, minlength=ANCHORS)[:, None], axis=1)
+
+
+def centres_of(sums: np.ndarray) -> np.ndarray:
+    """k-means of the anchors' cells by angle; later centres begin at cells that are large and far from earlier ones."""
+    sums, n = sums[:, :-1].astype(np.float64), sums[:, -1]
+    if not n.any():
         return np.zeros((EXPERTS, SYMBOLS))
-    centre = [x.mean(axis=0) / max(np.linalg.norm(x.mean(axis=0)), 1e-12)]
+    x = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    centre = [sums.sum(axis=0) / max(np.linalg.norm(sums.sum(axis=0)), 1e-12)]
     for _ in range(EXPERTS - 1):
-        centre.append(x[(x @ np.array(centre).T).max(axis=1).argmin()])
-    centre = np.array(centre, np.float64)
+        centre.append(x[((1 - (x @ np.array(centre).T).max(axis=1)) * n).argmax()])
+    centre = np.array(centre)
     for _ in range(20):
         own = (x @ centre.T).argmax(axis=1)
-        centre = moved(np.array([x[own == g].sum(axis=0, dtype=np.float64) for g in range(EXPERTS)]), centre)
+        centre = moved(np.array([sums[own == g].sum(axis=0) for g in range(EXPERTS)]), centre)
     return centre
 
 
@@ -324,22 +337,30 @@ def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts) if texts else np.zeros(0, np.int32), np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
 
 
-def fit(texts: list[np.ndarray], size: int) -> Model:
-    """texts: ids of each, its end last; size: ids there are, the end included. All is gathered from these texts."""
+def fit(texts: list[np.ndarray], size: int, turns: list[int] | None = None) -> Model:
+    """texts: ids of each, its end last; size: ids there are, the end included; turns: the step in which each is met, else they take turns."""
     stream, edge = joined(texts)
     symbol, inner = symbols_of(np.bincount(stream, minlength=size))
     target, x = symbol[stream], directions(symbol[stream], edge)
-    group = (x @ centres_of(x).T).argmax(axis=1)
-    return trained(texts, symbol, inner, np.bincount(pair_cells(target, edge, group), minlength=PAIRS))
+    centre = centres_of(anchored(x, shares_of(symbol, np.bincount(stream, minlength=size)))).astype(np.float32)
+    for _ in range(ROUNDS):
+        centre = moved(fixed(x, (x @ centre.T).argmax(axis=1), EXPERTS).astype(np.float64), centre).astype(np.float32)
+    counts = np.bincount(pair_cells(target, edge, (x @ centre.T).argmax(axis=1)), minlength=PAIRS)
 
+    def turn(t: int, steps: Steps) -> np.ndarray:
+        stream, edge = joined([x for k, x in enumerate(texts) if (turns[k] if turns else k % TURNS) == t])
+        return gradients(symbol[stream], edge, steps.weights(), steps.pairs)
 
-def tables(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pair counts: p(symbol | symbol before, expert), and p(symbol | expert)."""
+    return trained(turn, symbol, inner, *tables(counts, min(size, SYMBOLS)))
+
+
+def tables(counts: np.ndarray, used: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
+    """Of pair counts: p(symbol | symbol before, expert), and p(symbol | expert). used: how many symbols stand for an id."""
     counts = counts.reshape(SYMBOLS + 1, SYMBOLS, EXPERTS)
     pairs = np.empty((SYMBOLS + 1, SYMBOLS, EXPERTS), np.float32)
     single = np.empty((SYMBOLS, EXPERTS))
     of = counts.sum(axis=0)
-    every = (of.sum(axis=1) + 0.1) / (of.sum() + 0.1 * SYMBOLS)
+    every = (of.sum(axis=1) + np.where(np.arange(SYMBOLS) < used, 0.1, 0)) / (of.sum() + 0.1 * used)
     for g in range(EXPERTS):
         single[:, g] = (of[:, g] + 50 * every) / (of[:, g].sum() + 50)
         c = counts[:, :, g]
@@ -353,144 +374,174 @@ WEIGHTS = {"q": (SYMBOLS + 1, KEY), "k": (SYMBOLS + 1, KEY), "v": (SYMBOLS + 1,
 def first_weights(single: np.ndarray) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(SEED)
     p = {name: rng.normal(0, 0.1, shape) if name in "qk" else np.zeros(shape) for name, shape in WEIGHTS.items()}
-    log = np.log(single)
+    log = np.log(np.maximum(single, 1e-12))
     p["v"][:-1] = 3 * (log - log.mean(axis=1, keepdims=True))  # what a symbol says of the experts at first
     return p
 
 
 class Steps:
-    """Adam on the mixture's log likelihood of batches of windows."""
+    """Adam on the mixture's log likelihood."""
 
     def __init__(self, p: dict[str, np.ndarray], pairs: np.ndarray):
         self.p, self.pairs, self.t = {name: np.array(x, np.float64) for name, x in p.items()}, pairs, 0
         self.m, self.v = ({name: np.zeros_like(x) for name, x in self.p.items()} for _ in range(2))
 
-    def step(self, x: np.ndarray, y: np.ndarray, there: np.ndarray, rate: float) -> None:
-        """x: symbols before each place of the windows; y: symbols at the scored places; there: which places are in the window."""
-        p, own, scored = self.p, x[:, CONTEXT - STRIDE :], there[:, CONTEXT - STRIDE :]
-        q, k, val = p["q"][own], p["k"][x], p["v"][x]
-        w = q @ k.transpose(0, 2, 1) + np.where(GAP >= 0, p["distance"][np.maximum(GAP, 0)], -1e4) + np.where(there, 0, -1e4)[:, None, :]
-        w = np.exp(w - w.max(axis=2, keepdims=True))
-        w /= w.sum(axis=2, keepdims=True)
-        z = w @ val + p["prior"][own]
-        z = np.exp(z - z.max(axis=2, keepdims=True))
-        z /= z.sum(axis=2, keepdims=True)
-        after = z * self.pairs[own, y]
-        after /= after.sum(axis=2, keepdims=True)
-        dz = (z - after) * scored[:, :, None] / max(1, scored.sum())
-        dw = dz @ val.transpose(0, 2, 1)
-        dw = w * (dw - (dw * w).sum(axis=2, keepdims=True))
-        g = {name: np.zeros_like(a) for name, a in p.items()}
-        np.add.at(g["prior"], own.ravel(), dz.reshape(-1, EXPERTS))
-        np.add.at(g["v"], x.ravel(), (w.transpose(0, 2, 1) @ dz).reshape(-1, EXPERTS))
-        np.add.at(g["q"], own.ravel(), (dw @ k).reshape(-1, KEY))
-        np.add.at(g["k"], x.ravel(), (dw.transpose(0, 2, 1) @ q).reshape(-1, KEY))
-        g["distance"] = np.bincount(np.maximum(GAP, 0).ravel(), np.where(GAP >= 0, dw.sum(axis=0), 0).ravel(), CONTEXT)
+    def weights(self) -> dict[str, np.ndarray]:
+        return {name: x.astype(np.float32) for name, x in self.p.items()}
+
+    def step(self, sums: np.ndarray, rate: float) -> None:
+        """sums: as gradients() gives, of all windows of the step; without any the weights stay."""
+        if not len(sums) or not sums[-1]:
+            return
+        at, flat = 0, sums[:-1] / (GRAIN * sums[-1])
         self.t += 1
-        for name in p:
-            self.m[name] = 0.9 * self.m[name] + 0.1 * g[name]
-            self.v[name] = 0.98 * self.v[name] + 0.02 * g[name] ** 2
-            p[name] -= rate * (self.m[name] / (1 - 0.9**self.t)) / (np.sqrt(self.v[name] / (1 - 0.98**self.t)) + 1e-7)
+        for name, shape in WEIGHTS.items():
+            g = flat[at : at + int(np.prod(shape))].reshape(shape)
+            at += g.size
+            self.m[name] = 0.9 * self.m[name] + 0.1 * g
+            self.v[name] = 0.98 * self.v[name] + 0.02 * g**2
+            self.p[name] -= rate * (self.m[name] / (1 - 0.9**self.t)) / (np.sqrt(self.v[name] / (1 - 0.98**self.t)) + 1e-9)
         for name in "qk":
-            p[name] *= np.minimum(1.0, LONGEST / np.maximum(np.linalg.norm(p[name], axis=1, keepdims=True), 1e-12))
+            self.p[name] *= np.minimum(1.0, LONGEST / np.maximum(np.linalg.norm(self.p[name], axis=1, keepdims=True), 1e-12))
+
+
+def gradient(p: dict[str, np.ndarray], pairs: np.ndarray, x: np.ndarray, y: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Of some windows: the gradients of all weights one after the other, in whole numbers, and how many tokens are scored.
+
+    x: symbols before each place of the windows; y: symbols at the scored places; there: which places are in the window.
+    """
+    own, scored = x[:, CONTEXT - STRIDE :], there[:, CONTEXT - STRIDE :]
+    q, k, val = p["q"][own], p["k"][x], p["v"][x]
+    w = q @ k.transpose(0, 2, 1)
+    np.exp(w, out=w)
+    w *= np.where(GAP >= 0, np.exp(p["distance"][np.maximum(GAP, 0)]), 0).astype(np.float32)
+    w *= there[:, None, :]
+    w /= np.maximum(w.sum(axis=2, keepdims=True), 1e-30)
+    z = w @ val
+    z += p["prior"][own]
+    z -= z.max(axis=2, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=2, keepdims=True)
+    after = z * pairs[own, y]
+    after /= after.sum(axis=2, keepdims=True)
+    dz = z - after
+    dz *= scored[:, :, None]
+    dw = dz @ val.transpose(0, 2, 1)
+    dw -= (dw * w).sum(axis=2, keepdims=True)
+    dw *= w
+
+    def scattered(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        columns = values.reshape(-1, values.shape[-1]).T
+        return np.stack([np.bincount(at.ravel(), np.rint(c * np.float32(GRAIN)), SYMBOLS + 1) for c in columns], axis=1)
+
+    g = {"q": scattered(own, dw @ k), "k": scattered(x, dw.transpose(0, 2, 1) @ q), "v": scattered(x, w.transpose(0, 2, 1) @ dz), "prior": scattered(own, dz)}
+    by_gap = np.where(GAP >= 0, np.rint(dw * np.float32(GRAIN)).sum(axis=0, dtype=np.float64), 0)
+    g["distance"] = np.bincount(np.maximum(GAP, 0).ravel(), by_gap.ravel(), CONTEXT)
+    return np.append(np.concatenate([g[name].ravel() for name in WEIGHTS]), scored.sum()).astype(np.int64)
+
+
+def gradients(target: np.ndarray, edge: np.ndarray, p: dict[str, np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """The sums of gradient() over all windows of some texts."""
+    before, n = symbols_before(target, edge), len(windows(edge)[0])
+    out = np.zeros(sum(int(np.prod(shape)) for shape in WEIGHTS.values()) + 1, np.int64)
+    for i in range(0, n, BATCH):
+        out += gradient(p, pairs, *picked(target, before, edge, np.arange(i, min(i + BATCH, n))))
+    return out
 
 
 def picked(target: np.ndarray, before: np.ndarray, edge: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x, y and there of Steps.step, of some windows."""
+    """x, y and there of gradient(), of some windows."""
     at, there = places(*(a[pick] for a in windows(edge)))
     at = np.where(there, at, 0)
     return before[at], target[at[:, CONTEXT - STRIDE :]], there
 
 
-def trained(texts: list[np.ndarray], symbol: np.ndarray, inner: np.ndarray, counts: np.ndarray) -> Model:
-    """The experts of pair counts, and the attention after STEPS steps on some texts."""
-    rng = np.random.default_rng(SEED)
-    stream, edge = joined(texts)
-    target = symbol[stream]
-    before = symbols_before(target, edge)
-    pairs, single = tables(counts)
+def trained(turn, symbol: np.ndarray, inner: np.ndarray, pairs: np.ndarray, single: np.ndarray) -> Model:
+    """The experts of tables(), and the attention after TURNS steps. turn: from a step's number and the weights so far to its gradients()."""
     steps = Steps(first_weights(single), pairs)
-    n = len(windows(edge)[0])
-    for t in range(1, STEPS + 1 if n else 1):
-        steps.step(*picked(target, before, edge, rng.integers(0, n, BATCH)), RATE * (1 - t / (STEPS + 1)))
-    return Model(symbol, inner.astype(np.float32), pairs, **{name: a.astype(np.float32) for name, a in steps.p.items()})
+    for t in range(TURNS):
+        steps.step(turn(t, steps), RATE * (1 - t / TURNS))
+    return Model(symbol, inner.astype(np.float32), pairs, **steps.weights())
+
+
+def shares_of(symbol: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Roots of the symbols' shares in all texts."""
+    return np.sqrt(np.bincount(symbol, n, SYMBOLS) / max(1, n.sum()))
 
 
 # -- sums over all training texts ------------------------------------------------------------
 
-BLOCK_OF_IDS = "ids binary, lengths binary, learn binary"
+BLOCK_OF_IDS = "ids binary, lengths binary"
 SUM = "r int, s int, x binary"
 
 
 def id_texts(batch: pa.RecordBatch, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and edges of the texts to learn from, block by block. batch: BLOCK_OF_IDS."""
-    for i in range(batch.num_rows):
-        ids, size, learn = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in enumerate((kind, np.int32, bool)))
-        if learn.all():
-            yield ids, np.append(0, np.cumsum(size, dtype=np.int64))
-        elif learn.any():
-            yield ids[np.repeat(learn, size)], np.append(0, np.cumsum(size[learn], dtype=np.int64))
+    """Ids and edges of texts, block by block. batch: BLOCK_OF_IDS."""
+    for ids, size in zip(batch.column(0), batch.column(1)):
+        yield np.frombuffer(ids.as_buffer(), kind), np.append(0, np.cumsum(np.frombuffer(size.as_buffer(), np.int32), dtype=np.int64))
 
 
-def salt() -> int:
-    """Which of SALTS groups adds up first what this task has found."""
+def group() -> int:
+    """Which group of FAN tasks adds up first what this task has found."""
     task = TaskContext.get()
-    return (task.partitionId() if task else 0) % SALTS
+    return (task.partitionId() if task else 0) // FAN
 
 
 def in_pieces(x: np.ndarray) -> pa.RecordBatch:
     """One task's part of a sum, cut into PIECES rows."""
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(np.full(PIECES, salt(), np.int32)), pa.array([p.tobytes() for p in np.array_split(x, PIECES)], pa.binary())], names=["r", "s", "x"])
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(np.full(PIECES, group(), np.int32)), pa.array([p.tobytes() for p in np.array_split(x, PIECES)], pa.binary())], names=["r", "s", "x"])
+
 
+def added_up(parts: DataFrame, add, shape: str, tasks: int) -> list:
+    """The tasks' parts (r, s and others) added up FAN at a time until there is one for each r. add: from a table of one r and s to one row, whose s is the next group."""
+    parts = parts.groupBy("r", "s").applyInArrow(add, shape)
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        parts = parts.groupBy("r", "s").applyInArrow(add, shape)
+    return parts.collect()
 
-def total_of(parts: DataFrame, kind: type) -> np.ndarray:
-    """The sum of all tasks' parts (SUM), added up in two steps, so that no group has more than its share of the tasks."""
+
+def total_of(parts: DataFrame, tasks: int) -> np.ndarray:
+    """The sum of all tasks' parts (SUM), whole numbers. PIECES rows reach the driver."""
 
     def add(table: pa.Table) -> pa.Table:
-        x = sum(np.frombuffer(x, kind) for x in sorted(table["x"].to_pylist()))  # whatever order they arrive in
-        return pa.table({"r": table["r"].slice(0, 1), "s": table["s"].slice(0, 1), "x": pa.array([x.tobytes()], pa.binary())})
+        x = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table["x"])
+        return pa.table({"r": table["r"].slice(0, 1), "s": pa.array([table["s"][0].as_py() // FAN], pa.int32()), "x": pa.array([x.tobytes()], pa.binary())})
 
-    rows = parts.groupBy("r", "s").applyInArrow(add, SUM).groupBy("r").applyInArrow(add, SUM).collect()  # PIECES rows
-    return np.concatenate([np.frombuffer(r["x"], kind) for r in sorted(rows, key=lambda r: r["r"])]) if rows else np.zeros(0, kind)
+    rows = added_up(parts, add, SUM, tasks)
+    return np.concatenate([np.frombuffer(r["x"], np.int64) for r in sorted(rows, key=lambda r: r["r"])]) if rows else np.zeros(0, np.int64)
 
 
-def gathered(blocks_: DataFrame, kind: type, sample: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """symbol, inner and pair counts, of all texts to learn from (BLOCK_OF_IDS); k-means begins at the centres of a sample."""
+def summed_over(texts: DataFrame, kind: type, size: int, part) -> np.ndarray:
+    """The sum of part(ids, edges) over all blocks of texts (BLOCK_OF_IDS): ``size`` whole numbers."""
 
-    def id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size, np.int64)
         for b in batches:
-            for stream, _ in id_texts(b, kind):
-                n += np.bincount(stream, minlength=size)
+            for stream, edge in id_texts(b, kind):
+                n += part(stream, edge)
         yield in_pieces(n)
 
-    n = total_of(blocks_.mapInArrow(id_counts, SUM), np.int64)
-    symbol, inner = symbols_of(n if len(n) else np.zeros(size, np.int64))
-    stream, edge = joined(sample)
-    centre = centres_of(directions(symbol[stream], edge))
-
-    def sums_with(centre: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((EXPERTS, SYMBOLS), np.int64)  # whole numbers, whose sums don't depend on order
-            for b in batches:
-                for stream, edge in id_texts(b, kind):
-                    x = directions(symbol[stream], edge)
-                    own = (x @ centre.T).argmax(axis=1)
-                    x *= FINE
-                    np.rint(x, out=x)
-                    sums += ((np.arange(EXPERTS)[:, None] == own).astype(np.float64) @ x.astype(np.float64)).astype(np.int64)
-            yield in_pieces(sums.ravel())
-
-        return run
+    found = total_of(texts.mapInArrow(run, SUM), texts.rdd.getNumPartitions())
+    return found if len(found) else np.zeros(size, np.int64)
+
+
+def gathered(texts: DataFrame, kind: type, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """symbol, inner and pair counts, of all texts to learn from (BLOCK_OF_IDS)."""
+    n = summed_over(texts, kind, size, lambda stream, edge: np.bincount(stream, minlength=size))
+    symbol, inner = symbols_of(n)
+    shares = shares_of(symbol, n)
+    cells = summed_over(texts, kind, ANCHORS * (SYMBOLS + 1), lambda stream, edge: anchored(directions(symbol[stream], edge), shares).ravel())
+    centre = centres_of(cells.reshape(ANCHORS, SYMBOLS + 1)).astype(np.float32)
+
+    def moved_by(stream: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        x = directions(symbol[stream], edge)
+        return fixed(x, (x @ centre.T).argmax(axis=1), EXPERTS).ravel()
 
     for _ in range(ROUNDS):
-        sums = total_of(blocks_.mapInArrow(sums_with(centre.astype(np.float32)), SUM), np.int64)
-        if not len(sums):
-            break
-        last, centre = centre, moved(sums.reshape(EXPERTS, SYMBOLS).astype(np.float64), centre)
-        if np.allclose((last * centre).sum(axis=1)[centre.any(axis=1)], 1, rtol=0, atol=STILL):
-            break
-    width, centre = -(-PAIRS // RANGES), centre.astype(np.float32)
+        sums = summed_over(texts, kind, EXPERTS * SYMBOLS, moved_by)
+        centre = moved(sums.reshape(EXPERTS, SYMBOLS).astype(np.float64), centre).astype(np.float32)
+    width = -(-PAIRS // RANGES)
 
     def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, tokens = np.zeros(RANGES * width, np.int32), 0
@@ -500,7 +551,7 @@ def gathered(blocks_: DataFrame, kind: type, sample: list[np.ndarray], size: int
                 part = n[r * width : (r + 1) * width]
                 cell = np.flatnonzero(part)
                 if len(cell):
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([salt()], pa.int32()), pa.array([cell.astype(np.int32).tobytes()], pa.binary()), pa.array([part[cell].astype(np.int64).tobytes()], pa.binary())], names=["r", "s", "cell", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([group()], pa.int32()), pa.array([cell.astype(np.int32).tobytes()], pa.binary()), pa.array([part[cell].astype(np.int64).tobytes()], pa.binary())], names=["r", "s", "cell", "n"])
             n[:] = 0
 
         for b in batches:
@@ -515,60 +566,51 @@ def gathered(blocks_: DataFrame, kind: type, sample: list[np.ndarray], size: int
 
     def merged(table: pa.Table) -> pa.Table:
         n = np.zeros(width, np.int64)
-        np.add.at(n, unpacked(table["cell"], np.int32), unpacked(table["n"], np.int64))
+        for cell, more in zip(table["cell"], table["n"]):
+            n[np.frombuffer(cell.as_buffer(), np.int32)] += np.frombuffer(more.as_buffer(), np.int64)
         cell = np.flatnonzero(n)
-        return pa.table({"r": table["r"].slice(0, 1), "s": table["s"].slice(0, 1), "cell": pa.array([cell.astype(np.int32).tobytes()], pa.binary()), "n": pa.array([n[cell].tobytes()], pa.binary())})
+        return pa.table({"r": table["r"].slice(0, 1), "s": pa.array([table["s"][0].as_py() // FAN], pa.int32()), "cell": pa.array([cell.astype(np.int32).tobytes()], pa.binary()), "n": pa.array([n[cell].tobytes()], pa.binary())})
 
     shape = "r int, s int, cell binary, n binary"
     counts = np.zeros(RANGES * width, np.int64)
-    for r in blocks_.mapInArrow(pair_counts, shape).groupBy("r", "s").applyInArrow(merged, shape).groupBy("r").applyInArrow(merged, shape).collect():  # PAIRS numbers at most
+    for r in added_up(texts.mapInArrow(pair_counts, shape), merged, shape, texts.rdd.getNumPartitions()):  # PAIRS numbers at most
         counts[np.frombuffer(r["cell"], np.int32) + r["r"] * width] = np.frombuffer(r["n"], np.int64)
     return symbol, inner, counts[:PAIRS]
 
 
-def tuned(blocks_: DataFrame, kind: type, model: Model) -> Model:
-    """The model after a pass over all texts to learn from: the mean of what each task makes of it from its own texts, by the windows it saw."""
-    shared = blocks_.sparkSession.sparkContext.broadcast(model)
+def learnt(texts: DataFrame, kind: type, size: int) -> Model:
+    """The model of all texts to learn from: BLOCK_OF_IDS, turn."""
+    symbol, inner, counts = gathered(texts.select("ids", "lengths"), kind, size)
+    spark = texts.sparkSession
+    pairs, single = tables(counts, min(size, SYMBOLS))
+    shared = spark.sparkContext.broadcast((symbol, pairs))
+    n = sum(int(np.prod(shape)) for shape in WEIGHTS.values()) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, rng = shared.value, np.random.default_rng(SEED)
-        steps = Steps({name: getattr(m, name) for name in WEIGHTS}, m.pairs)
-        held, n, seen = [], 0, 0
-        for b in batches:
-            for stream, edge in id_texts(b, kind):
-                target = m.symbol[stream]
-                pick = np.flatnonzero(rng.random(len(windows(edge)[0])) * SHARE < 1)
-                held.append(picked(target, symbols_before(target, edge), edge, pick))
-                n += len(pick)
-                while n >= BATCH:
-                    all_ = [np.concatenate(x) for x in zip(*held)]
-                    steps.step(*(x[:BATCH] for x in all_), FINER)
-                    held, n, seen = [tuple(x[BATCH:] for x in all_)], n - BATCH, seen + BATCH
-        if n:
-            steps.step(*(np.concatenate(x) for x in zip(*held)), FINER * n / BATCH)
-        if seen + n:
-            yield in_pieces(np.append(np.concatenate([steps.p[name].ravel() for name in WEIGHTS]) * (seen + n), seen + n))
-
-    flat = total_of(blocks_.mapInArrow(run, SUM), np.float64)
-    if not len(flat):
-        return model
-    flat, at = (flat[:-1] / flat[-1]).astype(np.float32), 0
-    for name, size in WEIGHTS.items():
-        setattr(model, name, flat[at : at + int(np.prod(size))].reshape(size))
-        at += int(np.prod(size))
-    return model
+    def turn(t: int, steps: Steps) -> np.ndarray:
+        weights = spark.sparkContext.broadcast(steps.weights())
+
+        def part(stream: np.ndarray, edge: np.ndarray) -> np.ndarray:
+            symbol, pairs = shared.value
+            return gradients(symbol[stream], edge, weights.value, pairs)
+
+        found = summed_over(texts.where(F.col("turn") == t).select("ids", "lengths"), kind, n, part)
+        weights.unpersist()
+        return found
+
+    return trained(turn, symbol, inner, pairs, single)
 
 
 # -- both ------------------------------------------------------------------------------------
 
-PARTS = f"r int, block bigint, doc binary, h binary, tf binary, whole binary, {BLOCK_OF_IDS}"
-SUMS = "block bigint, doc binary, known binary, base binary, whole binary"
+PARTS = f"r int, block bigint, doc binary, h binary, tf binary, whole binary, {BLOCK_OF_IDS}, turn int"
+SUMS = "block bigint, doc binary, known binary, base binary, model binary, whole binary"
+HELD_OUT, NO_IDS = TURNS, TURNS + 1  # turns of ids that are scored only, and of all other rows
 WHOLE = np.dtype([("id", "<i8"), ("null", "?"), ("row", "<i8"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("model", "<f8")])
 
 
 def preparer(base, path: str, pattern: str, parts: int, kind: type):
-    """For mapInArrow over (doc_id, null, row, learn, text): of each block what is known here and its ids, and its rarer words by range."""
-    names = ["r", "block", "doc", "h", "tf", "whole", "ids", "lengths", "learn"]
+    """For mapInArrow over (doc_id, null, row, learn, text): of each block what is known here, its ids by turn, and its rarer words by range."""
+    names = ["r", "block", "doc", "h", "tf", "whole", "ids", "lengths", "turn"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, words = base.value, subwords(path, pattern)
@@ -588,8 +630,15 @@ def preparer(base, path: str, pattern: str, parts: int, kind: type):
             name = xxhash.xxh64_intdigest(whole["id"].tobytes() + whole["row"].tobytes()) - (1 << 63)
             none = pa.nulls(1, pa.binary())
             at = int(np.uint64(name + (1 << 63)) % np.uint64(parts))
-            own = [pa.array([x.tobytes()], pa.binary()) for x in (whole, stream.astype(kind), np.diff(edge).astype(np.int32), b.column(3).to_numpy(zero_copy_only=False))]
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([name], pa.int64()), none, none, none, *own], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([name], pa.int64()), none, none, none, pa.array([whole.tobytes()], pa.binary()), none, none, pa.array([NO_IDS], pa.int32())], names=names)
+            # by content too, so that each step meets the same texts however they are cut into blocks
+            own = mix(whole["id"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ whole["row"].astype(np.uint64)) % np.uint64(TURNS)
+            learn = b.column(3).to_numpy(zero_copy_only=False).astype(bool) & ~whole["null"]
+            turns, size, ids = np.where(learn, own.astype(np.int64), HELD_OUT), np.diff(edge), stream.astype(kind)
+            for t in np.unique(turns).tolist():
+                doc = np.flatnonzero(turns == t)
+                columns = [pa.array([x.tobytes()], pa.binary()) for x in (ids[ragged(edge[:-1][doc], size[doc])], size[doc].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([name], pa.int64()), pa.array([doc.astype(np.int32).tobytes()], pa.binary()), none, none, none, *columns, pa.array([t], pa.int32())], names=names)
             rare = np.flatnonzero(~hot[inverse])
             pair, tf = np.unique(inverse[rare] * np.int64(texts.n) + texts.text_of()[rare], return_counts=True)
             if not len(pair):
@@ -598,39 +647,20 @@ def preparer(base, path: str, pattern: str, parts: int, kind: type):
             counts = np.diff(ranged(h, parts))
             some = np.flatnonzero(counts)
             columns = [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), name), pa.int64()), packed(doc, counts[some]), packed(h, counts[some]), packed(tf.astype(np.uint32), counts[some])]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(some), pa.binary())] * 4], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(some), pa.binary())] * 3, pa.array(np.full(len(some), NO_IDS, np.int32))], names=names)
 
     return run
 
 
 def scorer(model, kind: type):
-    """For mapInArrow over (r, block, whole, ids, lengths): whole with the model's scores of its texts."""
+    """For mapInArrow over (ids, lengths, block, doc): the model's scores of the block's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = model.value
         for b in batches:
-            for i in range(b.num_rows):
-                whole = np.frombuffer(b.column(2)[i].as_buffer(), WHOLE).copy()
-                ids, size = np.frombuffer(b.column(3)[i].as_buffer(), kind), np.frombuffer(b.column(4)[i].as_buffer(), np.int32)
-                whole["model"] = lm.scores(ids, np.append(0, np.cumsum(size, dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([whole.tobytes()], pa.binary())], names=["r", "block", "whole"])
-
-    return run
-
-
-def sampler(share: float, kind: type, most: int = STRETCH):
-    """For mapInArrow over (whole, ids, lengths, learn): o, ids of about a share of the texts to learn from; of a longer text a stretch of ``most`` ids at a place drawn by its hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                whole, ids, size, learn = (np.frombuffer(b.column(k)[i].as_buffer(), t) for k, t in enumerate((WHOLE, kind, np.int32, bool)))
-                edge = np.append(0, np.cumsum(size, dtype=np.int64))
-                o = mix(whole["id"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ whole["row"].astype(np.uint64)) >> np.uint64(1)
-                few = np.flatnonzero(learn & ~whole["null"] & (o.astype(np.float64) <= min(share, 1.0) * 2.0**63))
-                begin = edge[:-1][few] + np.where(size[few] > most, o[few] % np.maximum(size[few].astype(np.int64) - most + 1, 1).astype(np.uint64), np.uint64(0)).astype(np.int64)
-                stop = np.minimum(begin + most, edge[1:][few])
-                yield pa.RecordBatch.from_arrays([pa.array(o[few].astype(np.int64)), pa.array([ids[a:z].tobytes() for a, z in zip(begin, stop)], pa.binary())], names=["o", "ids"])
+            found = pa.array([lm.scores(ids, edge).tobytes() for ids, edge in id_texts(b, kind)], pa.binary())
+            none = pa.nulls(b.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), none, none, found, none], names=["block", "doc", "known", "base", "model", "whole"])
 
     return run
 
@@ -652,7 +682,7 @@ def looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
         out["doc"].append(have.tobytes())
         out["known"].append(np.bincount(doc, tf * (spot < len(h)))[have].astype(np.int64).tobytes())
         out["base"].append(np.bincount(doc, tf * log[spot])[have].tobytes())
-    return pa.table({"block": left["block"], **{k: pa.array(x, pa.binary()) for k, x in out.items()}, "whole": left["whole"]})
+    return pa.table({"block": left["block"], **{k: pa.array(x, pa.binary()) for k, x in out.items()}, "model": pa.nulls(left.num_rows, pa.binary()), "whole": left["whole"]})
 
 
 def summed(table: pa.Table) -> pa.Table:
@@ -660,15 +690,17 @@ def summed(table: pa.Table) -> pa.Table:
     whole = table.filter(table["whole"].is_valid())["whole"]
     times = len(whole)
     rows = np.frombuffer(whole[0].as_buffer(), WHOLE).copy()
-    part = table.filter(table["doc"].is_valid())
-    doc = unpacked(part["doc"], np.int32)
-    rows["known"] += np.bincount(doc, unpacked(part["known"], np.int64), len(rows)).astype(np.int64) // times
-    rows["base"] += np.bincount(doc, unpacked(part["base"], np.float64), len(rows)) / times
+    for kind, names in (("known", {"known": np.int64, "base": np.float64}), ("model", {"model": np.float64})):
+        part = table.filter(table[kind].is_valid())
+        doc = unpacked(part["doc"], np.int32)
+        for name, dtype in names.items():
+            sums = np.bincount(doc, unpacked(part[name], dtype), len(rows))
+            rows[name] += sums.astype(np.int64) // times if dtype is np.int64 else sums / times
     rows = np.tile(rows, times)
     return pa.table({"doc_id": pa.array(rows["id"].copy(), mask=rows["null"].copy()), **{to: rows[name].copy() for to, name in (("n_tokens", "n"), ("n_known", "known"), ("base", "base"), ("score", "model"))}})
 
 
-def score(docs: DataFrame, learn: Column, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, learn: Column, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: a row for each of docs. learn: which rows to learn from."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.sum(F.when(learn, 1).otherwise(0)).alias("n")).first()
@@ -682,16 +714,11 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, doc_id: str =
     kind = np.uint16 if size <= 1 << 16 else np.int32
     ids = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0).cast("bigint"))
     rows = docs.select(ids.alias("doc_id"), F.col(doc_id).isNull().alias("null"), row_hash(F.col(text)).alias("row"), F.coalesce(learn, F.lit(False)).alias("learn"), text)
-    sent = settle(rows.mapInArrow(preparer(shared, path, pattern, parts, kind), PARTS), "blocks")
-    whole = sent.where("whole is not null")
-    learned = whole.select("ids", "lengths", "learn")
-    few = whole.select("whole", "ids", "lengths", "learn").mapInArrow(sampler(MARGIN * sample / max(1, n), kind), "o bigint, ids binary").orderBy("o", "ids").limit(sample).collect()
-    texts = [np.frombuffer(r["ids"], kind) for r in few]
-    lm = spark.sparkContext.broadcast(tuned(learned, kind, trained(texts, *gathered(learned, kind, texts, size))))
-
-    none = [F.lit(None).cast("binary").alias(c) for c in ("doc", "h", "tf")]
-    scored = whole.select("r", "block", "whole", "ids", "lengths").mapInArrow(scorer(lm, kind), "r int, block bigint, whole binary").select("r", "block", *none, "whole")
-    sent = sent.where("whole is null").select("r", "block", "doc", "h", "tf", "whole").unionByName(scored).repartition(tasks, "r")
-    sums = sent.groupBy("r").cogroup(counts.select("r", "h", "n").repartition(tasks, "r").groupBy("r")).applyInArrow(looked_up, SUMS)
+    sent = settle(rows.mapInArrow(preparer(shared, path, pattern, parts, kind), PARTS), "blocks", by="turn")
+    lm = spark.sparkContext.broadcast(learnt(sent.where(F.col("turn") < TURNS).select("ids", "lengths", "turn"), kind, size))
+
+    scored = sent.where(F.col("turn") <= HELD_OUT).select("ids", "lengths", "block", "doc").mapInArrow(scorer(lm, kind), SUMS)
+    sent = sent.where(F.col("turn") == NO_IDS).select("r", "block", "doc", "h", "tf", "whole").repartition(tasks, "r")
+    sums = sent.groupBy("r").cogroup(counts.select("r", "h", "n").repartition(tasks, "r").groupBy("r")).applyInArrow(looked_up, SUMS).unionByName(scored)
     done = sums.repartition(tasks, "block").groupBy("block").applyInArrow(summed, "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double")
     return done.select("doc_id", "n_tokens", "n_known", F.lit(base.tokens).cast("bigint").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(base.norm)).alias("base_score"), "score")

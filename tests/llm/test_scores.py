@@ -238,35 +238,69 @@ def test_held_out_score_beats_uniform(docs):
     assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > -8
 
 
-def test_model_learns_from_every_document(spark):
-    rng = np.random.default_rng(1)
-    words = [["stone river meadow"], ["copper lantern harbor"]]
-    rows = [(i, " ".join(rng.choice(words[i % 2][0].split(), 30))) for i in range(200)] + [(1000, " ".join(["copper lantern"] * 10)), (1001, " ".join(["stone river"] * 10))]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    of = lambda sample: {r.doc_id: r.score / r.n_tokens for r in lm_scoring.score(df, F.col("doc_id") < 1000, TOKENS, pattern(), sample=sample).collect()}
-    few, all_ = of(1), of(200)
-    for i in (1000, 1001):  # a sample of one text has the words of one of them only
-        assert few[i] > -1.5 and abs(few[i] - all_[i]) < 0.5
+def test_scores_do_not_depend_on_tasks(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").union(spark.createDataFrame([(7, "words again", "en", "s", 1), (7, "words again", "en", "s", 1), (None, None, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    of = lambda n: sorted((r.doc_id or -1, r.n_tokens, r.score, round(r.base_score, 6)) for r in lm_scoring.score(df.repartition(n), queries.remainder("doc_id", 10) != 0, TOKENS, pattern()).collect())
+    one = of(1)
+    assert len(one) == df.count() and one == of(4) == of(16)
+
+
+def test_query_equals_fit_in_memory(spark, docs):
+    """The Spark job gives what the same steps in memory give: scores of score() against fit() on the same texts."""
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    words, train = lm_scoring.subwords(TOKENS, pattern()), lambda i: zlib.crc32(str(i).encode()) % 10 != 0
+    t = Texts(pa.array([x for _, x in rows], pa.string()), lower=True)
+    out, n, *_ = words.of(t)
+    stream, edge = lm_scoring.id_stream(out, n, t.ptr, words.size)
+    row = [r[0] for r in docs.select(lm_scoring.row_hash(F.col("text"))).collect()]
+    turn = lm_scoring.mix(np.array([i for i, _ in rows], np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.array(row, np.int64).astype(np.uint64)) % np.uint64(lm_scoring.TURNS)
+    few = [k for k, (i, _) in enumerate(rows) if train(i)]
+    model = lm_scoring.fit([stream[edge[k] : edge[k + 1]] for k in few], words.size + 1, turn[few].tolist())
+    want = {i: x for (i, _), x in zip(rows, model.scores(stream, edge).tolist())}
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, queries.remainder("doc_id", 10) != 0, TOKENS, pattern()).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * abs(want[i]) for i in want)
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """Against differences of the log likelihood that scores() gives."""
+    m, texts = small_model()
+    names = list(lm_scoring.WEIGHTS)
+    rng = np.random.default_rng(4)
+    p = {name: getattr(m, name).astype(np.float32) for name in names}
+    stream, edge = lm_scoring.joined(texts[:6])
+    target = m.symbol[stream]
+    sums, at = lm_scoring.gradients(target, edge, p, m.pairs), 0
+    flat = sums[:-1] / lm_scoring.GRAIN
+    assert sums[-1] == len(stream)
+    for name in names:
+        shape = lm_scoring.WEIGHTS[name]
+        g = flat[at : at + int(np.prod(shape))].reshape(shape)
+        at += g.size
+        way = np.where(np.abs(g) > 0, rng.choice([-1.0, 1.0], shape), 0)
+        loss = lambda d: -lm_scoring.Model(**{**vars(m), name: (p[name] + d * way).astype(np.float32)}).scores(stream, edge).sum() * np.log(10)  # noqa: E731, B023
+        assert abs((loss(0.01) - loss(-0.01)) / 0.02 - (g * way).sum()) < 0.05 * max(1.0, abs((g * way).sum()))
 
 
 def test_gathered_equals_counts_in_memory(spark):
     rng = np.random.default_rng(2)
     texts = [np.append(rng.integers(0, 9, rng.integers(0, 50)), 9).astype(np.uint16) for _ in range(150)]
-    block = lambda x, learn: (bytearray(np.concatenate(x).tobytes()), bytearray(np.array([len(t) for t in x], np.int32).tobytes()), bytearray(np.full(len(x), learn).tobytes()))
-    rows = [block(texts[i : i + 7], True) for i in range(0, 150, 7)] + [block(texts[:5], False)]
-    df = spark.createDataFrame(rows, lm_scoring.BLOCK_OF_IDS).repartition(5)
-    symbol, inner, counts = lm_scoring.gathered(df, np.uint16, texts[:10], 10)
+    block = lambda x: (bytearray(np.concatenate(x).tobytes()), bytearray(np.array([len(t) for t in x], np.int32).tobytes()))
+    df = spark.createDataFrame([block(texts[i : i + 7]) for i in range(0, 150, 7)], lm_scoring.BLOCK_OF_IDS).repartition(5)
+    symbol, inner, counts = lm_scoring.gathered(df, np.uint16, 10)
     stream, _ = lm_scoring.joined(texts)
     want = lm_scoring.symbols_of(np.bincount(stream, minlength=10))
     assert (symbol == want[0]).all() and np.allclose(inner, want[1])
     pairs = Counter((int(symbol[a]) if k else lm_scoring.SYMBOLS, int(symbol[b])) for t in texts for k, (a, b) in enumerate(zip(np.append(0, t), t)))
     got = counts.reshape(lm_scoring.SYMBOLS + 1, lm_scoring.SYMBOLS, lm_scoring.EXPERTS).sum(axis=2)
     assert {(a, b): int(got[a, b]) for a, b in zip(*np.nonzero(got))} == pairs
-    model = lm_scoring.trained(texts[:10], symbol, inner, counts)
-    before = model.q.copy()
-    after = lm_scoring.tuned(df, np.uint16, model)
-    assert after.q.shape == before.shape and not np.allclose(after.q, before)
-    assert np.linalg.norm(after.q, axis=1).max() <= lm_scoring.LONGEST + 1e-4
+
+
+def test_parts_of_many_tasks_are_added_up_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FAN", 3)
+    rows = [(bytearray(np.full(k % 5, k % 7, np.uint16).tobytes()), bytearray(np.array([k % 5], np.int32).tobytes())) for k in range(40)]
+    df = spark.createDataFrame(rows, lm_scoring.BLOCK_OF_IDS).repartition(20)
+    got = lm_scoring.summed_over(df, np.uint16, 10, lambda stream, edge: np.bincount(stream, minlength=10))
+    assert got.tolist() == [sum(k % 5 for k in range(40) if k % 7 == i) for i in range(10)]
 
 
 def test_attention_beats_its_tables_and_the_base(docs):
