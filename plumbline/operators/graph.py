@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TITLE_STOP, letter_ids, node_id, terms
 from ..session import settle
 
+WORDS = 8  # masks of 64 starts in a row of a search from many nodes
 LEVELS = 32  # after so many levels of a walk what it has is written: plans stay short
 SEMANTIC = ["implements", "supersedes", "similar_topic", "shortcut"]
 
@@ -421,25 +424,71 @@ def clustering(pairs: DataFrame) -> DataFrame:
     return tri.crossJoin(triples).select("triangles", "triples", (3.0 * F.col("triangles") / F.nullif("triples", F.lit(0))).alias("clustering"))
 
 
+def reached(pairs: DataFrame, starts: DataFrame, hops: int | None = None) -> Iterator[tuple[int, DataFrame, int]]:
+    """For 1, 2, 3 ... hops the nodes that starts (start, chunk, word, bit) reach first there, and how many pairs these are. pairs: a settled table.
+
+    64 starts are one bit mask and WORDS masks a row (id, chunk, f0, f1, ...), so that a search from all n nodes keeps n * n / 64
+    words; a level is one shuffle, in which masks that meet at a node are joined by OR before they travel.
+    """
+    step = both_ways(pairs)
+    names = [(f"s{w}", f"f{w}") for w in range(WORDS)]
+    none = F.lit(0).cast("bigint")
+    own = lambda w: F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(none))
+    state = starts.groupBy(F.col("start").alias("id"), "chunk").agg(*[own(w).alias(f) for w, (_, f) in enumerate(names)])
+    state = state.select("id", "chunk", *[F.col(f).alias(n) for pair in names for f, n in ((pair[1], pair[0]), (pair[1], pair[1]))])
+    for k in count(1) if hops is None else range(1, hops + 1):
+        front = state.where(reduce(lambda x, y: x | y, [F.col(f) != 0 for _, f in names]))
+        sent = front.join(step, F.col("id") == F.col("a")).select(F.col("b").alias("id"), "chunk", *[x for s, f in names for x in (none.alias(s), F.col(f))])
+        known = state.select("id", "chunk", *[x for s, f in names for x in (F.col(s), none.alias(f))])
+        met = known.unionByName(sent).groupBy("id", "chunk").agg(*[F.bit_or(c).alias(c) for pair in names for c in pair])
+        new = [F.col(f).bitwiseAND(F.bitwise_not(F.col(s))) for s, f in names]
+        met = met.select("id", "chunk", *[x for (s, f), n in zip(names, new) for x in (F.col(s).bitwiseOR(F.col(f)).alias(s), n.alias(f))])
+        seen = Observation()
+        state = settle(met.observe(seen, F.sum(reduce(lambda x, y: x + y, [F.bit_count(f) for _, f in names])).alias("n")))
+        n = seen.get["n"] or 0
+        if not n:
+            return
+        yield k, state.select("id", "chunk", *[f for _, f in names]), n
+
+
+def numbered(starts: DataFrame) -> DataFrame:
+    """start (id, once each) with its place in the masks: chunk, word, bit."""
+    at = settle(starts.select(F.col("id").alias("start")).distinct()).withColumn("n", F.monotonically_increasing_id())  # dense within a partition
+    word = (F.floor(F.col("n") / 64) % WORDS).cast("int")
+    return settle(at.select("start", F.floor(F.col("n") / (64 * WORDS)).alias("chunk"), word.alias("word"), F.expr("shiftleft(1L, cast(n % 64 as int))").alias("bit")))
+
+
 def mean_path(pairs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """pairs, mean_path: over ordered pairs of nodes that reach each other, from all nodes or the given sources (id)."""
-    nodes = both_ways(pairs).select(F.col("a").alias("id")).distinct()
-    starts = (sources or nodes).select(F.col("id").alias("start"), "id")
-    return distances(pairs, starts).where("hops > 0").agg(F.count("*").alias("pairs"), F.avg(F.col("hops").cast("double")).alias("mean_path"))
+    pairs, total, n = settle(pairs), 0, 0
+    nodes = both_ways(pairs).select(F.col("a").alias("id"))
+    for k, _, new in reached(pairs, numbered(sources or nodes)):
+        total, n = total + k * new, n + new
+    return pairs.sparkSession.createDataFrame([(n, total / n if n else None)], "pairs bigint, mean_path double")
+
+
+def hops_between(candidates: DataFrame, pairs: DataFrame, hops: int | None = None) -> DataFrame:
+    """candidates (a, b and others) with ``hops`` between their ends, null where a doesn't reach b within ``hops``."""
+    candidates, pairs = settle(candidates), settle(pairs)
+    starts = numbered(candidates.select(F.col("a").alias("id")))
+    levels = [new.withColumn("hops", F.lit(k)) for k, new, _ in reached(pairs, starts, hops)]
+    if not levels:
+        return candidates.withColumn("hops", F.when(F.col("a") == F.col("b"), 0))
+    ends = settle(candidates.select("a", "b").distinct().join(starts, F.col("a") == F.col("start")).select("a", "b", "chunk", "word", "bit"))
+    found = ends.join(reduce(DataFrame.unionByName, levels).withColumnsRenamed({"id": "b"}), ["b", "chunk"])
+    mask = F.get(F.array(*[f"f{w}" for w in range(WORDS)]), F.col("word"))
+    found = found.where(mask.bitwiseAND(F.col("bit")) != 0).select("a", "b", "hops")
+    return candidates.join(found, ["a", "b"], "left").withColumn("hops", F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("hops")))
 
 
 def shortcut_candidates(similar: DataFrame, pairs: DataFrame, least_hops: int = 4) -> DataFrame:
-    """similar (a, b, sim) whose ends are at least ``least_hops`` apart or don't reach each other; hops null beyond that."""
-    starts = similar.select(F.col("a").alias("start"), F.col("a").alias("id")).distinct()
-    close = distances(pairs, starts, least_hops - 1).select(F.col("start").alias("a"), F.col("id").alias("b"))
-    return similar.join(close, ["a", "b"], "left_anti")
+    """similar (a, b, sim) whose ends are at least ``least_hops`` apart or don't reach each other."""
+    return hops_between(similar, pairs, least_hops - 1).where("hops is null").drop("hops")
 
 
 def with_hops(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
     """candidates (a, b, sim) with ``hops`` between their ends, null where they don't reach each other."""
-    starts = candidates.select(F.col("a").alias("start"), F.col("a").alias("id")).distinct()
-    far = distances(pairs, starts).select(F.col("start").alias("a"), F.col("id").alias("b"), "hops")
-    return candidates.join(far, ["a", "b"], "left")
+    return hops_between(candidates, pairs)
 
 
 def bridging(metrics: dict, edges: int, p: float | None = None) -> tuple[float, float, int]:
@@ -450,11 +499,16 @@ def bridging(metrics: dict, edges: int, p: float | None = None) -> tuple[float,
 
 
 def augmented(edges: DataFrame, candidates: DataFrame, budget: int) -> DataFrame:
-    """edges with all shortcuts replaced by the best candidates: unreachable pairs first, then the most similar."""
+    """edges with all shortcuts replaced by the best candidates: unreachable pairs first, then the most similar.
+
+    Where edges have them, ``directed`` is false and ``evidence`` tells how far apart the ends were.
+    """
     order = [F.col("hops").isNotNull()] if "hops" in candidates.columns else []
     best = candidates.orderBy(*order, F.desc("sim"), "a", "b").limit(budget)
-    new = best.select(F.col("a").alias("source"), F.col("b").alias("target"), F.round("sim", 4).alias("weight"), F.lit("shortcut").alias("relationship_type"))
-    return edges.select("source", "target", "weight", "relationship_type").where("relationship_type <> 'shortcut'").unionByName(new)
+    was = F.when(F.col("hops").isNull(), "was unreachable").otherwise(F.concat(F.lit("was "), F.col("hops").cast("string"), F.lit(" hops"))) if order else F.lit(None).cast("string")
+    more = {c: x for c, x in {"directed": F.lit(False), "evidence": was}.items() if c in edges.columns}
+    new = best.select(F.col("a").alias("source"), F.col("b").alias("target"), F.round("sim", 4).alias("weight"), F.lit("shortcut").alias("relationship_type"), *[x.alias(c) for c, x in more.items()])
+    return edges.select("source", "target", "weight", "relationship_type", *more).where("relationship_type <> 'shortcut'").unionByName(new)
 
 
 def ring_clustering(mean_degree: float) -> float:

@@ -143,3 +143,38 @@ def test_budget(spark):
     edges = spark.createDataFrame([("x", "y", 1.0, "shortcut"), ("x", "z", 1.0, "implements")], "source string, target string, weight double, relationship_type string")
     new = graph.augmented(edges, spark.createDataFrame([("p", "q", 0.7), ("p", "r", 0.9)], "a string, b string, sim double"), 1)
     assert {(r.source, r.target) for r in new.collect()} == {("x", "z"), ("p", "r")}
+
+
+@pytest.mark.parametrize("words", [1, 16])
+def test_hops_by_masks_equal_a_walk(spark, monkeypatch, words):
+    """From 150 nodes at once, in rows of 64 or 1024 starts, against a breadth-first walk."""
+    monkeypatch.setattr(graph, "WORDS", words)
+    rng = random.Random(words)
+    name = lambda k: f"n{k}"
+    lines = [(k, k + 1) for k in range(0, 12)] + [(rng.randrange(61, 140), rng.randrange(61, 140)) for _ in range(70)] + [(141, 142)]
+    near = {}
+    for a, b in lines:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    far = {}
+    for s in range(150):
+        dist, front = {s: 0}, [s]
+        while front:
+            front = [y for x in front for y in near.get(x, ()) if y not in dist and not dist.update({y: dist[x] + 1})]
+        far[s] = dist
+    pairs = spark.createDataFrame(sorted({(min(name(a), name(b)), max(name(a), name(b))) for a, b in lines if a != b}), "a string, b string")
+    m = graph.mean_path(pairs).first()
+    all_ = [d for s in near for t, d in far[s].items() if t != s]
+    assert m["pairs"] == len(all_) and abs(m["mean_path"] - sum(all_) / len(all_)) < 1e-12
+    asked = [(a, b) for a in range(0, 150, 3) for b in range(0, 150, 7)]
+    df = spark.createDataFrame([(name(a), name(b), 0.5) for a, b in asked], "a string, b string, sim double")
+    assert {(r.a, r.b): r.hops for r in graph.with_hops(df, pairs).collect()} == {(name(a), name(b)): far[a].get(b) for a, b in asked}
+    assert {(r.a, r.b) for r in graph.shortcut_candidates(df, pairs, 4).collect()} == {(name(a), name(b)) for a, b in asked if far[a].get(b, 99) >= 4}
+
+
+def test_shortcuts_tell_what_they_bridge(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0, "implements", True, "text"), ("a", "c", 1.0, "shortcut", False, "was 5 hops")], "source string, target string, weight double, relationship_type string, directed boolean, evidence string")
+    found = spark.createDataFrame([("a", "d", 0.9, None), ("b", "d", 0.8, 4)], "a string, b string, sim double, hops int")
+    got = {(r.source, r.target): (r.relationship_type, r.directed, r.evidence) for r in graph.augmented(edges, found, 2).collect()}
+    assert got == {("a", "b"): ("implements", True, "text"), ("a", "d"): ("shortcut", False, "was unreachable"), ("b", "d"): ("shortcut", False, "was 4 hops")}
