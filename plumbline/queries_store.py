@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import graph
-from .queries import query
+from .queries import SQL, UNIT, query, r6
 from .session import run_folder, table
+from .sources import vectors
 from .sources.store import Store, ingest
 from .streaming import events as streams
 
@@ -119,3 +120,23 @@ def cyclic_lineages(spark, d):
     cited = table(spark, d, "lineitem").where("l_quantity >= 25").select(F.concat(F.lit("doc:"), "l_suppkey").alias("source"), name(F.col("l_partkey")).alias("target"), F.lit("implements").alias("relationship_type")).distinct()
     nodes = cited.select(F.col("source").alias("id"), F.lit("document").alias("kind"), F.lit("p").alias("plan_id")).distinct()
     return graph.citation_status(nodes, sup.union(cited)).drop("plan_id")
+
+
+# -- searches by the vector index, here with as many probes as cells: exact
+
+
+@query("s22_vector_search", f"""WITH u AS (SELECT vec_id, {UNIT} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, u.vec_id AS id, list_dot_product(q.v, u.v) AS score FROM u q JOIN u ON u.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM s) WHERE r <= 10""")
+def vector_search(spark, d):
+    at, e = place(spark), table(spark, d, "embeddings")
+    cells = vectors.build(e, at)
+    return vectors.search(spark, at, e.where("vec_id % 50 = 0"), 10, cells, itself=False).select("query_id", "rank", "id", r6("score"))
+
+
+@query("o05_indexed_topk", SQL["o05_vector_topk"])
+def indexed_topk(spark, d):
+    at, e = place(spark), table(spark, d, "embeddings")
+    cells = vectors.build(e, at)
+    asked = spark.createDataFrame([(0, [1.0] + [0.0] * 63)], "vec_id bigint, embedding array<double>")
+    found = vectors.search(spark, at, asked, 32, cells).join(e.select(F.col("vec_id").alias("id"), "label"), "id")
+    return found.groupBy("label").agg(F.min_by(F.struct("id", "score"), "rank").alias("m")).select("label", F.col("m.id").alias("vec_id"), F.round("m.score", 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(8)
