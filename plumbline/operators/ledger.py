@@ -6,9 +6,12 @@ import hashlib
 import json
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..files import Taken, put
 from ..functions.text import clock_seconds, iso_ms, tolerant_number
 from ..session import settle, small
 from .causal import quantiles
@@ -231,51 +234,56 @@ def readiness(cases: DataFrame, required: list[str], known_limits: list[str] = (
 def chained(events: DataFrame, by: str, none: str = "") -> DataFrame:
     """events (FIELDS but prev_hash, and seq) with prev_hash and hash: a chain for each value of ``by``, in the order of seq.
 
-    A chain is a fold over its events, so each is made in one task; ledgers are many and each is a case's.
+    A chain is a fold over its events, so each is made in one task, event by event as they come in order: a ledger's length takes time there but no memory.
     """
     body = F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit(none if f == "supersedes" else "")) for f in FIELDS[1:]])
-    runs = events.withColumn("_body", body).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "_body"))).alias("x"))
-    step = lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), F.lit("\x1f"), x["_body"]), 256)))
-    all_hashes = F.aggregate("x", F.array(F.lit("")), step)
-    links = runs.select(F.explode(F.arrays_zip(F.col("x.seq").alias("seq"), F.slice(all_hashes, 1, F.size("x")).alias("prev_hash"), F.slice(all_hashes, 2, F.size("x")).alias("hash"))).alias("z"))
-    return events.join(links.select("z.seq", "z.prev_hash", "z.hash"), "seq")
+    rows = events.select("seq", *[c for c in events.columns if c not in ("seq", "prev_hash", "hash")]).withColumn("_body", body).repartition(by).sortWithinPartitions(by, "seq")
+    shape = T.StructType([*rows.drop("_body").schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
+
+    def run(batches):
+        last, prev = object(), ""
+        for b in batches:
+            before, after = [], []
+            for key, text in zip(b.column(b.schema.get_field_index(by)).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                prev = prev if key == last else ""
+                before.append(prev)
+                last, prev = key, hashlib.sha256(f"{prev}\x1f{text}".encode()).hexdigest()
+                after.append(prev)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*b.schema.names[:-1], "prev_hash", "hash"])
+
+    return rows.mapInArrow(run, shape)
 
 
 class Ledger:
-    """A durable ledger in a folder that all its users share: one file an event, created under its number only if no other writer took it."""
+    """A durable ledger in a folder that all its users share: one file an event, which appears whole under its number, and only if no other writer took that."""
 
     EACH = 1000  # events in a folder
 
     def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
         self._fs = self._at(path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._at(path))
 
     def _at(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
-    def _names(self, path: str) -> list[str]:
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._at(path)))
-
     def last(self) -> dict | None:
-        """The newest event; only the newest folder is listed."""
-        for folder in reversed(self._names(self.path)):
-            if names := self._names(f"{self.path}/{folder}"):
-                return json.loads(self.spark.read.text(f"{self.path}/{folder}/{names[-1]}", wholetext=True).first()[0])
+        """The newest event; only the newest folders are listed. An empty file, left by a writer that died before files were renamed, is no event and is removed."""
+        for folder in sorted((x.getPath().getName() for x in self._fs.listStatus(self._at(self.path))), reverse=True):
+            for f in sorted(self._fs.listStatus(self._at(f"{self.path}/{folder}")), key=lambda x: x.getPath().getName(), reverse=True):
+                if f.getLen():
+                    return json.loads(self.spark.read.text(f.getPath().toString(), wholetext=True).first()[0])
+                self._fs.delete(f.getPath(), False)
         return None
 
     def append(self, event: dict, conflicts: int = 0, tries: int = 5) -> dict:
         """Checks, chains and writes an event; if another writer was faster it is chained anew to what that one wrote."""
-        for k in range(tries):
+        for _ in range(tries):
             e = appended(self.last(), event, conflicts)
             try:
-                out = self._fs.create(self._at(f"{self.path}/{e['seq'] // self.EACH:09d}/{e['seq']:012d}.json"), False)
-            except Exception:  # noqa: BLE001  the number is taken
-                if k + 1 == tries:
-                    raise
+                put(self.spark, json.dumps(e, default=lambda t: t.isoformat()), f"{self.path}/{e['seq'] // self.EACH:09d}/{e['seq']:012d}.json", f"{self.path}.aside")
+            except Taken:
                 continue
-            out.write(bytearray(json.dumps(e, default=lambda t: t.isoformat()).encode()))
-            out.close()
             return e
         raise Refused("no number was free")
 

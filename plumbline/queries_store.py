@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import uuid
 
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from .functions import text as X
 from .operators import graph
 from .queries import SQL, UNIT, query, r6
 from .session import run_folder, table
-from .sources import vectors
+from .sources import catalog, chunks, documents, pages, vectors
 from .sources.store import Store, ingest
 from .streaming import events as streams
 
@@ -140,3 +142,47 @@ def indexed_topk(spark, d):
     asked = spark.createDataFrame([(0, [1.0] + [0.0] * 63)], "vec_id bigint, embedding array<double>")
     found = vectors.search(spark, at, asked, 32, cells).join(e.select(F.col("vec_id").alias("id"), "label"), "id")
     return found.groupBy("label").agg(F.min_by(F.struct("id", "score"), "rank").alias("m")).select("label", F.col("m.id").alias("vec_id"), F.round("m.score", 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(8)
+
+
+# -- chunks that follow headings, paragraphs and sentences (tests/test_chunks.py has them beside a plain walk)
+
+
+@query("s17_structured_chunks")
+def structured_chunks(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    cat = catalog.rows(docs, plan_id=F.col("source"), filename=F.concat("doc_id", F.lit(".pdf")), policy_number=F.concat(F.lit("D-"), "doc_id"), title=F.concat(F.lit("about "), "lang"))
+    # every fifth line is a heading, a level deeper where the line before was one
+    lines = docs.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".pdf")).alias("origin"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    lines = lines.withColumn("line", F.when(F.col("k") % 5 == 0, F.concat(F.repeat(F.lit("#"), (F.col("k") / 5 % 3 + 1).cast("int")), F.lit(" "), F.substring("line", 1, 60))).otherwise(F.col("line")))
+    pages = lines.groupBy("origin", (F.floor(F.col("k") / 12) + 1).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("x")).select("origin", "page", F.array_join("x.line", "\n").alias("text"))
+    return chunks.structured(cat, pages, documents.METADATA, None, 900, 0.25).select("filename", "start", "context", "text", "page", "page_count")
+
+
+# -- a paged API as a source: one that serves the parts, all pages and those of one brand
+
+
+def parts_service(at: str):
+    """Serves items that Spark has written at a folder, in the order of their keys."""
+
+    def page(offset: int, size: int, asked: dict) -> tuple[int, list[str]]:
+        store, path = pyarrow.fs.FileSystem.from_uri(at)
+        items = pyarrow.dataset.dataset(path, filesystem=store, format="parquet")
+        if asked:
+            of = pyarrow.dataset.field("p_brand") == asked["p_brand"]
+            found = items.to_table(columns=["p_partkey", "json"], filter=of).sort_by("p_partkey")  # a brand's
+            return found.num_rows, found["json"].slice(offset, size).to_pylist()
+        key = pyarrow.dataset.field("p_partkey")  # 0, 1, 2 ...
+        return items.count_rows(), items.to_table(columns=["p_partkey", "json"], filter=(key >= offset) & (key < offset + size)).sort_by("p_partkey")["json"].to_pylist()
+
+    return page
+
+
+@query("s30_page_source", "SELECT 'all' AS asked, p_partkey, p_name, p_brand FROM part UNION ALL SELECT 'one', p_partkey, p_name, p_brand FROM part WHERE p_brand = 'Brand#13' AND p_partkey > 50")
+def page_source(spark, d):
+    at = place(spark)
+    part = table(spark, d, "part")
+    part.select("p_partkey", "p_brand", F.to_json(F.struct("p_partkey", "p_name", "p_brand")).alias("json")).write.parquet(at)
+    pages.register(spark, "parts_api", parts_service(at), "p_partkey bigint, p_name string, p_brand string", ("p_brand",), max(100, part.count() // 64))
+    found, again = (spark.read.format("parts_api").load() for _ in range(2))  # as one of them is filtered
+    one = again.where("p_brand = 'Brand#13' and p_partkey > 50")
+    return found.select(F.lit("all").alias("asked"), "*").union(one.select(F.lit("one").alias("asked"), "*"))

@@ -18,11 +18,11 @@ import logging
 import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..files import Taken, put
 from ..session import settle
 
 LOG = logging.getLogger(__name__)
@@ -56,24 +56,10 @@ class Store:
             with_file.close()
 
     def _put(self, text: str, path: str, overwrite: bool) -> None:
-        """A small file that is there whole or not at all."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        aside, there = self._hadoop(f"{self.path}/aside/{uuid.uuid4().hex}"), self._hadoop(path)
-        self.fs.mkdirs(there.getParent())
-        out = self.fs.create(aside, False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        LOG.debug("beside %s", path)
-        kind = jvm.org.apache.hadoop.fs.Options.Rename
-        how = self.spark.sparkContext._gateway.new_array(kind, 1)
-        how[0] = kind.OVERWRITE if overwrite else kind.NONE
         try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf).rename(self.fs.makeQualified(aside), self.fs.makeQualified(there), how)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" in str(e.java_exception.getClass()):
-                raise Conflict(path) from e
-            raise
-        LOG.debug("there is %s", path)
+            put(self.spark, text, path, f"{self.path}/aside", overwrite, LOG.debug)
+        except Taken as e:
+            raise Conflict(path) from e
 
     # -- versions
 

@@ -112,3 +112,43 @@ def test_two_writers_of_a_durable_ledger(spark, tmp_path):
     assert ledger.verify(two.events()).first()["ok"] and two.events("c2").count() == 1
     with pytest.raises(ledger.Refused):
         one.append(event("disposition.recorded", why=""))
+
+
+def test_a_file_left_empty_is_no_event(spark, tmp_path):
+    """As a writer leaves that dies between making and filling a file."""
+    one = ledger.Ledger(spark, str(tmp_path / "l"))
+    first = one.append(event("case.created"))
+    path = tmp_path / "l" / f"{0:09d}" / f"{first['seq'] + 1:012d}.json"
+    path.write_text("")
+    second = ledger.Ledger(spark, str(tmp_path / "l")).append(event("case.created"))
+    assert second["seq"] == first["seq"] + 1 and second["prev_hash"] == first["hash"]
+    assert one.events().count() == 2 and not list((tmp_path / "l.aside").glob("[0-9a-f]*"))
+
+
+def test_a_number_is_taken_once(spark, tmp_path):
+    from plumbline.files import Taken, put
+
+    at = str(tmp_path / "f" / "x.json")
+    put(spark, "one", at, str(tmp_path / "aside"))
+    with pytest.raises(Taken):
+        put(spark, "two", at, str(tmp_path / "aside"))
+    assert open(at).read() == "one"
+    put(spark, "three", at, str(tmp_path / "aside"), overwrite=True)
+    assert open(at).read() == "three"
+
+
+def test_long_chains_equal_a_fold(spark):
+    import hashlib
+
+    rows = [(k, f"c{k % 3}" if k % 7 else None, f"p{k}") for k in range(600)]
+    e = spark.createDataFrame(rows, "seq bigint, case_id string, payload string")
+    for f in ledger.FIELDS[1:]:
+        if f not in e.columns:
+            e = e.withColumn(f, F.lit(None).cast("string"))
+    got = {r.seq: (r.prev_hash, r.hash) for r in ledger.chained(e.repartition(4), "case_id").collect()}
+    last = {}
+    for k, c, p in rows:
+        body = "\x1f".join({"case_id": c or "", "payload": p}.get(f, "") for f in ledger.FIELDS[1:])
+        want = hashlib.sha256(f"{last.get(c, '')}\x1f{body}".encode()).hexdigest()
+        assert got[k] == (last.get(c, ""), want)
+        last[c] = want
