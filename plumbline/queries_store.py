@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import graph
-from .queries import SQL, UNIT, query, r6
-from .session import run_folder, table
+from .queries import CHAIN_SQL, SQL, UNIT, fields, query, r6
+from .session import run_folder, settle, table
 from .sources import catalog, chunks, documents, pages, vectors
 from .sources.store import Store, ingest
 from .streaming import events as streams
@@ -186,3 +186,24 @@ def page_source(spark, d):
     found, again = (spark.read.format("parts_api").load() for _ in range(2))  # as one of them is filtered
     one = again.where("p_brand = 'Brand#13' and p_partkey > 50")
     return found.select(F.lit("all").alias("asked"), "*").union(one.select(F.lit("one").alias("asked"), "*"))
+
+
+# -- chains of a stream whose events come up to a day late, over several batches
+
+
+@query("m02_ordered_chain", CHAIN_SQL + "SELECT event_id AS seq, prev_hash, hash FROM chain")
+def ordered_chain(spark, d):
+    at, e = place(spark), fields(spark, d).withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
+    comes = F.unix_timestamp("occurred_at") + F.pmod(F.xxhash64("seq"), F.lit(86400))
+    first, last = e.agg(F.min(comes), F.max(comes)).first()
+    dealt = settle(e.withColumn("part", F.floor((comes - first) * 4 / (last - first + 1))))
+    for k in range(4):
+        dealt.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    # one event that is later than all lets the watermark pass them
+    e.limit(1).withColumn("occurred_at", F.col("occurred_at") + F.expr("interval 999 days")).withColumn("case_id", F.lit("end")).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in").withWatermark("occurred_at", "26 hours")
+    provider = spark.conf.get(streams.ROCKS[0])
+    try:
+        return streams.replayed(streams.ordered_chain(stream, none="NA"), at, "append").where("case_id <> 'end'").select("seq", "prev_hash", "hash")
+    finally:
+        spark.conf.set(streams.ROCKS[0], provider)

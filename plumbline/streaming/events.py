@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..session import settle
 from ..sources.store import Store
@@ -81,6 +82,67 @@ def chain(events: DataFrame, by: str = "case_id", none: str = ""):
     return events.groupBy(by).applyInPandasWithState(update, f"{by} {kind}, seq bigint, number bigint, prev_hash string, hash string", "number bigint, last string", "append", GroupStateTimeout.NoTimeout)
 
 
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class OrderedLinks(StatefulProcessor):
+    """Holds a ledger's events until the watermark has passed them, then links them by time and seq."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, seq bigint, body string")
+        self.head = handle.getValueState("head", "number bigint, last string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        new = [x for f in rows for x in zip(f["us"].tolist(), f["seq"].tolist(), f["body"].tolist())]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(min(us for us, _, _ in new) // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import hashlib
+
+        import pandas as pd
+
+        passed, held = timerValues.getCurrentWatermarkInMs(), list(self.waiting.get())
+        ready = sorted(x for x in held if x[0] // 1000 < passed)
+        later = [x for x in held if x[0] // 1000 >= passed]
+        number, last = self.head.get() if self.head.exists() else (0, "")
+        out = []
+        for _, seq, body in ready:
+            h = hashlib.sha256(f"{last}\x1f{body}".encode()).hexdigest()
+            number += 1
+            out.append((key[0], seq, number, last, h))
+            last = h
+        if ready:
+            self.head.update((number, last))
+            self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self.handle.registerTimer(min(x[0] for x in later) // 1000)
+        if out:
+            yield pd.DataFrame(out, columns=["by", "seq", "number", "prev_hash", "hash"])
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_chain(events: DataFrame, by: str = "case_id", at: str = "occurred_at", none: str = "") -> DataFrame:
+    """As chain(), but in the order of time and seq whatever batches events come in, as long as they come before the watermark.
+
+    An event is linked once the watermark (events has one on ``at``) has passed it; until then it waits in its ledger's state, whose timers
+    Spark keeps. What comes behind the watermark is dropped by Spark and counted in the query's metrics. The state stands in RocksDB, which
+    this sets for the session's new queries.
+    """
+    from ..operators.ledger import FIELDS
+
+    events.sparkSession.conf.set(*ROCKS)
+    body = F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit(none if f == "supersedes" else "")) for f in FIELDS[1:]])
+    rows = events.select(by, at, "seq", F.unix_micros(at).alias("us"), body.alias("body"))
+    kind = events.schema[by].dataType.simpleString()
+    made = rows.groupBy(by).transformWithStateInPandas(OrderedLinks(), f"by {kind}, seq bigint, number bigint, prev_hash string, hash string", "Append", "EventTime")
+    return made.withColumnRenamed("by", by)
+
+
 def queue_changes(events: DataFrame, window: str = "1 day", at: str = "occurred_at"):
     """start, opened, disposed by window: what a running sum over windows turns into the queue's depth."""
     w = F.window(at, window)
