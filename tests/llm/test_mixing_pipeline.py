@@ -89,7 +89,8 @@ def test_words(spark, edge):
 
 def test_oracles_match(spark, sf):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         rel = con.execute(sql)
         columns = [c[0] for c in rel.description]
