@@ -220,29 +220,31 @@ def published(spark: SparkSession, path: str) -> DataFrame:
 # -- indexes ---------------------------------------------------------------------------------
 
 
-def build_indexes(chunks: DataFrame, path: str, vectors: DataFrame | None = None, parts: int = 16) -> None:
-    """Postings (term, chunk_id, n) by a hash of the term, chunks' lengths, and unit vectors; a query reads only its terms' parts. chunks: chunk_id, text."""
+def build_indexes(chunks: DataFrame, path: str, vectors: DataFrame | None = None) -> None:
+    """Postings (term, chunk_id, n) in the order of the terms, chunks' lengths, and unit vectors. chunks: chunk_id, text.
+
+    The ranges of terms are as many as the session's shuffles have, and a frequent term stands in several of them.
+    """
     words = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]+", " "), " +")
     each = chunks.select("chunk_id", F.explode(F.filter(words, lambda w: F.length(w) > 2)).alias("term"))
-    posts = each.groupBy("term", "chunk_id").agg(F.count("*").alias("n")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-    posts.repartition(parts, "part", "term").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    posts = each.groupBy("term", "chunk_id").agg(F.count("*").alias("n"))
+    posts.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
     chunks.select("chunk_id", F.length("text").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
     if vectors is not None:
         vectors.where("embedding is not null").select("chunk_id", unit(F.col("embedding")).alias("v")).write.mode("overwrite").parquet(f"{path}/vectors")
 
 
-def postings(spark: SparkSession, path: str, words: list[str], parts: int = 16) -> DataFrame:
-    """term, chunk_id, n of some terms; parts and row groups without them aren't read."""
-    asked = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(parts))).collect()]
-    return spark.read.parquet(f"{path}/postings").where(F.col("part").isin(asked) & F.col("term").isin(words)).select("term", "chunk_id", "n")
+def postings(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
+    """term, chunk_id, n of some terms; files and row groups whose range has none of them aren't read."""
+    return spark.read.parquet(f"{path}/postings").where(F.col("term").isin(words))
 
 
-def index_scores(spark: SparkSession, path: str, query: str, k1: float = 1.2, b: float = 0.75, parts: int = 16) -> DataFrame:
+def index_scores(spark: SparkSession, path: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """chunk_id, score by BM25 over whole words from the index alone."""
     words = spark.createDataFrame([(query,)], "q string").select(terms(F.col("q"), 2)).first()[0]
     lengths = spark.read.parquet(f"{path}/lengths")
     n, mean = lengths.agg(F.count("*"), F.avg("length")).first()
-    met = postings(spark, path, words, parts)
+    met = postings(spark, path, words)
     df = met.groupBy("term").agg(F.count("*").alias("df"))
     joined = met.join(F.broadcast(df), "term").join(lengths, "chunk_id")  # a row for each word of the query
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
