@@ -102,7 +102,7 @@ class Aligner:
         self.a, self.b, self.links = Vocabulary(path_a), Vocabulary(path_b), links
         self.width = len(self.b.bytes)
         self.db = duckdb.connect(":memory:")
-        self.db.execute("SET threads = 1; SET memory_limit = '500MB'; SET temp_directory = ''")
+        self.db.execute("SET threads = 1; SET memory_limit = '2GB'; SET temp_directory = ''")
         self.clear()
 
     def clear(self) -> None:
@@ -160,8 +160,15 @@ class Aligner:
         if len(self.known) + len(new) > MOST_UNITS:
             self.clear()
             new = set().union(*split)
-        if new:
-            self.meet(sorted(new))
+        some, size = [], 0
+        for x in sorted(new):  # a long text's units BLOCK characters at a time, so that the tables stay small
+            some.append(x)
+            size += len(x) + 1
+            if size >= BLOCK:
+                self.meet(some)
+                some, size = [], 0
+        if some:
+            self.meet(some)
         size = np.array([len(s) for s in split], np.int64)
         u = np.array(list(map(self.known.__getitem__, chain.from_iterable(split))), np.int64)
         d = np.repeat(np.arange(len(texts)), size)

@@ -89,6 +89,14 @@ def test_a_small_memory_of_units(spark, docs, monkeypatch):
     assert [g[1][0] for g in got] == digests and [tuple(g[0][0]) for g in got] == [tuple(s) for s in sums]
 
 
+def test_units_are_met_in_slices(docs, monkeypatch):
+    texts = [r[0] for r in docs.select("text").limit(40).collect()] + ["a▁b", "end "]
+    want = Aligner(A, B, "ends").documents(texts)
+    monkeypatch.setattr(alignment, "BLOCK", 500)
+    got = Aligner(A, B, "ends").documents(texts)
+    assert (got[0] == want[0]).all() and got[1] == want[1] and got[2].equals(want[2])
+
+
 def test_ids_are_the_tokenizers(docs):
     t = Tokenizer.from_file(A)
     t.encode_special_tokens = True
