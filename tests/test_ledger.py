@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,28 @@ def test_long_chains_equal_a_fold(spark):
         want = hashlib.sha256(f"{last.get(c, '')}\x1f{body}".encode()).hexdigest()
         assert got[k] == (last.get(c, ""), want)
         last[c] = want
+
+
+def test_conflicting_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    pick = lambda *xs: xs[int(rng.integers(len(xs)))]
+    asked = [(pick(1, 2, 3, None), pick("a", "b", "c"), pick("s", "t", "", None)) for _ in range(60)]
+    kinds = ("prior_decision.attested", "disposition.recorded", "case.created")
+    made = [(f"e{k}", pick(1, 2, 3, 4, None), pick("s", "t", None), pick("a", "b", "c", "boss", None), pick(*kinds)) for k in range(80)]
+    over = [("a", "boss"), ("b", "c"), ("b", "boss")]
+    want = set()
+    for case, actor, subject in asked:
+        for e, on_case, on_subject, by, kind in made:
+            same, about = case is not None and case == on_case, bool(subject) and subject == on_subject
+            other = case is not None and on_case is not None and case != on_case
+            met = (same or about) if kind == kinds[0] else about and other and kind in ledger.INDEPENDENT
+            if met and (actor == by or (actor, by) in over):
+                want.add((case, actor, e))
+    a = spark.createDataFrame(asked, "case_id int, actor string, subject_ref string")
+    e = spark.createDataFrame(made * 2, "event_id string, case_id int, subject_ref string, actor string, event_type string")
+    above = spark.createDataFrame(over, "person string, above string")
+    assert sorted(map(str, want)) == sorted(str((r.case_id, r.actor, r.event_id)) for r in ledger.conflicts(a, e, above).collect())
+    pairs = ledger.conflicting(a, e, above)
+    assert sorted({str((c, x)) for c, _, x in want}) == sorted(str(tuple(r)) for r in pairs.collect())
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "on_subject" in plan and not any("Join" in line and "by" not in line for line in plan.splitlines() if "on_subject" in line)  # each join is on who made it
