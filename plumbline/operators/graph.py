@@ -207,27 +207,54 @@ def lineage(supersedes: DataFrame, seeds: DataFrame, depth: int = 12, down: bool
 def longest_chains(supersedes: DataFrame) -> DataFrame:
     """head, length, path: from each letter that none supersedes its longest way to older ones, the smallest path of equals.
 
-    Level by level the ways of one more letter are found, of which each letter keeps the smallest: as its own name is in front of
-    all of them, the smallest of a letter is made of the smallest of those below it. So a level has a row a letter at most. In
+    Runs of letters without a fork or a meeting are put together first, so levels are counted in runs: of the ways of one more
+    run each run keeps the longest, the smallest of equals, which is made of that of a run below it. So a level has a row a run at most. In
     a cycle a way ends where it would meet itself.
     """
     step = settle(supersedes.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct())
     heads = step.select("node").distinct().join(step.select(F.col("next").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("head"))
-    level = step.select(F.explode(F.array("node", "next")).alias("node")).distinct().select("node", F.array("node").alias("path"))
-    best = None
-    for k in count(1):
-        below = level.select(F.col("node").alias("next"), "path")
-        grown = step.join(below, "next").where(~F.array_contains("path", F.col("node"))).select("node", F.concat(F.array("node"), "path").alias("path"))
-        level = settle(grown.groupBy("node").agg(F.min(F.struct(F.array_join("path", ">").alias("s"), "path")).alias("m")).select("node", "m.path"))
+    level, over = _runs(step)
+    of_heads = lambda: level.join(heads, F.col("run") == F.col("head"), "left_semi").select(F.col("run").alias("head"), "path")
+    best, several = of_heads(), not over.isEmpty()
+    for k in count(1) if several else ():
+        below, own = level.select(F.col("run").alias("next"), F.col("path").alias("rest")), level if k == 1 else own
+        grown = over.join(below, "next").where(~F.array_contains("rest", F.col("run"))).join(own, "run").select("run", F.concat("path", "rest").alias("path"))
+        level = settle(grown.groupBy("run").agg(F.min(F.struct((-F.size("path")).alias("n"), F.array_join("path", ">").alias("s"), "path")).alias("m")).select("run", "m.path"))
         if level.isEmpty():
             break
-        of_heads = level.join(heads, F.col("node") == F.col("head"), "left_semi").select(F.col("node").alias("head"), "path")
-        best = of_heads if best is None else best.unionByName(of_heads)
+        best = best.unionByName(of_heads())
         if k % LEVELS == 0:
             best = settle(_longest(best))
-    if best is None:
-        return heads.select("head", F.lit(1).alias("length"), F.col("head").alias("path")).limit(0)
-    return _longest(best).select("head", F.size("path").alias("length"), F.array_join("path", ">").alias("path"))
+    return (_longest(best) if several else best).select("head", F.size("path").alias("length"), F.array_join("path", ">").alias("path"))
+
+
+def _runs(step: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """run, path: letters in a row without a fork or a meeting, by the first of them; and the steps (run, next) from run to run. step: node, next.
+
+    Each letter looks 1, 2, 4 ... letters up until it sees the first of its run. A round in which none gets there leaves those of
+    runs without a first, cycles that nothing leads to, which no way from a head enters.
+    """
+    ways = step.where("node <> next")
+    down = ways.groupBy("node").agg(F.count("*").alias("n"), F.min("next").alias("next")).where("n = 1").select("node", "next")
+    up = ways.groupBy("next").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").select("node", "next")
+    inner = settle(down.join(up, ["node", "next"]))
+    first = ways.select(F.explode(F.array("node", "next")).alias("letter")).distinct().join(inner.select(F.col("next").alias("letter")), "letter", "left_anti")
+    there = [settle(first.select("letter", F.col("letter").alias("up"), F.lit(0).cast("bigint").alias("far")))]
+    open_, left = inner.select(F.col("next").alias("letter"), F.col("node").alias("up"), F.lit(1).cast("bigint").alias("far")), -1
+    while True:
+        seen = reduce(DataFrame.unionByName, there).withColumn("done", F.lit(True)).unionByName(open_.withColumn("done", F.lit(False)))
+        further = seen.select(F.col("letter").alias("up"), F.col("up").alias("above"), F.col("far").alias("more"), "done")
+        met = settle(open_.join(further, "up").select("letter", F.col("above").alias("up"), (F.col("far") + F.col("more")).alias("far"), "done"))
+        there.append(met.where("done").drop("done"))
+        open_ = met.where("not done").drop("done")
+        now = open_.count()
+        if now in (0, left):
+            break
+        left = now
+    place = reduce(DataFrame.unionByName, there)
+    path = F.transform(F.array_sort(F.collect_list(F.struct("far", "letter"))), lambda x: x["letter"])
+    over = ways.join(inner, ["node", "next"], "left_anti").join(place.select(F.col("letter").alias("node"), F.col("up").alias("run")), "node").select("run", "next")
+    return settle(place.groupBy(F.col("up").alias("run")).agg(path.alias("path"))), settle(over)
 
 
 def _longest(paths: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from plumbline.operators import graph
@@ -99,6 +100,31 @@ def test_chains_have_no_cap(spark):
     assert {tuple(r) for r in graph.longest_chains(s).collect()} == {("000", 103, ">".join(path)), ("b00", 9, ">".join(["b00", *path[95:]]))}
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds, write = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, *a: rounds.append(1) or write(df, *a))
+    s = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(300)], "source string, target string").coalesce(1)
+    assert {tuple(r) for r in graph.longest_chains(s).collect()} == {("000", 301, ">".join(f"{k:03d}" for k in range(301)))}
+    assert len(rounds) < 24  # not one a letter
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chains_equal_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    links = {(f"{min(a, b):02d}", f"{max(a, b):02d}") for a, b in rng.integers(0, 40, (45, 2)).tolist() if a != b}
+    below = {}
+    for a, b in links:
+        below.setdefault(a, []).append(b)
+
+    def ways(x):
+        return [[x, *w] for y in below.get(x, []) for w in ways(y)] or [[x]]
+
+    want = {(h, len(w), ">".join(w)) for h in below if h not in {b for _, b in links} for w in [min(ways(h), key=lambda w: (-len(w), w))]}
+    links |= {("y1", "y2"), ("y2", "y1"), ("z0", "z1"), ("z1", "z2"), ("z2", "z3"), ("z3", "z1")}  # cycles, without a way to it and with one
+    got = {tuple(r) for r in graph.longest_chains(spark.createDataFrame(sorted(links), "source string, target string")).collect()}
+    assert got == want | {("z0", 4, "z0>z1>z2>z3")}
+
+
 def test_mean_path_has_no_cap(spark):
     line = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(66)], "a string, b string").coalesce(1)
     r = graph.mean_path(line, sources=spark.createDataFrame([("000",)], "id string")).first()
