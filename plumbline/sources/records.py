@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import age_on
 from ..operators.causal import quantiles
+from ..session import bound_batches, settle
 
 BUNDLE = (
     "struct<entry:array<struct<resource:struct<resourceType:string,id:string,birthDate:string,gender:string,code:struct<text:string,coding:array<struct<display:string>>>,clinicalStatus:struct<coding:array<struct<code:string>>>>>>>"
@@ -38,7 +39,11 @@ CONTROLS = "id string, control_id string, family_id string, family string, title
 
 
 def controls(catalogs: DataFrame, json: str = "json") -> DataFrame:
-    """Controls and enhancements of nested control catalogs (groups, controls, controls within); prose is flattened in order."""
+    """Controls and enhancements of nested control catalogs (groups, controls, controls within); prose is flattened in order.
+
+    A Python worker has one catalog's controls at a time, in batches of catalogs bounded by bytes.
+    """
+    bound_batches(catalogs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json as js
@@ -53,10 +58,12 @@ def controls(catalogs: DataFrame, json: str = "json") -> DataFrame:
             for child in c.get("controls") or []:
                 yield from walk(child, group, c["id"])
 
+        schema = pa.schema([("id", pa.string()), ("control_id", pa.string()), ("family_id", pa.string()), ("family", pa.string()), ("title", pa.string()), ("parent", pa.string()), ("withdrawn", pa.bool_()), ("statement", pa.string()), ("n_params", pa.int32())])
         for b in batches:
-            rows = [r for t in b.column(0).to_pylist() if t for g in js.loads(t)["catalog"]["groups"] for c in g.get("controls") or [] for r in walk(c, g, None)]
-            schema = pa.schema([("id", pa.string()), ("control_id", pa.string()), ("family_id", pa.string()), ("family", pa.string()), ("title", pa.string()), ("parent", pa.string()), ("withdrawn", pa.bool_()), ("statement", pa.string()), ("n_params", pa.int32())])
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for t in b.column(0):
+                if text := t.as_py():
+                    rows = [r for g in js.loads(text)["catalog"]["groups"] for c in g.get("controls") or [] for r in walk(c, g, None)]
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     from ..functions.text import display_id
 

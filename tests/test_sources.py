@@ -163,3 +163,11 @@ def test_robots_that_fail_allow_all(spark):
 
 def test_paged_of_nothing(spark):
     assert crawl.paged(spark, lambda offset, size: (0, [])).count() == 0
+
+
+def test_control_catalogs_are_bounded(spark, tmp_path):
+    from plumbline import queries_sources
+
+    spark.range(2500).selectExpr("id p_partkey", "concat('n', id) p_name", "'Brand#1' p_brand", "'t' p_type", "cast(id % 50 as int) p_size").write.parquet(f"{tmp_path}/part.parquet")
+    found = [r.json.count('"name":"status"') for r in queries_sources.control_catalogs(spark, str(tmp_path)).collect()]
+    assert len(found) == 3 and sum(found) == 2500 and max(found) <= 1000
