@@ -21,6 +21,7 @@ from ..session import settle
 
 SAMPLE, MOST_CELLS, ROUNDS, SEED = 65_536, 4096, 12, 5
 MOST_QUERIES = 4096  # that are broadcast; more meet the rows by a join on cells
+ASKED = 64  # queries whose cells are found at a time
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -96,33 +97,38 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top: int = 10, pr
     probes = min(probes, len(centre))
     shared = spark.sparkContext.broadcast(centre)
 
+    def nearest(q: np.ndarray) -> np.ndarray:
+        return np.argsort(-(q @ shared.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+
     def nearest_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = matrix(b.column(1)) @ shared.value.T if b.num_rows else np.zeros((0, len(shared.value)))
-            cells = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            at = np.repeat(np.arange(b.num_rows), probes)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(cells.ravel())], names=["query_id", "q", "cell"])
-
-    probed = settle(asked.mapInArrow(nearest_cells, "query_id bigint, q array<double>, cell int"), "probed")
-    cells = [r[0] for r in probed.select("cell").distinct().collect()]  # MOST_CELLS at most
-    rows = rows.where(F.col("cell").isin(cells))
+            for i in range(0, b.num_rows, ASKED):
+                part = b.slice(i, ASKED)
+                cells = nearest(matrix(part.column(1)))
+                at = np.repeat(np.arange(part.num_rows), probes)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(cells.ravel())], names=["query_id", "q", "cell"])
+
     if asked.count() > MOST_QUERIES:
-        met = rows.join(probed, "cell").where(F.lit(itself) | (F.col("id") != F.col("query_id")))
+        met = asked.mapInArrow(nearest_cells, "query_id bigint, q array<double>, cell int")
+        met = rows.join(met, "cell").where(F.lit(itself) | (F.col("id") != F.col("query_id")))
         return best(met.select("query_id", "id", F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score")), top)
-    found = probed.toArrow()
-    ids, q, at = found["query_id"].to_numpy(), matrix(found["q"]), found["cell"].to_numpy()
-    order = np.argsort(at, kind="stable")
-    wanted = spark.sparkContext.broadcast((ids[order], q[order], at[order]))
+    found = asked.toArrow()  # a row a query, whatever the number of cells
+    ids, q = found["id"].to_numpy(), matrix(found["v"]) if found.num_rows else np.zeros((0, centre.shape[1]))
+    every = probes == len(centre)  # then each cell is every query's
+    cells = np.zeros((0, probes), np.int32) if every else nearest(q)
+    if not every:
+        rows = rows.where(F.col("cell").isin(np.unique(cells).tolist()))
+    wanted = spark.sparkContext.broadcast((ids, q, cells))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The task's top rows for each query."""
-        ids, q, at = wanted.value
+        ids, q, cells = wanted.value
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             own, x, cell = b.column(0).to_numpy(), matrix(b.column(1)) if b.num_rows else None, b.column(2).to_numpy()
             for c in np.unique(cell).tolist():
                 few = np.flatnonzero(cell == c)
-                for k in range(np.searchsorted(at, c), np.searchsorted(at, c, "right")):
+                for k in range(len(ids)) if every else np.flatnonzero((cells == c).any(axis=1)):
                     i, score = own[few], x[few] @ q[k]
                     if not itself:
                         i, score = i[i != ids[k]], score[i != ids[k]]

@@ -73,3 +73,14 @@ def test_few_and_none(spark, tmp_path):
     assert of(vectors.search(spark, str(tmp_path / "two"), two, 10, 9)) == {1: [1, 2], 2: [2, 1]}
     vectors.build(two.limit(0), str(tmp_path / "none"))
     assert vectors.search(spark, str(tmp_path / "none"), two, 10, 9).count() == 0
+
+
+def test_search_sends_a_row_a_query(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "vec_id bigint, embedding array<double>")
+    cells, sent, read = vectors.build(v, str(tmp_path)), [], DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: sent.append(read(df).num_rows) or read(df))
+    found = vectors.search(spark, str(tmp_path), v.where("vec_id % 10 = 0"), 3, cells, itself=False)
+    assert cells > 8 and sorted(sent) == sorted([cells, 30]) and found.count() == 90
