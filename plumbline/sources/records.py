@@ -85,7 +85,8 @@ def read_cohort(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cohort_summary(members: DataFrame) -> DataFrame:
-    """members, median_age, median_conditions, most_encounters, with_flags, urgent: one row."""
+    """members, median_age, median_conditions, most_encounters, with_flags, urgent: one row. The members are made once, for all of these."""
+    members = settle(members.select("age", "conditions", "encounters", "sdoh_flags", "urgent_condition"), "members")
     middle = lambda c: F.lit(quantiles(members, c, [0.5])[0]).cast("double").alias(f"median_{c}")
     return members.agg(
         F.count("*").alias("members"), middle("age"), middle("conditions"), F.max("encounters").alias("most_encounters"),
