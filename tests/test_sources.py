@@ -171,3 +171,25 @@ def test_control_catalogs_are_bounded(spark, tmp_path):
     spark.range(2500).selectExpr("id p_partkey", "concat('n', id) p_name", "'Brand#1' p_brand", "'t' p_type", "cast(id % 50 as int) p_size").write.parquet(f"{tmp_path}/part.parquet")
     found = [r.json.count('"name":"status"') for r in queries_sources.control_catalogs(spark, str(tmp_path)).collect()]
     assert len(found) == 3 and sum(found) == 2500 and max(found) <= 1000
+
+
+def test_cohort_summary_makes_members_once(spark):
+    from plumbline.sources import records
+
+    made = spark.sparkContext.accumulator(0)
+
+    def age(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    m = spark.range(40).selectExpr("cast(id as int) age", "1 conditions", "2 encounters", "0 sdoh_flags", "1 urgent_condition")
+    found = records.cohort_summary(m.mapInArrow(age, m.schema)).first()
+    assert (found.members, found.median_age, found.urgent) == (40, 19.5, 40) and made.value == 40
+
+
+@pytest.mark.parametrize("name", ["f32_settings", "g22_descendants", "g23_backdoor_paths", "g24_blocked", "g25_adjustment_set", "g26_model_checks"])
+def test_settings_and_diagrams_are_asked_about_every_part(spark, sf, name):
+    from plumbline import queries
+
+    assert "part.parquet" in str(queries.QUERIES[name](spark, sf).inputFiles())
