@@ -553,6 +553,36 @@ def verdict(reach: float, sigma: float | None) -> str:
     return "small-world" if sigma > 1.5 else "weakly small-world" if sigma > 1 else "not small-world"
 
 
+SWAPS = 10_000  # that are numbers of Python's at a time
+
+
+def swapped(pairs, rng):
+    """pairs (an array of two columns) after 10 swaps a pair that keep all degrees. A pair is one number, and swaps are drawn into arrays."""
+    import numpy as np
+
+    names, at = np.unique(pairs, return_inverse=True)
+    at, n = np.sort(at.reshape(-1, 2), axis=1).astype(np.int64), max(1, len(names))
+    e = (at[:, 0] * n + at[:, 1]).tolist()
+    have = set(e)
+    drawn, flips = rng.integers(0, len(e), (2, 10 * len(e))).astype(np.int32), rng.random(10 * len(e)) < 0.5
+    for k in range(0, 10 * len(e), SWAPS):
+        for i, j, flip in zip(*drawn[:, k : k + SWAPS].tolist(), flips[k : k + SWAPS].tolist()):
+            a, b = divmod(e[i], n)
+            c, d = divmod(e[j], n)
+            if flip:
+                c, d = d, c
+            if len({a, b, c, d}) < 4:
+                continue
+            x, y = min(a, d) * n + max(a, d), min(c, b) * n + max(c, b)
+            if x in have or y in have:
+                continue
+            have -= {e[i], e[j]}
+            have |= {x, y}
+            e[i], e[j] = x, y
+    made = np.array(e, np.int64)
+    return np.stack([names[made // n], names[made % n]], axis=1)
+
+
 def rewired(spark, pairs: list[tuple[int, int]], replicates: int = 5, seed: int = 42, metrics: bool = False) -> DataFrame:
     """replicate, a, b of degree-preserving rewirings (10 swaps a pair), one task for each replicate; or replicate, clustering, mean_path.
 
@@ -568,24 +598,14 @@ def rewired(spark, pairs: list[tuple[int, int]], replicates: int = 5, seed: int
 
         for batch in batches:
             for r in batch.column(0).to_pylist():
-                rng = np.random.default_rng(seed + r)
-                e = [tuple(sorted(x)) for x in shared.value.tolist()]
-                have = set(e)
-                for i, j, flip in zip(*rng.integers(0, len(e), (2, 10 * len(e))).tolist(), (rng.random(10 * len(e)) < 0.5).tolist()):
-                    (a, b), (c, d) = e[i], e[j]
-                    if flip:
-                        c, d = d, c
-                    x, y = (min(a, d), max(a, d)), (min(c, b), max(c, b))
-                    if len({a, b, c, d}) < 4 or x in have or y in have:
-                        continue
-                    have -= {e[i], e[j]}
-                    have |= {x, y}
-                    e[i], e[j] = x, y
+                made = swapped(shared.value, np.random.default_rng(seed + r))
                 if metrics:
-                    c, length = small_metrics(e)
+                    c, length = small_metrics(made.tolist())
                     yield pa.RecordBatch.from_pydict({"replicate": [r], "clustering": [c], "mean_path": [length]})
                 else:
-                    yield pa.RecordBatch.from_pydict({"replicate": [r] * len(e), "a": [x for x, _ in e], "b": [x for _, x in e]})
+                    for i in range(0, len(made), SWAPS):
+                        some = made[i : i + SWAPS]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), r)), pa.array(some[:, 0]), pa.array(some[:, 1])], names=["replicate", "a", "b"])
 
     return spark.range(replicates).repartition(replicates, "id").mapInArrow(run, "replicate bigint, clustering double, mean_path double" if metrics else "replicate bigint, a bigint, b bigint")
 

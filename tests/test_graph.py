@@ -204,3 +204,16 @@ def test_shortcuts_tell_what_they_bridge(spark):
     found = spark.createDataFrame([("a", "d", 0.9, None), ("b", "d", 0.8, 4)], "a string, b string, sim double, hops int")
     got = {(r.source, r.target): (r.relationship_type, r.directed, r.evidence) for r in graph.augmented(edges, found, 2).collect()}
     assert got == {("a", "b"): ("implements", True, "text"), ("a", "d"): ("shortcut", False, "was unreachable"), ("b", "d"): ("shortcut", False, "was 4 hops")}
+
+
+def test_swaps_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    pairs = np.array(sorted({tuple(sorted(p)) for p in rng.integers(0, 2000, (20_000, 2)).tolist() if p[0] != p[1]}))
+    tracemalloc.start()
+    made = graph.swapped(pairs, np.random.default_rng(42))
+    most = tracemalloc.get_traced_memory()[1] / len(pairs)
+    tracemalloc.stop()
+    assert len({tuple(p) for p in made.tolist()}) == len(pairs) and sorted(Counter(made.ravel().tolist()).items()) == sorted(Counter(pairs.ravel().tolist()).items())
+    assert most < 600  # bytes a pair
