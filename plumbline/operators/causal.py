@@ -208,12 +208,14 @@ def matched_with_replacement(df: DataFrame, exposure: str, key: str, score: str
 def matched_without_replacement(df: DataFrame, exposure: str, key: str, score: str = "propensity", caliper: float = 0.2, mahalanobis: list[str] | None = None) -> DataFrame:
     """The same, each control once. Rounds: every treated row names its nearest free control, every control takes its
     nearest namer (smaller gap, then smaller key, wins); those matched leave. Unlike one sequential pass this needs
-    no order over all rows, and each round at least the closest pair is matched.
+    no order over all rows, and each round at least the closest pair is matched. While more than EACH rows are left a round is a join of
+    Spark's; all rounds of the last EACH are one group's, with the same pairs.
     """
     taken, rest = None, settle(df.select(key, exposure, score, *(mahalanobis or [])), "rows")
     width, ranges = _spread(rest, score, caliper)
     white = whitened(rest, mahalanobis) if mahalanobis else None
-    while True:
+    left = rest.count()
+    while left > EACH:
         near = _nearest(rest, exposure, key, score, width, ranges) if white is None else _nearest_within(rest, exposure, key, score, width, white)
         new = near.groupBy("control").agg(F.min(F.struct("gap", "treated")).alias("m")).select(F.col("m.treated").alias("treated"), "control", F.col("m.gap").alias("gap"))
         new = settle(new, "pairs")
@@ -222,6 +224,96 @@ def matched_without_replacement(df: DataFrame, exposure: str, key: str, score: s
         taken = new if taken is None else taken.unionByName(new)
         gone = new.select(F.explode(F.array("treated", "control")).alias(key))
         rest = settle(rest.join(gone, key, "left_anti"), "rows")
+        left = rest.count()
+    last = _rounds_of_few(rest, exposure, key, score, width, white)
+    return last if taken is None else taken.unionByName(last)
+
+
+NEAREST = 64  # controls that a treated row of few keeps by distance until they are taken
+
+
+def _rounds_of_few(df: DataFrame, exposure: str, key: str, score: str, width: float, white: tuple[list[str], np.ndarray] | None) -> DataFrame:
+    """All further rounds of matched_without_replacement for EACH rows at most, the rows of one range: in one group, as a round is little work then."""
+    kind = df.schema[key].dataType.simpleString()
+    at = F.array().cast("array<double>") if white is None else _whitened_place(white)
+    rows = df.select(F.col(key).alias("k"), (F.col(exposure) == 0).alias("c"), F.col(score).cast("double").alias("s"), at.alias("x"))
+
+    def run(frame):
+        import pandas as pd
+
+        a, b = frame[~frame.c].sort_values("k"), frame[frame.c].sort_values("k")
+        if white is None:
+            t, c, gap = _rounds_by_score(a.s.to_numpy(), b.s.to_numpy(), width)
+        else:
+            place = lambda f: np.stack(f.x.to_numpy()) if len(f) else np.zeros((0, len(white[0])))
+            t, c, gap = _rounds_by_distance(a.s.to_numpy(), place(a), b.s.to_numpy(), place(b), max(width, 1e-12))
+        return pd.DataFrame({"treated": a.k.to_numpy()[t], "control": b.k.to_numpy()[c], "gap": gap})
+
+    return rows.groupBy().applyInPandas(run, f"treated {kind}, control {kind}, gap double")
+
+
+def _winners(t: np.ndarray, c: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Of treated rows t that name controls c, which are taken: each control's by the smallest gap, then the smallest place."""
+    order = np.lexsort((t, gap, c))
+    return order[np.append(True, np.diff(c[order]) != 0)] if len(order) else order
+
+
+def _rounds_by_score(ts: np.ndarray, cs: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of treated rows and of their controls, and gaps. Either arm stands in the order of its keys."""
+    free, open_, out = np.lexsort((np.arange(len(cs)), cs)), np.flatnonzero(~np.isnan(ts)), []
+    free = free[~np.isnan(cs[free])]
+    while len(free) and len(open_):
+        s = cs[free]
+        above = np.searchsorted(s, ts[open_], "left")  # of equal scores the smallest key stands first
+        below = np.searchsorted(s, s[np.maximum(above - 1, 0)], "left")
+        low = np.where(above > 0, np.abs(ts[open_] - s[below]), np.inf)
+        high = np.where(above < len(s), np.abs(ts[open_] - s[np.minimum(above, len(s) - 1)]), np.inf)
+        lower, upper = free[below], free[np.minimum(above, len(s) - 1)]
+        c = np.where((low < high) | ((low == high) & (lower < upper)), lower, upper)
+        gap = np.minimum(low, high)
+        near = gap <= width  # the others find no control any more, as those that are free get fewer
+        open_, c, gap = open_[near], c[near], gap[near]
+        won = _winners(open_, c, gap)
+        out.append((open_[won], c[won], gap[won]))
+        open_, free = np.delete(open_, won), free[~np.isin(free, c[won])]
+    return tuple(np.concatenate([np.zeros(0, kind), *[o[i] for o in out]]) for i, kind in enumerate((np.int64, np.int64, np.float64)))
+
+
+def _rounds_by_distance(ts: np.ndarray, tx: np.ndarray, cs: np.ndarray, cx: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _rounds_by_score, by distance in x among the controls within a width of the score. A treated row keeps its NEAREST controls and looks again once all are taken."""
+    free, out = np.ones(len(cs), bool), []
+    kept, far = np.zeros((len(ts), NEAREST), np.int32), np.full((len(ts), NEAREST), np.inf)
+    at, open_, look = np.zeros(len(ts), np.int64), np.arange(len(ts)), np.ones(len(ts), bool)
+    while len(open_) and free.any():
+        again = open_[look[open_]]
+        own = np.flatnonzero(free)
+        for i in range(0, len(again), 64):
+            some = again[i : i + 64]
+            d = np.sqrt(((tx[some, None, :] - cx[None, own, :]) ** 2).sum(axis=2))
+            d[~(np.abs(ts[some, None] - cs[None, own]) <= width)] = np.inf
+            n = min(NEAREST, len(own))
+            first = np.argsort(d, axis=1, kind="stable")[:, :n]  # of equal distances the smallest key
+            kept[some], far[some] = 0, np.inf
+            kept[some, :n], far[some, :n] = own[first], np.take_along_axis(d, first, 1)
+        at[again], look[again] = 0, False
+        while True:  # on to the first that is free
+            here = np.minimum(at[open_], NEAREST - 1)
+            taken = (at[open_] < NEAREST) & np.isfinite(far[open_, here]) & ~free[kept[open_, here]]
+            if not taken.any():
+                break
+            at[open_[taken]] += 1
+        spent = at[open_] >= NEAREST
+        look[open_[spent]] = True
+        if spent.any():
+            continue
+        gap = far[open_, at[open_]]
+        open_, gap = open_[np.isfinite(gap)], gap[np.isfinite(gap)]
+        c = kept[open_, at[open_]].astype(np.int64)
+        won = _winners(open_, c, gap)
+        out.append((open_[won], c[won], gap[won]))
+        free[c[won]] = False
+        open_ = np.delete(open_, won)
+    return tuple(np.concatenate([np.zeros(0, kind), *[o[i] for o in out]]) for i, kind in enumerate((np.int64, np.int64, np.float64)))
 
 
 EACH = 50_000  # rows of a range of scores
@@ -272,6 +364,11 @@ def whitened(df: DataFrame, covariates: list[str]) -> tuple[list[str], np.ndarra
     return covariates, vectors / np.sqrt(np.where(values > 1e-12, values, np.inf))
 
 
+def _whitened_place(white: tuple[list[str], np.ndarray]) -> Column:
+    names, w = white
+    return F.array(*[reduce(lambda a, b: a + b, [F.col(c).cast("double") * float(w[i, j]) for i, c in enumerate(names)]) for j in range(w.shape[1])])
+
+
 SIDE = 2048  # rows of either arm that meet in one group
 
 
@@ -281,10 +378,8 @@ def _nearest_within(df: DataFrame, exposure: str, key: str, score: str, width: f
     Scores are cut into buckets one width wide; a treated row meets the controls of its own bucket and the two beside it, in chunks
     of SIDE rows of either arm, so that no group grows with a bucket.
     """
-    names, w = white
     width = max(width, 1e-12)
-    at = F.array(*[reduce(lambda a, b: a + b, [F.col(c).cast("double") * float(w[i, j]) for i, c in enumerate(names)]) for j in range(w.shape[1])])
-    rows = df.select(F.col(key).alias("k"), (F.col(exposure) == 0).alias("c"), F.col(score).cast("double").alias("s"), at.alias("x")).withColumn("b", F.floor(F.col("s") / width))
+    rows = df.select(F.col(key).alias("k"), (F.col(exposure) == 0).alias("c"), F.col(score).cast("double").alias("s"), _whitened_place(white).alias("x")).withColumn("b", F.floor(F.col("s") / width))
     size = rows.groupBy("b").agg(F.count_if("c").alias("nc"), F.count_if(~F.col("c")).alias("nt"))
     chunks = size.select("b", F.ceil(F.col("nc") / SIDE).cast("int").alias("pc"), F.ceil(F.col("nt") / SIDE).cast("int").alias("pt"))
     spread = lambda n: F.pmod(F.xxhash64("k"), F.greatest(n, F.lit(1))).cast("int")

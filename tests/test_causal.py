@@ -168,3 +168,24 @@ def test_cases_from_a_cohort(spark):
     assert r.n == 500 and r.m > 40 and 0.02 < r.a < 0.9 and r.h >= 2
     with pytest.raises(ValueError, match="empty"):
         causal.simulated_from_cohort(cohort.where("conditions > 99"), 5)
+
+
+@pytest.mark.parametrize("near", [None, ["a", "b"]])
+def test_rounds_of_few_equal_rounds_of_spark(spark, monkeypatch, near):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), int(rng.random() < 0.45), round(float(rng.random()), 2), round(float(rng.normal()), 1), float(rng.integers(3))) for i in rng.permutation(150)]  # many ties, scarce controls
+    df = spark.createDataFrame(rows, "id int, t int, propensity double, a double, b double")
+    match = lambda: {tuple(r) for r in causal.matched_without_replacement(df, "t", "id", caliper=0.4, mahalanobis=near).select("treated", "control", F.round("gap", 9)).collect()}
+    jobs, few = [], causal.settle
+    monkeypatch.setattr(causal, "settle", lambda *a: (jobs.append(1), few(*a))[1])
+    found, settled = match(), len(jobs)
+    monkeypatch.setattr(causal, "EACH", -1)
+    assert found == match() and len(found) > 20 and settled == 1 < len(jobs) - settled  # EACH rows take one group, however many rounds
+
+
+def test_rounds_by_distance_look_again(monkeypatch):
+    rng = np.random.default_rng(3)
+    arms = [rng.random(120), rng.integers(0, 5, (120, 2)).astype(float), rng.random(60), rng.integers(0, 5, (60, 2)).astype(float)]
+    want = [x.tolist() for x in causal._rounds_by_distance(*arms, 0.4)]
+    monkeypatch.setattr(causal, "NEAREST", 3)
+    assert [x.tolist() for x in causal._rounds_by_distance(*arms, 0.4)] == want and len(want[0]) > 30
