@@ -122,7 +122,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     d = v.cast("array<double>")
-    return F.transform(d, lambda x: x / F.sqrt(dot(d, d)))
+    with_norm = F.array(F.struct(d.alias("v"), F.sqrt(dot(d, d)).alias("n")))  # the norm is made once, not for each component
+    return F.element_at(F.transform(with_norm, lambda r: F.transform(r["v"], lambda x: x / r["n"])), 1)
 
 
 def vector_top(vectors: DataFrame, query: list[float], key: str, top: int = 8, wide: int = 4, vector: str = "embedding") -> DataFrame:

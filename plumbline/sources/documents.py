@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..operators.retrieval import unit
+from ..session import settle
 from .catalog import page_of, page_starts
 
 # -- pdf -------------------------------------------------------------------------------------
@@ -220,16 +222,34 @@ def published(spark: SparkSession, path: str) -> DataFrame:
 # -- indexes ---------------------------------------------------------------------------------
 
 
+WORD = re.compile("[a-z0-9]{3,}")
+COUNTED = 256  # chunks whose words are counted in a batch
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, chunk_id, n of each chunk by itself, so no shuffle has a row for a word's every occurrence."""
+    for b in batches:
+        for i in range(0, b.num_rows, COUNTED):
+            part = b.slice(i, COUNTED)
+            found = [Counter(WORD.findall(t.lower())) if t else {} for t in part.column(1).to_pylist()]
+            at = pa.array([k for k, c in enumerate(found) for _ in c], pa.int32())
+            term, n = pa.array([w for c in found for w in c], pa.string()), pa.array([x for c in found for x in c.values()], pa.int64())
+            yield pa.RecordBatch.from_arrays([term, part.column(0).take(at), n], names=["term", "chunk_id", "n"])
+
+
 def build_indexes(chunks: DataFrame, path: str, vectors: DataFrame | None = None) -> None:
     """Postings (term, chunk_id, n) in the order of the terms, chunks' lengths, and unit vectors. chunks: chunk_id, text.
 
     The ranges of terms are as many as the session's shuffles have, and a frequent term stands in several of them.
     """
-    words = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]+", " "), " +")
-    each = chunks.select("chunk_id", F.explode(F.filter(words, lambda w: F.length(w) > 2)).alias("term"))
-    posts = each.groupBy("term", "chunk_id").agg(F.count("*").alias("n"))
-    posts.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    dealt = chunks.select("chunk_id", "text").repartition("chunk_id")  # over all cores, whatever files the texts come from
+    posts = settle(dealt.mapInArrow(_counted, f"term string, chunk_id {kind}, n bigint"), "postings")  # as ranges are found by a pass of its own
+    posts = posts.repartitionByRange("term", "chunk_id")
     chunks.select("chunk_id", F.length("text").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
+    if not chunks.sparkSession.read.parquet(f"{path}/lengths").groupBy("chunk_id").count().where("count > 1").isEmpty():  # chunks that share an id
+        posts = posts.groupBy("term", "chunk_id").agg(F.sum("n").alias("n"))
+    posts.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
     if vectors is not None:
         vectors.where("embedding is not null").select("chunk_id", unit(F.col("embedding")).alias("v")).write.mode("overwrite").parquet(f"{path}/vectors")
 

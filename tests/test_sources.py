@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,21 @@ def test_settings_and_diagrams_are_asked_about_every_part(spark, sf, name):
     from plumbline import queries
 
     assert "part.parquet" in str(queries.QUERIES[name](spark, sf).inputFiles())
+
+
+def test_index_counts_words_chunk_by_chunk(spark, tmp_path):
+    texts = [(1, "The cat's the Hat, THE\nCAT a\tbb ccc-ccc"), (2, None), (3, ""), (4, "\u212aelvin \u0130stan na\u00efve \u03a3ABC x9y 2024"), (5, "one"), (5, "one two")]
+    df = spark.createDataFrame(texts, "chunk_id int, text string")
+    words = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]+", " "), " +")
+    want = df.select("chunk_id", F.explode(F.filter(words, lambda w: F.length(w) > 2)).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("n"))
+    documents.build_indexes(df, str(tmp_path))
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/postings").collect())) == sorted(map(tuple, want.collect()))
+    (one,) = documents._counted([pa.RecordBatch.from_pydict({"chunk_id": [7], "text": ["a row a word, not a row an occurrence: word row"]})])
+    assert one.num_rows == len(set(one["term"].to_pylist())) == 4 and sum(one["n"].to_pylist()) == 7
+
+
+def test_unit_makes_its_norm_once(spark):
+    v = spark.createDataFrame([([3.0, 4.0],), ([],), (None,), ([0.0, 1.0],)], "v array<double>")
+    assert [r[0] for r in v.select(retrieval.unit(F.col("v"))).collect()] == [[0.6, 0.8], [], None, [0.0, 1.0]]
+    plan = v.select(retrieval.unit(F.col("v")).alias("u"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("SQRT") == 1 and "array(struct(" in plan  # beside the components, not within each
