@@ -150,14 +150,29 @@ class Store:
         return len(gone)
 
 
+MARKS = 4_000_000  # keys that are broadcast as one number each
+
+
+def chosen(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of df whose columns of keys (a settled table of rows without nulls, once each) are among keys'.
+
+    Up to MARKS keys are broadcast as hashes first, so that only rows that may be among them are shuffled, and not the texts of all others.
+    """
+    mark = F.xxhash64(*keys.columns)
+    if keys.count() <= MARKS:
+        df = df.join(F.broadcast(keys.select(mark.alias("_mark")).distinct()), mark == F.col("_mark"), "left_semi")
+    return df.join(keys, keys.columns, "left_semi")
+
+
 def ingest(store: Store, docs: DataFrame, process: Callable[[DataFrame], DataFrame], per_commit: int = 100_000, finish: Callable[[Store, int], None] | None = None) -> dict:
     """Brings the store up to docs (origin, hash and others): ``process`` gives the rows (origin and others) of those that are new or changed.
 
     Some ``per_commit`` documents, in whole buckets, are a commit. If one fails the run stops there; what came before stays, is finished and published,
     and the next run goes on with the rest. Documents that are in the store and not in docs stay.
     """
-    known = store.done()
-    changed = store.bucketed(docs).withColumn("hash", F.coalesce("hash", F.lit(""))).join(known, ["origin", "hash"], "left_anti")
+    changed = store.bucketed(docs).withColumn("hash", F.coalesce("hash", F.lit("")))
+    if store.manifest():
+        changed = chosen(changed, settle(changed.select("origin", "hash").distinct().join(store.done(), ["origin", "hash"], "left_anti"), "changed"))
     todo = settle(changed, "todo")
     sizes = {r["bucket"]: r["count"] for r in todo.groupBy("bucket").count().collect()}  # a row for each bucket at most
     steps: list[list[int]] = []
