@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.session import settle
 from plumbline.sources import store as S
 from plumbline.sources.store import Conflict, Store, ingest
 from plumbline.streaming import events as streams
@@ -157,3 +158,28 @@ def test_a_stream_keeps_the_last_edition(spark, tmp_path):
     new = spark.readStream.schema("origin string, text string, hash string, edition int").parquet(str(tmp_path / "in"))
     streams.ingested(new, store, str(tmp_path / "ck"), words, F.col("edition")).awaitTermination()
     assert held(store, max(store.versions())) == expected(merged(2))
+
+
+def test_only_changed_texts_are_shuffled(spark, tmp_path, monkeypatch):
+    plans, store = {}, Store(spark, str(tmp_path / "store"), 4)
+    monkeypatch.setattr(S, "settle", lambda df, name="part", by=None: (plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString()), settle(df, name, by))[1])
+    docs = lambda k: spark.createDataFrame([(f"o{i}", f"h{i}" if i % 5 else f"h{i}-{k}", "text") for i in range(20)] + [(None, None, "none")], "origin string, hash string, text string")
+    rows = lambda part: part.select("origin", F.col("hash").alias("of"))
+    for k in (1, 2):
+        assert ingest(store, docs(k), rows)["documents"] == (21, 4)[k - 1]
+    first, second = plans["todo"]
+    assert "Join" not in first and "hint=(strategy=broadcast)" in second.replace(", rightHint=", ", hint=")
+    assert "text" not in plans["changed"][0].split("Project")[0] and sorted(r[0] for r in store.rows().select("of").collect() if r[0].endswith("-2")) == ["h0-2", "h10-2", "h15-2", "h5-2"]
+
+
+@pytest.mark.parametrize("marks", [0, 100])
+def test_a_stream_settles_no_texts(spark, tmp_path, monkeypatch, marks):
+    seen, store = [], Store(spark, str(tmp_path / "store"), 4)
+    monkeypatch.setattr(streams, "MARKS", marks)
+    monkeypatch.setattr(streams, "settle", lambda df, name="part": (seen.append(df.columns), settle(df, name))[1])
+    rows = [("a", "h1", "one", 1), ("a", "h2", "two", 2), ("b", "h3", "three", 1), ("b", "h3", "three", 1), ("c", "h4", "four", None)]
+    spark.createDataFrame(rows, "origin string, hash string, text string, k int").coalesce(1).write.parquet(f"{tmp_path}/in")
+    new = spark.readStream.schema("origin string, hash string, text string, k int").parquet(f"{tmp_path}/in")
+    streams.ingested(new, store, f"{tmp_path}/checkpoint", lambda part: part.select("origin", "text"), F.coalesce("k", F.lit(0))).awaitTermination()
+    assert sorted(map(tuple, store.rows(1).select("origin", "text").collect())) == [("a", "two"), ("b", "three"), ("c", "four")]
+    assert seen and not any("text" in columns for columns in seen)
