@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+ROWS = 128  # of a block's vectors that are multiplied at a time
 BLOCK = 4096  # vectors of a side that are multiplied together
 
 
@@ -153,18 +154,17 @@ def similar_pairs(vectors: DataFrame, plan: str, least: float = 0.55, per_doc: i
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64", "sim": "float64"})
         va, vb = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy())
-        out = []
-        for i in range(0, len(a), 512):
-            s = va[i : i + 512] @ vb.T
-            ia, ib = a.id.to_numpy()[i : i + 512, None], b.id.to_numpy()[None, :]
-            ok = (s >= least - 1e-12) & (a.plan.to_numpy()[i : i + 512, None] != b.plan.to_numpy()[None, :]) & (ia != ib)
+        held = pd.DataFrame({"a": a.id.iloc[:0], "b": a.id.iloc[:0], "sim": np.zeros(0)})  # the best of the rows so far, not all pairs
+        for i in range(0, len(a), ROWS):
+            s = va[i : i + ROWS] @ vb.T
+            ia, ib = a.id.to_numpy()[i : i + ROWS, None], b.id.to_numpy()[None, :]
+            ok = (s >= least - 1e-12) & (a.plan.to_numpy()[i : i + ROWS, None] != b.plan.to_numpy()[None, :]) & (ia != ib)
             r, c = np.nonzero(ok)
             x, y = a.id.to_numpy()[i + r], b.id.to_numpy()[c]
             keep = (x < y) if key[0] == key[1] else np.ones(len(x), bool)
-            out.append(pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "sim": s[r, c][keep]}))
-        both = pd.concat(out)
-        both = both.assign(r=both.sim.round(9)).sort_values(["a", "r", "b"], ascending=[True, False, True]).drop(columns="r")
-        return both.groupby("a").head(per_doc)
+            held = pd.concat([held, pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "sim": s[r, c][keep]})])
+            held = held.assign(r=held.sim.round(9)).sort_values(["a", "r", "b"], ascending=[True, False, True]).drop(columns="r").groupby("a").head(per_doc)
+        return held
 
     found = left.unionByName(right).groupBy("x", "y").applyInPandas(run, "a bigint, b bigint, sim double")
     rank = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import retrieval
 from plumbline.sources import vectors
 
 SCHEMA = "vec_id bigint, embedding array<float>"
@@ -84,3 +85,13 @@ def test_search_sends_a_row_a_query(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrame, "toArrow", lambda df: sent.append(read(df).num_rows) or read(df))
     found = vectors.search(spark, str(tmp_path), v.where("vec_id % 10 = 0"), 3, cells, itself=False)
     assert cells > 8 and sorted(sent) == sorted([cells, 30]) and found.count() == 90
+
+
+def test_similar_pairs_hold_the_best_of_each_slice(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, f"l{i % 3}", [1.0, *[float(x) for x in rng.integers(-2, 3, 3)]]) for i in range(60)]  # many ties
+    df = spark.createDataFrame(rows, "vec_id bigint, label string, embedding array<double>")
+    found = lambda: {(r.a, r.b, round(r.sim, 9)) for r in retrieval.similar_pairs(df, "label", 0.1, 2, blocks=2).collect()}
+    whole = found()
+    monkeypatch.setattr(retrieval, "ROWS", 5)
+    assert found() == whole and len(whole) > 60
