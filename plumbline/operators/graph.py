@@ -338,10 +338,11 @@ def citation_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # -- traversal and topology ------------------------------------------------------------------
 
 
-def undirected(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """a < b, once each, without loops."""
+def undirected(edges: DataFrame, types: list[str] | None = None, once: bool = True) -> DataFrame:
+    """a < b, without loops. once: each once, else as often as it comes and where it comes, unshuffled."""
     e = edges if types is None else edges.where(F.col("relationship_type").isin(types))
-    return e.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a <> b").distinct()
+    e = e.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a <> b")
+    return e.distinct() if once else e
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -409,25 +410,30 @@ def _forest(batches):
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """id, component: the smallest id each node reaches. Alternating large and small stars until nothing changes."""
+    """id, component: the smallest id each node reaches. Alternating large and small stars until all are stars.
+
+    What lies together in a partition is put together there first, so pairs are best given as they come, repeated or not.
+    """
     kind = pairs.schema["a"].dataType.simpleString()
     links = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     links = settle(links.mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
-    mark = None
-    while True:
+    while not _are_stars(links):
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = settle(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == mark:
-            break
-        mark = now
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node of links (u, v, once each, u > v) has one smaller node, or larger ones only."""
+    one, none = F.lit(1), F.lit(0)
+    ends = links.select(F.col("u").alias("id"), one.alias("up"), none.alias("down")).union(links.select("v", none, one))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
+
+
 def reachable_share(found: DataFrame) -> DataFrame:
     """components, largest, reach: share of ordered pairs of nodes that reach each other."""
     sizes = found.groupBy("component").agg(F.count("*").alias("n"))

@@ -199,6 +199,20 @@ def test_hops_by_masks_equal_a_walk(spark, monkeypatch, words):
     assert {(r.a, r.b) for r in graph.shortcut_candidates(df, pairs, 4).collect()} == {(name(a), name(b)) for a, b in asked if far[a].get(b, 99) >= 4}
 
 
+def test_chains_that_lie_together_need_no_rounds(spark, monkeypatch):
+    """Chains in one partition each are stars after one pass, repeated pairs or not; dealt at random they end at the same stars."""
+    rng, writes, write = random.Random(4), [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, *a: writes.append(1) or write(df, *a))
+    names = {c: rng.sample(range(1000 * c, 1000 * c + 1000), 300) for c in range(4)}
+    rows = [(f"{x:04}", f"{y:04}") for c, of in names.items() for x, y in zip(of, of[1:]) for _ in range(1 + x % 2)]
+    want = {f"{x:04}": f"{min(of):04}" for of in names.values() for x in of}
+    edges = spark.createDataFrame(rows, "source string, target string").coalesce(1)
+    assert {r.id: r.component for r in graph.components(graph.undirected(edges, once=False)).collect()} == want
+    assert len(writes) == 1
+    assert {r.id: r.component for r in graph.components(graph.undirected(edges.repartition(7), once=False)).collect()} == want
+    assert len(writes) > 2
+
+
 def test_shortcuts_tell_what_they_bridge(spark):
     edges = spark.createDataFrame([("a", "b", 1.0, "implements", True, "text"), ("a", "c", 1.0, "shortcut", False, "was 5 hops")], "source string, target string, weight double, relationship_type string, directed boolean, evidence string")
     found = spark.createDataFrame([("a", "d", 0.9, None), ("b", "d", 0.8, 4)], "a string, b string, sim double, hops int")
