@@ -460,7 +460,7 @@ def clustering(pairs: DataFrame) -> DataFrame:
 def reached(pairs: DataFrame, starts: DataFrame, hops: int | None = None) -> Iterator[tuple[int, DataFrame, int]]:
     """For 1, 2, 3 ... hops the nodes that starts (start, chunk, word, bit) reach first there, and how many pairs these are. pairs: a settled table.
 
-    64 starts are one bit mask and WORDS masks a row (id, chunk, f0, f1, ...), so that a search from all n nodes keeps n * n / 64
+    64 starts are one bit mask and WORDS masks a row (id, chunk, f0, f1, ...), so that a search from all n nodes of a component keeps n * n / 64
     words; a level is one shuffle, in which masks that meet at a node are joined by OR before they travel.
     """
     step = both_ways(pairs)
@@ -484,9 +484,14 @@ def reached(pairs: DataFrame, starts: DataFrame, hops: int | None = None) -> Ite
         yield k, state.select("id", "chunk", *[f for _, f in names]), n
 
 
-def numbered(starts: DataFrame) -> DataFrame:
-    """start (id, once each) with its place in the masks: chunk, word, bit."""
-    at = settle(starts.select(F.col("id").alias("start")).distinct()).withColumn("n", F.monotonically_increasing_id())  # dense within a partition
+def numbered(starts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """start (id, once each) with its place in the masks: chunk, word, bit.
+
+    Starts of one component of pairs follow each other, so that a chunk meets few components and a node only the chunks of its own.
+    """
+    of = components(pairs).withColumnRenamed("id", "start")
+    at = settle(starts.select(F.col("id").alias("start")).distinct().join(of, "start", "left").orderBy("component", "start"))
+    at = at.withColumn("n", F.monotonically_increasing_id())  # dense within a partition
     word = (F.floor(F.col("n") / 64) % WORDS).cast("int")
     return settle(at.select("start", F.floor(F.col("n") / (64 * WORDS)).alias("chunk"), word.alias("word"), F.expr("shiftleft(1L, cast(n % 64 as int))").alias("bit")))
 
@@ -495,7 +500,7 @@ def mean_path(pairs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """pairs, mean_path: over ordered pairs of nodes that reach each other, from all nodes or the given sources (id)."""
     pairs, total, n = settle(pairs), 0, 0
     nodes = both_ways(pairs).select(F.col("a").alias("id"))
-    for k, _, new in reached(pairs, numbered(sources or nodes)):
+    for k, _, new in reached(pairs, numbered(sources or nodes, pairs)):
         total, n = total + k * new, n + new
     return pairs.sparkSession.createDataFrame([(n, total / n if n else None)], "pairs bigint, mean_path double")
 
@@ -503,7 +508,7 @@ def mean_path(pairs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
 def hops_between(candidates: DataFrame, pairs: DataFrame, hops: int | None = None) -> DataFrame:
     """candidates (a, b and others) with ``hops`` between their ends, null where a doesn't reach b within ``hops``."""
     candidates, pairs = settle(candidates), settle(pairs)
-    starts = numbered(candidates.select(F.col("a").alias("id")))
+    starts = numbered(candidates.select(F.col("a").alias("id")), pairs)
     levels = [new.withColumn("hops", F.lit(k)) for k, new, _ in reached(pairs, starts, hops)]
     if not levels:
         return candidates.withColumn("hops", F.when(F.col("a") == F.col("b"), 0))

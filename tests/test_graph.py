@@ -199,6 +199,16 @@ def test_hops_by_masks_equal_a_walk(spark, monkeypatch, words):
     assert {(r.a, r.b) for r in graph.shortcut_candidates(df, pairs, 4).collect()} == {(name(a), name(b)) for a, b in asked if far[a].get(b, 99) >= 4}
 
 
+def test_a_chunk_of_starts_meets_few_components(spark, monkeypatch):
+    """20 components of 32 nodes whose names alternate: 640 starts in rows of 64, of which a node needs one or two, not ten."""
+    monkeypatch.setattr(graph, "WORDS", 1)
+    name = lambda c, k: f"{k:02}-{c:02}"
+    pairs = spark.createDataFrame([(name(c, 0), name(c, k)) for c in range(20) for k in range(1, 32)], "a string, b string").repartition(5).localCheckpoint()
+    starts = graph.both_ways(pairs).selectExpr("a as id")
+    rows = [(new.count(), n) for _, new, n in graph.reached(pairs, graph.numbered(starts, pairs))]
+    assert sum(n for _, n in rows) == 20 * 32 * 31 and max(r for r, _ in rows) <= 2 * 640
+
+
 def test_chains_that_lie_together_need_no_rounds(spark, monkeypatch):
     """Chains in one partition each are stars after one pass, repeated pairs or not; dealt at random they end at the same stars."""
     rng, writes, write = random.Random(4), [], graph.settle
