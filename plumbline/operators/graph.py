@@ -300,18 +300,83 @@ def _cycles(sup: DataFrame, far: DataFrame) -> DataFrame:
         jump = more.drop("new")
 
 
+def _lifted(batches):
+    """letter, to, far: how far each letter gets over the links (letter, by) in its partition, up to a million of them at a time. No cycles."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    def lifted(part: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(part).combine_chunks()
+        letter, by = (pa.concat_arrays(rows.column(c).chunks) for c in (0, 1))
+        own = np.arange(len(letter))
+        up = pa.compute.index_in(by, value_set=letter).fill_null(-1).to_numpy().astype(np.int64)
+        far, up = (up >= 0).astype(np.int64), np.where(up < 0, own, up)
+        while True:
+            further = up[up]
+            if np.array_equal(further, up):
+                break
+            far, up = far + far[up], further
+        return pa.RecordBatch.from_arrays([letter, by.take(pa.array(up)), pa.array(far + 1)], names=["letter", "to", "far"])
+
+    part, n = [], 0
+    for b in batches:
+        part.append(b)
+        n += b.num_rows
+        if n >= 1_000_000:
+            yield lifted(part)
+            part, n = [], 0
+    if n:
+        yield lifted(part)
+
+
+def _to_the_end(links: DataFrame) -> DataFrame:
+    """letter, far: how many links (letter, by; no cycles) lead from each letter to its last superseder. Quick where a lineage's links lie together."""
+    lifted = settle(links.select("letter", "by").mapInArrow(_lifted, "letter string, to string, far bigint"))
+    hubs = settle(lifted.join(lifted.select(F.col("to").alias("letter")).distinct(), "letter", "left_semi"))  # where a partition's links end and others go on
+    moved = not hubs.isEmpty()
+    while moved:
+        further = hubs.select(F.col("letter").alias("to"), F.col("to").alias("further"), F.col("far").alias("more"))
+        met = settle(hubs.join(further, "to", "left").select("letter", F.coalesce("further", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("further").isNotNull().alias("moved")))
+        hubs, moved = met.drop("moved"), not met.where("moved").isEmpty()
+    return lifted.join(hubs.select(F.col("letter").alias("to"), F.col("far").alias("more")), "to", "left").select("letter", (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"))
+
+
 def citation_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """document, plan_id, letter, replaced, old_only: old_only if the document cites nothing later in the letter's lineage.
 
-    Each letter has one superseder at most here, so lineages are trees towards their latest
-    letters, or towards a cycle, whose letters are all later than each other and themselves: a cycle stands for one letter
-    in the trees, and its letters are never old_only. Tables of jumps over 1, 2, 4 ... superseders, a row a letter each, give every
-    letter's last one and its distance; whether one citation of a document is later than another
-    is then tested for those pairs alone, by as many jumps as their distances differ by.
+    Each letter has one superseder at most here. Most lineages are lines, in which a later letter is one nearer to the end: of a document's
+    citations of a line those nearest to it are old_only, but for the end itself. All others go to ``_among_branches``.
     """
-    sup = settle(latest_superseder(edges.where("relationship_type = 'supersedes'")))
+    links = edges.where("relationship_type = 'supersedes'")
     impl = edges.where("relationship_type = 'implements'").select(F.col("source").alias("document"), F.col("target").alias("letter"))
     impl = impl.join(nodes.where("kind = 'document'").select(F.col("id").alias("document"), "plan_id"), "document")
+    of = settle(components(undirected(links, once=False)).withColumnRenamed("id", "letter"))
+    line = F.coalesce("component", "letter").alias("line")  # a letter of no pair stands alone
+    latest = links.where("source is not null and target is not null").groupBy(F.col("target").alias("letter")).agg(F.max("source").alias("by"), (F.min("source") < F.max("source")).alias("several"))
+    sup = settle(latest.join(of, "letter", "left").select("letter", "by", "several", line).orderBy("line", "letter"))
+    forks = sup.groupBy("by").agg(F.count("*").alias("n"), F.first("line").alias("line")).where("n > 1").select("line")
+    ends = sup.select(F.col("by").alias("letter"), "line").join(sup.select("letter"), "letter", "left_anti").select("line")
+    odd = settle(sup.where("several").select("line").union(forks).union(sup.select("line").join(ends, "line", "left_anti")).distinct())
+    cited = settle(impl.join(of, "letter", "left").select("document", "plan_id", "letter", line))
+    place = _to_the_end(sup.join(odd, "line", "left_anti"))
+    far = F.min(F.coalesce("far", F.lit(0))).over(Window.partitionBy("document", "line"))
+    plain = cited.join(odd, "line", "left_anti").join(place, "letter", "left").withColumn("old_only", F.col("far").isNotNull() & (F.coalesce("far", F.lit(0)) == far))
+    found = plain.select("document", "plan_id", "letter", F.col("far").isNotNull().alias("replaced"), "old_only")
+    if odd.isEmpty():
+        return found
+    others = (df.join(odd, "line", "left_semi").drop("line", "several") for df in (cited, sup))
+    return found.unionByName(_among_branches(*map(settle, others)))
+
+
+def _among_branches(impl: DataFrame, sup: DataFrame) -> DataFrame:
+    """citation_status() of impl (document, plan_id, letter) where lineages (sup: letter, by; settled) may meet or be cycles.
+
+    Lineages are trees towards their latest letters, or towards a cycle, whose letters are all later than each other and themselves: a cycle
+    stands for one letter in the trees, and its letters are never old_only. Tables of jumps over 1, 2, 4 ... superseders, a row a letter each, give every
+    letter's last one and its distance; whether one citation of a document is later than another
+    is then tested for those pairs alone, by as many jumps as their distances differ by.
+    """
     jumps, endless = _jumps(sup)
     impl = impl.withColumn("root", F.lit(None).cast("string"))
     if endless:

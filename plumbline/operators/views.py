@@ -74,12 +74,13 @@ def chains_of(chains: DataFrame, key: Column, first: int, last: int, least: int
 
 
 def write_currency(status: DataFrame, nodes: DataFrame, path: str) -> None:
-    """Currency by plan and by replaced letter, as CSV."""
+    """Currency by plan and by replaced letter, as CSV in order; a letter's files may be several."""
+    status = settle(status)
     plan = status.groupBy("plan_id").agg(F.count("*").alias("citations"), F.count_if("replaced").alias("replaced"), F.count_if("old_only").alias("replaced_old_only"))
     letter = status.where("replaced").groupBy("letter").agg(F.count("*").alias("citations"), F.count_if("old_only").alias("old_only"), F.countDistinct("plan_id").alias("plans"))
     letter = letter.join(nodes.select(F.col("id").alias("letter"), subject(F.col("label")).alias("subject")), "letter", "left")
     plan.orderBy("plan_id").coalesce(1).write.mode("overwrite").csv(f"{path}/by_plan", header=True)
-    letter.orderBy("letter").coalesce(1).write.mode("overwrite").csv(f"{path}/by_letter", header=True)
+    letter.orderBy("letter").write.mode("overwrite").csv(f"{path}/by_letter", header=True)
 
 
 def ask(question: str, chunks: DataFrame, model: Callable[[str, list[dict]], str], log: Callable[[dict], None], top: int = 6) -> dict:

@@ -42,6 +42,36 @@ def test_lineages_that_are_cycles(spark):
     assert got == {(d, x): (x in by, x in by and not any((d, y) in cites for y in after(x))) for d, x in cites}
 
 
+def test_status_in_lines_takes_few_rounds(spark, monkeypatch):
+    """Lines of 300 letters beside a fork, a letter with two superseders and loops, dealt in order and at random, against a walk."""
+    rng, writes, write = random.Random(5), [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, *a: writes.append(1) or write(df, *a))
+    lines = [[f"apl:{c}{k:03}" for k in rng.sample(range(1000), 300)] for c in range(3)]
+    links = [(y, x) for of in lines for x, y in zip(of, of[1:])]
+    nodes = spark.createDataFrame([(f"doc:{k}", "document", "p") for k in range(60)], "id string, kind string, plan_id string")
+    more = [("apl:f2", "apl:f0"), ("apl:f2", "apl:f1"), ("apl:f3", "apl:f2"), ("apl:s1", "apl:s0"), ("apl:s2", "apl:s0"), ("apl:s3", "apl:s1"), ("apl:l", "apl:l"), ("apl:r1", "apl:r0"), ("apl:r0", "apl:r1")]
+    for every, parts, most in ((links, 1, 9), (links + more, 5, 99)):
+        by = {}
+        for y, x in every:
+            by[x] = max(y, by.get(x, y))
+        letters = sorted({x for pair in every for x in pair} | {"apl:none"})
+        cites = {(f"doc:{rng.randrange(60)}", rng.choice(letters)) for _ in range(500)} | {(f"doc:{k % 60}", x) for k in range(90) for _, x in more[k % 9 :][:1]}
+
+        def after(x):
+            seen = set()
+            while x in by and by[x] not in seen:
+                x = by[x]
+                seen.add(x)
+            return seen
+
+        edges = spark.createDataFrame([(*e, "supersedes") for e in every] + [(d, x, "implements") for d, x in cites], "source string, target string, relationship_type string")
+        edges = edges.coalesce(1) if parts == 1 else edges.repartition(parts)
+        writes.clear()
+        got = {(r.document, r.letter): (r.replaced, r.old_only) for r in graph.citation_status(nodes, edges).collect()}
+        assert got == {(d, x): (x in by, x in by and not any((d, y) in cites for y in after(x))) for d, x in cites}
+        assert len(writes) <= most
+
+
 def test_supersession_directions(spark):
     rows = [("apl", "APL 31-407", "APL 31-407: Rides, supersedes APL 07-119"), ("apl", "", "APL 33-050 on nights, superseded by APL 61-204"), ("policy", "", "Supersedes APL 52-330")]
     got = {(r.source, r.target) for r in graph.supersede_edges(spark.createDataFrame(rows, "doc_kind string, policy_number string, title string")).collect()}
