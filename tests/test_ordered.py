@@ -9,6 +9,58 @@ from plumbline.operators import ledger
 from plumbline.streaming import events as streams
 
 
+def test_ledgers_share_states():
+    """What is read and written of the state is by group of ledgers, not by ledger; what waits is linked once, in order."""
+    import pandas as pd
+
+    calls = []
+
+    class Listed:
+        def __init__(self):
+            self.rows = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = list(rows)
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.rows += rows
+
+        def clear(self):
+            calls.append("clear")
+            self.rows = []
+
+    class Handle:
+        def getListState(self, name, schema):
+            return Listed()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    links, rows = streams.OrderedLinks(), [(f"c{k % 50}", 1_000_000 * (200 - k), k, f"b{k}") for k in range(200)]
+    links.init(Handle())
+    frames = iter([pd.DataFrame(rows, columns=["ledger", "us", "seq", "body"])])
+    assert list(links.handleInputRows((0,), frames, Now(0))) == []
+    got = [r for ms in (100_000, 300_000, 300_000) for f in links.handleExpiredTimer((0,), Now(ms), None) for r in f.itertuples(index=False)]
+    assert [r.seq for r in got] == list(range(199, -1, -1))
+    for c in {r.ledger for r in got}:
+        own = [r for r in got if r.ledger == c]
+        assert [r.number for r in own] == [1, 2, 3, 4] and [r.prev_hash for r in own] == ["", *[r.hash for r in own[:-1]]]
+    assert len(calls) < 15
+
+
 def test_shuffled_files_give_the_batch_chain(spark, tmp_path):
     rng, t0 = random.Random(1), dt.datetime(2024, 1, 1)
     rows = [(k, f"c{rng.randrange(4)}", f"p{k}", t0 + dt.timedelta(minutes=20 * (k // 2))) for k in range(200)]  # two at a time
