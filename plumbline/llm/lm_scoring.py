@@ -52,6 +52,7 @@ from .repeats import tasks_for
 
 SYMBOLS, EXPERTS = 1024, 6
 CONTEXT, STRIDE, KEY = 40, 28, 8
+SAID = 8  # numbers that a place says: of each expert, a one, and nothing up to a whole vector of them
 TURNS, BATCH, RATE, SEED = 16, 256, 0.2, 3
 LONGEST = 40**0.5  # of queries and keys: their products stay within what exp() of 32-bit floats can take
 ANCHORS, ROUNDS, FINE, GRAIN = 64, 1, 1 << 24, 1 << 16  # of k-means: cells that it begins at, rounds over all texts; steps in a unit of a centre's and of a gradient's sum
@@ -222,36 +223,17 @@ class Model:
     def scores(self, stream: np.ndarray, edge: np.ndarray, batch: int = BATCH) -> np.ndarray:
         """log10 probability of each text."""
         target = self.symbol[stream]
-        before = np.empty(len(stream), np.int32)
-        before[1:] = target[:-1]
-        before[edge[:-1]] = len(self.q) - 1
+        before = symbols_before(target, edge)
         out = self.inner[stream].astype(np.float64)
-        first, behind, ahead = windows(edge)
-        near = np.where(GAP >= 0, np.exp(self.distance[np.maximum(GAP, 0)]), 0).astype(np.float32)
-        # what a place says, and a one for the softmax's denominator; a last symbol says nothing: places outside the window
-        says = np.zeros((len(self.q) + 1, self.v.shape[1] + 1), np.float32)
-        says[:-1, :-1], says[:-1, -1] = self.v, 1
-        nothing, prior = len(self.q), np.ascontiguousarray(self.prior.T)
-        q, k = self.q, np.append(self.k, np.zeros((1, self.k.shape[1]), np.float32), axis=0)
-        for i in range(0, len(first), batch):
-            at, there = places(first[i : i + batch], behind[i : i + batch], ahead[i : i + batch])
-            x = np.where(there, before[np.clip(at, 0, len(before) - 1)], nothing)
-            own = np.minimum(x[:, CONTEXT - STRIDE :], nothing - 1)
-            weight = q[own] @ k[x].transpose(0, 2, 1)
-            np.exp(weight, out=weight)
-            weight *= near
-            said = weight @ says[x]
-            scored = np.flatnonzero(there[:, CONTEXT - STRIDE :].ravel())
-            where, own = at[:, CONTEXT - STRIDE :].ravel()[scored], own.ravel()[scored]
-            z = np.ascontiguousarray(said.reshape(-1, said.shape[2]).T[:, scored])  # a row for each expert
-            gate = z[:-1]
-            gate /= np.maximum(z[-1], 1e-30)
-            gate += prior[:, own]
-            gate -= gate.max(axis=0)
-            np.exp(gate, out=gate)
-            p = np.ascontiguousarray(self.pairs[own, target[where]].T)
-            p *= gate
-            out[where] += np.log(p.sum(axis=0) / gate.sum(axis=0))
+        heads = Heads(self.q, self.k, self.v, self.prior, self.distance)
+        parts = windows(edge)
+        for i in range(0, len(parts[0]), batch):
+            at, there = places(*(part[i : i + batch] for part in parts))
+            seen = heads.seen(before, at, there)
+            where = at[:, CONTEXT - STRIDE :].ravel().take(seen.scored)
+            p = seen.following(self.pairs, target.take(where))
+            p *= seen.gate
+            out[where] += np.log(p.sum(axis=0) / seen.gate.sum(axis=0))
         return per_text(out, edge) / np.log(10)
 
 
@@ -269,6 +251,58 @@ def places(first: np.ndarray, behind: np.ndarray, ahead: np.ndarray) -> tuple[np
     return at, (at >= (first - behind)[:, None]) & (at < (first + ahead)[:, None])
 
 
+@dataclass
+class Seen:
+    """What the attention makes of some windows: their symbols, the queries, what the places hold, unscaled weights, and of the scored places (which they are) their symbols and, a row for each expert, what was said, the weights' sum and the gate before it is scaled."""
+
+    x: np.ndarray
+    q: np.ndarray
+    holds: np.ndarray
+    weight: np.ndarray
+    scored: np.ndarray
+    own: np.ndarray
+    said: np.ndarray
+    total: np.ndarray
+    gate: np.ndarray
+
+    def following(self, pairs: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of the scored places what each expert says of the symbol there, a row for each expert."""
+        return np.ascontiguousarray(pairs.reshape(-1, pairs.shape[2]).take(self.own * np.int64(pairs.shape[1]) + target, axis=0).T)
+
+
+class Heads:
+    """The attention's tables as windows meet them.
+
+    A place holds its key, what it says, and a one that adds up to the softmax's denominator; the symbol
+    after the last is that of places outside the window, which say nothing.
+    """
+
+    def __init__(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, prior: np.ndarray, distance: np.ndarray):
+        self.q, self.prior, self.nothing = q, np.ascontiguousarray(prior.T), len(q)
+        self.holds = np.zeros((len(q) + 1, KEY + SAID), np.float32)
+        self.holds[:-1, :KEY], self.holds[:-1, KEY : KEY + EXPERTS], self.holds[:-1, KEY + EXPERTS] = k, v, 1
+        self.near = np.where(GAP >= 0, np.exp(distance[np.maximum(GAP, 0)]), 0).astype(np.float32)
+
+    def seen(self, before: np.ndarray, at: np.ndarray, there: np.ndarray) -> Seen:
+        """Of the places of some windows and which of them are in it."""
+        x = np.where(there, before.take(at, mode="clip"), self.nothing)
+        own = np.minimum(x[:, CONTEXT - STRIDE :], self.nothing - 1)
+        q, holds = self.q.take(own, axis=0), self.holds.take(x, axis=0)
+        weight = q @ holds[:, :, :KEY].transpose(0, 2, 1)
+        np.exp(weight, out=weight)
+        weight *= self.near
+        scored = np.flatnonzero(there[:, CONTEXT - STRIDE :].ravel())
+        own = own.ravel().take(scored)
+        said = np.ascontiguousarray((weight @ holds[:, :, KEY:]).reshape(-1, SAID).take(scored, axis=0).T)
+        total = np.maximum(said[EXPERTS], 1e-30)
+        said = said[:EXPERTS]
+        said /= total
+        gate = said + self.prior.take(own, axis=1)
+        gate -= gate.max(axis=0)
+        np.exp(gate, out=gate)
+        return Seen(x, q, holds, weight, scored, own, said, total, gate)
+
+
 def symbols_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of counts of ids: each id's symbol and its log p(id | symbol)."""
     n = n + 0.02
@@ -295,8 +329,8 @@ def moved(sums: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 def fixed(x: np.ndarray, own: np.ndarray, groups: int) -> np.ndarray:
     """Sums of each group's directions in whole numbers, which don't depend on order."""
-    x = np.rint(x * np.float32(FINE)).astype(np.float64)
-    return ((np.arange(groups)[:, None] == own).astype(np.float64) @ x).astype(np.int64)
+    doc, symbol = np.nonzero(x)
+    return np.bincount(own[doc] * x.shape[1] + symbol, np.rint(x[doc, symbol] * np.float32(FINE)), groups * x.shape[1]).reshape(groups, -1).astype(np.int64)
 
 
 def anchored(x: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -405,57 +439,49 @@ class Steps:
             self.p[name] *= np.minimum(1.0, LONGEST / np.maximum(np.linalg.norm(self.p[name], axis=1, keepdims=True), 1e-12))
 
 
-def gradient(p: dict[str, np.ndarray], pairs: np.ndarray, x: np.ndarray, y: np.ndarray, there: np.ndarray) -> np.ndarray:
+def scattered(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sums of each symbol's rows of values, rounded to whole steps."""
+    columns = np.ascontiguousarray(values.reshape(-1, values.shape[-1]).T)
+    columns *= np.float32(GRAIN)
+    np.rint(columns, out=columns)
+    return np.stack([np.bincount(at, c, SYMBOLS + 2)[: SYMBOLS + 1] for c in columns], axis=1)
+
+
+def gradient(heads: Heads, pairs: np.ndarray, target: np.ndarray, before: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
     """Of some windows: the gradients of all weights one after the other, in whole numbers, and how many tokens are scored.
 
-    x: symbols before each place of the windows; y: symbols at the scored places; there: which places are in the window.
+    target, before: of each token its symbol and the one before it; at, there: the places of the windows and which of them are in it.
     """
-    own, scored = x[:, CONTEXT - STRIDE :], there[:, CONTEXT - STRIDE :]
-    q, k, val = p["q"][own], p["k"][x], p["v"][x]
-    w = q @ k.transpose(0, 2, 1)
-    np.exp(w, out=w)
-    w *= np.where(GAP >= 0, np.exp(p["distance"][np.maximum(GAP, 0)]), 0).astype(np.float32)
-    w *= there[:, None, :]
-    w /= np.maximum(w.sum(axis=2, keepdims=True), 1e-30)
-    z = w @ val
-    z += p["prior"][own]
-    z -= z.max(axis=2, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=2, keepdims=True)
-    after = z * pairs[own, y]
-    after /= after.sum(axis=2, keepdims=True)
-    dz = z - after
-    dz *= scored[:, :, None]
-    dw = dz @ val.transpose(0, 2, 1)
-    dw -= (dw * w).sum(axis=2, keepdims=True)
-    dw *= w
-
-    def scattered(at: np.ndarray, values: np.ndarray) -> np.ndarray:
-        columns = values.reshape(-1, values.shape[-1]).T
-        return np.stack([np.bincount(at.ravel(), np.rint(c * np.float32(GRAIN)), SYMBOLS + 1) for c in columns], axis=1)
-
-    g = {"q": scattered(own, dw @ k), "k": scattered(x, dw.transpose(0, 2, 1) @ q), "v": scattered(x, w.transpose(0, 2, 1) @ dz), "prior": scattered(own, dz)}
-    by_gap = np.where(GAP >= 0, np.rint(dw * np.float32(GRAIN)).sum(axis=0, dtype=np.float64), 0)
+    seen = heads.seen(before, at, there)
+    seen.gate /= seen.gate.sum(axis=0)
+    after = seen.following(pairs, target.take(at[:, CONTEXT - STRIDE :].ravel().take(seen.scored)))
+    after *= seen.gate
+    after /= after.sum(axis=0)
+    dz = seen.gate - after
+    # divided by the weights' sum here, so that no weight has to be; what all places share goes with the ones that they hold
+    back = np.zeros((len(at) * STRIDE, SAID), np.float32)
+    back[seen.scored, :EXPERTS] = (dz / seen.total).T
+    back[seen.scored, EXPERTS] = -(dz * seen.said).sum(axis=0) / seen.total
+    back = back.reshape(len(at), STRIDE, SAID)
+    dw = back @ seen.holds[:, :, KEY:].transpose(0, 2, 1)
+    dw *= seen.weight
+    own, x = np.minimum(seen.x[:, CONTEXT - STRIDE :], SYMBOLS).ravel(), seen.x.ravel()
+    g = {"q": scattered(own, dw @ seen.holds[:, :, :KEY]), "k": scattered(x, dw.transpose(0, 2, 1) @ seen.q), "v": scattered(x, (seen.weight.transpose(0, 2, 1) @ back)[:, :, :EXPERTS]), "prior": scattered(seen.own, dz.T)}
+    dw *= np.float32(GRAIN)
+    by_gap = np.where(GAP >= 0, np.rint(dw, out=dw).astype(np.float64).sum(axis=0), 0)
     g["distance"] = np.bincount(np.maximum(GAP, 0).ravel(), by_gap.ravel(), CONTEXT)
-    return np.append(np.concatenate([g[name].ravel() for name in WEIGHTS]), scored.sum()).astype(np.int64)
+    return np.append(np.concatenate([g[name].ravel() for name in WEIGHTS]), len(seen.scored)).astype(np.int64)
 
 
 def gradients(target: np.ndarray, edge: np.ndarray, p: dict[str, np.ndarray], pairs: np.ndarray) -> np.ndarray:
     """The sums of gradient() over all windows of some texts."""
-    before, n = symbols_before(target, edge), len(windows(edge)[0])
+    before, parts, heads = symbols_before(target, edge), windows(edge), Heads(**p)
     out = np.zeros(sum(int(np.prod(shape)) for shape in WEIGHTS.values()) + 1, np.int64)
-    for i in range(0, n, BATCH):
-        out += gradient(p, pairs, *picked(target, before, edge, np.arange(i, min(i + BATCH, n))))
+    for i in range(0, len(parts[0]), BATCH):
+        out += gradient(heads, pairs, target, before, *places(*(part[i : i + BATCH] for part in parts)))
     return out
 
 
-def picked(target: np.ndarray, before: np.ndarray, edge: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x, y and there of gradient(), of some windows."""
-    at, there = places(*(a[pick] for a in windows(edge)))
-    at = np.where(there, at, 0)
-    return before[at], target[at[:, CONTEXT - STRIDE :]], there
-
-
 def trained(turn, symbol: np.ndarray, inner: np.ndarray, pairs: np.ndarray, single: np.ndarray) -> Model:
     """The experts of tables(), and the attention after TURNS steps. turn: from a step's number and the weights so far to its gradients()."""
     steps = Steps(first_weights(single), pairs)

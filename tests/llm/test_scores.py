@@ -281,6 +281,73 @@ def test_gradient_is_that_of_the_likelihood():
         assert abs((loss(0.01) - loss(-0.01)) / 0.02 - (g * way).sum()) < 0.05 * max(1.0, abs((g * way).sum()))
 
 
+def plain_attention(p, pairs, target, edge, text, at):
+    """Of one token, in 64-bit floats: the symbol before it, the places seen (their symbols and how far back), their weights, the gate, and what follows by expert."""
+    a = edge[text]
+    before = lambda i: lm_scoring.SYMBOLS if i == a else target[i - 1]
+    first = a + (at - a) // lm_scoring.STRIDE * lm_scoring.STRIDE - (lm_scoring.CONTEXT - lm_scoring.STRIDE)
+    places = range(max(a, first), at + 1)
+    x, gap = np.array([before(i) for i in places]), np.array([at - i for i in places])
+    own = before(at)
+    w = np.exp(p["k"][x].astype(float) @ p["q"][own] + p["distance"][gap])
+    w /= w.sum()
+    z = w @ p["v"][x] + p["prior"][own]
+    gate = np.exp(z - z.max())
+    gate /= gate.sum()
+    return own, x, gap, w, gate, gate * pairs[own, target[at]]
+
+
+def test_scores_and_gradients_equal_plain_attention():
+    """Texts of one token, shorter than, as long as and longer than a window, with weights that differ by symbol."""
+    m, _ = small_model()
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 10, n).astype(np.int32) for n in (1, 2, 11, 12, 13, 28, 29, 40, 41, 57, 130)]
+    stream, edge = lm_scoring.joined(texts)
+    target = m.symbol[stream]
+    p = {name: rng.normal(0, 0.7, shape).astype(np.float32) for name, shape in lm_scoring.WEIGHTS.items()}
+    model = lm_scoring.Model(m.symbol, m.inner, m.pairs, **p)
+    g, scores = {name: np.zeros(shape) for name, shape in lm_scoring.WEIGHTS.items()}, []
+    for text in range(len(texts)):
+        scores.append(0.0)
+        for at in range(edge[text], edge[text + 1]):
+            own, x, gap, w, gate, follows = plain_attention(p, m.pairs, target, edge, text, at)
+            scores[-1] += (np.log(follows.sum()) + m.inner[stream[at]]) / np.log(10)
+            dz = gate - follows / follows.sum()
+            val = p["v"][x].astype(float)
+            dw = w * (val @ dz - w @ val @ dz)
+            g["prior"][own] += dz
+            g["q"][own] += dw @ p["k"][x]
+            np.add.at(g["k"], x, np.outer(dw, p["q"][own]))
+            np.add.at(g["v"], x, np.outer(w, dz))
+            np.add.at(g["distance"], gap, dw)
+    assert np.allclose(model.scores(stream, edge), scores, rtol=1e-5, atol=1e-4)
+    got = lm_scoring.gradients(target, edge, p, m.pairs)
+    assert got[-1] == len(stream)
+    assert np.allclose(got[:-1] / lm_scoring.GRAIN, np.concatenate([g[name].ravel() for name in lm_scoring.WEIGHTS]), atol=2e-3)
+
+
+def test_texts_are_cut_into_windows_once(monkeypatch):
+    """Not once for every batch, whose work would grow as the square of a block's windows; and batches of any size give the same."""
+    m, texts = small_model()
+    stream, edge = lm_scoring.joined(texts)
+    p, calls, cut = {name: getattr(m, name) for name in lm_scoring.WEIGHTS}, [], lm_scoring.windows
+    want = lm_scoring.gradients(m.symbol[stream], edge, p, m.pairs)
+    monkeypatch.setattr(lm_scoring, "BATCH", 7)
+    monkeypatch.setattr(lm_scoring, "windows", lambda edge: calls.append(1) or cut(edge))
+    assert (lm_scoring.gradients(m.symbol[stream], edge, p, m.pairs) == want).all()
+    assert len(calls) == 1
+
+
+def test_sums_of_directions_are_those_of_their_groups():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, lm_scoring.SYMBOLS, n) for n in (0, 1, 5, 700, 3000)] * 3
+    stream, edge = lm_scoring.joined(texts)
+    x, own = lm_scoring.directions(stream.astype(np.int64), edge), np.arange(15) % 4
+    want = np.zeros((6, lm_scoring.SYMBOLS), np.int64)
+    np.add.at(want, own, np.rint(x * np.float32(lm_scoring.FINE)).astype(np.int64))
+    assert (lm_scoring.fixed(x, own, 6) == want).all()
+
+
 def test_gathered_equals_counts_in_memory(spark):
     rng = np.random.default_rng(2)
     texts = [np.append(rng.integers(0, 9, rng.integers(0, 50)), 9).astype(np.uint16) for _ in range(150)]
