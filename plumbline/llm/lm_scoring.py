@@ -61,7 +61,7 @@ PIECES, FAN = 8, 64  # rows that a task's part of a sum is cut into, and parts t
 BACK_OFF = 30.0  # pairs' worth of an expert's symbol counts in its pair counts
 FREQUENT = 400_000
 MOST_WORDS = 1_000_000  # a worker's memory of words
-BLOCK = 8 << 20
+BLOCK, IN_TASK = 8 << 20, 16 << 20  # bytes of text: whose words make one range, and whose ids one task meets
 
 
 # -- base ------------------------------------------------------------------------------------
@@ -132,6 +132,17 @@ def base_of(counts: DataFrame, ends: int) -> Base:
 # -- model -----------------------------------------------------------------------------------
 
 
+def distinct_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique() with index and inverse; only the distinct hashes are sorted."""
+    found = pa.array(h).dictionary_encode()
+    at, distinct = found.indices.to_numpy(), found.dictionary.to_numpy()
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1))  # they are numbered as they first come
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], first[order], rank[at]
+
+
 class Subwords:
     """Ids of words, remembered by hash; 0 .. n - 1, and n for the end."""
 
@@ -169,7 +180,7 @@ class Subwords:
 
     def of(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the words in turn, how many each has; and the distinct words' hashes, inverse, counts' index of a first place."""
-        distinct, first, inverse = np.unique(texts.hashes(0), return_index=True, return_inverse=True)
+        distinct, first, inverse = distinct_of(texts.hashes(0))
         spot = np.searchsorted(self.hashes, distinct)
         new = np.flatnonzero(self.hashes[np.minimum(spot, len(self.hashes) - 1)] != distinct) if len(self.hashes) else np.arange(len(distinct))
         if len(new):
@@ -289,7 +300,9 @@ class Heads:
         own = np.minimum(x[:, CONTEXT - STRIDE :], self.nothing - 1)
         q, holds = self.q.take(own, axis=0), self.holds.take(x, axis=0)
         weight = q @ holds[:, :, :KEY].transpose(0, 2, 1)
-        np.exp(weight, out=weight)
+        for i in range(0, STRIDE, STRIDE // 4):  # what comes later isn't seen, so that most of it needs no exp()
+            part = weight[:, i : i + STRIDE // 4, : CONTEXT - STRIDE + i + STRIDE // 4]
+            np.exp(part, out=part)
         weight *= self.near
         scored = np.flatnonzero(there[:, CONTEXT - STRIDE :].ravel())
         own = own.ravel().take(scored)
@@ -604,9 +617,9 @@ def gathered(texts: DataFrame, kind: type, size: int) -> tuple[np.ndarray, np.nd
     return symbol, inner, counts[:PAIRS]
 
 
-def learnt(texts: DataFrame, kind: type, size: int) -> Model:
-    """The model of all texts to learn from: BLOCK_OF_IDS, turn."""
-    symbol, inner, counts = gathered(texts.select("ids", "lengths"), kind, size)
+def learnt(texts: DataFrame, kind: type, size: int, tasks: int) -> Model:
+    """The model of all texts to learn from: BLOCK_OF_IDS, turn. tasks: how many at most meet them all."""
+    symbol, inner, counts = gathered(texts.select("ids", "lengths").coalesce(tasks), kind, size)
     spark = texts.sparkSession
     pairs, single = tables(counts, min(size, SYMBOLS))
     shared = spark.sparkContext.broadcast((symbol, pairs))
@@ -741,9 +754,11 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, doc_id: str =
     ids = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0).cast("bigint"))
     rows = docs.select(ids.alias("doc_id"), F.col(doc_id).isNull().alias("null"), row_hash(F.col(text)).alias("row"), F.coalesce(learn, F.lit(False)).alias("learn"), text)
     sent = settle(rows.mapInArrow(preparer(shared, path, pattern, parts, kind), PARTS), "blocks", by="turn")
-    lm = spark.sparkContext.broadcast(learnt(sent.where(F.col("turn") < TURNS).select("ids", "lengths", "turn"), kind, size))
+    # a turn's files are small: of all turns some are met in one task
+    wide = max(2 * spark.sparkContext.defaultParallelism, (total["bytes"] or 0) // IN_TASK + 1)
+    lm = spark.sparkContext.broadcast(learnt(sent.where(F.col("turn") < TURNS).select("ids", "lengths", "turn"), kind, size, wide))
 
-    scored = sent.where(F.col("turn") <= HELD_OUT).select("ids", "lengths", "block", "doc").mapInArrow(scorer(lm, kind), SUMS)
+    scored = sent.where(F.col("turn") <= HELD_OUT).select("ids", "lengths", "block", "doc").coalesce(wide).mapInArrow(scorer(lm, kind), SUMS)
     sent = sent.where(F.col("turn") == NO_IDS).select("r", "block", "doc", "h", "tf", "whole").repartition(tasks, "r")
     sums = sent.groupBy("r").cogroup(counts.select("r", "h", "n").repartition(tasks, "r").groupBy("r")).applyInArrow(looked_up, SUMS).unionByName(scored)
     done = sums.repartition(tasks, "block").groupBy("block").applyInArrow(summed, "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double")

@@ -338,6 +338,13 @@ def test_texts_are_cut_into_windows_once(monkeypatch):
     assert len(calls) == 1
 
 
+def test_distinct_hashes_are_those_of_unique():
+    rng = np.random.default_rng(1)
+    for h in (np.zeros(0, np.uint64), np.full(5, 2**64 - 1, np.uint64), rng.integers(0, 2**64, 900, np.uint64)[rng.integers(0, 900, 4000)]):
+        for a, b in zip(lm_scoring.distinct_of(h), np.unique(h, return_index=True, return_inverse=True), strict=True):
+            assert a.tolist() == b.tolist()
+
+
 def test_sums_of_directions_are_those_of_their_groups():
     rng = np.random.default_rng(5)
     texts = [rng.integers(0, lm_scoring.SYMBOLS, n) for n in (0, 1, 5, 700, 3000)] * 3
