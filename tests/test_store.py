@@ -4,8 +4,10 @@ import logging
 import re
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from plumbline import queries_store
 from plumbline.session import settle
 from plumbline.sources import store as S
 from plumbline.sources.store import Conflict, Store, ingest
@@ -183,3 +185,19 @@ def test_a_stream_settles_no_texts(spark, tmp_path, monkeypatch, marks):
     streams.ingested(new, store, f"{tmp_path}/checkpoint", lambda part: part.select("origin", "text"), F.coalesce("k", F.lit(0))).awaitTermination()
     assert sorted(map(tuple, store.rows(1).select("origin", "text").collect())) == [("a", "two"), ("b", "three"), ("c", "four")]
     assert seen and not any("text" in columns for columns in seen)
+
+
+@pytest.mark.parametrize("at", [2, 3, 4])
+def test_no_other_failure_of_a_stream_looks_like_a_result(spark, sf, monkeypatch, at):
+    calls, lines_of = [], queries_store.lines_of
+
+    def broken(part):
+        calls.append(1)
+        return lines_of(part).withColumn("n", F.raise_error(F.lit("out of order")).cast("int")) if len(calls) == at else lines_of(part)
+
+    if at == 2:  # the one that is meant to fail, but not in this way
+        monkeypatch.setattr(queries_store, "failing", lambda k: broken)
+    monkeypatch.setattr(queries_store, "lines_of", broken)
+    with pytest.raises(StreamingQueryException, match="out of order"):
+        queries_store.stream_ingest(spark, sf)
+    assert len(calls) == at
