@@ -5,6 +5,7 @@ fixed size, and solves small systems on the driver; no rows are collected.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -208,14 +209,14 @@ def matched_with_replacement(df: DataFrame, exposure: str, key: str, score: str
 def matched_without_replacement(df: DataFrame, exposure: str, key: str, score: str = "propensity", caliper: float = 0.2, mahalanobis: list[str] | None = None) -> DataFrame:
     """The same, each control once. Rounds: every treated row names its nearest free control, every control takes its
     nearest namer (smaller gap, then smaller key, wins); those matched leave. Unlike one sequential pass this needs
-    no order over all rows, and each round at least the closest pair is matched. While more than EACH rows are left a round is a join of
-    Spark's; all rounds of the last EACH are one group's, with the same pairs.
+    no order over all rows, and each round at least the closest pair is matched. While more than MANY times EACH rows are left a round is
+    a join of Spark's; all rounds of the last ones are one group's, with the same pairs.
     """
     taken, rest = None, settle(df.select(key, exposure, score, *(mahalanobis or [])), "rows")
     width, ranges = _spread(rest, score, caliper)
     white = whitened(rest, mahalanobis) if mahalanobis else None
     left = rest.count()
-    while left > EACH:
+    while left > MANY * EACH:
         near = _nearest(rest, exposure, key, score, width, ranges) if white is None else _nearest_within(rest, exposure, key, score, width, white)
         new = near.groupBy("control").agg(F.min(F.struct("gap", "treated")).alias("m")).select(F.col("m.treated").alias("treated"), "control", F.col("m.gap").alias("gap"))
         new = settle(new, "pairs")
@@ -230,13 +231,19 @@ def matched_without_replacement(df: DataFrame, exposure: str, key: str, score: s
 
 
 NEAREST = 64  # controls that a treated row of few keeps by distance until they are taken
+LEAF = 128  # places of a box that a search by distance looks into or leaves out
+
+
+class _Tie(Exception):
+    """Places that aren't the same are equally far, so that keys decide."""
 
 
 def _rounds_of_few(df: DataFrame, exposure: str, key: str, score: str, width: float, white: tuple[list[str], np.ndarray] | None) -> DataFrame:
-    """All further rounds of matched_without_replacement for EACH rows at most, the rows of one range: in one group, as a round is little work then."""
+    """All further rounds of matched_without_replacement for MANY times EACH rows at most: in one group, as a round is little work then."""
     kind = df.schema[key].dataType.simpleString()
-    at = F.array().cast("array<double>") if white is None else _whitened_place(white)
-    rows = df.select(F.col(key).alias("k"), (F.col(exposure) == 0).alias("c"), F.col(score).cast("double").alias("s"), at.alias("x"))
+    at = [] if white is None else _whitened_columns(white)
+    names = [f"x{j}" for j in range(len(at))]
+    rows = df.select(F.col(key).alias("k"), (F.col(exposure) == 0).alias("c"), F.col(score).cast("double").alias("s"), *[x.alias(n) for x, n in zip(at, names)])
 
     def run(frame):
         import pandas as pd
@@ -245,8 +252,7 @@ def _rounds_of_few(df: DataFrame, exposure: str, key: str, score: str, width: fl
         if white is None:
             t, c, gap = _rounds_by_score(a.s.to_numpy(), b.s.to_numpy(), width)
         else:
-            place = lambda f: np.stack(f.x.to_numpy()) if len(f) else np.zeros((0, len(white[0])))
-            t, c, gap = _rounds_by_distance(a.s.to_numpy(), place(a), b.s.to_numpy(), place(b), max(width, 1e-12))
+            t, c, gap = _rounds_by_distance(a.s.to_numpy(), a[names].to_numpy(), b.s.to_numpy(), b[names].to_numpy(), max(width, 1e-12))
         return pd.DataFrame({"treated": a.k.to_numpy()[t], "control": b.k.to_numpy()[c], "gap": gap})
 
     return rows.groupBy().applyInPandas(run, f"treated {kind}, control {kind}, gap double")
@@ -258,65 +264,193 @@ def _winners(t: np.ndarray, c: np.ndarray, gap: np.ndarray) -> np.ndarray:
     return order[np.append(True, np.diff(c[order]) != 0)] if len(order) else order
 
 
-def _rounds_by_score(ts: np.ndarray, cs: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of treated rows and of their controls, and gaps. Either arm stands in the order of its keys."""
-    free, open_, out = np.lexsort((np.arange(len(cs)), cs)), np.flatnonzero(~np.isnan(ts)), []
-    free = free[~np.isnan(cs[free])]
-    while len(free) and len(open_):
-        s = cs[free]
-        above = np.searchsorted(s, ts[open_], "left")  # of equal scores the smallest key stands first
-        below = np.searchsorted(s, s[np.maximum(above - 1, 0)], "left")
-        low = np.where(above > 0, np.abs(ts[open_] - s[below]), np.inf)
-        high = np.where(above < len(s), np.abs(ts[open_] - s[np.minimum(above, len(s) - 1)]), np.inf)
-        lower, upper = free[below], free[np.minimum(above, len(s) - 1)]
-        c = np.where((low < high) | ((low == high) & (lower < upper)), lower, upper)
-        gap = np.minimum(low, high)
-        near = gap <= width  # the others find no control any more, as those that are free get fewer
-        open_, c, gap = open_[near], c[near], gap[near]
-        won = _winners(open_, c, gap)
-        out.append((open_[won], c[won], gap[won]))
-        open_, free = np.delete(open_, won), free[~np.isin(free, c[won])]
+def _places(columns: list[np.ndarray], alike: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows without a NaN in order of their place (each row's own unless alike rows share one), where each place's begin, and how many they are."""
+    rows = np.flatnonzero(~np.isnan(np.column_stack(columns)).any(axis=1))
+    if not alike:
+        return rows, np.arange(len(rows)), np.ones(len(rows), np.int64)
+    rows = rows[np.lexsort((rows, *[x[rows] for x in columns]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = np.any([x[rows[1:]] != x[rows[:-1]] for x in columns], axis=0)
+    start = np.flatnonzero(new)
+    return rows, start, np.diff(np.append(start, len(rows)))
+
+
+def _rounds(treated: list[np.ndarray], controls: list[np.ndarray], namer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of treated and of the controls they get, and gaps. Either arm's columns stand in the order of its keys.
+
+    Rows of one place name and are named alike, so places go through the rounds, as many rounds at once as leave each named control's
+    place and each winner's a row. Where keys decide between places, rows go through one by one. namer(treated's columns,
+    controls', alike) gives a function of the open treated places and of what control places are free: each one's control and gap.
+    """
+    for alike in (True, False):
+        (tr, t0, tn), (cr, c0, cn) = _places(treated, alike), _places(controls, alike)
+        if alike and len(tn) == len(tr) and len(cn) == len(cr):
+            continue
+        try:
+            return _rounds_of_places((tr, t0, tn), (cr, c0, cn), namer([x[tr[t0]] for x in treated], [x[cr[c0]] for x in controls], alike), alike)
+        except _Tie:
+            continue
+    raise AssertionError("rows one by one have no ties")
+
+
+def _rounds_of_places(t: tuple, c: tuple, near, alike: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    (tr, t0, tn), (cr, c0, cn) = (tuple(x.copy() for x in arm) for arm in (t, c))
+    open_, free, out = np.arange(len(tn)), np.ones(len(cn), bool), []
+    while len(open_) and free.any():
+        at, gap = near(open_, free)
+        found = np.isfinite(gap)  # the others find no control any more, as those that are free get fewer
+        open_, at, gap = open_[found], at[found], gap[found]
+        if not len(open_):
+            break
+        won = _winners(open_, at, gap)
+        if alike:
+            best = np.full(len(cn), np.nan)
+            best[at[won]] = gap[won]
+            if np.count_nonzero(best[at] == gap) > len(won):
+                raise _Tie
+        w, v = open_[won], at[won]
+        m = int(min(tn[w].min(), cn[v].min()))
+        some = np.arange(m)
+        out.append((tr[(t0[w, None] + some).ravel()], cr[(c0[v, None] + some).ravel()], np.repeat(gap[won], m)))
+        t0[w], c0[v], tn[w], cn[v] = t0[w] + m, c0[v] + m, tn[w] - m, cn[v] - m
+        free[v] = cn[v] > 0
+        open_ = open_[tn[open_] > 0]
     return tuple(np.concatenate([np.zeros(0, kind), *[o[i] for o in out]]) for i, kind in enumerate((np.int64, np.int64, np.float64)))
 
 
+def _rounds_by_score(ts: np.ndarray, cs: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_rounds by the nearest score within a width."""
+
+    def namer(treated, controls, alike):
+        (ts,), (cs,) = treated, controls
+        order = np.lexsort((np.arange(len(cs)), cs))
+
+        def near(open_, free):
+            nonlocal order
+            order = order[free[order]]
+            s, t = cs[order], ts[open_]
+            above = np.searchsorted(s, t, "left")  # of equal scores the smallest key stands first
+            below = np.searchsorted(s, s[np.maximum(above - 1, 0)], "left")
+            low = np.where(above > 0, np.abs(t - s[below]), np.inf)
+            high = np.where(above < len(s), np.abs(t - s[np.minimum(above, len(s) - 1)]), np.inf)
+            if alike and np.any((low == high) & (low <= width)):
+                raise _Tie
+            lower, upper = order[below], order[np.minimum(above, len(s) - 1)]
+            gap = np.minimum(low, high)
+            return np.where((low < high) | ((low == high) & (lower < upper)), lower, upper), np.where(gap <= width, gap, np.inf)
+
+        return near
+
+    return _rounds([ts], [cs], namer)
+
+
 def _rounds_by_distance(ts: np.ndarray, tx: np.ndarray, cs: np.ndarray, cx: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As _rounds_by_score, by distance in x among the controls within a width of the score. A treated row keeps its NEAREST controls and looks again once all are taken."""
-    free, out = np.ones(len(cs), bool), []
-    kept, far = np.zeros((len(ts), NEAREST), np.int32), np.full((len(ts), NEAREST), np.inf)
-    at, open_, look = np.zeros(len(ts), np.int64), np.arange(len(ts)), np.ones(len(ts), bool)
-    while len(open_) and free.any():
-        again = open_[look[open_]]
-        own = np.flatnonzero(free)
-        for i in range(0, len(again), 64):
-            some = again[i : i + 64]
-            d = np.sqrt(((tx[some, None, :] - cx[None, own, :]) ** 2).sum(axis=2))
-            d[~(np.abs(ts[some, None] - cs[None, own]) <= width)] = np.inf
-            n = min(NEAREST, len(own))
-            first = np.argsort(d, axis=1, kind="stable")[:, :n]  # of equal distances the smallest key
-            kept[some], far[some] = 0, np.inf
-            kept[some, :n], far[some, :n] = own[first], np.take_along_axis(d, first, 1)
-        at[again], look[again] = 0, False
-        while True:  # on to the first that is free
-            here = np.minimum(at[open_], NEAREST - 1)
-            taken = (at[open_] < NEAREST) & np.isfinite(far[open_, here]) & ~free[kept[open_, here]]
-            if not taken.any():
-                break
-            at[open_[taken]] += 1
-        spent = at[open_] >= NEAREST
-        look[open_[spent]] = True
-        if spent.any():
+    """_rounds by distance in x among the controls within a width of the score. A treated place keeps its NEAREST controls and looks again once all are taken."""
+
+    def namer(treated, controls, alike):
+        kept, far = np.zeros((len(treated[0]), NEAREST), np.int32), np.full((len(treated[0]), NEAREST), np.inf)
+        at, look = np.zeros(len(treated[0]), np.int64), np.ones(len(treated[0]), bool)
+        search = _Search(treated, controls, width, alike)
+
+        def near(open_, free):
+            some = open_
+            while len(some):
+                again = some[look[some]]
+                if len(again):
+                    search(again, free, kept, far)
+                    at[again], look[again] = 0, False
+                here = np.minimum(at[some], NEAREST - 1)  # on to the first that is free
+                some = some[np.isfinite(far[some, here]) & ~free[kept[some, here]]]
+                at[some] += 1
+                look[some[at[some] >= NEAREST]] = True
+            return kept[open_, at[open_]].astype(np.int64), far[open_, at[open_]]
+
+        return near
+
+    return _rounds([ts, *tx.T], [cs, *cx.T], namer)
+
+
+class _Search:
+    """The nearest free controls of treated places, by distance and then by number, among those within a width of the score.
+
+    Both arms lie in boxes of LEAF places: treated places of one box look together, nearest box of controls first, until the next box
+    is farther than what they have.
+    """
+
+    def __init__(self, treated: list[np.ndarray], controls: list[np.ndarray], width: float, alike: bool):
+        (self.ts, *tx), (self.cs, *cx), self.width, self.alike = treated, controls, width, alike
+        self.tx, self.cx = np.ascontiguousarray(tx), np.ascontiguousarray(cx)
+        self.box = np.zeros(len(self.ts), np.int64)
+        for k, rows in enumerate(_boxes(self.tx, np.arange(len(self.ts)))):
+            self.box[rows] = k
+        self.built = None
+
+    def __call__(self, again: np.ndarray, free: np.ndarray, kept: np.ndarray, far: np.ndarray) -> None:
+        n = np.count_nonzero(free)
+        if self.built is None or 2 * n < self.built:  # boxes of those that are still free
+            self.boxes, self.built = _boxes(self.cx, np.flatnonzero(free)), n
+            self.low, self.high = (np.array([[f(x[rows]) for rows in self.boxes] for x in (*self.cx, self.cs)]) for f in (np.min, np.max))
+        again = again[np.argsort(self.box[again], kind="stable")]
+        for rows in np.split(again, np.flatnonzero(np.diff(self.box[again])) + 1):
+            kept[rows], far[rows] = self.nearest(rows, free, kept.shape[1])
+
+    def nearest(self, rows: np.ndarray, free: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        x, s = self.tx[:, rows], self.ts[rows]
+        apart = np.maximum(np.maximum(self.low[:-1] - x.max(axis=1)[:, None], x.min(axis=1)[:, None] - self.high[:-1]), 0.0)
+        least = np.sqrt((apart**2).sum(axis=0)) * (1 - 1e-9)  # no place of a box is nearer, however numbers were rounded
+        in_reach = (self.low[-1] <= s.max() + self.width * (1 + 1e-9) + 1e-15) & (self.high[-1] >= s.min() - self.width * (1 + 1e-9) - 1e-15)
+        boxes = np.flatnonzero(in_reach)
+        boxes = boxes[np.argsort(least[boxes], kind="stable")]
+        own, d, k, step = np.zeros(0, np.int64), np.zeros((len(rows), 0)), 0, 4
+        while k < len(boxes) and not (d.shape[1] > most and least[boxes[k]] > d[:, most].max()):
+            new = np.concatenate([self.boxes[b] for b in boxes[k : k + step]])
+            new = new[free[new]]
+            k, step = k + step, min(2 * step, 64)
+            if len(new):
+                gap = reduce(lambda a, b: a + b, [(x[j][:, None] - self.cx[j][new][None]) ** 2 for j in range(len(x))])
+                gap = np.sqrt(gap)
+                gap[~(np.abs(s[:, None] - self.cs[new][None]) <= self.width)] = np.inf
+                own, d = self.first(own, d, new, gap, most + 1)
+        n = min(most, d.shape[1])
+        if self.alike and np.any((d[:, 1:] == d[:, :-1]) & np.isfinite(d[:, 1:])):
+            raise _Tie
+        found, gaps = np.zeros((len(rows), most), np.int32), np.full((len(rows), most), np.inf)
+        found[:, :n], gaps[:, :n] = own[:, :n] if n else 0, d[:, :n]
+        return found, gaps
+
+    @staticmethod
+    def first(own: np.ndarray, d: np.ndarray, new: np.ndarray, gap: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``most`` of both, by distance and then by number, in that order."""
+        new = np.broadcast_to(new, gap.shape)
+        own, d = (np.concatenate([own, new], axis=1), np.concatenate([d, gap], axis=1)) if d.shape[1] else (new, gap)
+        if d.shape[1] > most:
+            edge = np.partition(d, most - 1, axis=1)[:, most - 1 : most]
+            n = max(most, int(((d <= edge) & np.isfinite(d)).sum(axis=1).max()))
+            if n < d.shape[1]:  # all that are as near as the last one, too
+                part = np.argpartition(d, n - 1, axis=1)[:, :n]
+                own, d = np.take_along_axis(own, part, 1), np.take_along_axis(d, part, 1)
+        order = np.lexsort((own, d), axis=1)[:, :most]
+        return np.take_along_axis(own, order, 1), np.take_along_axis(d, order, 1)
+
+
+def _boxes(x: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """Rows (columns of x) parted at the median of what is widest, until LEAF at most are together."""
+    todo, out = [rows], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= LEAF:
+            if len(rows):
+                out.append(rows)
             continue
-        gap = far[open_, at[open_]]
-        open_, gap = open_[np.isfinite(gap)], gap[np.isfinite(gap)]
-        c = kept[open_, at[open_]].astype(np.int64)
-        won = _winners(open_, c, gap)
-        out.append((open_[won], c[won], gap[won]))
-        free[c[won]] = False
-        open_ = np.delete(open_, won)
-    return tuple(np.concatenate([np.zeros(0, kind), *[o[i] for o in out]]) for i, kind in enumerate((np.int64, np.int64, np.float64)))
+        wide = x[np.argmax([np.ptp(c[rows]) for c in x])][rows]
+        half = np.argpartition(wide, len(rows) // 2)
+        todo += [rows[half[: len(rows) // 2]], rows[half[len(rows) // 2 :]]]
+    return out
 
 
 EACH = 50_000  # rows of a range of scores
+MANY = 40  # times EACH rows: so many go through their rounds in one group
 
 
 def _spread(rows: DataFrame, score: str, caliper: float) -> tuple[float, int]:
@@ -364,9 +498,13 @@ def whitened(df: DataFrame, covariates: list[str]) -> tuple[list[str], np.ndarra
     return covariates, vectors / np.sqrt(np.where(values > 1e-12, values, np.inf))
 
 
-def _whitened_place(white: tuple[list[str], np.ndarray]) -> Column:
+def _whitened_columns(white: tuple[list[str], np.ndarray]) -> list[Column]:
     names, w = white
-    return F.array(*[reduce(lambda a, b: a + b, [F.col(c).cast("double") * float(w[i, j]) for i, c in enumerate(names)]) for j in range(w.shape[1])])
+    return [reduce(lambda a, b: a + b, [F.col(c).cast("double") * float(w[i, j]) for i, c in enumerate(names)]) for j in range(w.shape[1])]
+
+
+def _whitened_place(white: tuple[list[str], np.ndarray]) -> Column:
+    return F.array(*_whitened_columns(white))
 
 
 SIDE = 2048  # rows of either arm that meet in one group
@@ -419,12 +557,17 @@ def psm(df: DataFrame, outcome: str, exposure: str, covariates: list[str], key:
     n = scored.agg(F.count_if(F.col(exposure) == 1).alias("t"), F.count_if(F.col(exposure) == 0).alias("c")).first()
     again = n["t"] > 0.8 * n["c"]
     best, match = None, matched_with_replacement if again else matched_without_replacement
-    for near in (None, covariates):
-        for caliper in calipers:
-            pairs = settle(match(scored, exposure, key, caliper=caliper, mahalanobis=near), "pairs")
-            m, worst = balance(scored, pairs, exposure, key, covariates)
-            if worst is not None and (best is None or worst < best["worst"]):
-                best = {"worst": worst, "caliper": caliper, "mahalanobis": near is not None, "pairs": pairs, "matched": m}
+
+    def tried(by: tuple) -> dict:
+        near, caliper = by
+        pairs = settle(match(scored, exposure, key, caliper=caliper, mahalanobis=near), "pairs")
+        m, worst = balance(scored, pairs, exposure, key, covariates)
+        return {"worst": worst, "caliper": caliper, "mahalanobis": near is not None, "pairs": pairs, "matched": m}
+
+    with ThreadPoolExecutor(max(1, len(calipers))) as pool:  # side by side, as rounds in one group leave other cores idle
+        for found in pool.map(tried, [(near, caliper) for near in (None, covariates) for caliper in calipers]):
+            if found["worst"] is not None and (best is None or found["worst"] < best["worst"]):
+                best = found
     if best is None:
         raise ValueError("no caliper gave a match")
     m, pairs = settle(best.pop("matched"), "matched"), best.pop("pairs")

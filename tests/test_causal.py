@@ -189,3 +189,47 @@ def test_rounds_by_distance_look_again(monkeypatch):
     want = [x.tolist() for x in causal._rounds_by_distance(*arms, 0.4)]
     monkeypatch.setattr(causal, "NEAREST", 3)
     assert [x.tolist() for x in causal._rounds_by_distance(*arms, 0.4)] == want and len(want[0]) > 30
+
+
+@pytest.mark.parametrize("digits", [12, 1])
+@pytest.mark.parametrize("by_score", [True, False])
+def test_rows_alike_go_through_rounds_together(monkeypatch, digits, by_score):
+    rng, copies, rounds, winners = np.random.default_rng(5), 9, [], causal._winners
+    monkeypatch.setattr(causal, "LEAF", 16)
+    monkeypatch.setattr(causal, "NEAREST", 4)
+    monkeypatch.setattr(causal, "_winners", lambda *a: (rounds.append(1), winners(*a))[1])
+    one = [np.round(rng.random(s), digits) for s in (40, (40, 2), 24, (24, 2))]
+    for arms in (one, [np.concatenate([x] * copies) for x in one]):
+        ts, tx, cs, cx = arms
+        got = causal._rounds_by_score(ts, cs, 0.3) if by_score else causal._rounds_by_distance(*arms, 0.3)
+        rounds.append(0)
+        apart = np.abs(ts[:, None] - cs[None])
+        far = np.where(apart <= 0.3, apart if by_score else np.sqrt(((tx[:, None] - cx[None]) ** 2).sum(axis=2)), np.inf)
+        want, left, free = set(), list(range(len(ts))), np.ones(len(cs), bool)
+        while True:
+            named = {}
+            for t in left:
+                d = np.where(free, far[t], np.inf)
+                if np.isfinite(d.min()):
+                    named.setdefault(int(d.argmin()), []).append((float(d.min()), t))
+            if not named:
+                break
+            for c, names in named.items():
+                gap, t = min(names)
+                want.add((t, c, gap))
+                left.remove(t)
+                free[c] = False
+        assert set(zip(*[x.tolist() for x in got])) == want and len(want) > 20
+    at = rounds.index(0)
+    if digits > 1:  # places apart: as many rounds for all copies as for one
+        assert sum(rounds[:at]) == sum(rounds[at:])
+
+
+def test_rounds_of_many_rows_are_one_group(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, int(rng.random() < 0.45), float(rng.random())) for i in range(150)], "id int, t int, propensity double")
+    jobs, settle = [], causal.settle
+    monkeypatch.setattr(causal, "settle", lambda *a: (jobs.append(1), settle(*a))[1])
+    want = {tuple(r) for r in causal.matched_without_replacement(df, "t", "id", caliper=0.4).collect()}
+    monkeypatch.setattr(causal, "EACH", 10)
+    assert {tuple(r) for r in causal.matched_without_replacement(df, "t", "id", caliper=0.4).collect()} == want and len(jobs) == 2
