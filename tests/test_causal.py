@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import queries_more
 from plumbline.operators import causal
 from plumbline.plans import contract, dag
 from plumbline.queries import DAG
@@ -233,3 +234,12 @@ def test_rounds_of_many_rows_are_one_group(spark, monkeypatch):
     want = {tuple(r) for r in causal.matched_without_replacement(df, "t", "id", caliper=0.4).collect()}
     monkeypatch.setattr(causal, "EACH", 10)
     assert {tuple(r) for r in causal.matched_without_replacement(df, "t", "id", caliper=0.4).collect()} == want and len(jobs) == 2
+
+
+def test_the_query_tries_all_calipers(spark, sf, monkeypatch):
+    tried = []
+    for name in ("matched_with_replacement", "matched_without_replacement"):
+        match = getattr(causal, name)
+        monkeypatch.setattr(causal, name, lambda *a, match=match, **k: (tried.append((k["mahalanobis"] is not None, k["caliper"])), match(*a, **k))[1])
+    assert queries_more.psm(spark, sf).first().n > 0
+    assert sorted(tried) == sorted((far, c) for far in (False, True) for c in (0.5, 0.25, 0.2, 0.1, 0.05))
