@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TITLE_STOP, letter_ids, node_id, terms
-from ..session import settle
+from ..session import settle, small
 
 WORDS = 8  # masks of 64 starts in a row of a search from many nodes
 LEVELS = 32  # after so many levels of a walk what it has is written: plans stay short
@@ -561,15 +561,81 @@ def numbered(starts: DataFrame, pairs: DataFrame) -> DataFrame:
     return settle(at.select("start", F.floor(F.col("n") / (64 * WORDS)).alias("chunk"), word.alias("word"), F.expr("shiftleft(1L, cast(n % 64 as int))").alias("bit")))
 
 
+HELD = 8_000_000  # pairs of a component that a worker holds, some 80 bytes each
+SHARE = 4_000_000_000  # starts times pairs of a component that are one task's, and in how many tasks a component's starts are at most
+SHARES = 32
+TOGETHER = 500_000  # pairs of small components that are one task's
+
+
 def mean_path(pairs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """pairs, mean_path: over ordered pairs of nodes that reach each other, from all nodes or the given sources (id)."""
-    pairs, total, n = settle(pairs), 0, 0
-    nodes = both_ways(pairs).select(F.col("a").alias("id"))
-    for k, _, new in reached(pairs, numbered(sources or nodes, pairs)):
-        total, n = total + k * new, n + new
+    """pairs, mean_path: over ordered pairs of nodes that reach each other, from all nodes or the given sources (id).
+
+    A component of HELD pairs at most is searched within tasks, each of which has all its pairs and a share of its starts: what is seen
+    stays in the task, so that only pairs are shuffled. A larger component goes through reached().
+    """
+    pairs = settle(pairs.select("a", "b"))
+    of = components(pairs).select("id", F.xxhash64("component").alias("g"))  # two components of one number would only share a task
+    if sources is None:
+        nodes = of.withColumn("s", F.lit(True))
+    else:
+        nodes = of.join(sources.select("id").distinct().withColumn("s", F.lit(True)), "id", "left").withColumn("s", F.coalesce("s", F.lit(False)))
+    nodes = settle(nodes.withColumn("n", F.monotonically_increasing_id()))
+    ends = [nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"), *(["g"] if x == "a" else [])) for x in "ab"]
+    links = settle(pairs.where("a <> b").join(ends[0], "a").join(ends[1], "b"))
+    size = links.groupBy("g").agg(F.count("*").alias("m")).join(nodes.groupBy("g").agg(F.count_if("s").alias("k")), "g")
+    size = settle(size.select("g", "m", F.least(F.ceil(F.col("m").cast("double") * F.col("k") / SHARE), F.lit(SHARES)).cast("int").alias("parts")).where("parts > 0"))
+    few, most = size.agg(F.sum("m"), F.max("m")).first()
+    groups = max(64, -(-(few or 0) // TOGETHER))
+    held = links.join(small(size.where(F.col("m") <= HELD)), "g")
+    held = held.select("g", "na", "nb", "sa", "sb", "parts", F.when(F.col("parts") > 1, F.col("g")).otherwise(F.pmod("g", F.lit(groups))).alias("h"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    n, total = held.groupBy("h", "parts", "part").applyInArrow(_hops, "n bigint, total bigint").agg(F.sum("n"), F.sum("total")).first()
+    n, total = n or 0, total or 0
+    if (most or 0) > HELD:
+        large = size.where(F.col("m") > HELD).select("g")
+        rest = settle(links.join(small(large), "g", "left_semi").select("a", "b"))
+        starts = nodes.where("s").join(small(large), "g", "left_semi").select("id")
+        for k, _, new in reached(rest, numbered(starts, rest)):
+            n, total = n + new, total + k * new
     return pairs.sparkSession.createDataFrame([(n, total / n if n else None)], "pairs bigint, mean_path double")
 
 
+def _hops(table):
+    """How many pairs of a start and another node are connected, and the sum of their hops. table: g, na, nb, sa, sb, parts, part of whole components."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = lambda c: table.column(c).to_numpy()
+    parts, part, m = table.column("parts")[0].as_py(), table.column("part")[0].as_py(), table.num_rows
+    ids, first = np.unique(np.concatenate([column("na"), column("nb")]), return_index=True)
+    own = column("g")[first % m]
+    order = np.argsort(own, kind="stable")  # a component's nodes side by side
+    own, rank = own[order], np.empty(len(ids), np.int32)
+    rank[order] = np.arange(len(ids), dtype=np.int32)
+    a, b = (rank[np.searchsorted(ids, column(c))] for c in ("na", "nb"))
+    is_start = np.zeros(len(ids), bool)
+    is_start[a], is_start[b] = column("sa"), column("sb")
+    u, v = np.concatenate([a, b]), np.concatenate([b, a])
+    by = np.argsort(u, kind="stable")
+    v, at = v[by], np.append(0, np.cumsum(np.bincount(u, minlength=len(ids))))  # neighbours of node i: v[at[i]:at[i + 1]]
+    del table, a, b, u, by, ids, first, order, rank
+    starts, n, total = np.flatnonzero(is_start)[part::parts], 0, 0
+    for i in range(0, len(starts), 64):
+        some = starts[i : i + 64]
+        low, high = np.searchsorted(own, own[some[0]], "left"), np.searchsorted(own, own[some[-1]], "right")
+        to, edge = v[at[low] : at[high]] - low, at[low:high] - at[low]
+        seen = np.zeros(high - low, np.uint64)
+        seen[some - low] = np.uint64(1) << np.arange(len(some), dtype=np.uint64)
+        front = seen.copy()
+        for k in count(1):
+            front = np.bitwise_or.reduceat(front[to], edge) & ~seen
+            new = int(np.bitwise_count(front).sum())
+            if not new:
+                break
+            seen |= front
+            n, total = n + new, total + k * new
+    return pa.table({"n": pa.array([n], pa.int64()), "total": pa.array([total], pa.int64())})
+
+
 def hops_between(candidates: DataFrame, pairs: DataFrame, hops: int | None = None) -> DataFrame:
     """candidates (a, b and others) with ``hops`` between their ends, null where a doesn't reach b within ``hops``."""
     candidates, pairs = settle(candidates), settle(pairs)

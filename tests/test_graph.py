@@ -271,3 +271,30 @@ def test_swaps_take_little_memory():
     tracemalloc.stop()
     assert len({tuple(p) for p in made.tolist()}) == len(pairs) and sorted(Counter(made.ravel().tolist()).items()) == sorted(Counter(pairs.ravel().tolist()).items())
     assert most < 600  # bytes a pair
+
+
+@pytest.mark.parametrize("held", [1000, 40, 0])
+@pytest.mark.parametrize("asked", [False, True])
+def test_mean_path_keeps_masks_within_tasks(spark, monkeypatch, held, asked):
+    rng = random.Random(6)
+    lines = {(a, b) for a, b in ((rng.randrange(0, 150), rng.randrange(0, 150)) for _ in range(190)) if a != b} | {(k, k + 1) for k in range(200, 212)} | {(300 + 2 * k, 301 + 2 * k) for k in range(90)}
+    near = {}
+    for a, b in lines:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    starts, hops = [k for k in range(500) if not asked or k % 3 == 0], []
+    for s in starts:
+        dist, front = {s: 0}, [s]
+        while front:
+            front = [y for x in front for y in near.get(x, ()) if y not in dist and not dist.update({y: dist[x] + 1})]
+        hops += [d for d in dist.values() if d]
+    rows, reached = [], graph.reached
+    monkeypatch.setattr(graph, "HELD", held)
+    monkeypatch.setattr(graph, "SHARE", 5000)
+    monkeypatch.setattr(graph, "reached", lambda *a: (rows.append(1), reached(*a))[1])
+    pairs = spark.createDataFrame(sorted({(f"n{min(a, b)}", f"n{max(a, b)}") for a, b in lines}), "a string, b string")
+    m = graph.mean_path(pairs, spark.createDataFrame([(f"n{k}",) for k in starts], "id string") if asked else None).first()
+    assert m["pairs"] == len(hops) and abs(m["mean_path"] - sum(hops) / len(hops)) < 1e-12
+    assert len(rows) == (held < 1000)  # only components of more pairs go through shuffles of masks
+    empty = graph.mean_path(pairs.limit(0)).first()
+    assert (empty.pairs, empty.mean_path) == (0, None)
